@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from protosift.functions.fuzzy import DEFAULT_CUTS, Memberships, three_classes
 from protosift.operators.stats import Bounds, scale
 from protosift.plans.profiles import RID, hand_back, profiles_of
-from protosift.plans.tiles import Reach, TileSettings, compare, plan_layout
+from protosift.plans.tiles import Reach, TileSettings, compare
 from protosift.spec import RowSpec
 
 
@@ -66,12 +66,12 @@ def _least_of_greatest(
 
         return reduce
 
-    layout = plan_layout(
-        spec, jaccard, table, found.rows, table, found.rows, reach, summaries, settings
-    )
     open_rows = table.where(F.greatest(F.lit(0.0), *names) > 0)
     schema = f"{RID} long, " + ", ".join(f"`{c}` double" for c in names)
-    partial = compare(layout, reach, open_rows, table, kernel, schema)
+    partial = compare(
+        spec, jaccard, open_rows, found.rows, table, found.rows, kernel, schema,
+        reach, summaries, settings,
+    )
     best = (
         partial.unionByName(table.select(RID, *names))
         .groupBy(RID)
@@ -100,15 +100,17 @@ def class_approximations(
     rows = spec.conform(df)
     if numeric_only:
         spec = spec.only_numeric()
-    y = Bounds(rows, [spec.label])
-    classes = memberships(F.col(spec.label), y.low(spec.label), y.high(spec.label))
+    bounds = Bounds.of(rows, [*spec.numeric, spec.label])
+    classes = memberships(
+        F.col(spec.label), F.lit(bounds.low[spec.label]), F.lit(bounds.high[spec.label])
+    )
     # max min(s, c) = 1 - min max(1 - s, 1 - c): one search serves both.
     degrees = {}
     if "lower" in which:
         degrees |= {f"lower_{name}": c for name, c in classes.items()}
     if "upper" in which:
         degrees |= {f"upper_{name}": F.lit(1.0) - c for name, c in classes.items()}
-    scaled = scale(rows, spec, "range").select(spec.id, *spec.attributes, spec.label)
+    scaled = scale(rows, spec, "range", bounds).select(spec.id, *spec.attributes, spec.label)
     best = _least_of_greatest(scaled, spec, degrees, jaccard, settings)
     return best.select(
         F.col(spec.id).alias("id"),

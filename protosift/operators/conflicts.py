@@ -21,10 +21,10 @@ from protosift.operators.owa import owa, owa_of_few
 from protosift.operators.stats import scale
 from protosift.plans.lineage import cut_lineage
 from protosift.plans.profiles import COPIES, RID, Profiles, hand_back, profiles_of
-from protosift.plans.tiles import PROBING, TASK, run_tasks
+from protosift.plans.tiles import BLOCK, pair_all, run_tasks
 from protosift.spec import RowSpec
 
-BLOCK, OUTCOME = "_block", "_outcome"
+OUTCOME = "_outcome"
 MAX_BLOCKS = 4096
 # Conflict degrees a task sorts at a time.
 SORTED = 1 << 20
@@ -175,7 +175,7 @@ def _partial_averages(
             -(-profiles.rows // settings.probing_rows),
             min(2 * parallelism // len(chosen) + 1, -(-profiles.rows // settings.least_rows)),
         )
-        routed, tasks = _route(held, probing, parts, chunks)
+        routed, tasks = pair_all(held, probing, parts, chunks)
         kernel = kernel_of(jaccard, float(spec.size))
         if chosen is whole:
             schema = f"{RID} long, {BLOCK} long, owa double, n_values long, least double, greatest double"
@@ -192,36 +192,6 @@ def _partial_averages(
     return _Job(scaled, spec, profiles, partial, sorted(sizes))
 
 
-def _route(held: DataFrame, probing: DataFrame, parts: dict[int, int], chunks: int):
-    """Send held parts to all chunks of probing rows and chunks to all parts."""
-    first, total = {}, 0
-    for b, n in parts.items():
-        first[b] = total
-        total += n
-
-    def number(n: int):
-        return F.lit(n).cast("long")
-
-    # Task = chunk * total + part.
-    start = F.create_map(*[number(x) for b in first for x in (b, first[b])])[F.col(BLOCK)]
-    count = F.create_map(*[number(x) for b in parts for x in (b, parts[b])])[F.col(BLOCK)]
-    part = start + F.pmod(F.xxhash64(RID), count)
-    chunk = F.pmod(F.xxhash64(RID), number(chunks)) * number(total)
-    sent_held = held.where(F.col(BLOCK).isin(list(parts))).withColumns(
-        {
-            TASK: F.explode(F.sequence(part, part + number((chunks - 1) * total), number(total))),
-            PROBING: F.lit(0),
-        }
-    )
-    sent_probing = probing.withColumns(
-        {
-            TASK: F.explode(F.sequence(chunk, chunk + number(total - 1), number(1))),
-            PROBING: F.lit(1),
-        }
-    )
-    return sent_held.unionByName(sent_probing), chunks * total
-
-
 def quality_powa(
     df: DataFrame,
     spec: RowSpec,

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import fold_of
-from protosift.operators.stats import scale
+from protosift.operators.stats import Bounds, scale
 from protosift.plans.lineage import cut_lineage
 from protosift.plans.profiles import RID, Profiles, hand_back, profiles_of
-from protosift.plans.tiles import Reach, TileSettings, compare, plan_layout
+from protosift.plans.tiles import Reach, TileSettings, compare
 from protosift.spec import RowSpec
 
 FOLD, STEP, LABEL = "_fold", "_step", "_label"
@@ -150,18 +150,18 @@ def search(
     probing = profiles.df.select(
         RID, *spec.attributes, FOLD, F.lit(0).alias(STEP), F.lit(0.0).alias(LABEL)
     )
-    reach = _reach(k, steps)
-    first_step = F.min(STEP).alias("_first_step")
-    layout = plan_layout(
-        spec, jaccard, probing, profiles.rows, held, held.count(), reach, [first_step], settings
-    )
     found = compare(
-        layout,
-        reach,
+        spec,
+        jaccard,
         probing,
+        profiles.rows,
         held,
+        held.count(),
         _nearest_in_tile(k, steps, folds is not None, jaccard, spec.size),
         f"{RID} long, {STEP} int, neighbour_id long, distance double, neighbour_label double",
+        _reach(k, steps),
+        [F.min(STEP).alias("_first_step")],
+        settings,
     )
     if steps > 1:
         found = found.withColumn(STEP, F.explode(F.sequence(F.col(STEP), F.lit(steps - 1))))
@@ -197,7 +197,8 @@ def _prepared(tests: DataFrame, prototypes: DataFrame, spec: RowSpec, scaling: s
         return tests, prototypes
     if scaling != "range":
         raise ValueError("neighbours are scaled by 'range' or not at all")
-    return scale(tests, spec, "range", of=prototypes), scale(prototypes, spec, "range")
+    bounds = Bounds.of(prototypes, spec.numeric)
+    return scale(tests, spec, "range", bounds), scale(prototypes, spec, "range", bounds)
 
 
 def knn_topk(

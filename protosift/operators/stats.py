@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,39 +24,43 @@ def column_minmax(df: DataFrame, spec: RowSpec) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
 class Bounds:
-    """Minimum and maximum of columns as lazy scalars of one shared subquery."""
-
-    def __init__(self, df: DataFrame, columns):
-        fields = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
-        self._row = df.agg(F.struct(*fields).alias("bounds")).scalar() if fields else None
+    """Least and greatest value of each column, read in one pass as one row."""
 
-    def low(self, column: str) -> Column:
-        return self._row.getField(f"lo_{column}")
+    low: dict[str, float]
+    high: dict[str, float]
 
-    def high(self, column: str) -> Column:
-        return self._row.getField(f"hi_{column}")
+    @staticmethod
+    def of(df: DataFrame, columns) -> Bounds:
+        columns = list(columns)
+        if not columns:
+            return Bounds({}, {})
+        row = df.agg(*[f(c) for c in columns for f in (F.min, F.max)]).first()
+        return Bounds(dict(zip(columns, row[0::2])), dict(zip(columns, row[1::2])))
 
 
 def scale(
-    df: DataFrame, spec: RowSpec, mode: str | None, of: DataFrame | None = None
+    df: DataFrame, spec: RowSpec, mode: str | None, bounds: Bounds | None = None
 ) -> DataFrame:
     """Scale numeric attributes; a constant column becomes 0.
 
     ``"range"`` divides by the range. ``"minmax"`` maps to [0, 1] and does the
-    same to the label. ``None`` leaves everything as it is. The statistics are
-    those of ``of`` where it is given.
+    same to the label. ``None`` leaves everything as it is. ``bounds`` are
+    those of ``df`` itself unless given.
     """
     if mode is None:
         return df
     if mode not in ("range", "minmax"):
         raise ValueError(f"unknown scaling {mode!r}")
     columns = list(spec.numeric) + ([spec.label] if mode == "minmax" else [])
-    bounds = Bounds(df if of is None else of, columns)
+    bounds = bounds or Bounds.of(df, columns)
 
     def scaled(c: str) -> Column:
-        lo, hi = bounds.low(c), bounds.high(c)
-        value = F.col(c) if mode == "range" else F.col(c) - lo
-        return F.when(hi > lo, value / (hi - lo)).otherwise(0.0)
+        lo, hi = bounds.low[c], bounds.high[c]
+        if lo is None or not hi > lo:
+            return F.lit(0.0)
+        value = F.col(c) if mode == "range" else F.col(c) - F.lit(lo)
+        return value / (F.lit(hi) - F.lit(lo))
 
     return df.withColumns({c: scaled(c) for c in columns})

@@ -14,6 +14,7 @@ the driver sees is bounded: at most ``MAX_CELLS`` pivots and cell summaries.
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ from protosift.spec import RowSpec
 # Tasks carry this package with them; executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules["protosift"])
 
-TASK, PROBING = "_task", "_probing"
+TASK, PROBING, BLOCK = "_task", "_probing", "_block"
 MAX_CELLS = 1024
 MAX_PARTITIONS = 20_000
 
@@ -72,7 +73,7 @@ class Layout:
     jaccard: str
     pivots: pd.DataFrame
     probes: pd.DataFrame
-    cells: pd.DataFrame | None
+    cells: pd.DataFrame
     probing_splits: np.ndarray
     held_splits: np.ndarray
     alive: np.ndarray
@@ -104,20 +105,10 @@ def _split_of(ids: pd.Series, splits: np.ndarray) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % splits.astype("uint64")).astype("int64")
 
 
-def _single_cell(spec, jaccard, n_probing, n_held, settings, parallelism) -> Layout:
-    tile = settings.rows(spec)
-    held = max(1, -(-n_held // tile))
-    wanted = min(2 * parallelism // held + 1, -(-n_probing // settings.least_rows))
-    probing = max(1, -(-n_probing // tile), wanted)
-    one = np.ones(1, "int64")
-    return Layout.of(spec, jaccard, None, None, None, one * probing, one * held, np.ones((1, 1), bool))
-
-
 def plan_layout(
     spec: RowSpec,
     jaccard: str,
     probing: DataFrame,
-    n_probing: int,
     held: DataFrame,
     n_held: int,
     reach: Reach,
@@ -131,8 +122,6 @@ def plan_layout(
     """
     parallelism = held.sparkSession.sparkContext.defaultParallelism
     tile = settings.rows(spec)
-    if n_held <= tile:
-        return _single_cell(spec, jaccard, n_probing, n_held, settings, parallelism)
 
     # Pivots and probes are held rows, so a distance to one is a real distance.
     wanted = min(settings.max_cells, max(2, 2 * n_held // tile))
@@ -216,21 +205,17 @@ def plan_layout(
 def _send_probing(layout: Layout, reach: Reach, pdf: pd.DataFrame) -> pd.DataFrame:
     """One copy of a row for each held tile that may matter to it."""
     spec = layout.spec
-    if layout.pivots is None:
-        need = np.ones((len(pdf), 1), bool)
-        home = np.zeros(len(pdf), "int64")
-    else:
-        far = _to_rows(spec, layout.jaccard, layout.pivots, pdf)
-        home = far.argmin(axis=1)
-        bounds = reach.bounds(_to_rows(spec, layout.jaccard, layout.probes, pdf), layout.probes, pdf)
-        inner, radius = (layout.cells[c].to_numpy()[None, :] for c in ("inner", "radius"))
-        gap = np.maximum(far - radius, inner - far)
-        for c in spec.numeric:
-            x = pdf[c].to_numpy("float64")[:, None]
-            lo, hi = (layout.cells[f"_{e}_{c}"].to_numpy()[None, :] for e in ("lo", "hi"))
-            gap = np.maximum(gap, np.maximum(lo - x, x - hi) / spec.size)
-        gap = np.nan_to_num(gap - 1e-9 * (1.0 + far))
-        need = layout.alive[home] & reach.relevant(gap, bounds, layout.cells)
+    far = _to_rows(spec, layout.jaccard, layout.pivots, pdf)
+    home = far.argmin(axis=1)
+    bounds = reach.bounds(_to_rows(spec, layout.jaccard, layout.probes, pdf), layout.probes, pdf)
+    inner, radius = (layout.cells[c].to_numpy()[None, :] for c in ("inner", "radius"))
+    gap = np.maximum(far - radius, inner - far)
+    for c in spec.numeric:
+        x = pdf[c].to_numpy("float64")[:, None]
+        lo, hi = (layout.cells[f"_{e}_{c}"].to_numpy()[None, :] for e in ("lo", "hi"))
+        gap = np.maximum(gap, np.maximum(lo - x, x - hi) / spec.size)
+    gap = np.nan_to_num(gap - 1e-9 * (1.0 + far))
+    need = layout.alive[home] & reach.relevant(gap, bounds, layout.cells)
     row, cell = np.nonzero(need)
     at = home[row]
     split = _split_of(pdf[RID], layout.probing_splits[home])[row]
@@ -241,10 +226,7 @@ def _send_probing(layout: Layout, reach: Reach, pdf: pd.DataFrame) -> pd.DataFra
 
 def _send_held(layout: Layout, pdf: pd.DataFrame) -> pd.DataFrame:
     """One copy of a row for each probing tile its own tile is paired with."""
-    if layout.pivots is None:
-        cell = np.zeros(len(pdf), "int64")
-    else:
-        cell = _to_rows(layout.spec, layout.jaccard, layout.pivots, pdf).argmin(axis=1)
+    cell = _to_rows(layout.spec, layout.jaccard, layout.pivots, pdf).argmin(axis=1)
     split = _split_of(pdf[RID], layout.held_splits[cell])
     row, home = np.nonzero(layout.alive.T[cell])
     times = layout.probing_splits[home]
@@ -261,23 +243,70 @@ def _counting(lengths: np.ndarray) -> np.ndarray:
 
 
 def compare(
-    layout: Layout,
-    reach: Reach,
+    spec: RowSpec,
+    jaccard: str,
     probing: DataFrame,
+    n_probing: int,
     held: DataFrame,
+    n_held: int,
     kernel: Callable[[Held, pd.DataFrame], Callable[[pd.DataFrame], Iterator[pd.DataFrame]]],
     schema: str,
+    reach: Reach,
+    summaries: list,
+    settings: TileSettings,
 ) -> DataFrame:
-    """Run ``kernel`` on every surviving pair of tiles.
+    """Run ``kernel`` on every pair of tiles that can matter.
 
     Both inputs have the same columns. ``kernel`` gets the held rows of a tile
-    and returns the function that reduces a batch of probing rows.
+    and returns the function that reduces a batch of probing rows. A held table
+    that fits one tile has nothing to prune.
     """
+    if n_held <= settings.rows(spec):
+        parallelism = held.sparkSession.sparkContext.defaultParallelism
+        finest = -(-n_probing // settings.least_rows)
+        chunks = max(1, -(-n_probing // settings.rows(spec)), min(2 * parallelism, finest))
+        routed, tasks = pair_all(held, probing, None, chunks)
+        return run_tasks(spec, routed, tasks, kernel, schema)
+    layout = plan_layout(spec, jaccard, probing, held, n_held, reach, summaries, settings)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
     routed = f"{columns}, {TASK} long, {PROBING} int"
     left = probing.mapInPandas(lambda it: (_send_probing(layout, reach, p) for p in it), routed)
     right = held.mapInPandas(lambda it: (_send_held(layout, p) for p in it), routed)
-    return run_tasks(layout.spec, right.unionByName(left), layout.tasks, kernel, schema)
+    return run_tasks(spec, right.unionByName(left), layout.tasks, kernel, schema)
+
+
+def pair_all(
+    held: DataFrame, probing: DataFrame, parts: dict[int, int] | None, chunks: int
+) -> tuple[DataFrame, int]:
+    """Send each part of the held rows to every chunk of the probing rows.
+
+    ``parts`` tells for each value of the held rows' block column into how many
+    parts a hash of the id splits it; ``None`` keeps them all as one part.
+    """
+
+    def number(n: int):
+        return F.lit(n).cast("long")
+
+    # Task = chunk * total + part.
+    total = sum(parts.values()) if parts else 1
+    part = number(0)
+    if parts:
+        first = dict(zip(parts, itertools.accumulate(parts.values(), initial=0)))
+        held = held.where(F.col(BLOCK).isin(list(parts)))
+        start, count = (
+            F.create_map(*[number(x) for pair in of.items() for x in pair])[F.col(BLOCK)]
+            for of in (first, parts)
+        )
+        part = start + F.pmod(F.xxhash64(RID), count)
+    chunk = F.pmod(F.xxhash64(RID), number(chunks)) * number(total)
+    to_chunks = F.sequence(part, part + number((chunks - 1) * total), number(total))
+    to_parts = F.sequence(chunk, chunk + number(total - 1), number(1))
+    return (
+        held.withColumns({TASK: F.explode(to_chunks), PROBING: F.lit(0)}).unionByName(
+            probing.withColumns({TASK: F.explode(to_parts), PROBING: F.lit(1)})
+        ),
+        chunks * total,
+    )
 
 
 def run_tasks(spec: RowSpec, routed: DataFrame, tasks: int, kernel, schema: str) -> DataFrame:
