@@ -274,9 +274,10 @@ def _best_threshold(spark, sf_dir):
 
 
 def _select_prototypes(spark, sf_dir):
-    (best,) = ps.best_threshold(_sweep(spark, sf_dir)).collect()
-    rows = cust_rows(spark, sf_dir)
-    return ps.select_prototypes(rows, _stored_quality(spark, sf_dir), CUST, best["threshold"])
+    quality = _stored_quality(spark, sf_dir)
+    bounds = Bounds.of(quality, ["quality"])
+    middle = (bounds.low["quality"] + bounds.high["quality"]) / 2
+    return ps.select_prototypes(cust_rows(spark, sf_dir), quality, CUST, middle)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -643,9 +644,9 @@ SELECT round(sum(rmse) / 10, 6) AS rmse, count(*) AS n_folds FROM fold_errors"""
 SELECT round(avg(rmse), 6) AS rmse, count(*) AS n_folds FROM fold_errors""",
         "quality_join": f"""WITH {sql_hml('cust_rows', CUST)}
 SELECT c.*, quality FROM cust_rows c JOIN quality q ON q.id = c.id""",
-        "select_prototypes": f"""WITH {sql_sweep()}
+        "select_prototypes": f"""WITH {sql_hml('cust_rows', CUST)}
 SELECT c.* FROM cust_rows c JOIN quality q ON q.id = c.id
-WHERE quality >= (SELECT threshold FROM best)""",
+WHERE quality >= (SELECT (min(quality) + max(quality)) / 2 FROM quality)""",
         "threshold_sweep": f"WITH {sql_sweep()} SELECT {report} FROM report",
         "best_threshold": f"WITH {sql_sweep()} SELECT {report} FROM best",
     }
