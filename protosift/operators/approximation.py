@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import DEFAULT_CUTS, Memberships, three_classes
 from protosift.operators.stats import Bounds, scale
+from protosift.plans.blocks import Held
 from protosift.plans.profiles import RID, hand_back, profiles_of
 from protosift.plans.tiles import Reach, TileSettings, compare
 from protosift.spec import RowSpec
@@ -31,7 +32,6 @@ def _least_of_greatest(
     own = rows.withColumns(degrees)
     found = profiles_of(own, spec.attributes, spec.id, *[F.min(c).alias(c) for c in names])
     table = found.df.select(RID, *spec.attributes, *names)
-    m = float(spec.size)
 
     def bounds(distances: np.ndarray, probes: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
         best = batch[names].to_numpy("float64")
@@ -49,15 +49,16 @@ def _least_of_greatest(
     reach = Reach(bounds, relevant, [f"_bound_{i}" for i in range(len(names))])
     summaries = [F.min(c).alias(f"_least_{c}") for c in names]
 
-    def kernel(held, rows):
+    def kernel(rows: pd.DataFrame):
+        held = Held(spec, rows)
         degree = rows[names].to_numpy("float64").T.copy()
 
         def reduce(batch):
             view = held.seen_from(batch)
             out = np.empty((len(names), view.size))
             for part in view.slices():
-                far = view.distances(part, jaccard)
-                far = 1.0 - (m - far) / m
+                far = view.similarities(part, jaccard)
+                np.subtract(1.0, far, out=far)
                 work = np.empty_like(far)
                 for q in range(len(names)):
                     np.maximum(far, degree[q][None, :], out=work)

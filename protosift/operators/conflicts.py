@@ -19,6 +19,7 @@ from protosift.functions.fuzzy import block_of
 from protosift.functions.harmonic import harmonic
 from protosift.operators.owa import owa, owa_of_few
 from protosift.operators.stats import scale
+from protosift.plans.blocks import Held
 from protosift.plans.lineage import cut_lineage
 from protosift.plans.profiles import COPIES, RID, Profiles, hand_back, profiles_of
 from protosift.plans.tiles import BLOCK, pair_all, run_tasks
@@ -26,8 +27,6 @@ from protosift.spec import RowSpec
 
 OUTCOME = "_outcome"
 MAX_BLOCKS = 4096
-# Conflict degrees a task sorts at a time.
-SORTED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -43,69 +42,70 @@ class ConflictSettings:
         return self.held_rows or int(np.clip((1 << 25) // (spec.size + 3), 65_536, 1 << 22))
 
 
-def _degrees(view, part, rows, batch, jaccard, m):
-    """Conflict degrees of a slice of rows; infinity where there is no conflict."""
-    sim = view.distances(part, jaccard)
-    sim = (m - sim) / m
+def _degrees(view, part, rows, batch, jaccard):
+    """Conflict degrees of a slice of rows and which pairs are in conflict."""
+    degree = view.similarities(part, jaccard)
     ya, yb = batch[OUTCOME].to_numpy("float64")[part], rows[OUTCOME].to_numpy("float64")
-    alike = 1.0 - np.abs(ya[:, None] - yb[None, :])
-    return np.where(sim > alike, 1.0 - sim + alike, np.inf)
+    alike = ya[:, None] - yb[None, :]
+    np.subtract(1.0, np.abs(alike, out=alike), out=alike)
+    conflict = degree > alike
+    np.subtract(1.0, degree, out=degree)
+    degree += alike
+    return degree, conflict
 
 
-def _average_kernel(jaccard: str, m: float):
+def _average_kernel(spec: RowSpec, jaccard: str):
     """Kernel: the ordered weighted average of each row's conflicts in a block."""
 
-    def kernel(held, rows):
+    def kernel(rows: pd.DataFrame):
+        # A few copies are cheaper to repeat than to weigh.
+        if rows[COPIES].sum() <= 3 * len(rows):
+            rows = rows.loc[rows.index.repeat(rows[COPIES])].assign(**{COPIES: 1})
+        held = Held(spec, rows)
         copies = rows[COPIES].to_numpy("int64")
         single = bool((copies == 1).all())
         block = rows[BLOCK].iloc[0]
         weights = 1.0 / np.arange(1, held.size + 1)
 
+        def average(values, times):
+            """Values in order, their weighted sum and the sum of the weights."""
+            if single:
+                values.sort()
+                return values, values @ weights[: len(values)], len(values)
+            if not len(values):
+                return values, 0.0, 0
+            order = values.argsort()
+            values, after = values[order], np.cumsum(times[order])
+            before = after - times[order]
+            run = np.where(
+                times[order] == 1, 1.0 / (before + 1.0), harmonic(after) - harmonic(before)
+            )
+            return values, values @ run, after[-1]
+
         def reduce(batch):
             view = held.seen_from(batch)
             ids = batch[RID].to_numpy()
-            for part in view.slices(SORTED):
-                degree = _degrees(view, part, rows, batch, jaccard, m)
-                if single:
-                    degree.sort(axis=1)
-                    found = np.isfinite(degree)
-                    count = found.sum(axis=1)
-                    degree[~found] = 0.0
-                    top = degree @ weights
-                else:
-                    order = degree.argsort(axis=1)
-                    degree = np.take_along_axis(degree, order, axis=1)
-                    found = np.isfinite(degree)
-                    after = np.cumsum(np.where(found, copies[order], 0), axis=1)
-                    before = np.concatenate([np.zeros((len(after), 1), "int64"), after[:, :-1]], axis=1)
-                    weight = np.where(
-                        after - before == 1, 1.0 / (before + 1.0), harmonic(after) - harmonic(before)
-                    )
-                    count = after[:, -1]
-                    degree[~found] = 0.0
-                    top = (degree * weight).sum(axis=1)
-                any_found = count > 0
-                average = np.where(any_found, top / np.where(any_found, harmonic(count), 1.0), np.nan)
-                yield pd.DataFrame(
-                    {
-                        RID: ids[part],
-                        BLOCK: block,
-                        "owa": average,
-                        "n_values": count,
-                        "least": np.where(any_found, degree[:, 0], np.nan),
-                        "greatest": np.where(any_found, degree.max(axis=1), np.nan),
-                    }
-                )
+            found = []
+            for part in view.slices():
+                degree, conflict = _degrees(view, part, rows, batch, jaccard)
+                for id, d, c in zip(ids[part], degree, conflict):
+                    values, top, count = average(d[c], None if single else copies[c])
+                    edges = (values[0], values[-1]) if count else (np.nan, np.nan)
+                    found.append((id, block, top, count, *edges))
+            out = pd.DataFrame(found, columns=[RID, BLOCK, "owa", "n_values", "least", "greatest"])
+            total = harmonic(out["n_values"].to_numpy())
+            yield out.assign(owa=out["owa"] / np.where(total > 0, total, np.nan))
 
         return reduce
 
     return kernel
 
 
-def _value_kernel(jaccard: str, m: float):
+def _value_kernel(spec: RowSpec, jaccard: str):
     """Kernel for parts of a block: distinct conflict degrees and their counts."""
 
-    def kernel(held, rows):
+    def kernel(rows: pd.DataFrame):
+        held = Held(spec, rows)
         copies = rows[COPIES].to_numpy("int64")
         block = rows[BLOCK].iloc[0]
 
@@ -113,16 +113,13 @@ def _value_kernel(jaccard: str, m: float):
             view = held.seen_from(batch)
             ids = batch[RID].to_numpy()
             for part in view.slices():
-                degree = _degrees(view, part, rows, batch, jaccard, m)
-                row, column = np.nonzero(np.isfinite(degree))
-                yield (
-                    pd.DataFrame(
-                        {RID: ids[part][row], "_degree": degree[row, column], "_n": copies[column]}
-                    )
-                    .groupby([RID, "_degree"], as_index=False, sort=False)
-                    .sum()
-                    .assign(**{BLOCK: block})[[RID, BLOCK, "_degree", "_n"]]
+                degree, conflict = _degrees(view, part, rows, batch, jaccard)
+                row, column = np.nonzero(conflict)
+                pairs = pd.DataFrame(
+                    {RID: ids[part][row], "_degree": degree[row, column], "_n": copies[column]}
                 )
+                merged = pairs.groupby([RID, "_degree"], as_index=False, sort=False).sum()
+                yield merged.assign(**{BLOCK: block})[[RID, BLOCK, "_degree", "_n"]]
 
         return reduce
 
@@ -176,15 +173,15 @@ def _partial_averages(
             min(2 * parallelism // len(chosen) + 1, -(-profiles.rows // settings.least_rows)),
         )
         routed, tasks = pair_all(held, probing, parts, chunks)
-        kernel = kernel_of(jaccard, float(spec.size))
+        kernel = kernel_of(spec, jaccard)
         if chosen is whole:
             schema = f"{RID} long, {BLOCK} long, owa double, n_values long, least double, greatest double"
-            partials.append(run_tasks(spec, routed, tasks, kernel, schema))
+            partials.append(run_tasks(routed, tasks, kernel, schema))
         else:
             # A block too large for one task: its degrees are merged by value,
             # and ranked by the cluster instead of in a task.
             schema = f"{RID} long, {BLOCK} long, _degree double, _n long"
-            values = run_tasks(spec, routed, tasks, kernel, schema)
+            values = run_tasks(routed, tasks, kernel, schema)
             partials.append(owa(values, [RID, BLOCK], "_degree", count="_n"))
     partial = partials[0]
     for more in partials[1:]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import fold_of
 from protosift.operators.stats import Bounds, scale
+from protosift.plans.blocks import Held
 from protosift.plans.lineage import cut_lineage
 from protosift.plans.profiles import RID, Profiles, hand_back, profiles_of
 from protosift.plans.tiles import Reach, TileSettings, compare
@@ -41,10 +42,11 @@ class Search:
     found: DataFrame
 
 
-def _nearest_in_tile(k: int, steps: int, folded: bool, jaccard: str, size: int):
+def _nearest_in_tile(spec: RowSpec, k: int, steps: int, folded: bool, jaccard: str):
     """Kernel: the k nearest of each step's prototypes by (distance, id)."""
 
-    def kernel(held, rows):
+    def kernel(rows: pd.DataFrame):
+        held = Held(spec, rows)
         ids, labels = rows[RID].to_numpy(), rows[LABEL].to_numpy("float64")
         folds = rows[FOLD].to_numpy()
         groups = [np.flatnonzero(rows[STEP].to_numpy() == s) for s in range(steps)]
@@ -52,39 +54,59 @@ def _nearest_in_tile(k: int, steps: int, folded: bool, jaccard: str, size: int):
         def reduce(batch):
             view = held.seen_from(batch)
             test_ids, test_folds = batch[RID].to_numpy(), batch[FOLD].to_numpy()
+            tests, found, away, step_of = [], [], [], []
             for part in view.slices():
-                far = view.distances(part, jaccard) / size
+                far = view.distances(part, jaccard)
+                np.divide(far, spec.size, out=far)
                 if folded:
                     far[test_folds[part, None] == folds[None, :]] = np.inf
                 for step, group in enumerate(groups):
                     if not len(group):
                         continue
                     near = far if len(group) == held.size else far[:, group]
-                    last = min(k, len(group)) - 1
-                    limit = np.partition(near, last, axis=1)[:, last, None]
-                    row, column = np.nonzero((near <= limit) & np.isfinite(near))
-                    away = near[row, column]
-                    # Held rows are ordered by id, so the column breaks ties.
-                    order = np.lexsort((column, away, row))
-                    row, column, away = row[order], column[order], away[order]
-                    first = np.searchsorted(row, row, side="left")
-                    keep = np.arange(len(row)) - first < k
-                    at = group[column[keep]]
-                    yield pd.DataFrame(
-                        {
-                            RID: test_ids[part][row[keep]],
-                            STEP: step,
-                            "neighbour_id": ids[at],
-                            "distance": away[keep],
-                            "neighbour_label": labels[at],
-                        }
-                    )
+                    row, column, d = _least_of_rows(near, k)
+                    tests.append(test_ids[part][row])
+                    found.append(group[column])
+                    away.append(d)
+                    step_of.append(np.full(len(row), step))
+            at = np.concatenate(found)
+            yield pd.DataFrame(
+                {
+                    RID: np.concatenate(tests),
+                    STEP: np.concatenate(step_of),
+                    "neighbour_id": ids[at],
+                    "distance": np.concatenate(away),
+                    "neighbour_label": labels[at],
+                }
+            )
 
         return reduce
 
     return kernel
 
 
+def _least_of_rows(near: np.ndarray, k: int):
+    """Row, column and value of the k least finite values of each row.
+
+    Columns are in the order of ids, so of equal values the lower column wins.
+    """
+    limit = np.minimum(_kth_of_some(near, k), np.finfo("float64").max)
+    row, column = np.nonzero(near <= limit[:, None])
+    value = near[row, column]
+    order = np.lexsort((column, value, row))
+    row, column, value = row[order], column[order], value[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[keep], column[keep], value[keep]
+
+
+def _kth_of_some(near: np.ndarray, k: int) -> np.ndarray:
+    """The k-th least of every n-th column: no less than that of all columns."""
+    some = near[:, :: max(1, min(16, near.shape[1] // (4 * k)))]
+    if some.shape[1] <= k:
+        return np.full(len(near), np.inf)
+    return np.partition(some, k - 1, axis=1)[:, k - 1]
+
+
 def _reach(k: int, steps: int) -> Reach:
     """Pruning for top-k: the k-th nearest sample row bounds the k-th nearest."""
 
@@ -157,7 +179,7 @@ def search(
         profiles.rows,
         held,
         held.count(),
-        _nearest_in_tile(k, steps, folds is not None, jaccard, spec.size),
+        _nearest_in_tile(spec, k, steps, folds is not None, jaccard),
         f"{RID} long, {STEP} int, neighbour_id long, distance double, neighbour_label double",
         _reach(k, steps),
         [F.min(STEP).alias("_first_step")],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import fold_of
 from protosift.operators.neighbours import STEP, Weighting, predictions_of, search
+from protosift.plans.lineage import cut_lineage
 from protosift.plans.profiles import RID, hand_back
 from protosift.plans.tiles import TileSettings
 from protosift.spec import RowSpec
@@ -44,16 +45,17 @@ def threshold_sweep(
     The prototype sets are nested, so one search serves all thresholds: each
     prototype is compared once and counts from the first threshold it reaches.
     """
-    low, high = quality.agg(F.min("quality"), F.max("quality")).first()
+    tests = spec.conform(df)
+    rated = cut_lineage(join_quality(tests, quality, spec))
+    low, high = rated.agg(F.min("quality"), F.max("quality")).first()
     if low is None:
-        raise ValueError("no quality given")
+        raise ValueError("no row has a quality")
     step = (high - low) / steps
     thresholds = [high - i * step for i in range(steps)] + [low] if high > low else [high]
-    tests = spec.conform(df)
     reached = F.lit(len(thresholds) - 1)
     for i in range(len(thresholds) - 2, -1, -1):
         reached = F.when(F.col("quality") >= F.lit(thresholds[i]), F.lit(i)).otherwise(reached)
-    prototypes = join_quality(tests, quality, spec).withColumn(STEP, reached)
+    prototypes = rated.withColumn(STEP, reached)
     result = search(
         tests, prototypes, spec, k, folds=folds, steps=len(thresholds), jaccard=jaccard,
         settings=settings,

@@ -12,8 +12,9 @@ import pandas as pd
 
 from protosift.spec import RowSpec
 
-# Doubles in one distance matrix; small enough to stay in cache.
-MATRIX = 1 << 19
+# Doubles in one distance matrix, so that it and its scratch space stay in the
+# cache of a core; sixteen times as many made every job several times slower.
+MATRIX = 1 << 15
 
 
 class Held:
@@ -43,31 +44,42 @@ class Viewer:
         self.bits = [pdf[c].to_numpy("int64") for c in spec.bitset]
         # A word no held row has becomes -1, which equals no code.
         self.codes = [w.get_indexer(pdf[c]) for w, c in zip(held.words, spec.string)]
+        self.step = max(1, MATRIX // max(1, held.size))
+        shape = (min(self.step, self.size), held.size)
+        self.scratch = np.empty(shape), np.empty(shape), np.empty(shape, bool)
 
-    def slices(self, matrix: int = MATRIX):
-        step = max(1, matrix // max(1, self.held.size))
-        for start in range(0, self.size, step):
-            yield slice(start, min(self.size, start + step))
+    def slices(self):
+        """Consecutive slices of the batch, each small enough for one matrix."""
+        for start in range(0, self.size, self.step):
+            yield slice(start, min(self.size, start + self.step))
 
     def distances(self, rows: slice, jaccard: str) -> np.ndarray:
+        """Distances of a slice; the array is reused for the next slice."""
         held = self.held
-        shape = (rows.stop - rows.start, held.size)
-        total, term = np.zeros(shape), np.empty(shape)
+        total, term, differ = (a[: rows.stop - rows.start] for a in self.scratch)
+        total.fill(0.0)
         for x, y in zip(self.numbers, held.numbers):
             np.subtract(x[rows, None], y[None, :], out=term)
             total += np.abs(term, out=term)
         if held.bits:
-            alike = np.zeros(shape)
-            for x, y in zip(self.bits, held.bits):
-                alike += _jaccard(x[rows, None], y[None, :], jaccard)
-            total += len(held.bits) - alike
+            total += _set_distance(self.bits, held.bits, rows, jaccard)
         for x, y in zip(self.codes, held.codes):
-            total += x[rows, None] != y[None, :]
+            total += np.not_equal(x[rows, None], y[None, :], out=differ)
         return total
 
-
-def _jaccard(x, y, mode):
-    if mode == "equal":
-        return x == y
-    union = np.bitwise_count(x | y)
-    return np.where(union == 0, 1.0, np.bitwise_count(x & y) / np.maximum(union, 1))
+    def similarities(self, rows: slice, jaccard: str) -> np.ndarray:
+        sim = self.distances(rows, jaccard)
+        m = float(self.held.spec.size)
+        np.subtract(m, sim, out=sim)
+        return np.divide(sim, m, out=sim)
+
+
+def _set_distance(mine, held, rows, jaccard):
+    if jaccard == "equal":
+        return sum((x[rows, None] != y[None, :]).astype("float64") for x, y in zip(mine, held))
+    alike = 0.0
+    for x, y in zip(mine, held):
+        x, y = x[rows, None], y[None, :]
+        union = np.bitwise_count(x | y)
+        alike = alike + np.where(union == 0, 1.0, np.bitwise_count(x & y) / np.maximum(union, 1))
+    return len(held) - alike

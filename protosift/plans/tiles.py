@@ -249,7 +249,7 @@ def compare(
     n_probing: int,
     held: DataFrame,
     n_held: int,
-    kernel: Callable[[Held, pd.DataFrame], Callable[[pd.DataFrame], Iterator[pd.DataFrame]]],
+    kernel: Callable[[pd.DataFrame], Callable[[pd.DataFrame], Iterator[pd.DataFrame]]],
     schema: str,
     reach: Reach,
     summaries: list,
@@ -266,13 +266,13 @@ def compare(
         finest = -(-n_probing // settings.least_rows)
         chunks = max(1, -(-n_probing // settings.rows(spec)), min(2 * parallelism, finest))
         routed, tasks = pair_all(held, probing, None, chunks)
-        return run_tasks(spec, routed, tasks, kernel, schema)
+        return run_tasks(routed, tasks, kernel, schema)
     layout = plan_layout(spec, jaccard, probing, held, n_held, reach, summaries, settings)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
     routed = f"{columns}, {TASK} long, {PROBING} int"
     left = probing.mapInPandas(lambda it: (_send_probing(layout, reach, p) for p in it), routed)
     right = held.mapInPandas(lambda it: (_send_held(layout, p) for p in it), routed)
-    return run_tasks(spec, right.unionByName(left), layout.tasks, kernel, schema)
+    return run_tasks(right.unionByName(left), layout.tasks, kernel, schema)
 
 
 def pair_all(
@@ -309,7 +309,7 @@ def pair_all(
     )
 
 
-def run_tasks(spec: RowSpec, routed: DataFrame, tasks: int, kernel, schema: str) -> DataFrame:
+def run_tasks(routed: DataFrame, tasks: int, kernel, schema: str) -> DataFrame:
     """Shuffle routed rows to their task and stream each task through ``kernel``.
 
     Within a partition the held rows of a task come before its probing rows.
@@ -335,7 +335,7 @@ def run_tasks(spec: RowSpec, routed: DataFrame, tasks: int, kernel, schema: str)
                     continue
                 if held:
                     table = pd.concat(held).sort_values(RID, ignore_index=True)
-                    held, reduce = [], kernel(Held(spec, table), table)
+                    held, reduce = [], kernel(table)
                 if reduce is not None:
                     yield from reduce(piece)
 
