@@ -12,35 +12,34 @@ DIRECT = 64
 # Coefficients of 1/n, 1/n^2, 1/n^4, 1/n^6 in that expansion.
 EXPANSION = ((1, 1 / 2), (2, -1 / 12), (4, 1 / 120), (6, -1 / 252))
 
+_FIRST = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, DIRECT + 1))])
+
 
 def run_weight(before: Column, count: Column) -> Column:
     """``1/(before+1) + … + 1/(before+count)`` as a Column."""
     before, end = before.cast("double"), (before + count).cast("double")
-    one = F.lit(1.0) / (before + 1.0)
+    first = F.array(*[F.lit(float(h)) for h in _FIRST])
+
+    def head(n: Column) -> Column:
+        return F.get(first, F.least(n, F.lit(float(DIRECT))).cast("int"))
+
     low = F.greatest(before, F.lit(float(DIRECT)))
     tail = F.log1p((end - low) / low)
     for power, c in EXPANSION:
         tail = tail + F.lit(c) * (F.pow(end, F.lit(-float(power))) - F.pow(low, F.lit(-float(power))))
-    head_end = F.least(end, F.lit(float(DIRECT)))
-    head = F.aggregate(
-        F.sequence((before + 1.0).cast("int"), head_end.cast("int")),
-        F.lit(0.0),
-        lambda total, r: total + F.lit(1.0) / r,
-    )
     return (
-        F.when(count == 1, one)
+        F.when(count == 1, F.lit(1.0) / (before + 1.0))
         .when(before >= DIRECT, tail)
-        .when(end <= DIRECT, head)
-        .otherwise(head + tail)
+        .when(end <= DIRECT, head(end) - head(before))
+        .otherwise(head(F.lit(float(DIRECT))) - head(before) + tail)
     )
 
 
 def harmonic(n: np.ndarray) -> np.ndarray:
     """Harmonic numbers of an array of counts."""
     n = np.asarray(n, "float64")
-    table = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, DIRECT + 1))])
     big = np.maximum(n, float(DIRECT))
     rest = np.log(big / DIRECT)
     for power, c in EXPANSION:
         rest = rest + c * (big ** -float(power) - float(DIRECT) ** -float(power))
-    return np.where(n <= DIRECT, table[np.minimum(n, DIRECT).astype("int64")], table[DIRECT] + rest)
+    return np.where(n <= DIRECT, _FIRST[np.minimum(n, DIRECT).astype("int64")], _FIRST[DIRECT] + rest)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from protosift.functions.fuzzy import DEFAULT_CUTS, Memberships, three_classes
 from protosift.operators.stats import Bounds, scale
 from protosift.plans.blocks import Held
+from protosift.plans.lineage import reusable
 from protosift.plans.profiles import RID, hand_back, profiles_of
 from protosift.plans.tiles import Reach, TileSettings, compare
 from protosift.spec import RowSpec
@@ -98,7 +99,7 @@ def class_approximations(
     minimum t-norm, at least 0. The row itself takes part in both.
     """
     memberships = memberships or three_classes()
-    rows = spec.conform(df)
+    rows = reusable(spec.conform(df))
     if numeric_only:
         spec = spec.only_numeric()
     bounds = Bounds.of(rows, [*spec.numeric, spec.label])

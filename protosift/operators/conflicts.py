@@ -20,7 +20,7 @@ from protosift.functions.harmonic import harmonic
 from protosift.operators.owa import owa, owa_of_few
 from protosift.operators.stats import scale
 from protosift.plans.blocks import Held
-from protosift.plans.lineage import cut_lineage
+from protosift.plans.lineage import cut_lineage, reusable
 from protosift.plans.profiles import COPIES, RID, Profiles, hand_back, profiles_of
 from protosift.plans.tiles import BLOCK, pair_all, run_tasks
 from protosift.spec import RowSpec
@@ -141,7 +141,7 @@ def _partial_averages(
     """Average of each row profile within each block of compared rows."""
     if not 1 <= blocks <= MAX_BLOCKS:
         raise ValueError(f"blocks has to be between 1 and {MAX_BLOCKS}")
-    scaled = scale(spec.conform(df), spec, "minmax").withColumnRenamed(spec.label, OUTCOME)
+    scaled = scale(reusable(spec.conform(df)), spec, "minmax").withColumnRenamed(spec.label, OUTCOME)
     keys = (*spec.attributes, OUTCOME)
     profiles = profiles_of(scaled, keys, spec.id)
     columns = [RID, *keys, COPIES, BLOCK]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from protosift.functions.fuzzy import fold_of
 from protosift.operators.stats import Bounds, scale
 from protosift.plans.blocks import Held
-from protosift.plans.lineage import cut_lineage
+from protosift.plans.lineage import cut_lineage, reusable
 from protosift.plans.profiles import RID, Profiles, hand_back, profiles_of
 from protosift.plans.tiles import Reach, TileSettings, compare
 from protosift.spec import RowSpec
@@ -214,7 +214,9 @@ def predictions_of(found: DataFrame, weighting: str | Weighting) -> DataFrame:
 
 def _prepared(tests: DataFrame, prototypes: DataFrame, spec: RowSpec, scaling: str | None):
     """Conformed tables; ranges, when asked for, are those of the prototypes."""
-    tests, prototypes = spec.conform(tests), spec.conform(prototypes)
+    same = tests is prototypes
+    tests = reusable(spec.conform(tests))
+    prototypes = tests if same else reusable(spec.conform(prototypes))
     if scaling is None:
         return tests, prototypes
     if scaling != "range":

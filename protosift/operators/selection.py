@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import fold_of
 from protosift.operators.neighbours import STEP, Weighting, predictions_of, search
-from protosift.plans.lineage import cut_lineage
+from protosift.plans.lineage import cut_lineage, reusable
 from protosift.plans.profiles import RID, hand_back
 from protosift.plans.tiles import TileSettings
 from protosift.spec import RowSpec
@@ -45,7 +45,7 @@ def threshold_sweep(
     The prototype sets are nested, so one search serves all thresholds: each
     prototype is compared once and counts from the first threshold it reaches.
     """
-    tests = spec.conform(df)
+    tests = reusable(spec.conform(df))
     rated = cut_lineage(join_quality(tests, quality, spec))
     low, high = rated.agg(F.min("quality"), F.max("quality")).first()
     if low is None:

@@ -25,3 +25,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="protosift-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def reusable(df: DataFrame) -> DataFrame:
+    """``df`` for several passes: a plan that shuffles is computed only once.
+
+    A plain scan is left alone, as reading its few columns again is cheaper
+    than writing them.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return cut_lineage(df) if "Exchange" in plan else df
