@@ -96,10 +96,10 @@ def supplier_trade(spark, sf_dir):
 
 
 def vector_rows(spark, sf_dir):
-    return _table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        *[F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(64)],
-        (F.col("label") / F.lit(9.0)).alias("label"),
+    return _table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS id",
+        *[f"CAST(embedding[{i}] AS double) AS e{i + 1}" for i in range(64)],
+        "label / 9D AS label",
     )
 
 

@@ -15,23 +15,23 @@ EXPANSION = ((1, 1 / 2), (2, -1 / 12), (4, 1 / 120), (6, -1 / 252))
 _FIRST = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, DIRECT + 1))])
 
 
-def run_weight(before: Column, count: Column) -> Column:
-    """``1/(before+1) + … + 1/(before+count)`` as a Column."""
-    before, end = before.cast("double"), (before + count).cast("double")
-    first = F.array(*[F.lit(float(h)) for h in _FIRST])
+def run_weight(before: str, count: str) -> Column:
+    """``1/(before+1) + … + 1/(before+count)`` from two columns of whole numbers."""
+    end, limit = f"({before} + {count})", f"{DIRECT}D"
+    first = f"array({', '.join(f'{h!r}D' for h in _FIRST.tolist())})"
 
-    def head(n: Column) -> Column:
-        return F.get(first, F.least(n, F.lit(float(DIRECT))).cast("int"))
+    def head(n: str) -> str:
+        return f"get({first}, CAST(least({n}, {DIRECT}) AS int))"
 
-    low = F.greatest(before, F.lit(float(DIRECT)))
-    tail = F.log1p((end - low) / low)
-    for power, c in EXPANSION:
-        tail = tail + F.lit(c) * (F.pow(end, F.lit(-float(power))) - F.pow(low, F.lit(-float(power))))
-    return (
-        F.when(count == 1, F.lit(1.0) / (before + 1.0))
-        .when(before >= DIRECT, tail)
-        .when(end <= DIRECT, head(end) - head(before))
-        .otherwise(head(F.lit(float(DIRECT))) - head(before) + tail)
+    low = f"greatest({before}, {limit})"
+    tail = f"log1p(({end} - {low}) / {low})" + "".join(
+        f" + ({c!r}D) * (power({end}, -{power}D) - power({low}, -{power}D))" for power, c in EXPANSION
+    )
+    return F.expr(
+        f"""CASE WHEN {count} = 1 THEN 1D / ({before} + 1)
+                 WHEN {before} >= {DIRECT} THEN {tail}
+                 WHEN {end} <= {DIRECT} THEN {head(end)} - {head(before)}
+                 ELSE {head(DIRECT)} - {head(before)} + {tail} END"""
     )
 
 

@@ -49,7 +49,8 @@ def owa(
             "_local", F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
         )
         .join(shifts, [*by, "_part"])
-        .withColumn("_weight", run_weight(F.col("_local") + F.col("_shift"), F.col("_n")))
+        .withColumn("_before", F.col("_local") + F.col("_shift"))
+        .withColumn("_weight", run_weight("_before", "_n"))
     )
     return ranked.groupBy(*by).agg(
         (F.sum(F.col("_v") * F.col("_weight")) / F.sum("_weight")).alias(result),

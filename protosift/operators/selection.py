@@ -52,51 +52,41 @@ def threshold_sweep(
         raise ValueError("no row has a quality")
     step = (high - low) / steps
     thresholds = [high - i * step for i in range(steps)] + [low] if high > low else [high]
-    reached = F.lit(len(thresholds) - 1)
-    for i in range(len(thresholds) - 2, -1, -1):
-        reached = F.when(F.col("quality") >= F.lit(thresholds[i]), F.lit(i)).otherwise(reached)
-    prototypes = rated.withColumn(STEP, reached)
+    cases = "".join(f" WHEN quality >= ({t!r}D) THEN {i}" for i, t in enumerate(thresholds[:-1]))
+    last = len(thresholds) - 1
+    prototypes = rated.withColumn(STEP, F.expr(f"CASE{cases} ELSE {last} END" if cases else "0"))
     result = search(
         tests, prototypes, spec, k, folds=folds, steps=len(thresholds), jaccard=jaccard,
         settings=settings,
     )
-    at = [f"_at_{i}" for i in range(len(thresholds))]
+    steps_of = range(len(thresholds))
     predicted = (
         predictions_of(result.found, weighting)
         .groupBy(RID)
-        .agg(*[F.max(F.when(F.col(STEP) == i, F.col("predicted"))).alias(c) for i, c in enumerate(at)])
+        .agg(*[F.expr(f"max(CASE WHEN {STEP} = {i} THEN predicted END) AS _at_{i}") for i in steps_of])
     )
-    rows = hand_back(result.tests, spec.id, predicted, result.profiles, *at)
-    y = F.col(spec.label)
-
-    def error(c: str):
-        off = (F.coalesce(c, y) if on_empty == "own_label" else F.col(c)) - y
-        return off * off
-
-    by_fold = rows.groupBy(fold_of(F.col(spec.id), folds).alias("_of")).agg(
-        *[F.sqrt(F.sum(error(c)) / F.count(error(c))).alias(c) for c in at]
+    rows = hand_back(
+        result.tests, spec.id, predicted, result.profiles, *[f"_at_{i}" for i in steps_of]
     )
-    report = by_fold.agg(
-        *[(F.sum(c) / F.lit(float(folds))).alias(f"rmse{c}") for c in at],
-        *[F.count(c).alias(f"folds{c}") for c in at],
+    fallback = f"coalesce(_at_{{}}, `{spec.label}`)" if on_empty == "own_label" else "_at_{}"
+    squares = [f"power({fallback.format(i)} - `{spec.label}`, 2)" for i in steps_of]
+    by_fold = rows.groupBy(fold_of(F.col(spec.id), folds).alias("_of")).agg(
+        *[F.expr(f"sqrt(avg({square})) AS _at_{i}") for i, square in enumerate(squares)]
     )
     # One row per threshold; the sizes are running counts over the steps.
-    counts = prototypes.agg(
-        *[F.count(F.when(F.col(STEP) <= i, 1)).alias(f"size{c}") for i, c in enumerate(at)]
+    sizes = prototypes.selectExpr(
+        f"array({', '.join(f'count_if({STEP} <= {i})' for i in steps_of)}) AS _sizes"
+    ).scalar()
+    lines = ", ".join(
+        f"""struct({t!r}D AS threshold, sum(_at_{i}) / {folds}D AS rmse,
+                   count(_at_{i}) AS n_folds, {i} AS _line)"""
+        for i, t in enumerate(thresholds)
     )
-    size = counts.select(F.struct("*").alias("_sizes")).scalar()
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("threshold"),
-                F.col(f"rmse{c}").alias("rmse"),
-                F.col(f"folds{c}").alias("n_folds"),
-                size.getField(f"size{c}").alias("size"),
-            )
-            for t, c in zip(thresholds, at)
-        ]
+    return (
+        by_fold.selectExpr(f"array({lines}) AS _lines")
+        .select(F.inline("_lines"))
+        .select("threshold", "rmse", "n_folds", F.get(sizes, F.col("_line")).alias("size"))
     )
-    return report.select(F.inline(lines))
 
 
 def best_threshold(report: DataFrame) -> DataFrame:

@@ -4,23 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from protosift.spec import RowSpec
 
 
 def column_ranges(df: DataFrame, spec: RowSpec) -> DataFrame:
     """One row, ``<column>_range`` = maximum - minimum of each numeric column."""
-    return df.agg(*[(F.max(c) - F.min(c)).alias(f"{c}_range") for c in spec.numeric])
+    return df.selectExpr(*[f"max(`{c}`) - min(`{c}`) AS `{c}_range`" for c in spec.numeric])
 
 
 def column_minmax(df: DataFrame, spec: RowSpec) -> DataFrame:
     """One row, ``<column>_min`` and ``<column>_max`` of numerics and the label."""
     columns = [*spec.numeric, spec.label]
-    return df.agg(
-        *[F.min(c).alias(f"{c}_min") for c in columns],
-        *[F.max(c).alias(f"{c}_max") for c in columns],
+    return df.selectExpr(
+        *[f"{f}(`{c}`) AS `{c}_{f}`" for f in ("min", "max") for c in columns]
     )
 
 
@@ -36,7 +34,7 @@ class Bounds:
         columns = list(columns)
         if not columns:
             return Bounds({}, {})
-        row = df.agg(*[f(c) for c in columns for f in (F.min, F.max)]).first()
+        row = df.selectExpr(*[f"{f}(`{c}`)" for c in columns for f in ("min", "max")]).first()
         return Bounds(dict(zip(columns, row[0::2])), dict(zip(columns, row[1::2])))
 
 
@@ -56,11 +54,11 @@ def scale(
     columns = list(spec.numeric) + ([spec.label] if mode == "minmax" else [])
     bounds = bounds or Bounds.of(df, columns)
 
-    def scaled(c: str) -> Column:
+    def scaled(c: str) -> str:
         lo, hi = bounds.low[c], bounds.high[c]
         if lo is None or not hi > lo:
-            return F.lit(0.0)
-        value = F.col(c) if mode == "range" else F.col(c) - F.lit(lo)
-        return value / (F.lit(hi) - F.lit(lo))
+            return f"0D AS `{c}`"
+        value = f"`{c}`" if mode == "range" else f"(`{c}` - ({lo!r}D))"
+        return f"{value} / ({hi - lo!r}D) AS `{c}`"
 
-    return df.withColumns({c: scaled(c) for c in columns})
+    return df.selectExpr(*[scaled(c) if c in columns else f"`{c}`" for c in df.columns])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -47,13 +46,13 @@ class RowSpec:
 
     def conform(self, df: DataFrame, *extra: str) -> DataFrame:
         """Typed projection of ``df``; a missing attribute becomes 0, '' or {}."""
-        return df.select(
-            F.col(self.id).cast("long").alias(self.id),
-            *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in self.numeric],
-            *[F.coalesce(F.col(c).cast("long"), F.lit(0)).cast("long").alias(c) for c in self.bitset],
-            *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in self.string],
-            F.col(self.label).cast("double").alias(self.label),
-            *[F.col(c) for c in extra],
+        return df.selectExpr(
+            f"CAST(`{self.id}` AS long) AS `{self.id}`",
+            *[f"coalesce(CAST(`{c}` AS double), 0D) AS `{c}`" for c in self.numeric],
+            *[f"coalesce(CAST(`{c}` AS long), 0L) AS `{c}`" for c in self.bitset],
+            *[f"coalesce(CAST(`{c}` AS string), '') AS `{c}`" for c in self.string],
+            f"CAST(`{self.label}` AS double) AS `{self.label}`",
+            *[f"`{c}`" for c in extra],
         )
 
     def require_unique_ids(self, df: DataFrame) -> None:
