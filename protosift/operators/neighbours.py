@@ -46,65 +46,60 @@ def _nearest_in_tile(spec: RowSpec, k: int, steps: int, folded: bool, jaccard: s
     """Kernel: the k nearest of each step's prototypes by (distance, id)."""
 
     def kernel(rows: pd.DataFrame):
+        # Each step's prototypes side by side, in the order of their ids.
+        rows = rows.sort_values([STEP, RID], ignore_index=True)
         held = Held(spec, rows)
         ids, labels = rows[RID].to_numpy(), rows[LABEL].to_numpy("float64")
         folds = rows[FOLD].to_numpy()
-        groups = [np.flatnonzero(rows[STEP].to_numpy() == s) for s in range(steps)]
+        ends = np.searchsorted(rows[STEP].to_numpy(), np.arange(steps + 1))
 
         def reduce(batch):
             view = held.seen_from(batch)
             test_ids, test_folds = batch[RID].to_numpy(), batch[FOLD].to_numpy()
-            tests, found, away, step_of = [], [], [], []
+            bounds = batch[LABEL].to_numpy("float64")
+            found = []
             for part in view.slices():
                 far = view.distances(part, jaccard)
-                np.divide(far, spec.size, out=far)
-                if folded:
-                    far[test_folds[part, None] == folds[None, :]] = np.inf
-                for step, group in enumerate(groups):
-                    if not len(group):
+                for step, (start, stop) in enumerate(zip(ends, ends[1:])):
+                    if start == stop:
                         continue
-                    near = far if len(group) == held.size else far[:, group]
-                    row, column, d = _least_of_rows(near, k)
-                    tests.append(test_ids[part][row])
-                    found.append(group[column])
-                    away.append(d)
-                    step_of.append(np.full(len(row), step))
-            at = np.concatenate(found)
-            yield pd.DataFrame(
-                {
-                    RID: np.concatenate(tests),
-                    STEP: np.concatenate(step_of),
-                    "neighbour_id": ids[at],
-                    "distance": np.concatenate(away),
-                    "neighbour_label": labels[at],
-                }
-            )
+                    same = (test_folds[part], folds[start:stop]) if folded else None
+                    row, column, away = _least_of_rows(
+                        far[:, start:stop], spec.size, k, bounds[part], same
+                    )
+                    at = column + start
+                    found.append((test_ids[part][row], np.full(len(row), step), ids[at], away, labels[at]))
+            names = (RID, STEP, "neighbour_id", "distance", "neighbour_label")
+            yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found)))))
 
         return reduce
 
     return kernel
 
 
-def _least_of_rows(near: np.ndarray, k: int):
-    """Row, column and value of the k least finite values of each row.
+def _least_of_rows(far, size: int, k: int, bounds: np.ndarray, folds):
+    """Row, column and normalised distance of the k nearest columns of each row.
 
-    Columns are in the order of ids, so of equal values the lower column wins.
+    Distances above the row's bound are of no use, nor is a column of the row's
+    own fold. Of equal distances the lower column, that is the lower id, wins.
     """
-    limit = np.minimum(_kth_of_some(near, k), np.finfo("float64").max)
-    row, column = np.nonzero(near <= limit[:, None])
-    value = near[row, column]
-    order = np.lexsort((column, value, row))
-    row, column, value = row[order], column[order], value[order]
+    some = slice(None, None, max(1, min(16, far.shape[1] // (4 * k))))
+    few = far[:, some]
+    if folds:
+        few = np.where(folds[0][:, None] == folds[1][None, some], np.inf, few)
+    if few.shape[1] > k:
+        # The k-th least of some columns is no less than that of all.
+        bounds = np.minimum(bounds, np.partition(few, k - 1, axis=1)[:, k - 1] / size)
+    limit = bounds * (size * (1 + 1e-9))
+    row, column = np.divmod(np.flatnonzero(far <= limit[:, None]), far.shape[1])
+    if folds:
+        other = folds[0][row] != folds[1][column]
+        row, column = row[other], column[other]
+    away = far[row, column] / size
+    order = np.lexsort((column, away, row))
+    row, column, away = row[order], column[order], away[order]
     keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
-    return row[keep], column[keep], value[keep]
-
-
-def _kth_of_some(near: np.ndarray, k: int) -> np.ndarray:
-    """The k-th least of every n-th column: no less than that of all columns."""
-    some = near[:, :: max(1, min(16, near.shape[1] // (4 * k)))]
-    if some.shape[1] <= k:
-        return np.full(len(near), np.inf)
-    return np.partition(some, k - 1, axis=1)[:, k - 1]
+    return row[keep], column[keep], away[keep]
 
 
 def _reach(k: int, steps: int) -> Reach:
@@ -126,7 +121,7 @@ def _reach(k: int, steps: int) -> Reach:
         first = cells["_first_step"].fillna(0).to_numpy("int64")
         return least <= bound[:, first]
 
-    return Reach(bounds, relevant, [f"_bound_{s}" for s in range(steps)])
+    return Reach(bounds, relevant, [f"_bound_{s}" for s in range(steps)], carried=LABEL)
 
 
 def search(
@@ -170,7 +165,7 @@ def search(
         )
     )
     probing = profiles.df.select(
-        RID, *spec.attributes, FOLD, F.lit(0).alias(STEP), F.lit(0.0).alias(LABEL)
+        RID, *spec.attributes, FOLD, F.lit(0).alias(STEP), F.lit(float("inf")).alias(LABEL)
     )
     found = compare(
         spec,

@@ -57,8 +57,12 @@ class Viewer:
         """Distances of a slice; the array is reused for the next slice."""
         held = self.held
         total, term, differ = (a[: rows.stop - rows.start] for a in self.scratch)
-        total.fill(0.0)
-        for x, y in zip(self.numbers, held.numbers):
+        if held.numbers:
+            np.subtract(self.numbers[0][rows, None], held.numbers[0][None, :], out=total)
+            np.abs(total, out=total)
+        else:
+            total.fill(0.0)
+        for x, y in zip(self.numbers[1:], held.numbers[1:]):
             np.subtract(x[rows, None], y[None, :], out=term)
             total += np.abs(term, out=term)
         if held.bits:

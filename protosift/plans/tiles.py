@@ -1,20 +1,22 @@
-"""Comparing two tables tile by tile, skipping tile pairs that cannot matter.
+"""Comparing two tables tile by tile, skipping tiles that cannot matter.
 
-Both tables are cut into tiles of bounded size. Rows near the same pivot form
+The held table is cut into tiles of bounded size: rows near the same pivot form
 a cell, and a cell with too many rows is split by a hash of the row id, so no
-tile depends on how the data are spread. A pair of tiles is one task: the held
-tile sits in memory, the probing tile streams past it, and only the reduced
-result of each probing row leaves the task.
-
-The distance is a metric, so two cells whose pivots are far apart have a known
-least distance. A pair of cells (and each probing row of a surviving pair) is
-dropped only when that least distance shows it cannot change the result. What
-the driver sees is bounded: at most ``MAX_CELLS`` pivots and cell summaries.
+tile depends on how the data are spread. A task holds one tile in memory, the
+probing rows it was sent stream past, and only the reduced result of each
+probing row leaves the task. Probing rows of a tile are spread over as many
+tasks as their number asks for.
+
+The distance is a metric, so a row far from a pivot has a known least distance
+to the cell around it. A row is not sent to a cell only when that least
+distance shows that the cell cannot change its result. What the driver sees is
+bounded: at most ``MAX_CELLS`` pivots and cell summaries.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -34,7 +36,16 @@ cloudpickle.register_pickle_by_value(sys.modules["protosift"])
 
 TASK, PROBING, BLOCK = "_task", "_probing", "_block"
 MAX_CELLS = 1024
+MAX_PROBES = 16_384
 MAX_PARTITIONS = 20_000
+# Least distances are lowered by this share before they exclude anything.
+SLACK = 1e-9
+
+
+# Pairs a task should compare, and how many comparisons cost as much as sending
+# one row to one more task. Both only steer how the work is cut.
+TASK_PAIRS = 1 << 30
+COPY_COST = 200
 
 
 @dataclass(frozen=True)
@@ -42,6 +53,7 @@ class TileSettings:
     """Sizes that change how the work is cut, never its result."""
 
     tile_rows: int | None = None
+    cell_rows: int = 1024
     least_rows: int = 256
     max_cells: int = MAX_CELLS
 
@@ -57,38 +69,30 @@ class Reach:
     ``bounds(distances, probes, batch)`` gives, from the distances of a batch
     to sample rows, one or more upper bounds per probing row.
     ``relevant(least, bounds, cells)`` tells for each probing row and cell
-    whether the cell may matter.
+    whether the cell may matter. The first bound of a row travels with it in
+    the column ``carried``, where one is named.
     """
 
     bounds: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], np.ndarray]
     relevant: Callable[[np.ndarray, np.ndarray, pd.DataFrame], np.ndarray]
     bound_names: list[str]
+    carried: str | None = None
 
 
 @dataclass
 class Layout:
-    """The driver's table of tiles: cells, their splits and surviving pairs."""
+    """Cells of the held table, in how many parts and chunks each is worked on."""
 
     spec: RowSpec
     jaccard: str
     pivots: pd.DataFrame
     probes: pd.DataFrame
     cells: pd.DataFrame
-    probing_splits: np.ndarray
-    held_splits: np.ndarray
-    alive: np.ndarray
+    parts: np.ndarray
+    chunks: np.ndarray
     first_task: np.ndarray
     tasks: int
 
-    @staticmethod
-    def of(spec, jaccard, pivots, probes, cells, probing_splits, held_splits, alive) -> Layout:
-        sizes = np.where(alive, np.outer(probing_splits, held_splits), 0)
-        ends = np.cumsum(sizes).reshape(sizes.shape)
-        return Layout(
-            spec, jaccard, pivots, probes, cells, probing_splits, held_splits, alive,
-            ends - sizes, int(ends[-1, -1]),
-        )
-
 
 def _to_rows(spec: RowSpec, jaccard: str, sample: pd.DataFrame, pdf: pd.DataFrame) -> np.ndarray:
     """Normalised distances of a batch to a small sample, one column each."""
@@ -99,141 +103,146 @@ def _to_rows(spec: RowSpec, jaccard: str, sample: pd.DataFrame, pdf: pd.DataFram
     return out
 
 
-def _split_of(ids: pd.Series, splits: np.ndarray) -> np.ndarray:
-    """Even, repeatable share of the rows of a cell."""
-    mixed = ids.to_numpy("uint64") * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(32)) % splits.astype("uint64")).astype("int64")
-
-
 def plan_layout(
     spec: RowSpec,
     jaccard: str,
     probing: DataFrame,
+    n_probing: int,
     held: DataFrame,
     n_held: int,
     reach: Reach,
     summaries: list,
     settings: TileSettings,
-) -> Layout:
-    """Decide tiles and surviving tile pairs from bounded summaries.
+) -> Layout | None:
+    """Decide cells and tasks from bounded summaries.
 
     ``summaries`` are the aggregates over the held rows of a cell that
-    ``reach.relevant`` reads.
+    ``reach.relevant`` reads. None means that cells would not save work, as
+    with attributes that keep all rows about equally far apart.
     """
-    parallelism = held.sparkSession.sparkContext.defaultParallelism
     tile = settings.rows(spec)
 
     # Pivots and probes are held rows, so a distance to one is a real distance.
-    wanted = min(settings.max_cells, max(2, 2 * n_held // tile))
-    probes = held.orderBy(F.xxhash64(RID), RID).limit(max(wanted, 64)).toPandas()
+    wanted = int(np.clip(-(-n_held // min(tile, settings.cell_rows)), 2, settings.max_cells))
+    n_probes = int(np.clip(4 * math.isqrt(n_held), max(wanted, 64), MAX_PROBES))
+    probes = held.orderBy(F.xxhash64(RID), RID).limit(n_probes).toPandas()
     pivots = probes.head(wanted)
-    between = _to_rows(spec, jaccard, pivots, pivots)
 
-    least = [F.min(c).alias(f"_lo_{c}") for c in spec.numeric]
-    most = [F.max(c).alias(f"_hi_{c}") for c in spec.numeric]
+    def place(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        far = _to_rows(spec, jaccard, pivots, pdf)
+        home = far.argmin(axis=1)
+        return far, pdf.assign(_cell=home, _pivot_distance=far[np.arange(len(pdf)), home])
+
+    def place_held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield place(pdf)[1]
+
+    def place_probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bounds = reach.bounds(_to_rows(spec, jaccard, probes, pdf), probes, pdf)
+            yield place(pdf)[1].assign(**dict(zip(reach.bound_names, bounds.T)))
+
     shape = [
         F.count(F.lit(1)).alias("rows"),
         F.min("_pivot_distance").alias("inner"),
         F.max("_pivot_distance").alias("radius"),
-        *least,
-        *most,
+        *[F.min(c).alias(f"_lo_{c}") for c in spec.numeric],
+        *[F.max(c).alias(f"_hi_{c}") for c in spec.numeric],
     ]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            far = _to_rows(spec, jaccard, pivots, pdf)
-            home = far.argmin(axis=1)
-            yield pdf.assign(_cell=home, _pivot_distance=far[np.arange(len(pdf)), home])
-
-    def place_and_bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            far = _to_rows(spec, jaccard, pivots, pdf)
-            home = far.argmin(axis=1)
-            bounds = reach.bounds(_to_rows(spec, jaccard, probes, pdf), probes, pdf)
-            yield pdf.assign(
-                _cell=home,
-                _pivot_distance=far[np.arange(len(pdf)), home],
-                **dict(zip(reach.bound_names, bounds.T)),
-            )
-
-    def with_cell(df: DataFrame, more: list[str]) -> str:
-        return ", ".join(
-            [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
-            + ["_cell long", "_pivot_distance double"]
-            + [f"{c} double" for c in more]
+    def summary(df: DataFrame, placing, added: list[str], more: list) -> pd.DataFrame:
+        schema = _columns(df) + "".join(
+            f", {c} {t}" for c, t in [("_cell", "long"), ("_pivot_distance", "double")]
+        ) + "".join(f", {c} double" for c in added)
+        table = (
+            df.mapInPandas(placing, schema).groupBy("_cell").agg(*shape, *more).toPandas()
         )
+        table = table.set_index("_cell").reindex(range(len(pivots)))
+        return table.assign(rows=table["rows"].fillna(0).astype("int64"))
 
-    def summary(placed: DataFrame, more: list) -> pd.DataFrame:
-        table = placed.groupBy("_cell").agg(*shape, *more).toPandas().set_index("_cell")
-        table = table.reindex(range(len(pivots)))
-        table["rows"] = table["rows"].fillna(0).astype("int64")
-        return table
-
-    cells = summary(held.mapInPandas(place, with_cell(held, [])), summaries)
+    cells = summary(held, place_held, [], summaries)
     homes = summary(
-        probing.mapInPandas(place_and_bound, with_cell(probing, reach.bound_names)),
-        [F.max(c).alias(c) for c in reach.bound_names],
+        probing, place_probing, reach.bound_names, [F.max(c).alias(c) for c in reach.bound_names]
     )
 
-    gap = between - homes["radius"].to_numpy()[:, None] - cells["radius"].to_numpy()[None, :]
+    between = _to_rows(spec, jaccard, pivots, pivots)
+    outer = homes["radius"].to_numpy()[:, None]
+    gap = between - outer - cells["radius"].to_numpy()[None, :]
     for c in spec.numeric:
-        apart = np.maximum(
-            cells[f"_lo_{c}"].to_numpy()[None, :] - homes[f"_hi_{c}"].to_numpy()[:, None],
-            homes[f"_lo_{c}"].to_numpy()[:, None] - cells[f"_hi_{c}"].to_numpy()[None, :],
-        )
-        gap = np.maximum(gap, apart / spec.size)
-    full = (homes["rows"].to_numpy()[:, None] > 0) & (cells["rows"].to_numpy()[None, :] > 0)
-    slack = 1e-9 * (1.0 + between + homes["radius"].to_numpy()[:, None])
-    alive = full & reach.relevant(
-        np.nan_to_num(gap - slack), homes[reach.bound_names].fillna(0.0).to_numpy("float64"), cells
+        lo, hi = (homes[f"_{e}_{c}"].to_numpy()[:, None] for e in ("lo", "hi"))
+        gap = np.maximum(gap, _apart(cells, c, lo, hi) / spec.size)
+    gap = np.nan_to_num(gap - SLACK * (1.0 + between + outer))
+    most = homes[reach.bound_names].fillna(0.0).to_numpy("float64")
+    alive = reach.relevant(gap, most, cells) & (cells["rows"].to_numpy()[None, :] > 0)
+
+    # No more probing rows than these come to a cell; rows are checked one by
+    # one when they are sent.
+    coming = homes["rows"].to_numpy() @ alive
+    rows = cells["rows"].to_numpy()
+    parts = np.maximum(1, -(-rows // tile))
+    chunks = np.where(rows > 0, -(-coming * np.minimum(rows, tile) // TASK_PAIRS), 0)
+    pairs = float((coming.astype("float64") * rows).sum())
+    copies = float((coming * parts).sum() + (chunks * rows).sum())
+    whole_parts = -(-n_held // tile)
+    whole = float(n_probing) * n_held + COPY_COST * (n_probing * whole_parts + n_held)
+    if pairs + COPY_COST * copies > whole:
+        return None
+    parallelism = held.sparkSession.sparkContext.defaultParallelism
+    tasks = int((chunks * parts).sum())
+    if 0 < tasks < 2 * parallelism:
+        finest = -(-coming // settings.least_rows)
+        chunks = np.maximum(chunks, np.minimum(chunks * -(-2 * parallelism // tasks), finest))
+    ends = np.cumsum(chunks * parts)
+    return Layout(
+        spec, jaccard, pivots, probes, cells, parts, chunks, ends - chunks * parts, int(ends[-1])
     )
 
-    def splits(rows: pd.Series, size: int) -> np.ndarray:
-        return np.maximum(1, -(-rows.to_numpy("int64") // size))
 
-    probing_splits, held_splits = splits(homes["rows"], tile), splits(cells["rows"], tile)
-    tasks = int(np.outer(probing_splits, held_splits)[alive].sum())
-    if 0 < tasks < 2 * parallelism:
-        finer = probing_splits * -(-2 * parallelism // tasks)
-        finest = splits(homes["rows"], settings.least_rows)
-        probing_splits = np.maximum(probing_splits, np.minimum(finer, finest))
-    return Layout.of(
-        spec, jaccard, pivots, probes, cells, probing_splits, held_splits, alive
-    )
+def _apart(cells: pd.DataFrame, column: str, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Gap along one column between the range of each cell and other ranges."""
+    low, high = (cells[f"_{e}_{column}"].to_numpy()[None, :] for e in ("lo", "hi"))
+    return np.maximum(low - hi, lo - high)
 
 
 def _send_probing(layout: Layout, reach: Reach, pdf: pd.DataFrame) -> pd.DataFrame:
     """One copy of a row for each held tile that may matter to it."""
-    spec = layout.spec
+    spec, cells = layout.spec, layout.cells
     far = _to_rows(spec, layout.jaccard, layout.pivots, pdf)
-    home = far.argmin(axis=1)
     bounds = reach.bounds(_to_rows(spec, layout.jaccard, layout.probes, pdf), layout.probes, pdf)
-    inner, radius = (layout.cells[c].to_numpy()[None, :] for c in ("inner", "radius"))
+    inner, radius = (cells[c].to_numpy()[None, :] for c in ("inner", "radius"))
     gap = np.maximum(far - radius, inner - far)
     for c in spec.numeric:
         x = pdf[c].to_numpy("float64")[:, None]
-        lo, hi = (layout.cells[f"_{e}_{c}"].to_numpy()[None, :] for e in ("lo", "hi"))
-        gap = np.maximum(gap, np.maximum(lo - x, x - hi) / spec.size)
-    gap = np.nan_to_num(gap - 1e-9 * (1.0 + far))
-    need = layout.alive[home] & reach.relevant(gap, bounds, layout.cells)
+        gap = np.maximum(gap, _apart(cells, c, x, x) / spec.size)
+    gap = np.nan_to_num(gap - SLACK * (1.0 + far))
+    need = reach.relevant(gap, bounds, cells) & (layout.chunks > 0)[None, :]
     row, cell = np.nonzero(need)
-    at = home[row]
-    split = _split_of(pdf[RID], layout.probing_splits[home])[row]
-    parts = layout.held_splits[cell]
-    task = np.repeat(layout.first_task[at, cell] + split * parts, parts) + _counting(parts)
+    parts = layout.parts[cell]
+    chunk = _spread(pdf[RID])[row] % layout.chunks[cell]
+    task = np.repeat(layout.first_task[cell] + chunk * parts, parts) + _counting(parts)
+    if reach.carried:
+        pdf = pdf.assign(**{reach.carried: bounds[:, 0]})
     return pdf.iloc[np.repeat(row, parts)].assign(**{TASK: task, PROBING: 1})
 
 
 def _send_held(layout: Layout, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One copy of a row for each probing tile its own tile is paired with."""
+    """One copy of a row for each chunk of probing rows that comes to its tile."""
     cell = _to_rows(layout.spec, layout.jaccard, layout.pivots, pdf).argmin(axis=1)
-    split = _split_of(pdf[RID], layout.held_splits[cell])
-    row, home = np.nonzero(layout.alive.T[cell])
-    times = layout.probing_splits[home]
-    start = layout.first_task[home, cell[row]] + split[row]
-    step = np.repeat(layout.held_splits[cell[row]], times)
-    task = np.repeat(start, times) + _counting(times) * step
-    return pdf.iloc[np.repeat(row, times)].assign(**{TASK: task, PROBING: 0})
+    part = _spread(pdf[RID]) % layout.parts[cell]
+    times = layout.chunks[cell]
+    start = np.repeat(layout.first_task[cell] + part, times)
+    task = start + _counting(times) * np.repeat(layout.parts[cell], times)
+    return pdf.iloc[np.repeat(np.arange(len(pdf)), times)].assign(**{TASK: task, PROBING: 0})
+
+
+def _spread(ids: pd.Series) -> np.ndarray:
+    """Even, repeatable numbers for sharing rows out."""
+    mixed = ids.to_numpy("int64").astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(33)).astype("int64")
+
+
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def _counting(lengths: np.ndarray) -> np.ndarray:
@@ -261,36 +270,57 @@ def compare(
     and returns the function that reduces a batch of probing rows. A held table
     that fits one tile has nothing to prune.
     """
-    if n_held <= settings.rows(spec):
-        parallelism = held.sparkSession.sparkContext.defaultParallelism
+    tile = settings.rows(spec)
+    parallelism = held.sparkSession.sparkContext.defaultParallelism
+    # Work that is done in seconds anyway is not worth two passes of planning.
+    small = n_held <= tile and n_probing * n_held <= parallelism * TASK_PAIRS // 8
+    layout = None
+    if not small:
+        probing, held = (_in_parallel(df, parallelism) for df in (probing, held))
+        layout = plan_layout(
+            spec, jaccard, probing, n_probing, held, n_held, reach, summaries, settings
+        )
+    if layout is None:
+        parts = max(1, -(-n_held // tile))
         finest = -(-n_probing // settings.least_rows)
-        chunks = max(1, -(-n_probing // settings.rows(spec)), min(2 * parallelism, finest))
-        routed, tasks = pair_all(held, probing, None, chunks)
+        chunks = max(
+            1,
+            -(-n_probing * min(n_held, tile) // TASK_PAIRS),
+            min(-(-2 * parallelism // parts), finest),
+        )
+        routed, tasks = pair_all(held, probing, parts, chunks)
         return run_tasks(routed, tasks, kernel, schema)
-    layout = plan_layout(spec, jaccard, probing, held, n_held, reach, summaries, settings)
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
-    routed = f"{columns}, {TASK} long, {PROBING} int"
+    routed = f"{_columns(held)}, {TASK} long, {PROBING} int"
     left = probing.mapInPandas(lambda it: (_send_probing(layout, reach, p) for p in it), routed)
     right = held.mapInPandas(lambda it: (_send_held(layout, p) for p in it), routed)
     return run_tasks(right.unionByName(left), layout.tasks, kernel, schema)
 
 
+def _in_parallel(df: DataFrame, parallelism: int) -> DataFrame:
+    """``df`` in enough partitions for work that is heavy per row."""
+    if df.rdd.getNumPartitions() >= parallelism:
+        return df
+    return df.repartition(2 * parallelism, RID)
+
+
 def pair_all(
-    held: DataFrame, probing: DataFrame, parts: dict[int, int] | None, chunks: int
+    held: DataFrame, probing: DataFrame, parts: int | dict[int, int], chunks: int
 ) -> tuple[DataFrame, int]:
     """Send each part of the held rows to every chunk of the probing rows.
 
-    ``parts`` tells for each value of the held rows' block column into how many
-    parts a hash of the id splits it; ``None`` keeps them all as one part.
+    Held rows are split into ``parts`` by a hash of their id; a dictionary
+    gives the number of parts for each value of their block column.
     """
 
     def number(n: int):
         return F.lit(n).cast("long")
 
     # Task = chunk * total + part.
-    total = sum(parts.values()) if parts else 1
-    part = number(0)
-    if parts:
+    if isinstance(parts, int):
+        total = parts
+        part = F.pmod(F.xxhash64(RID), number(parts))
+    else:
+        total = sum(parts.values())
         first = dict(zip(parts, itertools.accumulate(parts.values(), initial=0)))
         held = held.where(F.col(BLOCK).isin(list(parts)))
         start, count = (
