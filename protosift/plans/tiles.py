@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protosift.plans.blocks import Held
+from protosift.plans.lineage import cut_lineage
 from protosift.plans.profiles import RID
 from protosift.spec import RowSpec
 
 # Tasks carry this package with them; executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules["protosift"])
 
-TASK, PROBING, BLOCK = "_task", "_probing", "_block"
+TASK, PROBING, BLOCK, CELL = "_task", "_probing", "_block", "_cell"
 MAX_CELLS = 1024
 MAX_PROBES = 16_384
 MAX_PARTITIONS = 20_000
@@ -81,12 +82,12 @@ class Reach:
 
 @dataclass
 class Layout:
-    """Cells of the held table, in how many parts and chunks each is worked on."""
+    """Cells of the held table, in how many parts and chunks each is worked on,
+    and both tables with the cell of each row (and the bounds of probing ones)."""
 
-    spec: RowSpec
-    jaccard: str
+    held: DataFrame
+    probing: DataFrame
     pivots: pd.DataFrame
-    probes: pd.DataFrame
     cells: pd.DataFrame
     parts: np.ndarray
     chunks: np.ndarray
@@ -131,7 +132,7 @@ def plan_layout(
     def place(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
         far = _to_rows(spec, jaccard, pivots, pdf)
         home = far.argmin(axis=1)
-        return far, pdf.assign(_cell=home, _pivot_distance=far[np.arange(len(pdf)), home])
+        return far, pdf.assign(**{CELL: home}, _pivot_distance=far[np.arange(len(pdf)), home])
 
     def place_held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,20 +151,19 @@ def plan_layout(
         *[F.max(c).alias(f"_hi_{c}") for c in spec.numeric],
     ]
 
-    def summary(df: DataFrame, placing, added: list[str], more: list) -> pd.DataFrame:
-        schema = _columns(df) + "".join(
-            f", {c} {t}" for c, t in [("_cell", "long"), ("_pivot_distance", "double")]
-        ) + "".join(f", {c} double" for c in added)
-        table = (
-            df.mapInPandas(placing, schema).groupBy("_cell").agg(*shape, *more).toPandas()
-        )
-        table = table.set_index("_cell").reindex(range(len(pivots)))
+    # Placing is the costly pass over the rows, so its result is kept.
+    added = f", {CELL} long, _pivot_distance double"
+    bounds = "".join(f", {c} double" for c in reach.bound_names)
+    held = cut_lineage(held.mapInPandas(place_held, _columns(held) + added))
+    probing = cut_lineage(probing.mapInPandas(place_probing, _columns(probing) + added + bounds))
+
+    def summary(df: DataFrame, more: list) -> pd.DataFrame:
+        table = df.groupBy(CELL).agg(*shape, *more).toPandas()
+        table = table.set_index(CELL).reindex(range(len(pivots)))
         return table.assign(rows=table["rows"].fillna(0).astype("int64"))
 
-    cells = summary(held, place_held, [], summaries)
-    homes = summary(
-        probing, place_probing, reach.bound_names, [F.max(c).alias(c) for c in reach.bound_names]
-    )
+    cells = summary(held, summaries)
+    homes = summary(probing, [F.max(c).alias(c) for c in reach.bound_names])
 
     between = _to_rows(spec, jaccard, pivots, pivots)
     outer = homes["radius"].to_numpy()[:, None]
@@ -194,7 +194,7 @@ def plan_layout(
         chunks = np.maximum(chunks, np.minimum(chunks * -(-2 * parallelism // tasks), finest))
     ends = np.cumsum(chunks * parts)
     return Layout(
-        spec, jaccard, pivots, probes, cells, parts, chunks, ends - chunks * parts, int(ends[-1])
+        held, probing, pivots, cells, parts, chunks, ends - chunks * parts, int(ends[-1])
     )
 
 
@@ -204,35 +204,48 @@ def _apart(cells: pd.DataFrame, column: str, lo: np.ndarray, hi: np.ndarray) ->
     return np.maximum(low - hi, lo - high)
 
 
-def _send_probing(layout: Layout, reach: Reach, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One copy of a row for each held tile that may matter to it."""
-    spec, cells = layout.spec, layout.cells
-    far = _to_rows(spec, layout.jaccard, layout.pivots, pdf)
-    bounds = reach.bounds(_to_rows(spec, layout.jaccard, layout.probes, pdf), layout.probes, pdf)
-    inner, radius = (cells[c].to_numpy()[None, :] for c in ("inner", "radius"))
-    gap = np.maximum(far - radius, inner - far)
-    for c in spec.numeric:
-        x = pdf[c].to_numpy("float64")[:, None]
-        gap = np.maximum(gap, _apart(cells, c, x, x) / spec.size)
-    gap = np.nan_to_num(gap - SLACK * (1.0 + far))
-    need = reach.relevant(gap, bounds, cells) & (layout.chunks > 0)[None, :]
-    row, cell = np.nonzero(need)
-    parts = layout.parts[cell]
-    chunk = _spread(pdf[RID])[row] % layout.chunks[cell]
-    task = np.repeat(layout.first_task[cell] + chunk * parts, parts) + _counting(parts)
-    if reach.carried:
-        pdf = pdf.assign(**{reach.carried: bounds[:, 0]})
-    return pdf.iloc[np.repeat(row, parts)].assign(**{TASK: task, PROBING: 1})
-
-
-def _send_held(layout: Layout, pdf: pd.DataFrame) -> pd.DataFrame:
+def _send_held(layout: Layout, columns: list[str]) -> DataFrame:
     """One copy of a row for each chunk of probing rows that comes to its tile."""
-    cell = _to_rows(layout.spec, layout.jaccard, layout.pivots, pdf).argmin(axis=1)
-    part = _spread(pdf[RID]) % layout.parts[cell]
-    times = layout.chunks[cell]
-    start = np.repeat(layout.first_task[cell] + part, times)
-    task = start + _counting(times) * np.repeat(layout.parts[cell], times)
-    return pdf.iloc[np.repeat(np.arange(len(pdf)), times)].assign(**{TASK: task, PROBING: 0})
+
+    def of_cell(values: np.ndarray) -> str:
+        return f"get(array({', '.join(f'{v}L' for v in values.tolist())}), {CELL})"
+
+    sent = layout.held.selectExpr(
+        *columns,
+        f"{of_cell(layout.parts)} AS _parts",
+        f"{of_cell(layout.chunks)} AS _chunks",
+        f"{of_cell(layout.first_task)} AS _first",
+    ).where("_chunks > 0")
+    start = f"_first + pmod(xxhash64({RID}), _parts)"
+    tasks = f"explode(sequence({start}, {start} + (_chunks - 1) * _parts, _parts)) AS {TASK}"
+    return sent.selectExpr(*columns, tasks, f"0 AS {PROBING}")
+
+
+def _send_probing(spec, jaccard, layout: Layout, reach: Reach, columns: list[str]) -> DataFrame:
+    """One copy of a row for each held tile that may matter to it."""
+    pivots, cells = layout.pivots, layout.cells
+    parts_of, chunks_of, first_of = layout.parts, layout.chunks, layout.first_task
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inner, radius = (cells[c].to_numpy()[None, :] for c in ("inner", "radius"))
+        for pdf in batches:
+            far = _to_rows(spec, jaccard, pivots, pdf)
+            gap = np.maximum(far - radius, inner - far)
+            for c in spec.numeric:
+                x = pdf[c].to_numpy("float64")[:, None]
+                gap = np.maximum(gap, _apart(cells, c, x, x) / spec.size)
+            gap = np.nan_to_num(gap - SLACK * (1.0 + far))
+            bounds = pdf[reach.bound_names].to_numpy("float64")
+            row, cell = np.nonzero(reach.relevant(gap, bounds, cells) & (chunks_of > 0)[None, :])
+            parts = parts_of[cell]
+            chunk = _spread(pdf[RID])[row] % chunks_of[cell]
+            task = np.repeat(first_of[cell] + chunk * parts, parts) + _counting(parts)
+            if reach.carried:
+                pdf = pdf.assign(**{reach.carried: bounds[:, 0]})
+            yield pdf[columns].iloc[np.repeat(row, parts)].assign(**{TASK: task, PROBING: 1})
+
+    schema = f"{_columns(layout.probing.select(columns))}, {TASK} long, {PROBING} int"
+    return layout.probing.mapInPandas(send, schema)
 
 
 def _spread(ids: pd.Series) -> np.ndarray:
@@ -290,10 +303,10 @@ def compare(
         )
         routed, tasks = pair_all(held, probing, parts, chunks)
         return run_tasks(routed, tasks, kernel, schema)
-    routed = f"{_columns(held)}, {TASK} long, {PROBING} int"
-    left = probing.mapInPandas(lambda it: (_send_probing(layout, reach, p) for p in it), routed)
-    right = held.mapInPandas(lambda it: (_send_held(layout, p) for p in it), routed)
-    return run_tasks(right.unionByName(left), layout.tasks, kernel, schema)
+    routed = _send_held(layout, held.columns).unionByName(
+        _send_probing(spec, jaccard, layout, reach, held.columns)
+    )
+    return run_tasks(routed, layout.tasks, kernel, schema)
 
 
 def _in_parallel(df: DataFrame, parallelism: int) -> DataFrame:
