@@ -109,17 +109,17 @@ def class_approximations(
     # max min(s, c) = 1 - min max(1 - s, 1 - c): one search serves both.
     degrees = {}
     if "lower" in which:
-        degrees |= {f"lower_{name}": c for name, c in classes.items()}
+        degrees |= {f"_lower_{name}": c for name, c in classes.items()}
     if "upper" in which:
-        degrees |= {f"upper_{name}": F.lit(1.0) - c for name, c in classes.items()}
+        degrees |= {f"_upper_{name}": F.lit(1.0) - c for name, c in classes.items()}
     scaled = scale(rows, spec, "range", bounds).select(spec.id, *spec.attributes, spec.label)
     best = _least_of_greatest(scaled, spec, degrees, jaccard, settings)
     return best.select(
         F.col(spec.id).alias("id"),
         *[
-            F.least(F.lit(1.0), F.col(c)).alias(c)
-            if c.startswith("lower_")
-            else F.greatest(F.lit(0.0), F.lit(1.0) - F.col(c)).alias(c)
+            F.least(F.lit(1.0), F.col(c)).alias(c[1:])
+            if c.startswith("_lower_")
+            else F.greatest(F.lit(0.0), F.lit(1.0) - F.col(c)).alias(c[1:])
             for c in degrees
         ],
     )

@@ -208,19 +208,19 @@ def quality_powa(
     job = _partial_averages(df, spec, blocks, jaccard, settings)
     filled = F.coalesce(F.nanvl("owa", F.lit(None).cast("double")), F.lit(float(empty_value)))
     if len(job.blocks) == 1:
-        best = job.partial.select(RID, filled.alias("quality"))
-        rows = hand_back(job.rows, spec.id, best, job.profiles, "quality")
-        quality = F.coalesce("quality", F.lit(float(empty_value)))
+        best = job.partial.select(RID, filled.alias("_quality"))
+        rows = hand_back(job.rows, spec.id, best, job.profiles, "_quality")
+        quality = F.coalesce("_quality", F.lit(float(empty_value)))
         return rows.select(F.col(spec.id).alias("id"), quality.alias("quality"))
     top, weight = owa_of_few(RID, "_value")
     best = (
         _every_block(job, filled.alias("_value"), float(empty_value))
         .select(RID, top.alias("_top"), weight.alias("_weight"))
         .groupBy(RID)
-        .agg((F.sum("_top") / F.sum("_weight")).alias("quality"))
+        .agg((F.sum("_top") / F.sum("_weight")).alias("_quality"))
     )
-    rows = hand_back(job.rows, spec.id, best, job.profiles, "quality")
-    return rows.select(F.col(spec.id).alias("id"), "quality")
+    rows = hand_back(job.rows, spec.id, best, job.profiles, "_quality")
+    return rows.select(F.col(spec.id).alias("id"), F.col("_quality").alias("quality"))
 
 
 def _every_block(job: _Job, value, empty: float | None) -> DataFrame:
@@ -264,11 +264,13 @@ def conflict_summary(
     """``id, conflicts, least, greatest``: how many rows conflict with a row,
     and the range of their conflict degrees (null without conflicts)."""
     job = _partial_averages(df, spec, 1, jaccard, settings)
-    rows = hand_back(job.rows, spec.id, job.partial, job.profiles, "n_values", "least", "greatest")
+    names = ("n_values", "least", "greatest")
+    found = job.partial.select(RID, *[F.col(c).alias(f"_{c}") for c in names])
+    rows = hand_back(job.rows, spec.id, found, job.profiles, *[f"_{c}" for c in names])
     none = F.lit(None).cast("double")
     return rows.select(
         F.col(spec.id).alias("id"),
-        F.coalesce("n_values", F.lit(0)).cast("long").alias("conflicts"),
-        F.nanvl("least", none).alias("least"),
-        F.nanvl("greatest", none).alias("greatest"),
+        F.coalesce("_n_values", F.lit(0)).cast("long").alias("conflicts"),
+        F.nanvl("_least", none).alias("least"),
+        F.nanvl("_greatest", none).alias("greatest"),
     )

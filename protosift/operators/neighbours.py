@@ -272,10 +272,10 @@ def knn_predict(
         raise ValueError(f"unknown on_empty {on_empty!r}")
     tests, prototypes = _prepared(tests, prototypes, spec, scaling)
     result = search(tests, prototypes, spec, k, folds=folds, jaccard=jaccard, settings=settings)
-    predicted = predictions_of(result.found, weighting)
-    rows = hand_back(result.tests, spec.id, predicted, result.profiles, "predicted")
+    predicted = predictions_of(result.found, weighting).withColumnRenamed("predicted", "_predicted")
+    rows = hand_back(result.tests, spec.id, predicted, result.profiles, "_predicted")
     actual = F.col(spec.label)
-    value = F.coalesce("predicted", actual) if on_empty == "own_label" else F.col("predicted")
+    value = F.coalesce("_predicted", actual) if on_empty == "own_label" else F.col("_predicted")
     return rows.select(
         F.col(spec.id).alias("id"), actual.alias("actual"), value.alias("predicted")
     )

@@ -46,13 +46,15 @@ def threshold_sweep(
     prototype is compared once and counts from the first threshold it reaches.
     """
     tests = reusable(spec.conform(df))
-    rated = cut_lineage(join_quality(tests, quality, spec))
-    low, high = rated.agg(F.min("quality"), F.max("quality")).first()
+    rated = cut_lineage(
+        join_quality(tests, quality.select("id", F.col("quality").alias("_quality")), spec)
+    )
+    low, high = rated.agg(F.min("_quality"), F.max("_quality")).first()
     if low is None:
         raise ValueError("no row has a quality")
     step = (high - low) / steps
     thresholds = [high - i * step for i in range(steps)] + [low] if high > low else [high]
-    cases = "".join(f" WHEN quality >= ({t!r}D) THEN {i}" for i, t in enumerate(thresholds[:-1]))
+    cases = "".join(f" WHEN _quality >= ({t!r}D) THEN {i}" for i, t in enumerate(thresholds[:-1]))
     last = len(thresholds) - 1
     prototypes = rated.withColumn(STEP, F.expr(f"CASE{cases} ELSE {last} END" if cases else "0"))
     result = search(

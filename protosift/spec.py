@@ -28,6 +28,8 @@ class RowSpec:
         names = [self.id, self.label, *self.attributes]
         if len({n.lower() for n in names}) != len(names):
             raise ValueError(f"column named twice in {names}")
+        if any(n.startswith("_") for n in names):
+            raise ValueError("names that begin with '_' are taken")
         if not self.attributes:
             raise ValueError("a row needs at least one attribute")
 

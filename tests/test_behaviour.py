@@ -148,3 +148,18 @@ def test_lazy_scalars_stay_in_the_jvm(spark, tmp_path):
     far = distance.mixed_distance(SPEC, distance.side("a"), distance.side("b"))
     shown = plan(a.join(b, F.col("a.id") == F.col("b.id")).select(far))
     assert "unused" not in shown and "Python" not in shown
+
+
+def test_columns_may_be_named_like_results(spark):
+    spec = ps.RowSpec("predicted", ("distance", "owa"), ("rank",), (), "quality")
+    df = spark.createDataFrame(
+        [(i, i * 0.5, float(i % 3), "a", float(i)) for i in range(1, 9)],
+        "predicted long, distance double, owa double, rank string, quality double",
+    )
+    quality = ps.quality_hml(df, spec)
+    assert quality.count() == ps.quality_powa(df, spec, blocks=2).count() == 8
+    assert ps.knn_topk(df, df, spec, 2).count() == 16
+    assert ps.knn_predict(df, df, spec, 2).count() == ps.conflict_summary(df, spec).count() == 8
+    assert ps.threshold_sweep(df, quality, spec, 2).count() == 11
+    with pytest.raises(ValueError):
+        ps.RowSpec("id", ("_x",))
