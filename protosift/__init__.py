@@ -14,6 +14,7 @@ from protosift.operators.neighbours import knn_predict, knn_topk
 from protosift.operators.owa import owa
 from protosift.operators.selection import (
     best_threshold,
+    choose_prototypes,
     join_quality,
     select_prototypes,
     threshold_sweep,
@@ -25,6 +26,7 @@ __all__ = [
     "RowSpec",
     "approximations",
     "best_threshold",
+    "choose_prototypes",
     "class_approximations",
     "column_minmax",
     "column_ranges",

@@ -264,8 +264,8 @@ def knn_predict(
     """``id``, ``actual`` and ``predicted`` of every test row.
 
     ``weighting="reference"`` gives the farthest of the k neighbours weight 1
-    and the nearest weight 0, as the established results do; ``"nearest"``
-    turns that round and ``"uniform"`` is the mean. A row without neighbours
+    and the nearest weight 0; ``"nearest"`` turns that round and ``"uniform"``
+    is the mean. A row without neighbours
     gets its own label, or null with ``on_empty="null"``.
     """
     if on_empty not in ("own_label", "null"):

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import fold_of
+from protosift.operators.approximation import quality_hml
+from protosift.operators.conflicts import quality_powa
 from protosift.operators.neighbours import STEP, Weighting, predictions_of, search
 from protosift.plans.lineage import cut_lineage, reusable
 from protosift.plans.profiles import RID, hand_back
@@ -94,3 +96,31 @@ def threshold_sweep(
 def best_threshold(report: DataFrame) -> DataFrame:
     """The report line with the least error; of equals the highest threshold."""
     return report.orderBy(F.col("rmse").asc_nulls_last(), F.col("threshold").desc()).limit(1)
+
+
+def choose_prototypes(
+    df: DataFrame,
+    spec: RowSpec,
+    k: int,
+    quality: str | DataFrame = "hml",
+    *,
+    numeric_only: bool = False,
+    blocks: int = 1,
+    jaccard: str = "equal",
+    **sweep,
+) -> tuple[DataFrame, DataFrame, float]:
+    """Quality, sweep and selection in one go: kept rows, report and threshold.
+
+    ``quality`` is ``"hml"``, ``"powa"`` or a table ``id, quality`` from before.
+    """
+    if isinstance(quality, str):
+        if quality == "hml":
+            quality = quality_hml(df, spec, numeric_only=numeric_only, jaccard=jaccard)
+        elif quality == "powa":
+            quality = quality_powa(df, spec, blocks=blocks, jaccard=jaccard)
+        else:
+            raise ValueError(f"unknown quality {quality!r}")
+        quality = cut_lineage(quality)
+    report = cut_lineage(threshold_sweep(df, quality, spec, k, jaccard=jaccard, **sweep))
+    threshold = best_threshold(report).first()["threshold"]
+    return select_prototypes(df, quality, spec, threshold), report, threshold

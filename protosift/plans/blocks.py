@@ -28,6 +28,7 @@ class Held:
         coded = [pd.factorize(pdf[c]) for c in spec.string]
         self.codes = [codes for codes, _ in coded]
         self.words = [pd.Index(words) for _, words in coded]
+        self.raw = _raw(spec, pdf)
 
     def seen_from(self, pdf: pd.DataFrame) -> Viewer:
         return Viewer(self, pdf)
@@ -44,6 +45,7 @@ class Viewer:
         self.bits = [pdf[c].to_numpy("int64") for c in spec.bitset]
         # A word no held row has becomes -1, which equals no code.
         self.codes = [w.get_indexer(pdf[c]) for w, c in zip(held.words, spec.string)]
+        self.raw = _raw(spec, pdf)
         self.step = max(1, MATRIX // max(1, held.size))
         shape = (min(self.step, self.size), held.size)
         self.scratch = np.empty(shape), np.empty(shape), np.empty(shape, bool)
@@ -57,6 +59,12 @@ class Viewer:
         """Distances of a slice; the array is reused for the next slice."""
         held = self.held
         total, term, differ = (a[: rows.stop - rows.start] for a in self.scratch)
+        if held.spec.distance:
+            total[:] = held.spec.distance(
+                {c: x[rows, None] for c, x in self.raw.items()},
+                {c: y[None, :] for c, y in held.raw.items()},
+            )
+            return total
         if held.numbers:
             np.subtract(self.numbers[0][rows, None], held.numbers[0][None, :], out=total)
             np.abs(total, out=total)
@@ -78,9 +86,15 @@ class Viewer:
         return np.divide(sim, m, out=sim)
 
 
+def _raw(spec: RowSpec, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {c: pdf[c].to_numpy() for c in spec.attributes} if spec.distance else {}
+
+
 def _set_distance(mine, held, rows, jaccard):
     if jaccard == "equal":
         return sum((x[rows, None] != y[None, :]).astype("float64") for x, y in zip(mine, held))
+    if jaccard != "ratio":
+        raise ValueError(f"unknown jaccard mode {jaccard!r}")
     alike = 0.0
     for x, y in zip(mine, held):
         x, y = x[rows, None], y[None, :]

@@ -288,7 +288,7 @@ def compare(
     # Work that is done in seconds anyway is not worth two passes of planning.
     small = n_held <= tile and n_probing * n_held <= parallelism * TASK_PAIRS // 8
     layout = None
-    if not small:
+    if not small and spec.distance is None:
         probing, held = (_in_parallel(df, parallelism) for df in (probing, held))
         layout = plan_layout(
             spec, jaccard, probing, n_probing, held, n_held, reach, summaries, settings

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 
@@ -14,6 +16,12 @@ class RowSpec:
     ``numeric`` columns are compared by absolute difference, ``string`` columns
     by equality and ``bitset`` columns (integers, one bit per set member) by
     Jaccard similarity.
+
+    ``distance`` replaces that comparison. It gets two dictionaries of arrays by
+    attribute, the left rows as a column and the right rows as a row, and
+    returns the matrix of distances: 0 for equal attributes, at most the number
+    of attributes where similarities are formed. Nothing is known about how
+    such distances add up, so all tiles are compared.
     """
 
     id: str = "id"
@@ -21,6 +29,7 @@ class RowSpec:
     string: tuple[str, ...] = ()
     bitset: tuple[str, ...] = ()
     label: str = "label"
+    distance: Callable[[dict, dict], np.ndarray] | None = None
 
     def __post_init__(self):
         for kind in ("numeric", "string", "bitset"):
@@ -44,7 +53,7 @@ class RowSpec:
     def only_numeric(self) -> RowSpec:
         if not self.numeric:
             raise ValueError("no numeric attribute left")
-        return replace(self, string=(), bitset=())
+        return replace(self, string=(), bitset=(), distance=None)
 
     def conform(self, df: DataFrame, *extra: str) -> DataFrame:
         """Typed projection of ``df``; a missing attribute becomes 0, '' or {}."""

@@ -187,3 +187,30 @@ def test_owa_of_hot_group(spark, parts):
         mine = v[g == row["g"]]
         assert row["owa"] == pytest.approx(brute.owa(mine), rel=1e-12)
         assert (row["n_values"], row["least"], row["greatest"]) == (len(mine), mine.min(), mine.max())
+
+
+def test_own_distance(data):
+    pdf, df = data
+
+    def largest_gap(a, b):
+        return np.maximum(np.minimum(np.abs(a["x"] - b["x"]), 1.0), 2.0 * (a["s"] != b["s"]))
+
+    spec = ps.RowSpec("key", ("x",), ("s",), label="y", distance=largest_gap)
+    columns = lambda f: {c: f(pdf[c].to_numpy()) for c in spec.attributes}
+    far = largest_gap(columns(lambda v: v[:, None]), columns(lambda v: v[None, :])) / 2
+    ids = pdf["key"].to_numpy()
+    found = {}
+    for r in ps.knn_topk(df, df, spec, 3, settings=TileSettings(tile_rows=50)).collect():
+        found.setdefault(r["id"], []).append((r["rank"], r["neighbour_id"]))
+    for i, id in enumerate(ids):
+        assert [x[1] for x in sorted(found[id])] == list(ids[np.lexsort((ids, far[i]))[:3]])
+
+
+def test_chained_selection(data):
+    pdf, df = data
+    for method in ("hml", "powa"):
+        kept, report, threshold = ps.choose_prototypes(df, SPEC, 3, method)
+        lines = report.collect()
+        best = min(lines, key=lambda r: (r["rmse"], -r["threshold"]))
+        assert threshold == best["threshold"] and kept.count() == best["size"]
+        assert kept.columns == df.columns
