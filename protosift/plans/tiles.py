@@ -104,6 +104,14 @@ def _to_rows(spec: RowSpec, jaccard: str, sample: pd.DataFrame, pdf: pd.DataFram
     return out
 
 
+def _pieces(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """Batches cut so that a matrix of their rows by ``width`` stays small."""
+    step = max(1, (1 << 20) // width)
+    for pdf in batches:
+        for start in range(0, len(pdf), step):
+            yield pdf.iloc[start : start + step]
+
+
 def plan_layout(
     spec: RowSpec,
     jaccard: str,
@@ -129,19 +137,19 @@ def plan_layout(
     probes = held.orderBy(F.xxhash64(RID), RID).limit(n_probes).toPandas()
     pivots = probes.head(wanted)
 
-    def place(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
         far = _to_rows(spec, jaccard, pivots, pdf)
         home = far.argmin(axis=1)
-        return far, pdf.assign(**{CELL: home}, _pivot_distance=far[np.arange(len(pdf)), home])
+        return pdf.assign(**{CELL: home}, _pivot_distance=far[np.arange(len(pdf)), home])
 
     def place_held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield place(pdf)[1]
+        for pdf in _pieces(batches, len(pivots)):
+            yield place(pdf)
 
     def place_probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _pieces(batches, len(probes)):
             bounds = reach.bounds(_to_rows(spec, jaccard, probes, pdf), probes, pdf)
-            yield place(pdf)[1].assign(**dict(zip(reach.bound_names, bounds.T)))
+            yield place(pdf).assign(**dict(zip(reach.bound_names, bounds.T)))
 
     shape = [
         F.count(F.lit(1)).alias("rows"),
@@ -228,7 +236,7 @@ def _send_probing(spec, jaccard, layout: Layout, reach: Reach, columns: list[str
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inner, radius = (cells[c].to_numpy()[None, :] for c in ("inner", "radius"))
-        for pdf in batches:
+        for pdf in _pieces(batches, len(pivots)):
             far = _to_rows(spec, jaccard, pivots, pdf)
             gap = np.maximum(far - radius, inner - far)
             for c in spec.numeric:
