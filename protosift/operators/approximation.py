@@ -103,9 +103,8 @@ def class_approximations(
     if numeric_only:
         spec = spec.only_numeric()
     bounds = Bounds.of(rows, [*spec.numeric, spec.label])
-    classes = memberships(
-        F.col(spec.label), F.lit(bounds.low[spec.label]), F.lit(bounds.high[spec.label])
-    )
+    low, high = (F.lit(b[spec.label]).cast("double") for b in (bounds.low, bounds.high))
+    classes = memberships(F.col(spec.label), low, high)
     # max min(s, c) = 1 - min max(1 - s, 1 - c): one search serves both.
     degrees = {}
     if "lower" in which:

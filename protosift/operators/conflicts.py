@@ -163,7 +163,8 @@ def _partial_averages(
     split = sorted(b for b, n in sizes.items() if n > limit)
     probing = profiles.df.withColumn(BLOCK, F.lit(0).cast("long")).select(*columns)
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    partials = []
+    averages = f"{RID} long, {BLOCK} long, owa double, n_values long, least double, greatest double"
+    partial = None
     for chosen, kernel_of in ((whole, _average_kernel), (split, _value_kernel)):
         if not chosen:
             continue
@@ -175,17 +176,16 @@ def _partial_averages(
         routed, tasks = pair_all(held, probing, parts, chunks)
         kernel = kernel_of(spec, jaccard)
         if chosen is whole:
-            schema = f"{RID} long, {BLOCK} long, owa double, n_values long, least double, greatest double"
-            partials.append(run_tasks(routed, tasks, kernel, schema))
+            found = run_tasks(routed, tasks, kernel, averages)
         else:
             # A block too large for one task: its degrees are merged by value,
             # and ranked by the cluster instead of in a task.
             schema = f"{RID} long, {BLOCK} long, _degree double, _n long"
             values = run_tasks(routed, tasks, kernel, schema)
-            partials.append(owa(values, [RID, BLOCK], "_degree", count="_n"))
-    partial = partials[0]
-    for more in partials[1:]:
-        partial = partial.unionByName(more)
+            found = owa(values, [RID, BLOCK], "_degree", count="_n")
+        partial = found if partial is None else partial.unionByName(found)
+    if partial is None:
+        partial = df.sparkSession.createDataFrame([], averages)
     return _Job(scaled, spec, profiles, partial, sorted(sizes))
 
 
@@ -207,7 +207,7 @@ def quality_powa(
     """
     job = _partial_averages(df, spec, blocks, jaccard, settings)
     filled = F.coalesce(F.nanvl("owa", F.lit(None).cast("double")), F.lit(float(empty_value)))
-    if len(job.blocks) == 1:
+    if len(job.blocks) <= 1:
         best = job.partial.select(RID, filled.alias("_quality"))
         rows = hand_back(job.rows, spec.id, best, job.profiles, "_quality")
         quality = F.coalesce("_quality", F.lit(float(empty_value)))

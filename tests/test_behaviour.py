@@ -163,3 +163,20 @@ def test_columns_may_be_named_like_results(spark):
     assert ps.threshold_sweep(df, quality, spec, 2).count() == 11
     with pytest.raises(ValueError):
         ps.RowSpec("id", ("_x",))
+
+
+def test_empty_tables(spark):
+    none, some = rows(spark), rows(spark, (1, 1.0, "a", 3.0), (2, 2.0, "b", 4.0))
+    for job in (
+        ps.quality_hml(none, SPEC), ps.quality_powa(none, SPEC), ps.quality_powa(none, SPEC, blocks=3),
+        ps.conflict_summary(none, SPEC), ps.knn_topk(none, some, SPEC, 2), ps.knn_topk(some, none, SPEC, 2),
+        ps.owa(none, ["s"], "y"),
+    ):
+        assert job.collect() == []
+    assert {r["predicted"] for r in ps.knn_predict(some, none, SPEC, 2).collect()} == {3.0, 4.0}
+
+
+def test_single_row(spark):
+    one = rows(spark, (1, 1.0, "a", 3.0))
+    assert [tuple(r) for r in ps.quality_hml(one, SPEC).collect()] == [(1, 1.0)]
+    assert [tuple(r) for r in ps.quality_powa(one, SPEC).collect()] == [(1, 0.0)]
