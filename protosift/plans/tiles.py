@@ -38,6 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules["protosift"])
 TASK, PROBING, BLOCK, CELL = "_task", "_probing", "_block", "_cell"
 MAX_CELLS = 1024
 MAX_PROBES = 16_384
+SAMPLED = 4096
 MAX_PARTITIONS = 20_000
 # Least distances are lowered by this share before they exclude anything.
 SLACK = 1e-9
@@ -83,24 +84,23 @@ class Reach:
 @dataclass
 class Layout:
     """Cells of the held table, in how many parts and chunks each is worked on,
-    and both tables with the cell of each row (and the bounds of probing ones)."""
+    and both tables with the cell of held and the bounds of probing rows."""
 
     held: DataFrame
     probing: DataFrame
-    pivots: pd.DataFrame
-    cells: pd.DataFrame
+    needs: Callable[[], Callable[[pd.DataFrame], np.ndarray]]
     parts: np.ndarray
     chunks: np.ndarray
     first_task: np.ndarray
     tasks: int
 
 
-def _to_rows(spec: RowSpec, jaccard: str, sample: pd.DataFrame, pdf: pd.DataFrame) -> np.ndarray:
+def _distances_to(held: Held, jaccard: str, pdf: pd.DataFrame) -> np.ndarray:
     """Normalised distances of a batch to a small sample, one column each."""
-    view = Held(spec, sample).seen_from(pdf)
-    out = np.empty((len(pdf), len(sample)))
+    view = held.seen_from(pdf)
+    out = np.empty((len(pdf), held.size))
     for rows in view.slices():
-        out[rows] = view.distances(rows, jaccard) / spec.size
+        out[rows] = view.distances(rows, jaccard) / held.spec.size
     return out
 
 
@@ -134,82 +134,82 @@ def plan_layout(
     # Pivots and probes are held rows, so a distance to one is a real distance.
     wanted = int(np.clip(-(-n_held // min(tile, settings.cell_rows)), 2, settings.max_cells))
     n_probes = int(np.clip(4 * math.isqrt(n_held), max(wanted, 64), MAX_PROBES))
-    probes = held.orderBy(F.xxhash64(RID), RID).limit(n_probes).toPandas()
+    probes = _sample(held, n_probes)
     pivots = probes.head(wanted)
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        far = _to_rows(spec, jaccard, pivots, pdf)
-        home = far.argmin(axis=1)
-        return pdf.assign(**{CELL: home}, _pivot_distance=far[np.arange(len(pdf)), home])
-
     def place_held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres = Held(spec, pivots)
         for pdf in _pieces(batches, len(pivots)):
-            yield place(pdf)
+            far = _distances_to(centres, jaccard, pdf)
+            yield pdf.assign(**{CELL: far.argmin(axis=1)}, _away=far.min(axis=1))
 
-    def place_probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bound_probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Held(spec, probes)
         for pdf in _pieces(batches, len(probes)):
-            bounds = reach.bounds(_to_rows(spec, jaccard, probes, pdf), probes, pdf)
-            yield place(pdf).assign(**dict(zip(reach.bound_names, bounds.T)))
-
-    shape = [
-        F.count(F.lit(1)).alias("rows"),
-        F.min("_pivot_distance").alias("inner"),
-        F.max("_pivot_distance").alias("radius"),
-        *[F.min(c).alias(f"_lo_{c}") for c in spec.numeric],
-        *[F.max(c).alias(f"_hi_{c}") for c in spec.numeric],
-    ]
-
-    # Placing is the costly pass over the rows, so its result is kept.
-    added = f", {CELL} long, _pivot_distance double"
+            bounds = reach.bounds(_distances_to(known, jaccard, pdf), probes, pdf)
+            yield pdf.assign(**dict(zip(reach.bound_names, bounds.T)))
+
+    # These are the costly passes over the rows, so their results are kept.
     bounds = "".join(f", {c} double" for c in reach.bound_names)
-    held = cut_lineage(held.mapInPandas(place_held, _columns(held) + added))
-    probing = cut_lineage(probing.mapInPandas(place_probing, _columns(probing) + added + bounds))
-
-    def summary(df: DataFrame, more: list) -> pd.DataFrame:
-        table = df.groupBy(CELL).agg(*shape, *more).toPandas()
-        table = table.set_index(CELL).reindex(range(len(pivots)))
-        return table.assign(rows=table["rows"].fillna(0).astype("int64"))
-
-    cells = summary(held, summaries)
-    homes = summary(probing, [F.max(c).alias(c) for c in reach.bound_names])
-
-    between = _to_rows(spec, jaccard, pivots, pivots)
-    outer = homes["radius"].to_numpy()[:, None]
-    gap = between - outer - cells["radius"].to_numpy()[None, :]
-    for c in spec.numeric:
-        lo, hi = (homes[f"_{e}_{c}"].to_numpy()[:, None] for e in ("lo", "hi"))
-        gap = np.maximum(gap, _apart(cells, c, lo, hi) / spec.size)
-    gap = np.nan_to_num(gap - SLACK * (1.0 + between + outer))
-    most = homes[reach.bound_names].fillna(0.0).to_numpy("float64")
-    alive = reach.relevant(gap, most, cells) & (cells["rows"].to_numpy()[None, :] > 0)
-
-    # No more probing rows than these come to a cell; rows are checked one by
-    # one when they are sent.
-    coming = homes["rows"].to_numpy() @ alive
-    rows = cells["rows"].to_numpy()
+    held = cut_lineage(
+        held.mapInPandas(place_held, f"{_columns(held)}, {CELL} long, _away double")
+    )
+    probing = cut_lineage(probing.mapInPandas(bound_probing, _columns(probing) + bounds))
+
+    cells = (
+        held.groupBy(CELL)
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.max("_away").alias("radius"),
+            *[F.min(c).alias(f"_lo_{c}") for c in spec.numeric],
+            *[F.max(c).alias(f"_hi_{c}") for c in spec.numeric],
+            *summaries,
+        )
+        .toPandas()
+        .set_index(CELL)
+        .reindex(range(len(pivots)))
+    )
+    rows = cells["rows"].fillna(0).to_numpy("int64")
+
+    def needs() -> Callable[[pd.DataFrame], np.ndarray]:
+        """Which cells may matter to which rows of a batch."""
+        centres = Held(spec, pivots)
+        radius = cells["radius"].to_numpy()[None, :]
+
+        def of(pdf: pd.DataFrame) -> np.ndarray:
+            far = _distances_to(centres, jaccard, pdf)
+            gap = far - radius
+            for c in spec.numeric:
+                x = pdf[c].to_numpy("float64")[:, None]
+                low, high = (cells[f"_{e}_{c}"].to_numpy()[None, :] for e in ("lo", "hi"))
+                gap = np.maximum(gap, np.maximum(low - x, x - high) / spec.size)
+            gap = np.nan_to_num(gap - SLACK * (1.0 + far))
+            known = pdf[reach.bound_names].to_numpy("float64")
+            return reach.relevant(gap, known, cells) & (rows > 0)[None, :]
+
+        return of
+
+    # How many rows come to each cell is estimated; any number would be right.
+    sample = _sample(probing, SAMPLED)
+    coming = needs()(sample).mean(axis=0) * n_probing if len(sample) else np.zeros(len(rows))
     parts = np.maximum(1, -(-rows // tile))
-    chunks = np.where(rows > 0, -(-coming * np.minimum(rows, tile) // TASK_PAIRS), 0)
-    pairs = float((coming.astype("float64") * rows).sum())
-    copies = float((coming * parts).sum() + (chunks * rows).sum())
-    whole_parts = -(-n_held // tile)
-    whole = float(n_probing) * n_held + COPY_COST * (n_probing * whole_parts + n_held)
-    if pairs + COPY_COST * copies > whole:
+    chunks = np.ceil(coming * np.minimum(rows, tile) / TASK_PAIRS).clip(1).astype("int64")
+    cost = (coming * rows + COPY_COST * (coming * parts + chunks * rows)).sum()
+    whole = float(n_probing) * n_held + COPY_COST * (n_probing * -(-n_held // tile) + n_held)
+    if cost > whole:
         return None
     parallelism = held.sparkSession.sparkContext.defaultParallelism
     tasks = int((chunks * parts).sum())
-    if 0 < tasks < 2 * parallelism:
-        finest = -(-coming // settings.least_rows)
+    if tasks < 2 * parallelism:
+        finest = np.ceil(coming / settings.least_rows).astype("int64")
         chunks = np.maximum(chunks, np.minimum(chunks * -(-2 * parallelism // tasks), finest))
     ends = np.cumsum(chunks * parts)
-    return Layout(
-        held, probing, pivots, cells, parts, chunks, ends - chunks * parts, int(ends[-1])
-    )
+    return Layout(held, probing, needs, parts, chunks, ends - chunks * parts, int(ends[-1]))
 
 
-def _apart(cells: pd.DataFrame, column: str, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Gap along one column between the range of each cell and other ranges."""
-    low, high = (cells[f"_{e}_{column}"].to_numpy()[None, :] for e in ("lo", "hi"))
-    return np.maximum(low - hi, lo - high)
+def _sample(df: DataFrame, rows: int) -> pd.DataFrame:
+    """A repeatable sample of bounded size."""
+    return df.orderBy(F.xxhash64(RID), RID).limit(rows).toPandas()
 
 
 def _send_held(layout: Layout, columns: list[str]) -> DataFrame:
@@ -223,33 +223,26 @@ def _send_held(layout: Layout, columns: list[str]) -> DataFrame:
         f"{of_cell(layout.parts)} AS _parts",
         f"{of_cell(layout.chunks)} AS _chunks",
         f"{of_cell(layout.first_task)} AS _first",
-    ).where("_chunks > 0")
+    )
     start = f"_first + pmod(xxhash64({RID}), _parts)"
     tasks = f"explode(sequence({start}, {start} + (_chunks - 1) * _parts, _parts)) AS {TASK}"
     return sent.selectExpr(*columns, tasks, f"0 AS {PROBING}")
 
 
-def _send_probing(spec, jaccard, layout: Layout, reach: Reach, columns: list[str]) -> DataFrame:
+def _send_probing(layout: Layout, carried: str | None, bound: str, columns: list[str]) -> DataFrame:
     """One copy of a row for each held tile that may matter to it."""
-    pivots, cells = layout.pivots, layout.cells
-    parts_of, chunks_of, first_of = layout.parts, layout.chunks, layout.first_task
+    needs, parts_of = layout.needs, layout.parts
+    chunks_of, first_of = layout.chunks, layout.first_task
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        inner, radius = (cells[c].to_numpy()[None, :] for c in ("inner", "radius"))
-        for pdf in _pieces(batches, len(pivots)):
-            far = _to_rows(spec, jaccard, pivots, pdf)
-            gap = np.maximum(far - radius, inner - far)
-            for c in spec.numeric:
-                x = pdf[c].to_numpy("float64")[:, None]
-                gap = np.maximum(gap, _apart(cells, c, x, x) / spec.size)
-            gap = np.nan_to_num(gap - SLACK * (1.0 + far))
-            bounds = pdf[reach.bound_names].to_numpy("float64")
-            row, cell = np.nonzero(reach.relevant(gap, bounds, cells) & (chunks_of > 0)[None, :])
+        of = needs()
+        for pdf in _pieces(batches, len(parts_of)):
+            row, cell = np.nonzero(of(pdf))
             parts = parts_of[cell]
             chunk = _spread(pdf[RID])[row] % chunks_of[cell]
             task = np.repeat(first_of[cell] + chunk * parts, parts) + _counting(parts)
-            if reach.carried:
-                pdf = pdf.assign(**{reach.carried: bounds[:, 0]})
+            if carried:
+                pdf = pdf.assign(**{carried: pdf[bound]})
             yield pdf[columns].iloc[np.repeat(row, parts)].assign(**{TASK: task, PROBING: 1})
 
     schema = f"{_columns(layout.probing.select(columns))}, {TASK} long, {PROBING} int"
@@ -312,7 +305,7 @@ def compare(
         routed, tasks = pair_all(held, probing, parts, chunks)
         return run_tasks(routed, tasks, kernel, schema)
     routed = _send_held(layout, held.columns).unionByName(
-        _send_probing(spec, jaccard, layout, reach, held.columns)
+        _send_probing(layout, reach.carried, reach.bound_names[0], held.columns)
     )
     return run_tasks(routed, layout.tasks, kernel, schema)
 
