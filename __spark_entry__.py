@@ -19,6 +19,7 @@ import protosift as ps  # noqa: E402
 from protosift.functions import distance as dist  # noqa: E402
 from protosift.functions.fuzzy import fold_of, identity_class, three_classes  # noqa: E402
 from protosift.operators.stats import Bounds  # noqa: E402
+from protosift.plans.lineage import reusable  # noqa: E402
 from protosift.sources.text import parse_bitset, parse_rows, to_line  # noqa: E402
 
 PART = ps.RowSpec("id", ("size",), ("brand", "type"), (), "label")
@@ -251,18 +252,20 @@ def _rmse_cv_scaled(spark, sf_dir):
     return rounded(ps.rmse_cv_scaled(cust_rows(spark, sf_dir), CUST, 5), "rmse")
 
 
-def _stored_quality(spark, sf_dir):
-    """HML quality of customers as a quality file would keep it."""
-    return rounded(ps.quality_hml(cust_rows(spark, sf_dir), CUST), "quality")
+def _rated_customers(spark, sf_dir):
+    """Customers, computed once, and their quality as a quality file would keep it."""
+    rows = reusable(cust_rows(spark, sf_dir))
+    return rows, rounded(ps.quality_hml(rows, CUST), "quality")
 
 
 def _quality_join(spark, sf_dir):
-    joined = ps.join_quality(cust_rows(spark, sf_dir), _stored_quality(spark, sf_dir), CUST)
-    return joined.select("id", *CUST.attributes, "label", "quality")
+    rows, quality = _rated_customers(spark, sf_dir)
+    return ps.join_quality(rows, quality, CUST).select("id", *CUST.attributes, "label", "quality")
 
 
 def _sweep(spark, sf_dir):
-    return ps.threshold_sweep(cust_rows(spark, sf_dir), _stored_quality(spark, sf_dir), CUST, 5)
+    rows, quality = _rated_customers(spark, sf_dir)
+    return ps.threshold_sweep(rows, quality, CUST, 5)
 
 
 def _threshold_sweep(spark, sf_dir):
@@ -274,10 +277,11 @@ def _best_threshold(spark, sf_dir):
 
 
 def _select_prototypes(spark, sf_dir):
-    quality = _stored_quality(spark, sf_dir)
+    rows, quality = _rated_customers(spark, sf_dir)
+    quality = reusable(quality)
     bounds = Bounds.of(quality, ["quality"])
     middle = (bounds.low["quality"] + bounds.high["quality"]) / 2
-    return ps.select_prototypes(cust_rows(spark, sf_dir), quality, CUST, middle)
+    return ps.select_prototypes(rows, quality, CUST, middle)
 
 
 def entry(spark: SparkSession) -> DataFrame:
