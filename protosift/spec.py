@@ -56,10 +56,13 @@ class RowSpec:
         return replace(self, string=(), bitset=(), distance=None)
 
     def conform(self, df: DataFrame, *extra: str) -> DataFrame:
-        """Typed projection of ``df``; a missing attribute becomes 0, '' or {}."""
+        """Typed projection of ``df``; a missing attribute becomes 0, '' or {}.
+
+        Not-a-number counts as missing. Labels are expected to be there.
+        """
         return df.selectExpr(
             f"CAST(`{self.id}` AS long) AS `{self.id}`",
-            *[f"coalesce(CAST(`{c}` AS double), 0D) AS `{c}`" for c in self.numeric],
+            *[f"coalesce(nanvl(CAST(`{c}` AS double), 0D), 0D) AS `{c}`" for c in self.numeric],
             *[f"coalesce(CAST(`{c}` AS long), 0L) AS `{c}`" for c in self.bitset],
             *[f"coalesce(CAST(`{c}` AS string), '') AS `{c}`" for c in self.string],
             f"CAST(`{self.label}` AS double) AS `{self.label}`",

@@ -121,9 +121,9 @@ def test_selection_keeps_rows_as_they_are(spark):
 
 
 def test_missing_attributes(spark):
-    df = rows(spark, (1, None, None, 0.0), (2, 0.0, "", 1.0), (3, 1.0, "a", 2.0))
-    near = ps.knn_topk(df, df, SPEC, 2).where("id = 1").orderBy("rank").collect()
-    assert [(r["neighbour_id"], r["distance"]) for r in near] == [(1, 0.0), (2, 0.0)]
+    df = rows(spark, (1, None, None, 0.0), (2, 0.0, "", 1.0), (3, 1.0, "a", 2.0), (4, float("nan"), "", 1.0))
+    near = ps.knn_topk(df, df, SPEC, 3).where("id = 1").orderBy("rank").collect()
+    assert [(r["neighbour_id"], r["distance"]) for r in near] == [(1, 0.0), (2, 0.0), (4, 0.0)]
 
 
 def test_pair_plans(spark):
