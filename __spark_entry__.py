@@ -22,6 +22,15 @@ from protosift.operators.stats import Bounds  # noqa: E402
 from protosift.plans.lineage import reusable  # noqa: E402
 from protosift.sources.text import parse_bitset, parse_rows, to_line  # noqa: E402
 
+try:
+    from protosift.llm import queries as corpus
+except ImportError:
+    corpus = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 PART = ps.RowSpec("id", ("size",), ("brand", "type"), (), "label")
 CUST = ps.RowSpec("id", ("n_orders", "top_order"), ("segment",), ("priorities",), "label")
 TRADE = ps.RowSpec("id", ("volume", "top"), ("nation",), (), "label")
@@ -290,7 +299,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """One entry per operator of the library."""
+    """One entry per operator of the library, and those of ``protosift.llm`` if it is there."""
+    more = corpus.queries() if corpus else {}
+    return core_queries() | more | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "parse_rows": _parse_rows,
         "parse_bitset": _parse_bitset,
@@ -553,6 +567,13 @@ best AS (SELECT * FROM report ORDER BY rmse, threshold DESC LIMIT 1)"""
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL for those of ``queries()`` that SQL can express."""
+    more = corpus.oracle_sql() if corpus else {}
+    whole = corpus_pipeline.ORACLE_SQL if corpus_pipeline else None
+    return core_sql() | more | ({"pipeline": whole} if whole else {})
+
+
+def core_sql() -> dict[str, str]:
     """The same results by all-pairs SQL."""
 
     def next_row(rows: str, name: str, value: str, column: str) -> str:
