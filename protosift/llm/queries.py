@@ -8,6 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from protosift.llm.embedding_dedup import EmbeddingDedup
 from protosift.llm.jaccard_join import JaccardJoin
 
 
@@ -15,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal labels linked by a cosine of 0.93 or more."""
+    found = EmbeddingDedup(0.93).classify(_table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by three-word shingles with a Jaccard of 0.9 or more."""
     found = JaccardJoin(Fraction(9, 10), width=3).classes(_table(spark, sf_dir, "documents"))
@@ -23,10 +30,23 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_jaccard_join": op2_jaccard_join,
     }
 
 
+EMBEDDING_SQL = """WITH RECURSIVE links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b
+    ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.93),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id,
+       c.component_id = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id"""
+
+
 JACCARD_SQL = """WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
@@ -51,5 +71,6 @@ FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embedding_dedup": EMBEDDING_SQL,
         "op2_jaccard_join": JACCARD_SQL,
     }
