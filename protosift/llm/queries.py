@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from protosift.llm.embedding_dedup import EmbeddingDedup
 from protosift.llm.jaccard_join import JaccardJoin
+from protosift.llm.language_id import LanguageId
+from protosift.llm.quality import QualityClassifier
+from protosift.llm.training import learnable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +31,31 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is of good quality."""
+    docs = _table(spark, sf_dir, "documents")
+    classifier = QualityClassifier()
+    model = classifier.fit(docs, _table(spark, sf_dir, "labels"), "quality")
+    found = classifier.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select(
+        "doc_id", (~learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    finder = LanguageId()
+    found = finder.predict(docs, finder.fit(docs)).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (~learnable("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_jaccard_join": op2_jaccard_join,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_language_id": op10_language_id,
     }
 
 
