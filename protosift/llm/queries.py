@@ -12,6 +12,7 @@ from protosift.llm.embedding_dedup import EmbeddingDedup
 from protosift.llm.jaccard_join import JaccardJoin
 from protosift.llm.language_id import LanguageId
 from protosift.llm.quality import QualityClassifier
+from protosift.llm.secret_scan import SecretScan
 from protosift.llm.training import learnable
 
 
@@ -31,6 +32,27 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, as digests."""
+    docs = _table(spark, sf_dir, "documents")
+    scan = SecretScan()
+    spans = scan.scan(docs, scan.fit(docs))
+
+    def joined(kept):
+        parts = F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(parts, ",")
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return spans.select(
+        F.col("id").alias("doc_id"),
+        *(F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(joined(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How likely every document is of good quality."""
     docs = _table(spark, sf_dir, "documents")
@@ -54,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_secret_scan": op3_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
     }
