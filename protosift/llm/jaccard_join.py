@@ -16,7 +16,9 @@ equality by chance is the rarest, and the cheapest choice is left out.
 How many segments of a band are searched with two units follows from its sizes:
 as few as leave ``SEGMENT_TOKENS`` tokens to a segment.
 
-Candidates are verified on whole sets of 64-bit token hashes.
+Candidates are verified on whole sets of 64-bit token hashes, after a bound from
+parity sketches: bit i of a sketch tells whether an odd number of tokens falls
+into cell i, so two sketches differ in no more bits than their sets in tokens.
 """
 
 from __future__ import annotations
@@ -31,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protosift.llm.components import components
-from protosift.llm.scratch import Scratch
+from protosift.llm.scratch import Scratch, groups
 from protosift.llm.words import ascii_lower, chunks, mix, shingles_of, spaced, words_of
 
 #: Tokens that a segment should have at least, on average.
 SEGMENT_TOKENS = 6
 
+#: Documents, and tokens, of a part of a cluster on average at most.
+PART_ROWS, PART_TOKENS = 1024, 1 << 20
+
 INDEXED, SEARCHED = 1, 2
 _U = np.uint64
 
@@ -64,11 +69,6 @@ class Bands:
         return np.searchsorted(np.array(self.lower), sizes, "right") - 1
 
 
-def _similar(threshold: Fraction, shared: str, a: str, b: str) -> str:
-    """SQL: the sets of sizes a and b, ``shared`` tokens in common, are alike."""
-    return f"{shared} * {threshold.denominator + threshold.numerator}L >= {threshold.numerator}L * ({a} + {b})"
-
-
 def token_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw = [ascii_lower(t or "") for t in texts]
@@ -192,91 +192,99 @@ class JaccardJoin:
 
         return self._read(docs).join(ids, "id", "left_semi").mapInArrow(run, "id long, tokens array<long>")
 
-    def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) whose whole sets are alike."""
+    def _verified(self, tiles: DataFrame) -> DataFrame:
+        """Links (a, b) that span those between documents of a tile.
+
+        A tile compares the rows of two parts of a cluster (or of one part with
+        itself). Parity sketches bound the differences of a pair from below; the
+        pairs that they leave are compared by whole sets, nearest first, unless
+        links have joined the two already.
+        """
+        t = self.threshold
+        spread, total = t.denominator - t.numerator, t.denominator + t.numerator
+
+        def links_of(rows: pa.Table) -> tuple[list[int], list[int]]:
+            ids, part = rows.column("id").to_numpy(), rows.column("part").to_numpy()
+            same = rows.column("i")[0] == rows.column("j")[0]
+            column = rows.column("tokens").combine_chunks()
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+            n = np.diff(offsets)
+            values = values[offsets[0] :].view(np.uint64)
+            starts = offsets[:-1] - offsets[0]
+            words = max(1, int(n.max()) * 2 // 64)
+            cell = (mix(values ^ _U(0x5BD1E995)) % _U(words * 64)).astype(np.int64)
+            owner = np.repeat(np.arange(len(n)), n)
+            sketch = np.zeros((len(n), words), _U)
+            np.bitwise_xor.at(sketch, (owner, cell // 64), _U(1) << (cell % 64).astype(_U))
+            root = np.arange(len(n))
+            a, b = [], []
+            for x in range(1, len(n)):
+                near = np.flatnonzero((part[:x] != part[x]) | same)
+                near = near[root[near] != root[x]]
+                near = near[np.minimum(n[near], n[x]) * t.denominator >= np.maximum(n[near], n[x]) * t.numerator]
+                apart = np.bitwise_count(sketch[near] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+                fits = apart * total <= (n[near] + n[x]) * spread
+                for y in near[fits][np.argsort(apart[fits], kind="stable")]:
+                    if root[y] == root[x]:
+                        continue
+                    shared = len(np.intersect1d(*(values[starts[k] : starts[k] + n[k]] for k in (x, y)), assume_unique=True))
+                    if shared * total >= t.numerator * int(n[x] + n[y]):
+                        a.append(ids[x])
+                        b.append(ids[y])
+                        low, high = sorted((root[x], root[y]))
+                        root[root == high] = low
+            return a, b
 
         def run(batches):
-            for batch in batches:
-                pairs = zip(*(batch.column(i) for i in (2, 3)), strict=True)
-                shared = [
-                    len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in pairs
-                ]
-                sizes = [pa.compute.list_value_length(batch.column(i)) for i in (2, 3)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), *(s.cast(pa.int64()) for s in sizes), pa.array(shared, pa.int64())],
-                    names=["a", "b", "n_a", "n_b", "shared"],
-                )
+            for rows in groups(batches, ("cluster", "i", "j")):
+                a, b = links_of(rows)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        a, b = (sets.select(F.col("id").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b")
-        found = both.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long")
-        return found.where(_similar(self.threshold, "shared", "n_a", "n_b"))
+        keys = ["cluster", "i", "j"]
+        return tiles.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "a long, b long")
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """(id, n_shingles, component_id) of every document: its set's size and
         the smallest id that links reach, itself included.
 
-        Equal sets are one class. A bucket of documents with a signature in
-        common first compares each one with the bucket's smallest id; only
-        members whom those links leave in different components are then compared
-        with each other, so a bucket of many near copies costs a row per copy.
+        Equal sets are one class with one representative. Documents that share a
+        signature belong to a cluster of candidates, which costs one row for each
+        of them. Clusters are cut into parts of bounded size and verified two
+        parts at a time, so no pairs are ever shuffled.
         """
-        spark = docs.sparkSession
-        scratch = Scratch(spark, "jaccard")
-        t = self.threshold
+        scratch = Scratch(docs.sparkSession, "jaccard")
         sizes = scratch.keep(self.sizes(docs), "sizes")
         firsts = sizes.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"))
         members = scratch.keep(
             sizes.join(firsts, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members"
         )
-        scratch.drop(sizes)
         rows = scratch.keep(self.signatures(docs), "signatures")
         common = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
-        shared = rows.join(common, "sig", "left_semi").join(
-            members.select("id", F.col("rep")), "id"
-        )
-        shared = shared.groupBy("sig", F.col("rep").alias("id"), "n").agg(F.bit_or("role").alias("role"))
-        shared = scratch.keep(shared, "shared")
-        scratch.drop(rows)
-        leads = shared.groupBy("sig").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-        in_use = scratch.keep(
-            shared.join(leads.select("sig", "lead"), "sig"), "buckets"
-        )
+        shared = scratch.keep(rows.join(common, "sig", "left_semi"), "shared")
+        scratch.drop(sizes, rows)
+        leads = shared.groupBy("sig").agg(F.min("id").alias("b"), F.bit_or("role").alias("roles"))
+        leads = leads.where(F.col("roles") == (INDEXED | SEARCHED)).select("sig", "b")
+        met = shared.join(leads, "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+        of_a, of_b = (members.select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
+        met = met.join(of_a, "a").join(of_b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        clusters = scratch.keep(components(met, scratch).withColumnRenamed("component_id", "cluster"), "clusters")
         scratch.drop(shared)
-        sets = scratch.keep(self._sets(docs, in_use.select("id").distinct()), "sets")
-        bound = f"least(n_a, n_b) * {t.denominator}L >= greatest(n_a, n_b) * {t.numerator}L"
-        lead_n = members.select(F.col("id").alias("lead"), F.col("n").alias("n_b"))
-        stars = (
-            in_use.where("id <> lead")
-            .select("id", "lead", F.col("n").alias("n_a"))
-            .distinct()
-            .join(lead_n, "lead")
-            .where(bound)
-            .select(F.col("id").alias("a"), F.col("lead").alias("b"))
-        )
-        links = scratch.keep(self._verify(stars, sets).select("a", "b"), "links")
-        near = components(links, scratch)
-        placed = in_use.join(near, "id", "left").select(
-            "sig", "id", "n", "role", F.coalesce("component_id", "id").alias("c")
-        )
-        placed = scratch.keep(placed, "placed")
-        split = placed.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("sig")
-        open_rows = scratch.keep(placed.join(split, "sig", "left_semi"), "open")
-        larger = open_rows.where(F.col("role").bitwiseAND(SEARCHED) > 0).select(
-            "sig", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")
-        )
-        smaller = open_rows.where(F.col("role").bitwiseAND(INDEXED) > 0).select(
-            "sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b")
+        parts = (
+            clusters.join(members.select("id", "n"), "id")
+            .groupBy("cluster")
+            .agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART_ROWS, F.sum("n") / PART_TOKENS)).cast("int").alias("parts"))
         )
-        apart = (
-            larger.join(smaller, "sig")
-            .where(f"n_b <= n_a and c_a <> c_b and {bound}")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
+        tiles = (
+            self._sets(docs, clusters.select("id"))
+            .join(clusters, "id")
+            .join(parts, "cluster")
+            .withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "tokens")
         )
-        more = scratch.keep(self._verify(apart, sets).select("a", "b"), "more")
-        scratch.drop(in_use, placed, open_rows, sets)
-        joined = components(links.unionByName(more), scratch).withColumnRenamed("id", "rep")
+        links = scratch.keep(self._verified(tiles), "links")
+        joined = components(links, scratch).withColumnRenamed("id", "rep")
         return members.join(joined, "rep", "left").select(
             "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id")
         )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +46,21 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             conf = self.spark.sparkContext._jsc.hadoopConfiguration()
             path.getFileSystem(conf).delete(path, True)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of each key, one key at a time, from batches ordered by the keys."""
+    held, key = [], None
+    for batch in batches:
+        values = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        begin = 0
+        for i in range(1, len(values) + 1):
+            if i < len(values) and values[i] == values[begin]:
+                continue
+            if held and values[begin] != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, i - begin))
+            key, begin = values[begin], i
+    if held:
+        yield pa.Table.from_batches(held)
