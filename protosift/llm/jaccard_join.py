@@ -89,6 +89,8 @@ def _signatures(sets: list[np.ndarray], ids: np.ndarray, threshold: Fraction) ->
         band = own - below
         reach = np.array([-(-threshold.numerator * int(n) // threshold.denominator) for n in sizes])
         here = (band >= 0) & (reach <= bands.top[band])
+        if not here.any():
+            continue
         partner = np.minimum(sizes, bands.top[band])
         needed = ((threshold.denominator - threshold.numerator) * (sizes + partner)) // (
             threshold.denominator + threshold.numerator
@@ -109,7 +111,7 @@ def _signatures(sets: list[np.ndarray], ids: np.ndarray, threshold: Fraction) ->
         units = np.where(two[order], 2, 1)
         run = np.cumsum(units) - units
         used = np.zeros(base[-1], bool)
-        used[order] = run - run[np.minimum(base[:-1], max(base[-1] - 1, 0))][of[order]] < needed[of[order]]
+        used[order] = run - run[np.minimum(base[:-1], len(run) - 1)][of[order]] < needed[of[order]]
         role = np.where(used, SEARCHED, 0) | (INDEXED if below == 0 else 0)
         keep = role > 0
         parts.append((mix(sums ^ seed)[keep], of[keep], role[keep]))

@@ -13,9 +13,17 @@ from protosift.llm.jaccard_join import JaccardJoin
 from protosift.llm.language_id import LanguageId
 from protosift.llm.quality import QualityClassifier
 from protosift.llm.secret_scan import SecretScan
+from protosift.llm.token_store import TokenStore
 from protosift.llm.training import learnable
 
 
+def vocabulary(name: str) -> str:
+    """Path of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,6 +61,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as token ids, read back from files of addressable codes."""
+    store = TokenStore(vocabulary("word_bpe_49k.json"), end_id=2)
+    return store.round_trip(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How likely every document is of good quality."""
     docs = _table(spark, sf_dir, "documents")
@@ -77,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_jaccard_join": op2_jaccard_join,
         "op3_secret_scan": op3_secret_scan,
+        "op8_token_store": op8_token_store,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
     }
