@@ -120,7 +120,8 @@ class QualityClassifier:
             F.col(self.id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")
         )
         rows = docs.select(F.col(self.id_col).alias("_id"), F.coalesce(F.col(self.text_col).cast("string"), F.lit("")).alias("_text"))
-        sample = bounded_sample(rows.join(kept, "_id"), "_label", "_text", self.sample_rows)
+        picked = bounded_sample(kept, "_label", "_id", self.sample_rows)  # so small that it can be broadcast
+        sample = rows.join(F.broadcast(picked), "_id").dropDuplicates(["_label", "_text"])
         half = F.pmod(F.xxhash64(F.lit(2), "_text"), F.lit(2)) == 0
         chars = self.sample_chars
         found = (

@@ -10,15 +10,15 @@ def learnable(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
 
 
-def bounded_sample(rows: DataFrame, label: str, text: str, limit: int, salt: int = 1) -> DataFrame:
-    """About ``limit`` rows at most of every label, picked by a hash of the text.
+def bounded_sample(rows: DataFrame, label: str, key: str, limit: int, salt: int = 1) -> DataFrame:
+    """About ``limit`` rows at most of every label, picked by a hash of the key.
 
     The picking threshold of each label follows from how many rows it has, so no
-    ordering or limit passes rows through one task. Copies of a text are picked
-    together but only one of them stays.
+    ordering or limit passes rows through one task. Rows that agree in label and
+    key are picked together but only one of them stays.
     """
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(salt), text), 11) / F.lit(float(2**53))
-    usable = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(salt), key), 11) / F.lit(float(2**53))
+    usable = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     counts = usable.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
     keep = F.col("rows") * place < F.lit(float(limit))
-    return usable.join(F.broadcast(counts), label).where(keep).drop("rows").dropDuplicates([label, text])
+    return usable.join(F.broadcast(counts), label).where(keep).drop("rows").dropDuplicates([label, key])
