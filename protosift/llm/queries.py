@@ -8,6 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from protosift.llm.decontaminate import Decontaminator
 from protosift.llm.embedding_dedup import EmbeddingDedup
 from protosift.llm.jaccard_join import JaccardJoin
 from protosift.llm.language_id import LanguageId
@@ -61,6 +62,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, exactly or nearly."""
+    found = Decontaminator().leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as token ids, read back from files of addressable codes."""
     store = TokenStore(vocabulary("word_bpe_49k.json"), end_id=2)
@@ -91,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_jaccard_join": op2_jaccard_join,
         "op3_secret_scan": op3_secret_scan,
+        "op4_decontaminate": op4_decontaminate,
         "op8_token_store": op8_token_store,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,

@@ -92,6 +92,15 @@ def words_of(texts: list[bytes], letters: np.ndarray) -> Words:
     return Words(hashes, owner, first, start - begins[owner], end - begins[owner])
 
 
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of n words, wherever texts begin or end."""
+    last = max(0, len(hashes) - n + 1)
+    total = np.full(last, n * _STEP % 2**64, _U)
+    for j in range(n):
+        total = mix(total) * _U(3) + hashes[j : last + j]
+    return mix(total)
+
+
 def shingles_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and owner of each shingle of ``width`` words, in order.
 
@@ -100,20 +109,15 @@ def shingles_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """
     h, owner = words.hashes, words.owner
     sizes = np.diff(words.first)
-    found, owners, at = [], [], []
+    found, owners, at = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in range(1, width + 1):
         last = len(h) - n + 1
-        if last <= 0:
-            break
-        total = np.full(last, n * _STEP % 2**64, _U)
-        for j in range(n):
-            total = mix(total) * _U(3) + h[j : last + j]
+        if last <= 0 or not (sizes == n).any() and n < width:
+            continue
         here = np.flatnonzero((owner[:last] == owner[n - 1 :]) & ((sizes[owner[:last]] == n) | (n == width)))
-        found.append(mix(total[here]))
+        found.append(grams(h, n)[here])
         owners.append(owner[here])
         at.append(here)
-    if not found:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
     order = np.argsort(np.concatenate(at), kind="stable")
     return np.concatenate(found)[order], np.concatenate(owners)[order]
 
