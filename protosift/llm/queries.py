@@ -12,6 +12,7 @@ from protosift.llm.decontaminate import Decontaminator
 from protosift.llm.embedding_dedup import EmbeddingDedup
 from protosift.llm.jaccard_join import JaccardJoin
 from protosift.llm.language_id import LanguageId
+from protosift.llm.piece_transducer import PieceCoder
 from protosift.llm.quality import QualityClassifier
 from protosift.llm.secret_scan import SecretScan
 from protosift.llm.token_store import TokenStore
@@ -68,6 +69,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as SentencePiece ids, and whether they decode to its text."""
+    coder = PieceCoder(vocabulary("piece_bpe_32k.model"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = coder.decode(coder.encode(docs))
+    spaced = F.translate("text", "\u2581", " ")
+    return coded.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(spaced).alias("restored")
+    )
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as token ids, read back from files of addressable codes."""
     store = TokenStore(vocabulary("word_bpe_49k.json"), end_id=2)
@@ -99,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": op2_jaccard_join,
         "op3_secret_scan": op3_secret_scan,
         "op4_decontaminate": op4_decontaminate,
+        "op7_piece_transducer": op7_piece_transducer,
         "op8_token_store": op8_token_store,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
