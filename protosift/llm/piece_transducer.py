@@ -31,7 +31,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from protosift.llm.words import chunks, mix
 
@@ -368,7 +368,7 @@ class PieceCoder:
         """The table with an array column of ids; it replaces one of that name."""
         docs = docs.drop(ids_col)
         get, at = self._compiled(docs), docs.columns.index(self.text_col)
-        schema = docs.schema.add(ids_col, "array<int>")
+        schema = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
 
         def run(batches):
             transducer = get()
@@ -387,7 +387,7 @@ class PieceCoder:
         """The table with a column of the texts that the ids spell."""
         encoded = encoded.drop(out_col)
         get, at = self._compiled(encoded), encoded.columns.index(ids_col)
-        schema = encoded.schema.add(out_col, "string")
+        schema = StructType([*encoded.schema.fields, StructField(out_col, StringType())])
 
         def run(batches):
             transducer = get()
