@@ -12,6 +12,8 @@ from protosift.llm.decontaminate import Decontaminator
 from protosift.llm.embedding_dedup import EmbeddingDedup
 from protosift.llm.jaccard_join import JaccardJoin
 from protosift.llm.language_id import LanguageId
+from protosift.llm.pii import KINDS as PII_KINDS
+from protosift.llm.pii import Pseudonymiser
 from protosift.llm.piece_transducer import PieceCoder
 from protosift.llm.quality import QualityClassifier
 from protosift.llm.secret_scan import SecretScan
@@ -69,6 +71,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms in place of personal values."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = Pseudonymiser(b"registered query: not a secret").apply(docs, "text_out")
+    counts = (F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in PII_KINDS)
+    return found.select("doc_id", *counts, F.col("text_out").alias("text"))
+
+
 def op7_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as SentencePiece ids, and whether they decode to its text."""
     coder = PieceCoder(vocabulary("piece_bpe_32k.model"))
@@ -111,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": op2_jaccard_join,
         "op3_secret_scan": op3_secret_scan,
         "op4_decontaminate": op4_decontaminate,
+        "op6_pseudonyms": op6_pseudonyms,
         "op7_piece_transducer": op7_piece_transducer,
         "op8_token_store": op8_token_store,
         "op9_quality_classifier": op9_quality_classifier,
