@@ -75,7 +75,7 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms in place of personal values."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = Pseudonymiser(b"registered query: not a secret").apply(docs, "text_out")
-    counts = (F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in PII_KINDS)
+    counts = (F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in PII_KINDS)
     return found.select("doc_id", *counts, F.col("text_out").alias("text"))
 
 
