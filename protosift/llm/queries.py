@@ -8,6 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from protosift.llm.chat_template import ChatFormatter
 from protosift.llm.decontaminate import Decontaminator
 from protosift.llm.embedding_dedup import EmbeddingDedup
 from protosift.llm.jaccard_join import JaccardJoin
@@ -71,6 +72,28 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one of control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    read = ChatFormatter.read_back(ChatFormatter().format(turns))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms in place of personal values."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -121,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": op2_jaccard_join,
         "op3_secret_scan": op3_secret_scan,
         "op4_decontaminate": op4_decontaminate,
+        "op5_chat_format": op5_chat_format,
         "op6_pseudonyms": op6_pseudonyms,
         "op7_piece_transducer": op7_piece_transducer,
         "op8_token_store": op8_token_store,
@@ -163,8 +187,27 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id"""
 
 
+CHAT_SQL = """WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+parts AS (
+  SELECT *, role || text AS said FROM turns),
+sized AS (
+  SELECT *, length(said) + length(said) - length(replace(said, chr(92), ''))
+    + len(regexp_extract_all(role, '</?s>|\\[/?INST\\]')) + len(regexp_extract_all(text, '</?s>|\\[/?INST\\]')) + 22 AS chars
+  FROM parts)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_dedup": EMBEDDING_SQL,
         "op2_jaccard_join": JACCARD_SQL,
+        "op5_chat_format": CHAT_SQL,
     }
