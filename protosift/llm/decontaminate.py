@@ -15,6 +15,7 @@ deviation of 6; the radius lies three of them above.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -172,16 +173,21 @@ class Decontaminator:
 
     def leaks(self, docs: DataFrame, items: DataFrame, item_id="item_id", item_text="text") -> DataFrame:
         """(id, item_id, similarity, begin, end): the best window of each item, in words."""
+        found = None
+        for rows in self._item_groups(items, item_id, item_text):
+            part = self._leaks(docs, rows)
+            found = part if found is None else found.unionByName(part)
+        return found
+
+    @staticmethod
+    def _item_groups(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+        """The items in groups of about ``ITEM_CHARS``; each takes a pass over the documents."""
         items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
         total = items.agg(F.sum(F.length("text"))).first()[0] or 0
         passes = 1 + total // ITEM_CHARS
-        found = None
         for k in range(passes):
             some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-            rows = sorted((r.item_id, r.text or "") for r in some.collect() if r.item_id is not None)
-            part = self._leaks(docs, rows)
-            found = part if found is None else found.unionByName(part)
-        return found
+            yield sorted((r.item_id, r.text or "") for r in some.collect() if r.item_id is not None)
 
     def _leaks(self, docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         known, width, threshold = docs.sparkSession.sparkContext.broadcast(items), self.width, self.threshold
@@ -201,3 +207,24 @@ class Decontaminator:
 
         rows = docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).cast("string").alias("text"))
         return rows.mapInArrow(run, "id long, item_id long, similarity double, begin long, end long")
+
+    def flag(self, docs: DataFrame, items: DataFrame, out_col: str = "leaks", item_id="item_id", item_text="text") -> DataFrame:
+        """The table with a column that counts the items found in each document;
+        it replaces one of that name."""
+        docs = docs.drop(out_col).withColumn(out_col, F.lit(0).cast("long"))
+        at, width, threshold = docs.columns.index(self.text_col), self.width, self.threshold
+        for rows in self._item_groups(items, item_id, item_text):
+            known = docs.sparkSession.sparkContext.broadcast(rows)
+
+            def run(batches, known=known):
+                index = ItemIndex(known.value, width)
+                for batch in batches:
+                    texts = batch.column(at).to_pylist()
+                    counts = batch.column(out_col).to_numpy().copy()
+                    for begin, end in chunks([len(t or "") for t in texts]):
+                        for text, *_ in leaks_of([normal(t) for t in texts[begin:end]], index, threshold):
+                            counts[begin + text] += 1
+                    yield batch.set_column(batch.schema.names.index(out_col), out_col, pa.array(counts))
+
+            docs = docs.mapInArrow(run, docs.schema)
+        return docs

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from protosift.llm.training import bounded_sample, learnable
 from protosift.llm.words import chunks
@@ -167,24 +168,38 @@ class LanguageId:
         found = sample.select("label", F.left("text", F.lit(self.sample_chars)).alias("text")).orderBy("label", "text").collect()
         return LanguageModel.fit([r.text.lower().encode() for r in found], [r.label for r in found])
 
+    def _predicted(self, texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+        names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        for begin, end in chunks([len(t or "") for t in texts]):
+            known = [t is not None and any(map(str.isalpha, t)) and bool(model.languages) for t in texts[begin:end]]
+            at = begin + np.flatnonzero(known)
+            if len(at):
+                best, score = model.predict(features([texts[i].lower().encode() for i in at]))
+                names[at], scores[at] = np.array(model.languages, object)[best], score
+        return names, scores
+
     def predict(self, docs: DataFrame, model: LanguageModel) -> DataFrame:
         """(id, lang_pred, score) of every document, from its whole text."""
 
         def run(batches):
             for batch in batches:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                for begin, end in chunks([len(t or "") for t in texts]):
-                    some = texts[begin:end]
-                    known = np.array([t is not None and any(map(str.isalpha, t)) for t in some]) & bool(model.languages)
-                    names, scores = np.full(len(some), UNKNOWN, object), np.zeros(len(some))
-                    at = np.flatnonzero(known)
-                    if len(at):
-                        best, score = model.predict(features([some[i].lower().encode() for i in at]))
-                        names[at], scores[at] = np.array(model.languages, object)[best], score
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(begin, end - begin), pa.array(names, pa.string()), pa.array(scores)],
-                        names=["id", "lang_pred", "score"],
-                    )
+                names, scores = self._predicted(batch.column(1).to_pylist(), model)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"]
+                )
 
         rows = docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).cast("string").alias("text"))
         return rows.mapInArrow(run, "id long, lang_pred string, score double")
+
+    def label(self, docs: DataFrame, model: LanguageModel, out_col: str = "lang_pred") -> DataFrame:
+        """The table with a column of predicted languages, which replaces one of its name."""
+        docs = docs.drop(out_col)
+        at = docs.columns.index(self.text_col)
+        schema = StructType([*docs.schema.fields, StructField(out_col, StringType())])
+
+        def run(batches):
+            for batch in batches:
+                names, _ = self._predicted(batch.column(at).to_pylist(), model)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, out_col])
+
+        return docs.mapInArrow(run, schema)
