@@ -30,7 +30,9 @@ def _least_of_greatest(
     the bound, can improve it; a row whose bounds are all 0 is never sent out.
     """
     names = list(degrees)
-    own = rows.withColumns(degrees)
+    # 1 - similarity is never below 0, so neither is the result: memberships
+    # outside [0, 1] are floored before a row's own degree bounds anything.
+    own = rows.withColumns({n: F.greatest(F.lit(0.0), c) for n, c in degrees.items()})
     found = profiles_of(own, spec.attributes, spec.id, *[F.min(c).alias(c) for c in names])
     table = found.df.select(RID, *spec.attributes, *names)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import block_of
 from protosift.functions.harmonic import harmonic
-from protosift.operators.owa import owa, owa_of_few
+from protosift.operators.owa import owa_of_few
 from protosift.operators.stats import scale
 from protosift.plans.blocks import Held
 from protosift.plans.lineage import cut_lineage, reusable
@@ -26,7 +26,6 @@ from protosift.plans.tiles import BLOCK, pair_all, run_tasks
 from protosift.spec import RowSpec
 
 OUTCOME = "_outcome"
-MAX_BLOCKS = 4096
 
 
 @dataclass(frozen=True)
@@ -54,55 +53,59 @@ def _degrees(view, part, rows, batch, jaccard):
     return degree, conflict
 
 
+def _sorted_conflicts(spec: RowSpec, jaccard: str, rows: pd.DataFrame, batch: pd.DataFrame):
+    """Of each slice of the batch: the rows' ids, the conflict degrees of each row
+    in rising order and how many rows each degree stands for. A pair without
+    conflict comes last, as infinity with a count of 0."""
+    held = Held(spec, rows)
+    copies = rows[COPIES].to_numpy("int64")
+    view, ids = held.seen_from(batch), batch[RID].to_numpy()
+    for part in view.slices():
+        degree, conflict = _degrees(view, part, rows, batch, jaccard)
+        degree[~conflict] = np.inf
+        if (copies == 1).all():
+            degree.sort(axis=1)
+            times = np.isfinite(degree).astype("int64")
+        else:
+            order = degree.argsort(axis=1)
+            degree = np.take_along_axis(degree, order, axis=1)
+            times = np.where(np.isfinite(degree), copies[order], 0)
+        yield ids[part], degree, times
+
+
+def _averages(degree: np.ndarray, times: np.ndarray) -> dict[str, np.ndarray]:
+    """Ordered weighted average, count and range of each row's degrees."""
+    after = np.cumsum(times, axis=1)
+    count = after[:, -1]
+    weight = np.where(times == 1, 1.0 / np.maximum(after, 1), harmonic(after) - harmonic(after - times))
+    top = np.where(times > 0, degree, 0.0) * weight
+    found = count > 0
+    last = np.maximum((times > 0).sum(axis=1) - 1, 0)
+    return {
+        "owa": np.where(found, top.sum(axis=1), np.nan) / np.where(found, harmonic(count), 1.0),
+        "n_values": count,
+        "least": np.where(found, degree[:, 0], np.nan),
+        "greatest": np.where(found, degree[np.arange(len(degree)), last], np.nan),
+    }
+
+
 def _average_kernel(spec: RowSpec, jaccard: str):
     """Kernel: the ordered weighted average of each row's conflicts in a block."""
 
     def kernel(rows: pd.DataFrame):
-        # A few copies are cheaper to repeat than to weigh.
-        if rows[COPIES].sum() <= 3 * len(rows):
-            rows = rows.loc[rows.index.repeat(rows[COPIES])].assign(**{COPIES: 1})
-        held = Held(spec, rows)
-        copies = rows[COPIES].to_numpy("int64")
-        single = bool((copies == 1).all())
         block = rows[BLOCK].iloc[0]
-        weights = 1.0 / np.arange(1, held.size + 1)
-
-        def average(values, times):
-            """Values in order, their weighted sum and the sum of the weights."""
-            if single:
-                values.sort()
-                return values, values @ weights[: len(values)], len(values)
-            if not len(values):
-                return values, 0.0, 0
-            order = values.argsort()
-            values, after = values[order], np.cumsum(times[order])
-            before = after - times[order]
-            run = np.where(
-                times[order] == 1, 1.0 / (before + 1.0), harmonic(after) - harmonic(before)
-            )
-            return values, values @ run, after[-1]
 
         def reduce(batch):
-            view = held.seen_from(batch)
-            ids = batch[RID].to_numpy()
-            found = []
-            for part in view.slices():
-                degree, conflict = _degrees(view, part, rows, batch, jaccard)
-                for id, d, c in zip(ids[part], degree, conflict):
-                    values, top, count = average(d[c], None if single else copies[c])
-                    edges = (values[0], values[-1]) if count else (np.nan, np.nan)
-                    found.append((id, block, top, count, *edges))
-            out = pd.DataFrame(found, columns=[RID, BLOCK, "owa", "n_values", "least", "greatest"])
-            total = harmonic(out["n_values"].to_numpy())
-            yield out.assign(owa=out["owa"] / np.where(total > 0, total, np.nan))
+            for ids, degree, times in _sorted_conflicts(spec, jaccard, rows, batch):
+                yield pd.DataFrame({RID: ids, BLOCK: block, **_averages(degree, times)})
 
         return reduce
 
     return kernel
 
 
-def _value_kernel(spec: RowSpec, jaccard: str):
-    """Kernel for parts of a block: distinct conflict degrees and their counts."""
+def _summary_kernel(spec: RowSpec, jaccard: str):
+    """Kernel: how many conflicts a row has with a part of a block, and their range."""
 
     def kernel(rows: pd.DataFrame):
         held = Held(spec, rows)
@@ -110,22 +113,56 @@ def _value_kernel(spec: RowSpec, jaccard: str):
         block = rows[BLOCK].iloc[0]
 
         def reduce(batch):
-            view = held.seen_from(batch)
-            ids = batch[RID].to_numpy()
+            view, ids = held.seen_from(batch), batch[RID].to_numpy()
             for part in view.slices():
                 degree, conflict = _degrees(view, part, rows, batch, jaccard)
-                row, column = np.nonzero(conflict)
-                pairs = pd.DataFrame(
-                    {RID: ids[part][row], "_degree": degree[row, column], "_n": copies[column]}
+                count = conflict @ copies
+                least = np.where(conflict, degree, np.inf).min(axis=1)
+                greatest = np.where(conflict, degree, -np.inf).max(axis=1)
+                yield pd.DataFrame(
+                    {
+                        RID: ids[part],
+                        BLOCK: block,
+                        "n_values": count,
+                        "least": np.where(count > 0, least, np.nan),
+                        "greatest": np.where(count > 0, greatest, np.nan),
+                    }
                 )
-                merged = pairs.groupby([RID, "_degree"], as_index=False, sort=False).sum()
-                yield merged.assign(**{BLOCK: block})[[RID, BLOCK, "_degree", "_n"]]
 
         return reduce
 
     return kernel
 
 
+def _run_kernel(spec: RowSpec, jaccard: str):
+    """Kernel for parts of a block: a row's degrees as one sorted run of bytes."""
+
+    def kernel(rows: pd.DataFrame):
+        block = rows[BLOCK].iloc[0]
+
+        def reduce(batch):
+            for ids, degree, times in _sorted_conflicts(spec, jaccard, rows, batch):
+                sizes = (times > 0).sum(axis=1)
+                runs = [(d[:n].tobytes(), t[:n].tobytes()) for d, t, n in zip(degree, times, sizes)]
+                yield pd.DataFrame(
+                    {RID: ids, BLOCK: block, "_degrees": [r[0] for r in runs], "_times": [r[1] for r in runs]}
+                )
+
+        return reduce
+
+    return kernel
+
+
+def _merge_runs(runs: pd.DataFrame) -> pd.DataFrame:
+    """The average over the sorted runs that the parts of a block found for a row."""
+    degree = np.concatenate([np.frombuffer(x, "float64") for x in runs["_degrees"]])
+    times = np.concatenate([np.frombuffer(x, "int64") for x in runs["_times"]])
+    order = degree.argsort(kind="stable")  # merges sorted runs
+    empty = {"owa": [np.nan], "n_values": [0], "least": [np.nan], "greatest": [np.nan]}
+    found = _averages(degree[order][None, :], times[order][None, :]) if len(degree) else empty
+    return pd.DataFrame({RID: [runs[RID].iat[0]], BLOCK: [runs[BLOCK].iat[0]], **found})
+
+
 @dataclass(frozen=True)
 class _Job:
     rows: DataFrame
@@ -136,11 +173,19 @@ class _Job:
 
 
 def _partial_averages(
-    df: DataFrame, spec: RowSpec, blocks: int, jaccard: str, settings: ConflictSettings
+    df: DataFrame, spec: RowSpec, blocks: int, jaccard: str, settings: ConflictSettings, summary: bool = False
 ) -> _Job:
-    """Average of each row profile within each block of compared rows."""
-    if not 1 <= blocks <= MAX_BLOCKS:
-        raise ValueError(f"blocks has to be between 1 and {MAX_BLOCKS}")
+    """Average of each row profile within each block of compared rows, or with
+    ``summary`` only the count and range of its conflicts.
+
+    A task holds one block, or a part of one that is larger than the settings
+    allow. Parts leave one row per probing row each: mergeable counts for a
+    summary, and for averages, which depend on the rank of every conflict, one
+    sorted run. So the rows that are shuffled never exceed rows times parts; the
+    bytes of the runs still grow with the conflicts of a row.
+    """
+    if blocks < 1:
+        raise ValueError("blocks has to be at least 1")
     scaled = scale(reusable(spec.conform(df)), spec, "minmax").withColumnRenamed(spec.label, OUTCOME)
     keys = (*spec.attributes, OUTCOME)
     profiles = profiles_of(scaled, keys, spec.id)
@@ -156,37 +201,49 @@ def _partial_averages(
                 F.min(spec.id).alias(RID), F.count(F.lit(1)).alias(COPIES)
             )
         ).select(*columns)
-    # One row per block of the caller, MAX_BLOCKS at most.
+    # One row per block of the caller.
     sizes = {r[0]: r[1] for r in held.groupBy(BLOCK).count().collect()}
     limit = settings.held(spec)
-    whole = sorted(b for b, n in sizes.items() if n <= limit)
-    split = sorted(b for b, n in sizes.items() if n > limit)
+    parts = {b: -(-n // limit) for b, n in sorted(sizes.items())}
     probing = profiles.df.withColumn(BLOCK, F.lit(0).cast("long")).select(*columns)
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    averages = f"{RID} long, {BLOCK} long, owa double, n_values long, least double, greatest double"
-    partial = None
-    for chosen, kernel_of in ((whole, _average_kernel), (split, _value_kernel)):
-        if not chosen:
-            continue
-        parts = {b: -(-sizes[b] // limit) for b in chosen}
+    edges = "least double, greatest double"
+    averages = f"{RID} long, {BLOCK} long, owa double, n_values long, {edges}"
+
+    def found_in(chosen: dict[int, int], kernel, schema: str) -> DataFrame:
         chunks = max(
             -(-profiles.rows // settings.probing_rows),
             min(2 * parallelism // len(chosen) + 1, -(-profiles.rows // settings.least_rows)),
         )
-        routed, tasks = pair_all(held, probing, parts, chunks)
-        kernel = kernel_of(spec, jaccard)
-        if chosen is whole:
-            found = run_tasks(routed, tasks, kernel, averages)
-        else:
-            # A block too large for one task: its degrees are merged by value,
-            # and ranked by the cluster instead of in a task.
-            schema = f"{RID} long, {BLOCK} long, _degree double, _n long"
-            values = run_tasks(routed, tasks, kernel, schema)
-            found = owa(values, [RID, BLOCK], "_degree", count="_n")
-        partial = found if partial is None else partial.unionByName(found)
-    if partial is None:
-        partial = df.sparkSession.createDataFrame([], averages)
-    return _Job(scaled, spec, profiles, partial, sorted(sizes))
+        routed, tasks = pair_all(held.join(F.broadcast(_as_rows(df, chosen)), BLOCK, "left_semi"), probing, chosen, chunks)
+        return run_tasks(routed, tasks, kernel(spec, jaccard), schema)
+
+    if not parts:
+        return _Job(scaled, spec, profiles, df.sparkSession.createDataFrame([], averages), [])
+    if summary:
+        partial = (
+            found_in(parts, _summary_kernel, f"{RID} long, {BLOCK} long, n_values long, {edges}")
+            .groupBy(RID)
+            .agg(
+                F.sum("n_values").alias("n_values"),
+                F.min(F.nanvl("least", F.lit(None).cast("double"))).alias("least"),
+                F.max(F.nanvl("greatest", F.lit(None).cast("double"))).alias("greatest"),
+            )
+        )
+        return _Job(scaled, spec, profiles, partial, list(parts))
+    partial = None
+    whole, split = ({b: n for b, n in parts.items() if (n == 1) == one} for one in (True, False))
+    if whole:
+        partial = found_in(whole, _average_kernel, averages)
+    if split:
+        runs = found_in(split, _run_kernel, f"{RID} long, {BLOCK} long, _degrees binary, _times binary")
+        merged = runs.groupBy(RID, BLOCK).applyInPandas(_merge_runs, averages)
+        partial = merged if partial is None else partial.unionByName(merged)
+    return _Job(scaled, spec, profiles, partial, list(parts))
+
+
+def _as_rows(df: DataFrame, blocks) -> DataFrame:
+    return df.sparkSession.createDataFrame([(b,) for b in blocks], f"{BLOCK} long")
 
 
 def quality_powa(
@@ -224,8 +281,8 @@ def quality_powa(
 
 
 def _every_block(job: _Job, value, empty: float | None) -> DataFrame:
-    """One row per profile and block, also where a split block found nothing."""
-    blocks = F.array(*[F.lit(b).cast("long") for b in job.blocks])
+    """One row per profile and block."""
+    blocks = F.split(F.lit(",".join(map(str, job.blocks))), ",").cast("array<long>")
     return (
         job.profiles.df.select(RID, F.explode(blocks).alias(BLOCK))
         .join(job.partial.select(RID, BLOCK, value), [RID, BLOCK], "left")
@@ -263,7 +320,7 @@ def conflict_summary(
 ) -> DataFrame:
     """``id, conflicts, least, greatest``: how many rows conflict with a row,
     and the range of their conflict degrees (null without conflicts)."""
-    job = _partial_averages(df, spec, 1, jaccard, settings)
+    job = _partial_averages(df, spec, 1, jaccard, settings, summary=True)
     names = ("n_values", "least", "greatest")
     found = job.partial.select(RID, *[F.col(c).alias(f"_{c}") for c in names])
     rows = hand_back(job.rows, spec.id, found, job.profiles, *[f"_{c}" for c in names])

@@ -20,11 +20,17 @@ from protosift.spec import RowSpec
 
 FOLD, STEP, LABEL = "_fold", "_step", "_label"
 NO_FOLD = -2_000_000_000
+# Largest rank that a window limits before the shuffle, and shares of a key beyond.
+RANKED, SALTS = 1000, 64
 
 # Neighbour rows of a profile -> one Column: the weight of a neighbour, from its
 # distance and the least and greatest distance among the k.
 Weighting = Callable[[Column, Column, Column], Column]
 
+# The neighbours of a row, an array of structs (rank, neighbour_id, distance,
+# neighbour_label) from the nearest on -> the predicted outcome.
+Predictor = Callable[[Column], Column]
+
 WEIGHTINGS: dict[str, Weighting] = {
     # The farthest of the k neighbours weighs 1 and the nearest 0.
     "reference": lambda d, least, most: (d - least) / (most - least),
@@ -124,6 +130,21 @@ def _reach(k: int, steps: int) -> Reach:
     return Reach(bounds, relevant, [f"_bound_{s}" for s in range(steps)], carried=LABEL)
 
 
+def lowest(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The ``k`` first rows of each key, with their rank in ``_rank``.
+
+    Up to ``RANKED`` the limit is applied before rows are shuffled. For larger k,
+    where it is not, rows of a key are first ranked in ``SALTS`` shares, so
+    that a key with very many rows is never sorted by one task.
+    """
+    first = Window.partitionBy(*keys).orderBy(*order)
+    if k > RANKED:
+        share = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        df = salted.withColumn("_rank", F.row_number().over(share)).where(F.col("_rank") <= k).drop("_salt", "_rank")
+    return df.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k)
+
+
 def search(
     tests: DataFrame,
     prototypes: DataFrame,
@@ -153,12 +174,9 @@ def search(
         prototypes = prototypes.withColumn(STEP, F.lit(0))
     profiles = profiles_of(tests, (*spec.attributes, FOLD), spec.id)
 
-    # Of many copies only the k lowest ids can be neighbours; the limit is
-    # applied before the shuffle, so a frequent profile stays small.
-    copies = Window.partitionBy(*spec.attributes, FOLD, STEP).orderBy(spec.id)
+    # Of many copies only the k lowest ids can be neighbours.
     held = cut_lineage(
-        prototypes.withColumn("_copy", F.row_number().over(copies))
-        .where(F.col("_copy") <= k)
+        lowest(prototypes, [*spec.attributes, FOLD, STEP], [spec.id], k)
         .select(
             F.col(spec.id).alias(RID), *spec.attributes, FOLD,
             F.col(STEP).cast("int").alias(STEP), F.col(spec.label).alias(LABEL),
@@ -180,10 +198,12 @@ def search(
         [F.min(STEP).alias("_first_step")],
         settings,
     )
+    order = ["distance", "neighbour_id"]
     if steps > 1:
+        # Only the k first of a step can be among those of a later one.
+        found = lowest(found, [RID, STEP], order, k).drop("_rank")
         found = found.withColumn(STEP, F.explode(F.sequence(F.col(STEP), F.lit(steps - 1))))
-    nearest = Window.partitionBy(RID, STEP).orderBy("distance", "neighbour_id")
-    found = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    found = lowest(found, [RID, STEP], order, k).withColumnRenamed("_rank", "rank")
     return Search(tests, profiles, found)
 
 
@@ -207,10 +227,16 @@ def predictions_of(found: DataFrame, weighting: str | Weighting) -> DataFrame:
     )
 
 
+def predictions_by(found: DataFrame, predictor: Predictor) -> DataFrame:
+    """One predicted outcome per test profile and step, from its neighbours in order."""
+    nearest = F.sort_array(F.collect_list(F.struct("rank", "neighbour_id", "distance", "neighbour_label")))
+    return found.groupBy(RID, STEP).agg(nearest.alias("_nearest")).select(RID, STEP, predictor(F.col("_nearest")).alias("predicted"))
+
+
 def _prepared(tests: DataFrame, prototypes: DataFrame, spec: RowSpec, scaling: str | None):
     """Conformed tables; ranges, when asked for, are those of the prototypes."""
     same = tests is prototypes
-    tests = reusable(spec.conform(tests))
+    tests = reusable(spec.conform(tests, labelled=same))
     prototypes = tests if same else reusable(spec.conform(prototypes))
     if scaling is None:
         return tests, prototypes
@@ -255,6 +281,7 @@ def knn_predict(
     k: int,
     *,
     weighting: str | Weighting = "reference",
+    predictor: Predictor | None = None,
     on_empty: str = "own_label",
     folds: int | None = None,
     scaling: str | None = None,
@@ -263,6 +290,9 @@ def knn_predict(
 ) -> DataFrame:
     """``id``, ``actual`` and ``predicted`` of every test row.
 
+    ``predictor`` replaces the weighted mean by any expression over the array of
+    a row's neighbours. Test rows need no label; ``actual`` is null then.
+
     ``weighting="reference"`` gives the farthest of the k neighbours weight 1
     and the nearest weight 0; ``"nearest"`` turns that round and ``"uniform"``
     is the mean. A row without neighbours
@@ -272,7 +302,8 @@ def knn_predict(
         raise ValueError(f"unknown on_empty {on_empty!r}")
     tests, prototypes = _prepared(tests, prototypes, spec, scaling)
     result = search(tests, prototypes, spec, k, folds=folds, jaccard=jaccard, settings=settings)
-    predicted = predictions_of(result.found, weighting).withColumnRenamed("predicted", "_predicted")
+    found = predictions_by(result.found, predictor) if predictor else predictions_of(result.found, weighting)
+    predicted = found.withColumnRenamed("predicted", "_predicted")
     rows = hand_back(result.tests, spec.id, predicted, result.profiles, "_predicted")
     actual = F.col(spec.label)
     value = F.coalesce("_predicted", actual) if on_empty == "own_label" else F.col("_predicted")

@@ -10,7 +10,7 @@ tasks as their number asks for.
 The distance is a metric, so a row far from a pivot has a known least distance
 to the cell around it. A row is not sent to a cell only when that least
 distance shows that the cell cannot change its result. What the driver sees is
-bounded: at most ``MAX_CELLS`` pivots and cell summaries.
+bounded: at most ``MOST_CELLS`` pivots and cell summaries.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ from protosift.spec import RowSpec
 cloudpickle.register_pickle_by_value(sys.modules["protosift"])
 
 TASK, PROBING, BLOCK, CELL = "_task", "_probing", "_block", "_cell"
-MAX_CELLS = 1024
+# Cells grow with the root of the rows; the driver holds a row for each.
+LEAST_CELLS, MOST_CELLS = 1024, 32_768
 MAX_PROBES = 16_384
 SAMPLED = 4096
 MAX_PARTITIONS = 20_000
@@ -57,7 +58,12 @@ class TileSettings:
     tile_rows: int | None = None
     cell_rows: int = 1024
     least_rows: int = 256
-    max_cells: int = MAX_CELLS
+    max_cells: int | None = None
+
+    def cells(self, held: int) -> int:
+        """Cells at most: a row is compared with every pivot and with the rows of
+        some cells, which is least for about the root of the rows."""
+        return self.max_cells or int(np.clip(math.isqrt(held), LEAST_CELLS, MOST_CELLS))
 
     def rows(self, spec: RowSpec) -> int:
         """Rows of a tile: about 16 MB of attributes, 65,536 rows at most."""
@@ -132,9 +138,9 @@ def plan_layout(
     tile = settings.rows(spec)
 
     # Pivots and probes are held rows, so a distance to one is a real distance.
-    wanted = int(np.clip(-(-n_held // min(tile, settings.cell_rows)), 2, settings.max_cells))
-    n_probes = int(np.clip(4 * math.isqrt(n_held), max(wanted, 64), MAX_PROBES))
-    probes = _sample(held, n_probes)
+    wanted = int(np.clip(-(-n_held // min(tile, settings.cell_rows)), 2, settings.cells(n_held)))
+    n_probes = int(np.clip(4 * math.isqrt(n_held), max(wanted, 64), max(wanted, MAX_PROBES)))
+    probes = _sample(held, n_probes, n_held)
     pivots = probes.head(wanted)
 
     def place_held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +196,7 @@ def plan_layout(
         return of
 
     # How many rows come to each cell is estimated; any number would be right.
-    sample = _sample(probing, SAMPLED)
+    sample = _sample(probing, SAMPLED, n_probing)
     coming = needs()(sample).mean(axis=0) * n_probing if len(sample) else np.zeros(len(rows))
     parts = np.maximum(1, -(-rows // tile))
     chunks = np.ceil(coming * np.minimum(rows, tile) / TASK_PAIRS).clip(1).astype("int64")
@@ -207,9 +213,19 @@ def plan_layout(
     return Layout(held, probing, needs, parts, chunks, ends - chunks * parts, int(ends[-1]))
 
 
-def _sample(df: DataFrame, rows: int) -> pd.DataFrame:
-    """A repeatable sample of bounded size."""
-    return df.orderBy(F.xxhash64(RID), RID).limit(rows).toPandas()
+def _sample(df: DataFrame, rows: int, total: int) -> pd.DataFrame:
+    """A repeatable sample of ``rows`` of ``total`` rows, the same however the
+    table is partitioned.
+
+    Rows whose hash is low enough are picked where they are, a few more than
+    wanted, so the driver gets a small multiple of ``rows`` in all.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(RID), 11) / F.lit(float(2**53))
+    share = (rows + 6 * math.sqrt(rows) + 32) / max(1, total)
+    picked = df.withColumn("_place", place)
+    picked = picked if share >= 1 else picked.where(F.col("_place") < share)
+    found = picked.toPandas().sort_values(["_place", RID], ignore_index=True)
+    return found.head(rows).drop(columns="_place")
 
 
 def _send_held(layout: Layout, columns: list[str]) -> DataFrame:
@@ -336,17 +352,19 @@ def pair_all(
     else:
         total = sum(parts.values())
         first = dict(zip(parts, itertools.accumulate(parts.values(), initial=0)))
-        held = held.where(F.col(BLOCK).isin(list(parts)))
-        start, count = (
-            F.create_map(*[number(x) for pair in of.items() for x in pair])[F.col(BLOCK)]
-            for of in (first, parts)
+        # One row per block, as many as the caller asked for.
+        tiles = [(b, first[b], n) for b, n in parts.items()]
+        tiles = held.sparkSession.createDataFrame(tiles, f"{BLOCK} long, _start long, _count long")
+        columns = held.columns
+        held = held.join(F.broadcast(tiles), BLOCK).select(
+            *columns, (F.col("_start") + F.pmod(F.xxhash64(RID), "_count")).alias("_part")
         )
-        part = start + F.pmod(F.xxhash64(RID), count)
+        part = F.col("_part")
     chunk = F.pmod(F.xxhash64(RID), number(chunks)) * number(total)
     to_chunks = F.sequence(part, part + number((chunks - 1) * total), number(total))
     to_parts = F.sequence(chunk, chunk + number(total - 1), number(1))
     return (
-        held.withColumns({TASK: F.explode(to_chunks), PROBING: F.lit(0)}).unionByName(
+        held.withColumns({TASK: F.explode(to_chunks), PROBING: F.lit(0)}).select(*probing.columns, TASK, PROBING).unionByName(
             probing.withColumns({TASK: F.explode(to_parts), PROBING: F.lit(1)})
         ),
         chunks * total,

@@ -55,19 +55,22 @@ class RowSpec:
             raise ValueError("no numeric attribute left")
         return replace(self, string=(), bitset=(), distance=None)
 
-    def conform(self, df: DataFrame, *extra: str) -> DataFrame:
+    def conform(self, df: DataFrame, *extra: str, labelled: bool = True) -> DataFrame:
         """Typed projection of ``df``; a missing attribute becomes 0, '' or {}.
 
-        Not-a-number counts as missing. Labels are expected to be there.
+        Not-a-number counts as missing. Rows without a label cannot take part
+        in a job and are left out, unless ``labelled`` is off: rows that are only
+        predicted need none.
         """
-        return df.selectExpr(
+        rows = df.selectExpr(
             f"CAST(`{self.id}` AS long) AS `{self.id}`",
             *[f"coalesce(nanvl(CAST(`{c}` AS double), 0D), 0D) AS `{c}`" for c in self.numeric],
             *[f"coalesce(CAST(`{c}` AS long), 0L) AS `{c}`" for c in self.bitset],
             *[f"coalesce(CAST(`{c}` AS string), '') AS `{c}`" for c in self.string],
-            f"CAST(`{self.label}` AS double) AS `{self.label}`",
+            f"nanvl(CAST(`{self.label}` AS double), CAST(NULL AS double)) AS `{self.label}`",
             *[f"`{c}`" for c in extra],
         )
+        return rows.where(f"`{self.label}` IS NOT NULL") if labelled else rows
 
     def require_unique_ids(self, df: DataFrame) -> None:
         """Raise if an id occurs twice; one shuffle with map-side counts."""
