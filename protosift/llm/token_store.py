@@ -16,15 +16,14 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections import OrderedDict
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from protosift.llm.scratch import Scratch
@@ -32,31 +31,12 @@ from protosift.llm.words import chunks
 
 MAGIC = b"DAC1"
 RANK_STEP = 512
-#: Widths that a file may choose from for its levels.
-SPLITS = ((8, 8, 16), (10, 6, 16), (12, 4, 16), (14, 18), (16, 16), (32,))
+#: Widths in bits that a file may choose from for its levels.
+SPLITS = ((8, 8, 16), (8, 8, 8, 8), (16, 16))
 #: Characters of the texts of one file, as a rule; longer texts have their own.
-FILE_CHARS = 8 << 20
-#: Words whose ids a task remembers at most; then it starts anew.
-MEMORY_WORDS = 400_000
-
-
-def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Values of ``width`` bits, back to back in bytes."""
-    if width in (8, 16, 32):
-        return values.astype(f"<u{width // 8}").view(np.uint8)
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits.reshape(-1), bitorder="little")
-
-
-def _unpack(packed: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
-    """The values at positions ``at``."""
-    if width in (8, 16, 32):
-        return packed.view(f"<u{width // 8}")[at].astype(np.uint32)
-    padded = np.concatenate([packed, np.zeros(8, np.uint8)])
-    first = at * width
-    byte = first >> 3
-    word = sum(padded[byte + k].astype(np.uint64) << np.uint64(8 * k) for k in range(5))
-    return ((word >> (first & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+FILE_CHARS = 4 << 20
+#: Words whose ids a task remembers at most, twice.
+MEMORY_WORDS = 300_000
 
 
 class Level:
@@ -65,6 +45,11 @@ class Level:
     def __init__(self, width: int, chunk: np.ndarray, going: np.ndarray | None, directory: np.ndarray | None):
         self.width, self.chunk, self.going, self.directory = width, chunk, going, directory
 
+    def span_goes_on(self, begin: int, end: int) -> np.ndarray:
+        """Which of the ids at ``begin:end`` go on."""
+        bits = np.unpackbits(self.going[begin >> 3 : -(-end // 8)], bitorder="little")
+        return bits[begin & 7 : (begin & 7) + end - begin].view(bool)
+
     def goes_on(self, at: np.ndarray) -> np.ndarray:
         return (self.going[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
@@ -84,25 +69,26 @@ class Level:
         return count
 
 
-def _split_size(ids: np.ndarray, split: tuple[int, ...]) -> int:
-    size, rest = 0, ids.astype(np.uint64)
+def _split_size(lengths: np.ndarray, split: tuple[int, ...]) -> int:
+    """Bits of a file whose ids have these numbers of bits (counts by length)."""
+    size, covered = 0, 0
     for k, width in enumerate(split):
-        size += len(rest) * (width + (k < len(split) - 1))
-        rest = rest >> np.uint64(width)
-        rest = rest[rest > 0]
+        size += int(lengths[covered + 1 :].sum() + (lengths[0] if k == 0 else 0)) * (width + (k < len(split) - 1))
+        covered += width
     return size
 
 
 def encode(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
     """The file of token ids below 2**32, of documents that end at ``ends``."""
-    rest = ids.astype(np.uint64)
-    split = min(SPLITS, key=lambda s: _split_size(ids, s))
+    rest = ids.astype(np.uint32)
+    lengths = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=33)
+    split = min(SPLITS, key=lambda s: _split_size(lengths, s))
     sections: list[tuple[str, np.ndarray]] = [("docs", doc_ids.astype("<i8")), ("ends", ends.astype("<i8"))]
     widths = []
     for k, width in enumerate(split):
         widths.append(width)
-        sections.append((f"chunk{k}", _pack((rest & np.uint64((1 << width) - 1)).astype(np.uint32), width)))
-        rest = rest >> np.uint64(width)
+        sections.append((f"chunk{k}", rest.astype(f"<u{width // 8}")))  # keeps the lowest bits
+        rest = rest >> np.uint32(width)
         going = rest > 0
         if k == len(split) - 1 or not going.any():
             break
@@ -146,7 +132,7 @@ class TokenFile:
         at = np.asarray(at, np.int64)
         out, shift, where = np.zeros(len(at), np.uint32), 0, np.arange(len(at))
         for level in self.levels:
-            out[where] |= _unpack(level.chunk, level.width, at) << np.uint32(shift)
+            out[where] |= level.chunk[at].astype(np.uint32) << np.uint32(shift)
             if level.going is None or not len(at):
                 break
             on = level.goes_on(at)
@@ -156,15 +142,17 @@ class TokenFile:
 
     def span(self, begin: int, end: int) -> np.ndarray:
         """The ids of ``begin:end``; ranks are counted once for the whole span."""
-        out, shift = np.zeros(end - begin, np.uint32), 0
-        where, first = np.arange(end - begin), begin
-        for level in self.levels:
-            at = np.arange(first, first + len(where))
-            out[where] |= _unpack(level.chunk, level.width, at) << np.uint32(shift)
-            if level.going is None or not len(at):
+        out, shift = self.levels[0].chunk[begin:end].astype(np.uint32), 0
+        first, last, where = begin, end, None
+        for level, after in zip(self.levels, self.levels[1:], strict=False):
+            on = np.flatnonzero(level.span_goes_on(first, last))
+            where = on if where is None else where[on]
+            if not len(where):
                 break
-            on = level.goes_on(at)
-            where, first, shift = where[on], int(level.rank(at[:1])[0]), shift + level.width
+            shift += level.width
+            first = int(level.rank(np.array([first]))[0])
+            last = first + len(where)
+            out[where] |= after.chunk[first:last].astype(np.uint32) << np.uint32(shift)
         return out
 
     def document(self, number: int) -> np.ndarray:
@@ -190,23 +178,27 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.memory: dict[str, list[int]] = {}
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, each text's followed by ``end_id``, and where texts end."""
-        split = [t.split(" ") for t in (t.translate(_TO_SPACE) for t in texts)]
-        if len(self.memory) > MEMORY_WORDS:
-            self.memory.clear()
-        memory = self.memory
-        new = [w for w in OrderedDict.fromkeys(chain.from_iterable(split)) if w not in memory]
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            memory[word] = found.ids
-        ids = [list(chain.from_iterable(map(memory.__getitem__, words))) for words in split]
-        ends = np.cumsum([len(x) + 1 for x in ids])
-        out = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.uint32)
-        for x, end in zip(ids, ends, strict=True):
-            out[end - 1 - len(x) : end - 1] = x
-        return out, ends
+        split = [t.translate(_TO_SPACE).split(" ") for t in texts]
+        if len(self.memory) > MEMORY_WORDS:  # what is still in use comes back from the older half
+            self.older, self.memory = self.memory, {}
+        memory, older, new = self.memory, self.older, []
+        for word in set().union(*split) - memory.keys():
+            if word in older:
+                memory[word] = older[word]
+            else:
+                new.append(word)
+        for begin in range(0, len(new), 10_000):
+            some = new[begin : begin + 10_000]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                memory[word] = array("I", found.ids).tobytes()
+        last = array("I", [end_id]).tobytes()
+        raw = [b"".join(map(memory.__getitem__, words)) + last for words in split]
+        return np.frombuffer(b"".join(raw), np.uint32), np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)
 
 
 _TO_SPACE = str.maketrans("\t\n\v\f\r", "     ")
@@ -264,12 +256,12 @@ class TokenStore:
 
     @staticmethod
     def documents(files: DataFrame) -> DataFrame:
-        """(id, file, place, offset, n_tokens, ids_crc32) of every document, read
-        from the files; ``offset`` counts ids of the file before it."""
+        """(id, file, start, n_tokens, ids_crc32) of every document, read from the
+        files; ``start`` adds the ids of the file before it to the file's ``base``."""
 
         def run(batches):
             for batch in batches:
-                for number, path in zip(*(batch.column(k).to_pylist() for k in ("file", "path")), strict=True):
+                for number, path, base in zip(*(batch.column(k).to_pylist() for k in ("file", "path", "base")), strict=True):
                     store, at = fs.FileSystem.from_uri(path)
                     with store.open_input_file(at) as source:
                         found = TokenFile(source.read())
@@ -281,15 +273,14 @@ class TokenStore:
                         [
                             pa.array(found.docs),
                             pa.array(np.full(n, number)),
-                            pa.array(np.arange(n)),
-                            pa.array(starts),
+                            pa.array(starts + base),
                             pa.array(found.ends - starts),
                             pa.array(crc, pa.int64()),
                         ],
-                        names=["id", "file", "place", "offset", "n_tokens", "ids_crc32"],
+                        names=["id", "file", "start", "n_tokens", "ids_crc32"],
                     )
 
-        schema = "id long, file long, place long, offset long, n_tokens long, ids_crc32 long"
+        schema = "id long, file long, start long, n_tokens long, ids_crc32 long"
         return files.mapInArrow(run, schema)
 
     def round_trip(self, docs: DataFrame) -> DataFrame:
@@ -298,20 +289,17 @@ class TokenStore:
         spark = docs.sparkSession
         scratch = Scratch(spark, "tokens")
         written = scratch.keep(self.write(docs, scratch.path("files")), "manifest")
-        bases = self.bases(spark, written)
-        files = written.select("file", "path").repartition(max(1, spark.sparkContext.defaultParallelism * 4), "file")
-        found = self.documents(files).join(bases, "file")
-        return found.select("id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+        placed = written.select("file", "path").join(self.bases(written), "file")
+        files = placed.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "file")
+        return self.documents(files).select("id", "start", "n_tokens", "ids_crc32")
 
     @staticmethod
-    def bases(spark: SparkSession, written: DataFrame) -> DataFrame:
+    def bases(written: DataFrame) -> DataFrame:
         """(file, base): ids in all files before each one.
 
         A running sum in two steps: over the files of a range of documents, and
         over the ranges, of which there are as many as tasks.
         """
-        from pyspark.sql import Window
-
         written = written.withColumn("part", F.shiftright("file", 32))
         totals = written.groupBy("part").agg(F.sum("n_tokens").alias("total"))
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
