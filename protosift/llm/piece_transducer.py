@@ -25,6 +25,7 @@ places are found once for each distinct stretch of text, for many at a time.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 from itertools import chain
 
@@ -150,8 +151,8 @@ class Transducer:
         keys = np.array([self._key(*_hashed(s), np.array([0]), len(s))[0] for s in spelled], _U)
         self.longest = max(map(len, spelled), default=1)
         self.arcs = _Table(keys, used)
-        self.memory: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Two pieces and what they join to, for all pieces that merges can make.
         split = used[model.left[used] != used]
         self.joins = None
@@ -215,8 +216,8 @@ class Transducer:
             a[x], b[y] = m.right[a[x]], m.left[b[y]]
         return out
 
-    def _shortest(self, stretches: list[str]) -> list[tuple[int, ...]]:
-        """Ids of the shortest path of each stretch, all at once."""
+    def _shortest(self, stretches: list[str]) -> list[bytes]:
+        """Ids of the shortest path of each stretch as 32-bit numbers, all at once."""
         m = self.model
         sizes = np.array([len(s) for s in stretches])
         joined = "".join(stretches)
@@ -290,10 +291,12 @@ class Transducer:
         spelled = np.where(fallback, -(piece - _FALLBACK) - 1, piece)[steps]
         ends = np.searchsorted(owners, np.arange(1, len(sizes) + 1)).tolist()
         odd = set(owners[spelled < 0].tolist())
-        flat, paths, at = spelled.tolist(), [], 0
+        flat, paths, at = spelled.astype(np.int32).tobytes(), [], 0
         for k, stop_at in enumerate(ends):
-            path = flat[at:stop_at]
-            paths.append(tuple(self._written(path)) if k in odd else tuple(path))
+            if k in odd:
+                paths.append(array("i", self._written(spelled[at:stop_at].tolist())).tobytes())
+            else:
+                paths.append(flat[4 * at : 4 * stop_at])
             at = stop_at
         return paths
 
@@ -310,6 +313,10 @@ class Transducer:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; an empty text has none."""
+        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_raw(texts)]
+
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
+        """The same as 32-bit numbers."""
         split = [self.stretch.findall((SPACE if self.model.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.memory) > MEMORY:  # what is still in use comes back from the older half
             self.older, self.memory = self.memory, {}
@@ -321,7 +328,7 @@ class Transducer:
                 new.append(s)
         for begin, end in chunks([len(s) for s in new], 1 << 18):
             memory.update(zip(new[begin:end], self._shortest(new[begin:end]), strict=True))
-        return [list(chain.from_iterable(map(memory.__getitem__, s))) for s in split]
+        return [b"".join(map(memory.__getitem__, s)) for s in split]
 
     def decoder(self) -> tuple[list[bytes], bool]:
         """Bytes of every id, and whether a text begins with a space of the normaliser."""
@@ -376,8 +383,12 @@ class PieceCoder:
                 texts = batch.column(at).to_pylist()
                 for begin, end in chunks([len(t or "") for t in texts]):
                     some = texts[begin:end]
-                    ids = transducer.encode([t or "" for t in some])
-                    column = pa.array([None if t is None else x for t, x in zip(some, ids, strict=True)], pa.list_(pa.int32()))
+                    raw = transducer.encode_raw([t or "" for t in some])
+                    offsets = np.cumsum([0] + [len(x) // 4 for x in raw]).astype(np.int32)
+                    null = np.append(np.array([t is None for t in some]), False)
+                    column = pa.ListArray.from_arrays(
+                        pa.array(offsets, mask=null) if null.any() else pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32))
+                    )
                     part = batch.slice(begin, end - begin)
                     yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*batch.schema.names, ids_col])
 
