@@ -85,7 +85,7 @@ def families_of(means: np.ndarray) -> np.ndarray:
     (a positive cosine), and so are those that such links join.
     """
     centred = means - means.mean(axis=0)
-    alike = centred @ centred.T > 0
+    alike = (centred @ centred.T > 0) | np.eye(len(means), dtype=bool)
     family = np.arange(len(means))
     for _ in range(len(means)):
         family = np.array([family[alike[i]].min() for i in range(len(means))])

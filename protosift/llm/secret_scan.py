@@ -132,6 +132,8 @@ class SecretScan:
                         ordinary += WORD.findall(text[max(at, min(start, chars)) : min(start, chars)])
                         at = max(at, end)
                     ordinary += WORD.findall(text[at:chars])
+                # Runs that the models are to judge cannot be samples.
+                ordinary = [w for w in ordinary if len(w) < LEAST_RUN or not _mixed(w)]
                 both = random + ordinary
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(both, pa.string()), pa.array([True] * len(random) + [False] * len(ordinary))], names=["value", "random"]

@@ -1,0 +1,212 @@
+"""Secrets, leaks, language, quality and pseudonyms on small fixtures."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from protosift.llm.decontaminate import Decontaminator
+from protosift.llm.language_id import LanguageId, families_of
+from protosift.llm.pii import Feistel, Pseudonymiser, Pseudonyms, luhn, replace_all
+from protosift.llm.quality import QualityClassifier
+from protosift.llm.secret_scan import ASSIGN, MarkovModels, SecretScan, base_spans
+
+TEXTS = "doc_id long, text string"
+HEXES = "0123456789abcdef"
+
+
+def words(rng, n, syllables=("on", "the", "er", "in", "sha", "tion", "re", "ea")):
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+# Secrets
+
+
+def brute_spans(text):
+    """The contract, character by character."""
+    spans, text = [], text or ""
+    spans += [(m.start(), "assign", m.end()) for m in re.finditer(ASSIGN.pattern, text, re.I | re.A) if len(m.group(2)) >= 12]
+    spans += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    spans += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    return sorted(spans, key=lambda s: (s[0], ("assign", "access", "hex").index(s[1])))
+
+
+def test_base_spans():
+    rng = random.Random(1)
+    parts = ["password", "PassWD", "ſecret", "secret", "api_key", "apikey", "=", ":", " ", '"', "'", "abc.def-ghi", "AKIA", "ABCDEFGH12", "0123456789abcdef", "é", "TOKEN", "deadbeef", "\n", "="]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        kinds = ("assign", "access", "hex")
+        assert [(s, kinds[k], e) for s, k, e in base_spans(text)] == brute_spans(text)
+
+
+def test_random_strings_are_found_and_words_are_not(spark):
+    rng = random.Random(2)
+    rows = [(i, words(rng, 60)) for i in range(150)]
+    rows += [(200 + i, f"{words(rng, 20)} password={''.join(rng.choice(HEXES) for _ in range(18))} {words(rng, 5)}") for i in range(60)]
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(36))
+    rows += [(900, f"the key ghp_{base64} in"), (901, "internationalisation_of_the_2 theretherethere123"), (902, None), (903, ""), (903, "")]
+    docs = spark.createDataFrame([(*r, 1, "s") for r in rows], TEXTS + ", id int, spans string")
+    scan = SecretScan()
+    models = scan.fit(docs)
+    found = {r.id: [(s.kind, s.start, s.end) for s in r.spans] for r in scan.scan(docs, models).collect()}
+    assert found[900] == [("markov", 8, 48)]
+    assert found[901] == found[902] == found[903] == []
+    for i, text in rows:
+        assert [(s, k, e) for k, s, e in found[i] if k != "markov"] == brute_spans(text)
+    redacted = scan.redact(docs, models)
+    assert redacted.schema == docs.schema and redacted.count() == docs.count()
+    masked = {r.doc_id: r.text for r in redacted.collect()}
+    assert masked[900] == "the key [SECRET] in" and masked[901] == rows[-4][1] and masked[902] is None
+    assert scan.scan(docs.limit(0), scan.fit(docs.limit(0))).collect() == []
+
+
+def test_markov_models_without_samples():
+    assert MarkovModels.fit([], []).ratio("abcDEF0123456789") == pytest.approx(0, abs=1e-9)
+
+
+# Benchmark decontamination
+
+
+def brute_leaks(docs, items, t):
+    def split(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    def bag(w, k):
+        out = {}
+        for i in range(len(w) - k + 1):
+            key = tuple(w[i : i + k])
+            out[key] = out.get(key, 0) + 1
+        return out
+
+    found = {}
+    for d, text in docs:
+        w = split(text)
+        for item, passage in items:
+            p = split(passage)
+            k = min(5, len(p))
+            if not p or len(w) < k:
+                continue
+            goal, best = bag(p, k), (0, 0)
+            for a in range(max(1, len(w) - len(p) + 1)):
+                here = bag(w[a : a + len(p)], k)
+                keys = set(here) | set(goal)
+                s = sum(min(here.get(x, 0), goal.get(x, 0)) for x in keys) / sum(max(here.get(x, 0), goal.get(x, 0)) for x in keys)
+                if s > best[0]:
+                    best = (s, -a)
+            if best[0] >= t:
+                found[d, item] = (round(best[0], 9), -best[1])
+    return found
+
+
+def test_leaks_equal_all_windows(spark):
+    rng = random.Random(4)
+    items = [(i, words(rng, n)) for i, n in enumerate([12, 12, 25, 40, 40, 60, 3, 1, 5])] + [(50, None), (51, "..."), (52, "A b, a B a b a b a b")]
+    docs = []
+    for d in range(160):
+        text = words(rng, rng.choice([0, 3, 30, 120])).split()
+        _, passage = rng.choice(items[:6])
+        leak = passage.split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            leak[rng.randrange(len(leak))] = "changed"
+        at = rng.randint(0, len(text))
+        docs.append((d, " ".join(text[:at] + (leak if d % 4 else leak[2:]) + text[at:]).title()))
+    docs += [(900, None), (901, ""), (902, "a B"), (903, "x a b a b a b a b a b y"), (904, items[3][1] + " " + items[3][1])]
+    table = spark.createDataFrame([(*d, 0, "z") for d in docs], TEXTS + ", item_id int, similarity string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.id, r.item_id): (round(r.similarity, 9), r.begin) for r in Decontaminator().leaks(table, bench).collect()}
+    wanted = brute_leaks(docs, items, 0.8)
+    assert found == wanted and len(wanted) > 60
+    flagged = Decontaminator().flag(table, bench)
+    counts = {r.doc_id: r.leaks for r in flagged.collect()}
+    assert all(counts[d] == sum(k[0] == d for k in wanted) for d, _ in docs)
+    assert Decontaminator().leaks(table.limit(0), bench).collect() == []
+    assert Decontaminator().leaks(table, bench.limit(0)).collect() == []
+
+
+# Language
+
+
+def test_languages_and_families(spark):
+    rng = random.Random(6)
+    parts = {"aa": ("ba", "bo", "bi", "lo"), "ab": ("ba", "bo", "bu", "lu"), "xx": ("zyq", "xzz", "qyx"), "xy": ("zyq", "xzz", "kyx")}
+    rows = [(i, words(rng, 30, parts[lang]), lang) for i, lang in enumerate(list(parts) * 60)]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], TEXTS + ", lang string, score double")
+    finder = LanguageId()
+    model = finder.fit(docs)
+    assert model.family[model.languages.index("aa")] == model.family[model.languages.index("ab")]
+    assert model.family[model.languages.index("aa")] != model.family[model.languages.index("xx")]
+    odd = [(900, None, None), (901, "", "aa"), (902, "12 ... 5", "aa"), (None, "ba bo bi lo bi bi", None), (904, "ba bo " * 300_000, "ab")]
+    found = finder.predict(spark.createDataFrame(rows + odd, TEXTS + ", lang string"), model).collect()
+    by_id = {r.id: r for r in found}
+    assert np.mean([by_id[i].lang_pred == lang for i, _, lang in rows]) > 0.97
+    assert all(0 <= r.score <= 1 for r in found) and len(found) == len(rows) + 5
+    assert [by_id[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and by_id[None].lang_pred == "aa"
+    nothing = finder.fit(docs.limit(0))
+    assert {r.lang_pred for r in finder.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_families_of_one_language():
+    assert families_of(np.ones((1, 4))).tolist() == [0]
+
+
+# Quality
+
+
+def test_quality(spark):
+    rng = random.Random(7)
+    good = [(i, words(rng, 80)) for i in range(300)]
+    bad = [(300 + i, " ".join(f"{w}{rng.choice(['###', '%%%', '$$$'])}" for w in words(rng, 80).split())) for i in range(300)]
+    docs = spark.createDataFrame([(*r, 5) for r in good + bad], TEXTS + ", score int")
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(600)] + [(1, None), (None, 1)], "doc_id long, quality int")
+    classifier = QualityClassifier()
+    model = classifier.fit(docs, labels, "quality")
+    found = {r.id: r.score for r in classifier.score(docs, model).collect()}
+    assert np.mean([(found[i] >= 0.5) == (i < 300) for i in range(600)]) > 0.97
+    odd = spark.createDataFrame([(1, None), (2, ""), (2, "x"), (None, "on the er")], TEXTS)
+    assert all(0 <= r.score <= 1 for r in classifier.score(odd, model).collect())
+    blank = classifier.fit(docs, labels.limit(0), "quality")
+    assert {r.score for r in classifier.score(odd, blank).collect()} == {0.5}
+
+
+# Pseudonyms
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_feistel_is_a_permutation(n):
+    network = Feistel(b"k" * 16)
+    moved = [network.permute(i, n, "t") for i in range(n)]
+    assert sorted(moved) == list(range(n))
+    assert [network.permute(v, n, "t", back=True) for v in moved] == list(range(n))
+
+
+SAMPLES = [
+    "a.b-9@mail.example.com", "+1 (668) 555-1911", "668-555-1911", "+44 20 7946 0958", "4111 1111 1111 1111", "4867410821218232",
+    "21.178.43.154", "1984-03-07", "25.12.1999", "219-09-9999", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432",
+]
+
+
+@pytest.mark.parametrize("value", SAMPLES)
+def test_pseudonyms_keep_the_format_and_come_back(value):
+    there, back = Pseudonyms(b"key" * 8), Pseudonyms(b"key" * 8, back=True)
+    moved, spans = replace_all(f"so {value}, it", there)
+    new = moved[3:-4]
+    assert len(spans) == 1 and new != value
+    kind = spans[0][0]
+    if kind not in ("ip", "email"):
+        assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", re.sub("[A-Z]{4}(?=123)", new[4:8] if "WEST" in value else "", value))
+    assert there.of(kind, new) is not None  # valid again
+    assert replace_all(moved, back)[0] == f"so {value}, it"
+    if kind == "card":
+        assert luhn(re.sub("[^0-9]", "", new)) == 0
+
+
+def test_equal_values_stay_linked(spark):
+    rows = [(1, "call 668-555-1911 or (668) 555-1911"), (2, "+1 668 555 1911"), (3, None), (4, ""), (4, ""), (5, "clean 4.0 text, 1234567890123456, 999-99-9999, 1999-02-30, 300.1.1.1")]
+    docs = spark.createDataFrame([(*r, 3) for r in rows], TEXTS + ", spans int")
+    out = {r.doc_id: r.pseudonymous for r in Pseudonymiser(b"0" * 16).apply(docs).collect()}
+    numbers = {re.sub("[^0-9]", "", x)[-10:] for x in re.findall(r"[(]?[0-9]{3}[-) ]+[0-9]{3}[- ][0-9]{4}", f"{out[1]} {out[2]}")}
+    assert len(numbers) == 1 and numbers != {"6685551911"}
+    assert out[3] is None and out[4] == "" and out[5] == rows[-1][1]
+    assert Pseudonymiser(b"0" * 16).apply(docs.limit(0)).collect() == []
