@@ -14,10 +14,12 @@ the sections it lists as (name, dtype, bytes), each padded to 8 bytes.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,9 @@ RANK_STEP = 512
 #: Widths in bits that a file may choose from for its levels.
 SPLITS = ((8, 8, 16), (8, 8, 8, 8), (16, 16))
 #: Characters of the texts of one file, as a rule; longer texts have their own.
-FILE_CHARS = 4 << 20
-#: Words whose ids a task remembers at most, twice.
-MEMORY_WORDS = 300_000
+FILE_CHARS = 2 << 20
+#: Words whose ids a Python worker remembers at most, twice.
+MEMORY_WORDS = 150_000
 
 
 class Level:
@@ -159,8 +161,8 @@ class TokenFile:
         return self.span(int(self.ends[number - 1]) if number else 0, int(self.ends[number]))
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores of an executor have tasks of their own
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -169,7 +171,8 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that treats white space as a mere divider.
+    """Ids of texts by a tokenizer that lower-cases, takes white space as a mere
+    divider, and never joins letters with other characters.
 
     Such a tokenizer's ids of a text are those of its words in turn, so a word is
     encoded once and remembered. Only ASCII white space divides words here; the
@@ -178,30 +181,73 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, each text's followed by ``end_id``, and where texts end."""
-        split = [t.translate(_TO_SPACE).split(" ") for t in texts]
+        split = [_spaced(t).split(" ") for t in texts]
         if len(self.memory) > MEMORY_WORDS:  # what is still in use comes back from the older half
             self.older, self.memory = self.memory, {}
-        memory, older, new = self.memory, self.older, []
+        memory, older, ended = self.memory, self.older, []
+        new = set()
         for word in set().union(*split) - memory.keys():
             if word in older:
                 memory[word] = older[word]
+                continue
+            # Full stops and commas behind a letter are never part of its token.
+            stem = word.rstrip(".,")
+            if stem != word and stem and stem[-1].isalpha():
+                ended.append((word, stem, word[len(stem) :]))
+                new.update(x for x in ended[-1][1:] if x not in memory)
             else:
-                new.append(word)
-        for begin in range(0, len(new), 10_000):
-            some = new[begin : begin + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memory[word] = array("I", found.ids).tobytes()
+                new.add(word)
+        self._look_up([w for w in new if w.isalpha()], joined=True)
+        self._look_up([w for w in new if not w.isalpha()], joined=False)
+        for word, stem, end in ended:
+            memory[word] = memory[stem] + memory[end]
         last = array("I", [end_id]).tobytes()
         raw = [b"".join(map(memory.__getitem__, words)) + last for words in split]
         return np.frombuffer(b"".join(raw), np.uint32), np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)
 
 
-_TO_SPACE = str.maketrans("\t\n\v\f\r", "     ")
+    def _look_up(self, words: list[str], joined: bool) -> None:
+        """Remember the ids of words. Words of letters alone end with their only
+        end-of-word token, so many are encoded as one text and cut there."""
+        for begin in range(0, len(words), 1000):
+            some = words[begin : begin + 1000]
+            if joined:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(some):
+                    raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                    self.memory.update(zip(some, (raw[a:b] for a, b in pairwise(cuts)), strict=True))
+                    continue
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.memory[word] = array("I", found.ids).tobytes()
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder of a Python worker, which remembers words from task to task."""
+    return WordEncoder(path)
+
+
+def _spaced(text: str) -> str:
+    """The text in lower case, as the tokenizer has it, with ASCII white space as spaces.
+
+    Capital sigma and dotted I, whose lower case depends on the library, are left
+    to the tokenizer with their whole text.
+    """
+    for space in "\t\n\v\f\r":
+        if space in text:
+            text = text.replace(space, " ")
+    return text if "Σ" in text or "İ" in text else text.lower()
 
 
 def _write(path: str, raw: bytes) -> None:
@@ -236,7 +282,7 @@ class TokenStore:
 
         def run(batches):
             part, number = TaskContext.get().partitionId(), 0
-            encoder = WordEncoder(path)
+            encoder = _encoder(path)
             for batch in batches:
                 ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
                 for begin, end in chunks([len(t) for t in texts], FILE_CHARS):
