@@ -9,9 +9,11 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -113,6 +115,11 @@ def vector_rows(spark, sf_dir):
     )
 
 
+def raw_vector_rows(spark, sf_dir):
+    """Vectors with their outcome as it is, 0 to 9."""
+    return vector_rows(spark, sf_dir).withColumn("label", F.col("label") * 9)
+
+
 def next_pairs(df: DataFrame) -> DataFrame:
     """Each row ``a`` beside the row ``b`` with the following id."""
     a = df.withColumn("_next", F.col("id") + 1).alias("a")
@@ -191,6 +198,23 @@ def _approx_upper_lower(spark, sf_dir):
     return rounded(found, "upper", "lower")
 
 
+def _approx_raw_outcomes(spark, sf_dir):
+    found = ps.approximations(raw_vector_rows(spark, sf_dir), VECTOR, identity_class())
+    return rounded(found, "upper", "lower")
+
+
+def _approx_negative_outcomes(spark, sf_dir):
+    rows = part_rows(spark, sf_dir).withColumn("label", (F.col("label") - 920) / 10)
+    found = ps.approximations(rows, PART, identity_class(), numeric_only=False)
+    return rounded(found, "upper", "lower")
+
+
+def _approx_own_similarity(spark, sf_dir):
+    alike = replace(PART, similarity=closeness)
+    found = ps.approximations(part_rows(spark, sf_dir), alike, numeric_only=False)
+    return rounded(found, "upper", "lower")
+
+
 def _quality_hml(spark, sf_dir):
     return rounded(ps.quality_hml(cust_rows(spark, sf_dir), CUST), "quality")
 
@@ -247,6 +271,34 @@ def _knn_predict(weighting):
     return query
 
 
+def median_of_five(nearest):
+    """The middle outcome of five neighbours."""
+    return F.element_at(F.array_sort(F.transform(nearest, lambda n: n["neighbour_label"])), 3)
+
+
+def _knn_predict_median(spark, sf_dir):
+    found = ps.knn_predict(
+        supplier_trade(spark, sf_dir), customer_trade(spark, sf_dir), TRADE, 5, predictor=median_of_five
+    )
+    return rounded(found, "actual", "predicted")
+
+
+def root_distance(a, b):
+    """Own distance: the root of the difference in size, and whether the words differ."""
+    return np.sqrt(np.abs(a["size"] - b["size"])) + (a["brand"] != b["brand"]) + (a["type"] != b["type"])
+
+
+def closeness(a, b):
+    """Own similarity: how near the scaled sizes are, if the brand is the same."""
+    return (a["brand"] == b["brand"]) * (1.0 - np.abs(a["size"] - b["size"]))
+
+
+def _knn_own_distance(spark, sf_dir):
+    rows = part_rows(spark, sf_dir)
+    found = ps.knn_topk(rows, rows, replace(PART, distance=root_distance, metric=True), 5)
+    return rounded(found, "distance", "neighbour_label")
+
+
 def _rmse_by_fold(spark, sf_dir):
     rows = cust_rows(spark, sf_dir)
     return rounded(ps.rmse_by_fold(rows, rows, CUST, 5), "rmse")
@@ -327,6 +379,11 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lower_approx_classes": _lower_approx_classes,
         "upper_approx_classes": _upper_approx_classes,
         "approx_upper_lower": _approx_upper_lower,
+        "approx_raw_outcomes": _approx_raw_outcomes,
+        "approx_negative_outcomes": _approx_negative_outcomes,
+        "approx_own_similarity": _approx_own_similarity,
+        "knn_predict_median": _knn_predict_median,
+        "knn_own_distance": _knn_own_distance,
         "quality_hml": _quality_hml,
         "quality_hml_numeric": _quality_hml_numeric,
         "conflict_pairs": _conflict_pairs,
@@ -573,6 +630,11 @@ def oracle_sql() -> dict[str, str]:
     return core_sql() | more | ({"pipeline": whole} if whole else {})
 
 
+APPROX_SQL = """SELECT id, round(greatest(0e0, max(least(sim, member))), 6) AS upper,
+       round(greatest(0e0, least(1e0, min(greatest(1e0 - sim, member)))), 6) AS lower
+FROM pairs GROUP BY id"""
+
+
 def core_sql() -> dict[str, str]:
     """The same results by all-pairs SQL."""
 
@@ -625,6 +687,28 @@ pairs AS (
 SELECT id, round(greatest(0e0, max(least(sim, member))), 6) AS upper,
        round(greatest(0e0, least(1e0, min(greatest(1e0 - sim, member)))), 6) AS lower
 FROM pairs GROUP BY id""",
+        "approx_raw_outcomes": f"""WITH {VECTOR_SQL.replace("label / 9e0", "CAST(label AS DOUBLE)")},
+{sql_scaled('vector_rows', 'range').removeprefix(VECTOR_SQL + ",")},
+pairs AS (
+  SELECT a.id, {sql_similarity(VECTOR)} AS sim, b.label AS member FROM scaled a CROSS JOIN scaled b)
+{APPROX_SQL}""",
+        "approx_negative_outcomes": f"""WITH {sql_scaled('part_rows', 'range')},
+pairs AS (
+  SELECT a.id, {sql_similarity(PART)} AS sim, (b.label - 920) / 10 AS member FROM scaled a CROSS JOIN scaled b)
+{APPROX_SQL}""",
+        "approx_own_similarity": f"""WITH {sql_scaled('part_rows', 'range')},{sql_classes('part_rows')},
+pairs AS (
+  SELECT a.id, CASE WHEN a.brand = b.brand THEN 1e0 - abs(a.size - b.size) ELSE 0e0 END AS sim, c.low, c.mid, c.high
+  FROM scaled a CROSS JOIN scaled b JOIN classes c ON c.class_id = b.id)
+SELECT id, round(greatest(0e0, max(least(sim, greatest(low, mid, high)))), 6) AS upper,
+       round(least(1e0, greatest(0e0, min(greatest(1e0 - sim, low)), min(greatest(1e0 - sim, mid)),
+                               min(greatest(1e0 - sim, high)))), 6) AS lower
+FROM pairs GROUP BY id""",
+        "knn_predict_median": f"""WITH {TRADE_SQL},{sql_nearest(TRADE, 'tests', 'prototypes', 5)}
+SELECT t.id, round(t.label, 6) AS actual, round(median(neighbour_label), 6) AS predicted
+FROM tests t JOIN nearest n ON n.id = t.id GROUP BY t.id, t.label""",
+        "knn_own_distance": f"""WITH {PART_SQL},{sql_nearest(PART, 'part_rows', 'part_rows', 5).replace("abs(a.size - b.size)", "sqrt(abs(a.size - b.size))")}
+SELECT {NEIGHBOUR_COLUMNS} FROM nearest""",
         "quality_hml": f"WITH {sql_hml('cust_rows', CUST)} SELECT id, quality FROM quality",
         "quality_hml_numeric": f"WITH {sql_hml('cust_rows', numeric)} SELECT id, quality FROM quality",
         "conflict_pairs": f"""WITH {sql_conflicts('part_rows', 1)}

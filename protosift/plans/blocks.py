@@ -55,15 +55,19 @@ class Viewer:
         for start in range(0, self.size, self.step):
             yield slice(start, min(self.size, start + self.step))
 
+    def _sides(self, rows: slice) -> tuple[dict, dict]:
+        """Attributes of a slice as columns and of the held rows as rows."""
+        return (
+            {c: x[rows, None] for c, x in self.raw.items()},
+            {c: y[None, :] for c, y in self.held.raw.items()},
+        )
+
     def distances(self, rows: slice, jaccard: str) -> np.ndarray:
         """Distances of a slice; the array is reused for the next slice."""
         held = self.held
         total, term, differ = (a[: rows.stop - rows.start] for a in self.scratch)
         if held.spec.distance:
-            total[:] = held.spec.distance(
-                {c: x[rows, None] for c, x in self.raw.items()},
-                {c: y[None, :] for c, y in held.raw.items()},
-            )
+            total[:] = held.spec.distance(*self._sides(rows))
             return total
         if held.numbers:
             np.subtract(self.numbers[0][rows, None], held.numbers[0][None, :], out=total)
@@ -80,6 +84,9 @@ class Viewer:
         return total
 
     def similarities(self, rows: slice, jaccard: str) -> np.ndarray:
+        if self.held.spec.similarity:
+            shape = (rows.stop - rows.start, self.held.size)
+            return np.array(np.broadcast_to(self.held.spec.similarity(*self._sides(rows)), shape), "float64")
         sim = self.distances(rows, jaccard)
         m = float(self.held.spec.size)
         np.subtract(m, sim, out=sim)
@@ -87,7 +94,7 @@ class Viewer:
 
 
 def _raw(spec: RowSpec, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {c: pdf[c].to_numpy() for c in spec.attributes} if spec.distance else {}
+    return {c: pdf[c].to_numpy() for c in spec.attributes} if spec.distance or spec.similarity else {}
 
 
 def _set_distance(mine, held, rows, jaccard):

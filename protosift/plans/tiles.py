@@ -185,7 +185,8 @@ def plan_layout(
         def of(pdf: pd.DataFrame) -> np.ndarray:
             far = _distances_to(centres, jaccard, pdf)
             gap = far - radius
-            for c in spec.numeric:
+            # The range of an attribute bounds the own distances of no job.
+            for c in spec.numeric if spec.distance is None else ():
                 x = pdf[c].to_numpy("float64")[:, None]
                 low, high = (cells[f"_{e}_{c}"].to_numpy()[None, :] for e in ("lo", "hi"))
                 gap = np.maximum(gap, np.maximum(low - x, x - high) / spec.size)
@@ -305,7 +306,7 @@ def compare(
     # Work that is done in seconds anyway is not worth two passes of planning.
     small = n_held <= tile and n_probing * n_held <= parallelism * TASK_PAIRS // 8
     layout = None
-    if not small and spec.distance is None:
+    if not small and spec.prunable:
         probing, held = (_in_parallel(df, parallelism) for df in (probing, held))
         layout = plan_layout(
             spec, jaccard, probing, n_probing, held, n_held, reach, summaries, settings

@@ -20,8 +20,12 @@ class RowSpec:
     ``distance`` replaces that comparison. It gets two dictionaries of arrays by
     attribute, the left rows as a column and the right rows as a row, and
     returns the matrix of distances: 0 for equal attributes, at most the number
-    of attributes where similarities are formed. Nothing is known about how
-    such distances add up, so all tiles are compared.
+    of attributes where similarities are formed. With ``metric`` they keep to the
+    triangle inequality, so tiles can be left out; otherwise all are compared.
+
+    ``similarity`` is a function of the same kind, 1 for equal attributes and never
+    below 0, that jobs on similarities use in place of the one that the distance
+    gives.
     """
 
     id: str = "id"
@@ -30,6 +34,8 @@ class RowSpec:
     bitset: tuple[str, ...] = ()
     label: str = "label"
     distance: Callable[[dict, dict], np.ndarray] | None = None
+    metric: bool = False
+    similarity: Callable[[dict, dict], np.ndarray] | None = None
 
     def __post_init__(self):
         for kind in ("numeric", "string", "bitset"):
@@ -53,7 +59,14 @@ class RowSpec:
     def only_numeric(self) -> RowSpec:
         if not self.numeric:
             raise ValueError("no numeric attribute left")
-        return replace(self, string=(), bitset=(), distance=None)
+        if self.distance or self.similarity:
+            raise ValueError("an own distance or similarity sees all attributes: pass numeric_only=False")
+        return replace(self, string=(), bitset=())
+
+    @property
+    def prunable(self) -> bool:
+        """Whether least distances to a cell tell what it can hold."""
+        return (self.distance is None or self.metric) and self.similarity is None
 
     def conform(self, df: DataFrame, *extra: str, labelled: bool = True) -> DataFrame:
         """Typed projection of ``df``; a missing attribute becomes 0, '' or {}.
