@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -37,8 +38,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from protosift.llm.words import chunks, mix
 
 SPACE = "▁"
-#: Stretches of text whose ids a task remembers at most, twice.
-MEMORY = 400_000
+#: Stretches of text whose ids a Python worker remembers at most, twice.
+MEMORY = 150_000
+#: Characters of stretches whose paths are found at once.
+AT_ONCE = 1 << 16
 #: Places of the table of known neighbours, a power of two.
 NEIGHBOUR_PLACES = 1 << 20
 _NONE = -1
@@ -151,21 +154,24 @@ class Transducer:
         keys = np.array([self._key(*_hashed(s), np.array([0]), len(s))[0] for s in spelled], _U)
         self.longest = max(map(len, spelled), default=1)
         self.arcs = _Table(keys, used)
+        self.spelled = self.decoder()
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # Two pieces and what they join to, for all pieces that merges can make.
         split = used[model.left[used] != used]
         self.joins = None
         if model.merges:
-            pairs = [
-                (self._id(p[:k]), self._id(p[k:]), i)
-                for i in split
-                for p in (model.pieces[i],)
-                for k in range(1, len(p))
-            ] if len(split) else []
-            pairs = [(a, b, i) for a, b, i in pairs if a >= 0 and b >= 0]
-            codes = np.array([a << 32 | b for a, b, _ in pairs] or [0], _U)
-            self.joins = _Table(codes, np.array([model.rank[i] for *_, i in pairs] or [1 << 40]), 1 << 40)
+            codes, ranks = array("Q"), array("q", [])
+            for i in split.tolist():
+                p = model.pieces[i]
+                for k in range(1, len(p)):
+                    a, b = self._id(p[:k]), self._id(p[k:])
+                    if a >= 0 and b >= 0:
+                        codes.append(a << 32 | b)
+                        ranks.append(int(model.rank[i]))
+            if not codes:
+                codes, ranks = array("Q", [0]), array("q", [1 << 40])
+            self.joins = _Table(np.array(codes, _U), np.array(ranks), 1 << 40)
         self.known_key = np.full(NEIGHBOUR_PLACES, np.iinfo(np.uint64).max, _U)
         self.known = np.zeros(NEIGHBOUR_PLACES, bool)
         inner = set(chain.from_iterable(model.pieces[i] for i in used if len(model.pieces[i]) > 1))
@@ -326,7 +332,7 @@ class Transducer:
                 memory[s] = older[s]
             else:
                 new.append(s)
-        for begin, end in chunks([len(s) for s in new], 1 << 18):
+        for begin, end in chunks([len(s) for s in new], AT_ONCE):
             memory.update(zip(new[begin:end], self._shortest(new[begin:end]), strict=True))
         return [b"".join(map(memory.__getitem__, s)) for s in split]
 
@@ -339,9 +345,9 @@ class Transducer:
         ]
         return spelled, self.model.prefix
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: Iterable[list[int]]) -> list[str]:
         """Texts of ids, as far as the bytes are UTF-8; others become U+FFFD."""
-        spelled, prefix = self.decoder()
+        spelled, prefix = self.spelled
         raw = (b"".join(map(spelled.__getitem__, x)) for x in ids)
         return [(r[1:] if prefix and r[:1] == b" " else r).decode("utf-8", "replace") for r in raw]
 
@@ -403,9 +409,11 @@ class PieceCoder:
         def run(batches):
             transducer = get()
             for batch in batches:
-                ids = batch.column(at).to_pylist()
-                texts = transducer.decode([x or [] for x in ids])
-                column = pa.array([None if x is None else t for x, t in zip(ids, texts, strict=True)], pa.string())
+                ids = batch.column(at)
+                # one row of Python numbers at a time
+                texts = transducer.decode(ids[k].values.to_numpy().tolist() if ids[k].is_valid else [] for k in range(len(ids)))
+                valid = ids.is_valid().to_pylist()
+                column = pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out_col])
 
         return encoded.mapInArrow(run, schema)
