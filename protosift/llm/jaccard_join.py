@@ -37,12 +37,11 @@ from protosift.llm.scratch import Scratch, groups
 from protosift.llm.words import ascii_lower, chunks, mix, shingles_of, spaced, words_of
 
 #: Tokens that a segment should have at least, on average.
-SEGMENT_TOKENS = 6
+SEGMENT_TOKENS = 3
 
 #: Documents, and tokens, of a part of a cluster on average at most.
 PART_ROWS, PART_TOKENS = 1024, 1 << 20
 
-INDEXED, SEARCHED = 1, 2
 _U = np.uint64
 
 
@@ -77,14 +76,14 @@ def token_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return [np.unique(hashes[ends[i] : ends[i + 1]]) for i in range(len(raw))]
 
 
-def _signatures(sets: list[np.ndarray], ids: np.ndarray, threshold: Fraction) -> pa.RecordBatch:
-    """Rows (sig, id, n, role) of the segments that sets are indexed or searched by."""
+def _signatures(sets: list[np.ndarray], ids: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures that sets are indexed or searched by, and the ids of the sets."""
     sizes = np.array([len(s) for s in sets])
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     spread, mixed = mix(tokens ^ _U(0xA5A5A5A5)), mix(tokens)
     bands = Bands(threshold, int(sizes.max()))
     own = bands.of(sizes)
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
     for below in (0, 1):
         band = own - below
         reach = np.array([-(-threshold.numerator * int(n) // threshold.denominator) for n in sizes])
@@ -112,18 +111,26 @@ def _signatures(sets: list[np.ndarray], ids: np.ndarray, threshold: Fraction) ->
         run = np.cumsum(units) - units
         used = np.zeros(base[-1], bool)
         used[order] = run - run[np.minimum(base[:-1], len(run) - 1)][of[order]] < needed[of[order]]
-        role = np.where(used, SEARCHED, 0) | (INDEXED if below == 0 else 0)
-        keep = role > 0
-        parts.append((mix(sums ^ seed)[keep], of[keep], role[keep]))
+        keep = used | (below == 0)  # all of the own band are indexed
+        parts.append((mix(sums ^ seed)[keep], of[keep]))
         if two.any():  # one-deletion neighbours of the segments with two units
             where = np.flatnonzero((two & keep)[slot])
             at = slot[where]
-            parts.append((mix((sums[at] - mixed[live][where]) ^ seed[at]), of[at], role[at]))
-    sig, of, role = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(sig.view(np.int64)), pa.array(ids[of]), pa.array(sizes[of].astype(np.int32)), pa.array(role.astype(np.int8))],
-        names=["sig", "id", "n", "role"],
-    )
+            parts.append((mix((sums[at] - mixed[live][where]) ^ seed[at]), of[at]))
+    sig, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return sig.view(np.int64), ids[of]
+
+
+def _stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (sig, id): the row of the lowest id of each signature, and for the
+    other rows the id and that lowest id, once."""
+    order = np.lexsort((ids, sig))
+    sig, ids = sig[order], ids[order]
+    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
+    lead = ids[first][np.cumsum(first) - 1] if len(sig) else ids
+    met = ids != lead
+    pairs = np.unique(np.stack([ids[met], lead[met]], axis=1), axis=0)
+    return sig[first], ids[first], pairs[:, 0], pairs[:, 1]
 
 
 def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -168,18 +175,43 @@ class JaccardJoin:
 
         return self._read(docs).mapInArrow(run, "id long, n long, print binary")
 
-    def signatures(self, docs: DataFrame) -> DataFrame:
-        """(sig, id, n, role): two sets that are alike share a sig, by which the
-        smaller is indexed and the larger searched."""
+    def meetings(self, docs: DataFrame) -> DataFrame:
+        """(a, b): links that join any two documents that share a signature, among
+        them all pairs of sets that are alike.
+
+        The documents of a batch that share a signature are linked to the first of
+        them at once, and only that one goes on to the shuffle, so that a
+        signature of very many documents arrives as a few rows. There, rows of a
+        signature stream past and are linked to the first one.
+        """
         width, threshold = self.width, self.threshold
+        names = ["sig", "a", "b"]
 
-        def run(batches):
+        def local(batches):
             for ids, sets in _batches(batches, width):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
-                    yield _signatures([sets[i] for i in full], ids[full], threshold)
+                    sig, lead, a, b = _stars(*_signatures([sets[i] for i in full], ids[full], threshold))
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(lead), pa.nulls(len(sig), pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a), pa.array(b)], names=names)
+
+        def across(batches):
+            last = None  # signature and lead that the next batch may go on with
+            for batch in batches:
+                known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+                sig, ids, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                sig_open, ids_open = sig[~known], ids[~known]
+                if last is not None:
+                    sig_open, ids_open = np.append(last[0], sig_open), np.append(last[1], ids_open)
+                first, lead, x, y = _stars(sig_open, ids_open)
+                if len(first):
+                    last = (first[-1], lead[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([x, ids[known]])), pa.array(np.concatenate([y, b[known].astype(np.int64)]))], names=["a", "b"]
+                )
 
-        return self._read(docs).mapInArrow(run, "sig long, id long, n int, role byte")
+        rows = self._read(docs).mapInArrow(local, "sig long, a long, b long")
+        return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(across, "a long, b long").distinct()
 
     def _sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
         width = self.width
@@ -251,8 +283,7 @@ class JaccardJoin:
         the smallest id that links reach, itself included.
 
         Equal sets are one class with one representative. Documents that share a
-        signature belong to a cluster of candidates, which costs one row for each
-        of them. Clusters are cut into parts of bounded size and verified two
+        signature belong to a cluster of candidates. Clusters are cut into parts of bounded size and verified two
         parts at a time, so no pairs are ever shuffled.
         """
         scratch = Scratch(docs.sparkSession, "jaccard")
@@ -261,17 +292,11 @@ class JaccardJoin:
         members = scratch.keep(
             sizes.join(firsts, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members"
         )
-        rows = scratch.keep(self.signatures(docs), "signatures")
-        common = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
-        shared = scratch.keep(rows.join(common, "sig", "left_semi"), "shared")
-        scratch.drop(sizes, rows)
-        leads = shared.groupBy("sig").agg(F.min("id").alias("b"), F.bit_or("role").alias("roles"))
-        leads = leads.where(F.col("roles") == (INDEXED | SEARCHED)).select("sig", "b")
-        met = shared.join(leads, "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+        scratch.drop(sizes)
+        met = self.meetings(docs)
         of_a, of_b = (members.select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
         met = met.join(of_a, "a").join(of_b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         clusters = scratch.keep(components(met, scratch).withColumnRenamed("component_id", "cluster"), "clusters")
-        scratch.drop(shared)
         parts = (
             clusters.join(members.select("id", "n"), "id")
             .groupBy("cluster")
