@@ -17,23 +17,23 @@ infinity otherwise. Merging leaves exactly one path of finite weight: a
 sequence is what the merges give if and only if that holds for every two
 neighbours.
 
-The composition factors: no piece has another character followed by U+2581, nor
-one of the characters that pieces do not hold, so shortest paths between such
-places are found once for each distinct stretch of text, for many at a time.
+The composition factors between two characters that are next to each other in no
+piece, so shortest paths between such places are found once for each distinct
+stretch of text, for many at a time.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from protosift.llm.words import chunks, mix
 
@@ -174,10 +174,24 @@ class Transducer:
             self.joins = _Table(np.array(codes, _U), np.array(ranks), 1 << 40)
         self.known_key = np.full(NEIGHBOUR_PLACES, np.iinfo(np.uint64).max, _U)
         self.known = np.zeros(NEIGHBOUR_PLACES, bool)
-        inner = set(chain.from_iterable(model.pieces[i] for i in used if len(model.pieces[i]) > 1))
-        mixed = any(re.search(f"[^{SPACE}]{SPACE}", model.pieces[i]) for i in used)
-        lone = "" if "\n" in inner else "\n"
-        self.stretch = re.compile(r"(?s).+" if mixed else f"{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" + (f"|{lone}" if lone else ""))
+        # Neighbouring characters of any piece; between others no piece lies.
+        together = {pair for i in used for pair in pairwise(model.pieces[i])}
+        inner = sorted({c for pair in together for c in pair})
+        self.inner = np.zeros(max(map(ord, inner), default=0) + 2, np.int32)
+        self.inner[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        self.together = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for a, b in together:
+            self.together[self.inner[ord(a)], self.inner[ord(b)]] = True
+
+    def _stretches(self, text: str) -> list[str]:
+        """The normalised text, cut wherever no piece can lie across."""
+        if not text:
+            return []
+        text = (SPACE if self.model.prefix else "") + text.replace(" ", SPACE)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        known = self.inner[np.minimum(codes, len(self.inner) - 1)]
+        cuts = np.flatnonzero(~self.together[known[:-1], known[1:]]) + 1
+        return [text[a:b] for a, b in pairwise([0, *cuts.tolist(), len(text)])]
 
     def _id(self, piece: str) -> int:
         if not hasattr(self, "_ids"):
@@ -313,7 +327,7 @@ class Transducer:
                 out.append(p)
             elif self.model.bytes_first:
                 out += [self.model.bytes_first[b] for b in chr(-p - 1).encode()]
-            elif not out or out[-1] != self.model.unknown:  # unknown characters in a row are one
+            else:
                 out.append(self.model.unknown)
         return out
 
@@ -323,7 +337,7 @@ class Transducer:
 
     def encode_raw(self, texts: list[str]) -> list[bytes]:
         """The same as 32-bit numbers."""
-        split = [self.stretch.findall((SPACE if self.model.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        split = [self._stretches(t) for t in texts]
         if len(self.memory) > MEMORY:  # what is still in use comes back from the older half
             self.older, self.memory = self.memory, {}
         memory, older, new = self.memory, self.older, []
@@ -334,7 +348,14 @@ class Transducer:
                 new.append(s)
         for begin, end in chunks([len(s) for s in new], AT_ONCE):
             memory.update(zip(new[begin:end], self._shortest(new[begin:end]), strict=True))
-        return [b"".join(map(memory.__getitem__, s)) for s in split]
+        raw = [b"".join(map(memory.__getitem__, s)) for s in split]
+        return raw if self.model.bytes_first else [self._one_unknown(x) for x in raw]
+
+    def _one_unknown(self, raw: bytes) -> bytes:
+        """Unknown characters in a row are one id where there is no byte fallback."""
+        ids = np.frombuffer(raw, np.int32)
+        unknown = ids == self.model.unknown
+        return ids[~(unknown & np.concatenate([[False], unknown[:-1]]))].tobytes() if len(ids) else raw
 
     def decoder(self) -> tuple[list[bytes], bool]:
         """Bytes of every id, and whether a text begins with a space of the normaliser."""
@@ -352,6 +373,23 @@ class Transducer:
         return [(r[1:] if prefix and r[:1] == b" " else r).decode("utf-8", "replace") for r in raw]
 
 
+def _coded(batches: Iterator[pa.RecordBatch], at: int, transducer: Transducer) -> Iterator[tuple[pa.RecordBatch, list, list[bytes]]]:
+    """Rows of batches, a bounded number of characters at a time, with their ids."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column(at)).fill_null(0).to_pylist()
+        for begin, end in chunks(sizes):
+            part = batch.slice(begin, end - begin)
+            texts = part.column(at).to_pylist()
+            yield part, texts, transducer.encode_raw([t or "" for t in texts])
+
+
+def _ids_column(texts: list[str | None], raw: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(x) // 4 for x in raw]).astype(np.int32)
+    null = np.append(np.array([t is None for t in texts]), False)
+    ends = pa.array(offsets, mask=null) if null.any() else pa.array(offsets)
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raw), np.int32)))
+
+
 _compiled: dict[str, Transducer] = {}
 
 
@@ -383,20 +421,25 @@ class PieceCoder:
         get, at = self._compiled(docs), docs.columns.index(self.text_col)
         schema = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
 
+        def run(batches):
+            for part, texts, raw in _coded(batches, at, get()):
+                yield pa.RecordBatch.from_arrays([*part.columns, _ids_column(texts, raw)], names=[*part.schema.names, ids_col])
+
+        return docs.mapInArrow(run, schema)
+
+    def round_trip(self, docs: DataFrame, ids_col: str = "ids", same_col: str = "restored") -> DataFrame:
+        """The table with ids and whether they decode to the text again (U+2581,
+        which stands for a space, counts as one). Null texts are restored as null."""
+        docs = docs.drop(ids_col, same_col)
+        get, at = self._compiled(docs), docs.columns.index(self.text_col)
+        schema = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType())), StructField(same_col, BooleanType())])
+
         def run(batches):
             transducer = get()
-            for batch in batches:
-                texts = batch.column(at).to_pylist()
-                for begin, end in chunks([len(t or "") for t in texts]):
-                    some = texts[begin:end]
-                    raw = transducer.encode_raw([t or "" for t in some])
-                    offsets = np.cumsum([0] + [len(x) // 4 for x in raw]).astype(np.int32)
-                    null = np.append(np.array([t is None for t in some]), False)
-                    column = pa.ListArray.from_arrays(
-                        pa.array(offsets, mask=null) if null.any() else pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32))
-                    )
-                    part = batch.slice(begin, end - begin)
-                    yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*batch.schema.names, ids_col])
+            for part, texts, raw in _coded(batches, at, transducer):
+                back = transducer.decode(np.frombuffer(x, np.int32).tolist() for x in raw)
+                same = [(t or "").replace(SPACE, " ") == b for t, b in zip(texts, back, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, _ids_column(texts, raw), pa.array(same)], names=[*part.schema.names, ids_col, same_col])
 
         return docs.mapInArrow(run, schema)
 

@@ -105,12 +105,8 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as SentencePiece ids, and whether they decode to its text."""
     coder = PieceCoder(vocabulary("piece_bpe_32k.model"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = coder.decode(coder.encode(docs))
-    spaced = F.translate("text", "\u2581", " ")
-    return coded.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(spaced).alias("restored")
-    )
+    coded = coder.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "restored")
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

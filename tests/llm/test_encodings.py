@@ -197,6 +197,8 @@ def test_coding_a_table(spark):
     coded = coder.decode(coder.encode(docs)).orderBy("doc_id").collect()
     assert [r.decoded for r in coded] == [t if t is None else t.replace("▁", " ") for t in texts]
     assert coded[0].ids is None and coded[1].ids == []
+    whole = coder.round_trip(docs).orderBy("doc_id").collect()
+    assert [r.ids for r in whole] == [r.ids for r in coded] and all(r.restored for r in whole)
     assert coder.encode(docs.limit(0)).collect() == []
 
 
