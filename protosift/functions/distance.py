@@ -2,7 +2,8 @@
 
 ``a`` and ``b`` map an attribute name to a Column of the left and right row.
 Terms are added left to right (numeric, sets, strings), the order the in-task
-kernels use as well, so both give the same doubles.
+kernels use as well, so both give the same doubles. Missing attributes count as
+0, '' or {}.
 """
 
 from __future__ import annotations
@@ -27,12 +28,17 @@ def _total(terms: list[Column]) -> Column:
     return reduce(add, terms) if terms else F.lit(0.0)
 
 
+def _known(value: Column, missing) -> Column:
+    """A missing attribute is 0, '' or {}, as in ``RowSpec.conform``."""
+    return F.coalesce(value, F.lit(missing))
+
+
 def manhattan(names, a: Side, b: Side) -> Column:
-    return _total([F.abs(a(c) - b(c)) for c in names])
+    return _total([F.abs(_known(a(c), 0.0) - _known(b(c), 0.0)) for c in names])
 
 
 def hamming(names, a: Side, b: Side) -> Column:
-    return _total([F.when(a(c) == b(c), 0.0).otherwise(1.0) for c in names])
+    return _total([F.when(_known(a(c), "") == _known(b(c), ""), 0.0).otherwise(1.0) for c in names])
 
 
 def jaccard(x: Column, y: Column, mode: str = "equal") -> Column:
@@ -50,7 +56,9 @@ def jaccard(x: Column, y: Column, mode: str = "equal") -> Column:
 
 
 def set_distance(names, a: Side, b: Side, mode: str = "equal") -> Column:
-    return F.lit(float(len(names))) - _total([jaccard(a(c), b(c), mode) for c in names])
+    return F.lit(float(len(names))) - _total(
+        [jaccard(_known(a(c), 0), _known(b(c), 0), mode) for c in names]
+    )
 
 
 def mixed_distance(spec: RowSpec, a: Side, b: Side, jaccard: str = "equal") -> Column:

@@ -34,7 +34,7 @@ class Bounds:
         columns = list(columns)
         if not columns:
             return Bounds({}, {})
-        row = df.selectExpr(*[f"{f}(`{c}`)" for c in columns for f in ("min", "max")]).first()
+        row = df.selectExpr(*[f"CAST({f}(`{c}`) AS double)" for c in columns for f in ("min", "max")]).first()
         return Bounds(dict(zip(columns, row[0::2])), dict(zip(columns, row[1::2])))
 
 
@@ -58,7 +58,8 @@ def scale(
         lo, hi = bounds.low[c], bounds.high[c]
         if lo is None or not hi > lo:
             return f"0D AS `{c}`"
-        value = f"`{c}`" if mode == "range" else f"(`{c}` - ({lo!r}D))"
+        value = f"CAST(`{c}` AS double)"
+        value = value if mode == "range" else f"({value} - ({lo!r}D))"
         return f"{value} / ({hi - lo!r}D) AS `{c}`"
 
     return df.selectExpr(*[scaled(c) if c in columns else f"`{c}`" for c in df.columns])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
@@ -11,19 +9,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df`` in the folder the session names.
 
     The folder is ``spark.checkpoint.dir``, which has to be shared storage so
-    that the files outlive executors. Only a local session without the setting
-    gets a temporary folder of its own.
+    that the files outlive executors. Where it is unset they go to the warehouse,
+    which is shared as well.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="protosift-")
-        sc.setCheckpointDir(folder)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        folder = folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

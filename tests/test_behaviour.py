@@ -180,3 +180,18 @@ def test_single_row(spark):
     one = rows(spark, (1, 1.0, "a", 3.0))
     assert [tuple(r) for r in ps.quality_hml(one, SPEC).collect()] == [(1, 1.0)]
     assert [tuple(r) for r in ps.quality_powa(one, SPEC).collect()] == [(1, 0.0)]
+
+
+def test_decimals_scale_like_doubles(spark):
+    df = rows(spark, (1, 0.5, "a", 1.0), (2, 2.5, "b", 3.0)).withColumns(
+        {"x": F.col("x").cast("decimal(10,2)"), "y": F.col("y").cast("decimal(10,2)")}
+    )
+    assert [r["x"] for r in scale(df, SPEC, "range").orderBy("id").collect()] == [0.25, 1.25]
+    assert [(r["x"], r["y"]) for r in scale(df, SPEC, "minmax").orderBy("id").collect()] == [(0.0, 0.0), (1.0, 1.0)]
+
+
+def test_distances_of_missing_attributes(spark):
+    df = spark.createDataFrame([(None, 2.0, None, "", None, 1)], "ax double, bx double, as string, bs string, ab long, bb long")
+    a, b = (lambda c, p=p: F.col(p + c) for p in "ab")
+    spec = ps.RowSpec("id", ("x",), ("s",), ("b",), "y")
+    assert df.select(distance.mixed_distance(spec, a, b)).first()[0] == 3.0

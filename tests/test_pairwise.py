@@ -9,11 +9,15 @@ from os.path import dirname
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import protosift as ps
+from protosift.functions.fuzzy import identity_class
+from protosift.operators import conflicts
 from protosift.operators.conflicts import ConflictSettings
 from protosift.plans import profiles, tiles
-from protosift.plans.tiles import TileSettings
+from protosift.plans.profiles import RID
+from protosift.plans.tiles import TileSettings, _sample
 
 sys.path.insert(0, dirname(__file__))
 import brute  # noqa: E402
@@ -214,3 +218,89 @@ def test_chained_selection(data):
         best = min(lines, key=lambda r: (r["rmse"], -r["threshold"]))
         assert threshold == best["threshold"] and kept.count() == best["size"]
         assert kept.columns == df.columns
+
+
+# Memberships, labels, samples and predictors beyond the usual
+
+
+def test_approximations_of_outcomes_outside_the_unit_range(spark):
+    rng = np.random.default_rng(3)
+    x, y = np.round(rng.random(120), 2), np.round(rng.uniform(-5, 9, 120), 1)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    spec = ps.RowSpec("id", ("x",), label="y")
+    for settings in (TileSettings(), TileSettings(tile_rows=9, cell_rows=20, least_rows=8)):
+        found = ps.approximations(df, spec, identity_class(), settings=settings)
+        sim = 1 - np.abs(x[:, None] - x[None, :]) / (x.max() - x.min())
+        upper = np.maximum(0, np.minimum(sim, y[None, :]).max(axis=1))
+        lower = np.clip(np.maximum(1 - sim, y[None, :]).min(axis=1), 0, 1)
+        for r in found.collect():
+            assert (r["upper"], r["lower"]) == pytest.approx((upper[r["id"]], lower[r["id"]]))
+
+
+def test_rows_without_a_label(spark):
+    rows = [(1, 0.0, 1.0), (2, 1.0, None), (3, 2.0, 5.0), (4, 3.0, float("nan")), (5, 0.4, 3.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    spec = ps.RowSpec("id", ("x",), label="y")
+    for job in (ps.quality_hml, ps.quality_powa, ps.conflict_summary, ps.approximations):
+        assert {r["id"] for r in job(df, spec).collect()} == {1, 3, 5}
+    near = ps.knn_topk(df, df, spec, 3)
+    assert {r["id"] for r in near.collect()} == {r["neighbour_id"] for r in near.collect()} == {1, 3, 5}
+    tests, protos = df.where("id in (2, 4)"), df.where("id not in (2, 4)")
+    found = {r["id"]: r for r in ps.knn_predict(tests, protos, spec, 2, weighting="uniform").collect()}
+    assert {i: r["predicted"] for i, r in found.items()} == {2: 2.0, 4: 4.0} and found[2]["actual"] is None
+    quality = ps.quality_hml(df, spec)
+    assert {r["size"] for r in ps.threshold_sweep(df, quality, spec, 1).collect()} <= {1, 2, 3}
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    ids = spark.range(100_000).select(F.col("id").alias(RID), (F.col("id") * 2.0).alias("x"))
+    found = [_sample(ids.repartition(n), 500, 100_000) for n in (1, 300)]
+    assert found[0].equals(found[1]) and len(found[0]) == 500
+    place = "shiftrightunsigned(xxhash64(`%s`), 11) / 9007199254740992D" % RID
+    assert ids.where(f"{place} < {(500 + 6 * 500 ** 0.5 + 32) / 100_000}").count() < 1000
+
+
+def test_k_above_the_window_limit(spark):
+    df = spark.createDataFrame([(i, 1.0 if i % 3 == 0 else float(i), float(i)) for i in range(3600)], "id long, x double, y double")
+    spec = ps.RowSpec("id", ("x",), label="y")
+    tests = df.where("id = 0")
+    found = sorted((r["rank"], r["neighbour_id"]) for r in ps.knn_topk(tests, df, spec, 1500).collect())
+    order = sorted(range(3600), key=lambda i: (abs((1.0 if i % 3 == 0 else i) - 1.0), i))
+    assert found == list(enumerate(order[:1500], 1))
+
+
+def test_conflict_jobs_shuffle_a_row_per_part(data, monkeypatch):
+    pdf, df = data
+    sent = []
+
+    def counted(routed, tasks, kernel, schema):
+        out = tiles.run_tasks(routed, tasks, kernel, schema)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(conflicts, "run_tasks", counted)
+    settings = ConflictSettings(held_rows=17, probing_rows=50)
+    parts = -(-len(pdf) // 17)
+    ps.conflict_summary(df, SPEC, settings=settings).count()
+    ps.quality_powa(df, SPEC, settings=settings).count()
+    assert all(n <= len(pdf) * parts for n in sent) and sent
+
+
+def test_many_blocks(data):
+    pdf, df = data
+    found = ps.quality_powa(df, SPEC, blocks=5000)
+    same(values(found, "quality"), pdf["key"], brute.powa(pdf, SPEC, 5000))
+
+
+def test_predictor_and_own_similarity(spark):
+    rows = [(i, float(i), float(i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    spec = ps.RowSpec("id", ("x",), label="y")
+    last = ps.knn_predict(df, df, spec, 3, predictor=lambda near: F.element_at(near, -1)["neighbour_label"])
+    near = {(r["id"], r["rank"]): r["neighbour_label"] for r in ps.knn_topk(df, df, spec, 3).collect()}
+    assert {r["id"]: r["predicted"] for r in last.collect()} == {i: near[i, 3] for i in range(40)}
+    alike = ps.RowSpec("id", ("x",), label="y", similarity=lambda a, b: 1.0 * (a["x"] == b["x"]))
+    found = ps.approximations(df, alike, identity_class(), numeric_only=False)
+    assert {r["id"]: r["upper"] for r in found.collect()} == {i: min(1.0, i % 4) for i in range(40)}
+    with pytest.raises(ValueError):
+        ps.approximations(df, alike)
