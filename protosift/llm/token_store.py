@@ -38,7 +38,7 @@ SPLITS = ((8, 8, 16), (8, 8, 8, 8), (16, 16))
 #: Characters of the texts of one file, as a rule; longer texts have their own.
 FILE_CHARS = 2 << 20
 #: Words whose ids a Python worker remembers at most, twice.
-MEMORY_WORDS = 150_000
+MEMORY_WORDS = 600_000
 
 
 class Level:
