@@ -37,7 +37,7 @@ FOUND = re.compile(
   | (?P<date>[0-9]{4}(?P<d1>[-/.])[0-9]{1,2}(?P=d1)[0-9]{1,2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})(?![0-9]|[-/.][0-9])
   | (?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|-[0-9])
   | (?P<card>[0-9](?:[\x20-]?[0-9]){12,18})(?![0-9]|-[0-9])
-  | (?P<phone>(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{1,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])?[0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){0,2}|\+[0-9]{8,15})(?![0-9]|-[0-9])
+  | (?P<phone>(?:\+?1[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{1,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])?[0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){0,2}|\+[0-9]{8,15})(?![0-9]|-[0-9])
     )""",
     re.VERBOSE,
 )
@@ -199,9 +199,9 @@ class Pseudonyms:
             return None
         national = digits[-10:]
         american = len(digits) == 10 and text[0] != "+" or len(digits) == 11 and digits[0] == "1"
+        if american and (national[0] in "01" or national[3] in "01"):  # not a number of that plan
+            american = False
         if american:
-            if "0" <= national[0] <= "1" or "0" <= national[3] <= "1":
-                return None
             value = (((int(national[0]) - 2) * 100 + int(national[1:3])) * 8 + int(national[3]) - 2) * 10**6 + int(national[4:])
             value = self.permute(value, 800 * 8 * 10**6, "phone")
             rest, last = divmod(value, 10**6)
@@ -230,7 +230,7 @@ def replace_all(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int,
         if new is None:
             # Not valid as a whole: go on after its first character run.
             at = m.start() + len(re.match(r"[A-Za-z0-9]*", m.group()).group() or "x")
-            other = _valid_other(text, m.start(), kind, names)
+            other = _valid_other(text, m, kind, names)
             if other is None:
                 continue
             kind, end, new = other
@@ -245,11 +245,17 @@ def replace_all(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int,
 _ALONE = {"card": re.compile(r"[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9]|-[0-9])"), "phone": re.compile(r"[0-9]{10}(?![0-9])|\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9]|-[0-9])")}
 
 
-def _valid_other(text: str, start: int, kind: str, names: Pseudonyms) -> tuple[str, int, str] | None:
-    """A later kind that is valid where an earlier one matched in vain."""
+def _valid_other(text: str, m: re.Match, kind: str, names: Pseudonyms) -> tuple[str, int, str] | None:
+    """A valid card number without the numbers that follow it, or a later kind
+    that is valid where an earlier one matched in vain."""
+    if kind == "card":
+        for cut in reversed([x.start() for x in re.finditer("[\x20-]", m.group())]):
+            part = m.group()[:cut]
+            if len(_digits(part)) >= 13 and (new := names.of("card", part)) is not None:
+                return "card", m.start() + cut, new
     for other, pattern in _ALONE.items():
-        if other != kind and (m := pattern.match(text, start)) and (new := names.of(other, m.group())) is not None:
-            return other, m.end(), new
+        if other != kind and (found := pattern.match(text, m.start())) and (new := names.of(other, found.group())) is not None:
+            return other, found.end(), new
     return None
 
 

@@ -202,6 +202,17 @@ def test_pseudonyms_keep_the_format_and_come_back(value):
         assert luhn(re.sub("[^0-9]", "", new)) == 0
 
 
+def test_values_next_to_other_numbers():
+    names = Pseudonyms(b"k" * 16)
+    card, phone = "4405935324758010", "+1 (836) 555-9331"
+    for text in (f"x {card} 16.120.181.235 y", f"{phone} {card} 53.121.55.90", f"{phone} 2024", f"{card} {card}", f"in 2024 {card}."):
+        moved, spans = replace_all(text, names)
+        assert card not in moved and phone not in moved
+        if phone in text:
+            assert names.of("phone", phone) in moved
+        assert moved.count(names.of("card", card)) == text.count(card)
+
+
 def test_equal_values_stay_linked(spark):
     rows = [(1, "call 668-555-1911 or (668) 555-1911"), (2, "+1 668 555 1911"), (3, None), (4, ""), (4, ""), (5, "clean 4.0 text, 1234567890123456, 999-99-9999, 1999-02-30, 300.1.1.1")]
     docs = spark.createDataFrame([(*r, 3) for r in rows], TEXTS + ", spans int")
