@@ -35,6 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from protosift.llm.scratch import once_in_worker
 from protosift.llm.words import chunks, mix
 
 SPACE = "▁"
@@ -390,9 +391,6 @@ def _ids_column(texts: list[str | None], raw: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raw), np.int32)))
 
 
-_compiled: dict[str, Transducer] = {}
-
-
 class PieceCoder:
     """Encodes and decodes a column of whole texts.
 
@@ -409,9 +407,7 @@ class PieceCoder:
         path = self.path
 
         def get() -> Transducer:
-            if path not in _compiled:  # once in a Python worker
-                _compiled[path] = Transducer(model.value)
-            return _compiled[path]
+            return once_in_worker(("pieces", path), lambda: Transducer(model.value))
 
         return get
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,3 +66,15 @@ def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[p
             key, begin = values[begin], i
     if held:
         yield pa.Table.from_batches(held)
+
+
+def once_in_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a Python worker and kept for later tasks.
+
+    Functions travel to tasks with copies of their modules' variables, so it is
+    the worker's main module that remembers.
+    """
+    kept = vars(sys.modules["__main__"]).setdefault("_kept_in_worker", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

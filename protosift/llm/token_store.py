@@ -18,7 +18,6 @@ import os
 import uuid
 import zlib
 from array import array
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from protosift.llm.scratch import Scratch
+from protosift.llm.scratch import Scratch, once_in_worker
 from protosift.llm.words import chunks
 
 MAGIC = b"DAC1"
@@ -232,12 +231,6 @@ class WordEncoder:
                 self.memory[word] = array("I", found.ids).tobytes()
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    """One encoder of a Python worker, which remembers words from task to task."""
-    return WordEncoder(path)
-
-
 def _spaced(text: str) -> str:
     """The text in lower case, as the tokenizer has it, with ASCII white space as spaces.
 
@@ -282,7 +275,7 @@ class TokenStore:
 
         def run(batches):
             part, number = TaskContext.get().partitionId(), 0
-            encoder = _encoder(path)
+            encoder = once_in_worker(("words", path), lambda: WordEncoder(path))
             for batch in batches:
                 ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
                 for begin, end in chunks([len(t) for t in texts], FILE_CHARS):
