@@ -76,14 +76,15 @@ def token_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return [np.unique(hashes[ends[i] : ends[i + 1]]) for i in range(len(raw))]
 
 
-def _signatures(sets: list[np.ndarray], ids: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures that sets are indexed or searched by, and the ids of the sets."""
+def _signatures(sets: list[np.ndarray], ids: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets, the ids of the sets, and whether they search by them or
+    are indexed only."""
     sizes = np.array([len(s) for s in sets])
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     spread, mixed = mix(tokens ^ _U(0xA5A5A5A5)), mix(tokens)
     bands = Bands(threshold, int(sizes.max()))
     own = bands.of(sizes)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for below in (0, 1):
         band = own - below
         reach = np.array([-(-threshold.numerator * int(n) // threshold.denominator) for n in sizes])
@@ -112,25 +113,29 @@ def _signatures(sets: list[np.ndarray], ids: np.ndarray, threshold: Fraction) ->
         used = np.zeros(base[-1], bool)
         used[order] = run - run[np.minimum(base[:-1], len(run) - 1)][of[order]] < needed[of[order]]
         keep = used | (below == 0)  # all of the own band are indexed
-        parts.append((mix(sums ^ seed)[keep], of[keep]))
+        parts.append((mix(sums ^ seed)[keep], of[keep], used[keep]))
         if two.any():  # one-deletion neighbours of the segments with two units
             where = np.flatnonzero((two & keep)[slot])
             at = slot[where]
-            parts.append((mix((sums[at] - mixed[live][where]) ^ seed[at]), of[at]))
-    sig, of = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return sig.view(np.int64), ids[of]
+            parts.append((mix((sums[at] - mixed[live][where]) ^ seed[at]), of[at], used[at]))
+    sig, of, used = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return sig.view(np.int64), ids[of], used
 
 
-def _stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (sig, id): the row of the lowest id of each signature, and for the
-    other rows the id and that lowest id, once."""
-    order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
+def _stars(sig: np.ndarray, ids: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b) of rows (sig, id, used): of each signature that a set searches
+    by, all ids to the lowest such id, its lead. And which rows are still to be
+    met by others: the lead, or all rows where there is none."""
+    order = np.lexsort((ids, ~used, sig))
+    sig, ids, used = sig[order], ids[order], used[order]
     first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    lead = ids[first][np.cumsum(first) - 1] if len(sig) else ids
-    met = ids != lead
+    group = np.cumsum(first) - 1
+    lead, searched = ids[first][group], used[first][group]
+    met = searched & (ids != lead)
+    open_rows = np.zeros(len(order), bool)
+    open_rows[order] = first | ~searched
     pairs = np.unique(np.stack([ids[met], lead[met]], axis=1), axis=0)
-    return sig[first], ids[first], pairs[:, 0], pairs[:, 1]
+    return pairs[:, 0], pairs[:, 1], open_rows
 
 
 def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -176,42 +181,52 @@ class JaccardJoin:
         return self._read(docs).mapInArrow(run, "id long, n long, print binary")
 
     def meetings(self, docs: DataFrame) -> DataFrame:
-        """(a, b): links that join any two documents that share a signature, among
-        them all pairs of sets that are alike.
-
-        The documents of a batch that share a signature are linked to the first of
-        them at once, and only that one goes on to the shuffle, so that a
-        signature of very many documents arrives as a few rows. There, rows of a
-        signature stream past and are linked to the first one.
+        """(a, b): links that join any two documents one of which searches by a
+        signature that both have, among them all pairs of sets that are alike.
+
+        The documents of a batch that share a signature are linked at once to the
+        first of them that searches by it, and only that one goes on to the
+        shuffle, so that a signature of very many documents arrives as a few rows.
+        There, rows of a signature stream past, those that search first, and
+        are linked to the first one. By what nobody searches, such as a segment that
+        happens to be empty, nobody is linked.
         """
         width, threshold = self.width, self.threshold
-        names = ["sig", "a", "b"]
+        names = ["sig", "indexed", "a", "b"]
 
         def local(batches):
             for ids, sets in _batches(batches, width):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
-                    sig, lead, a, b = _stars(*_signatures([sets[i] for i in full], ids[full], threshold))
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(lead), pa.nulls(len(sig), pa.int64())], names=names)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a), pa.array(b)], names=names)
+                    sig, own, used = _signatures([sets[i] for i in full], ids[full], threshold)
+                    a, b, still = _stars(sig, own, used)
+                    none = pa.nulls(int(still.sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[still]), pa.array(~used[still]), pa.array(own[still]), none], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b)], names=names)
 
         def across(batches):
             last = None  # signature and lead that the next batch may go on with
             for batch in batches:
-                known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-                sig, ids, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-                sig_open, ids_open = sig[~known], ids[~known]
+                known = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+                sig, indexed, ids, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+                rows = [sig[~known], ids[~known], ~indexed.astype(bool)[~known]]
                 if last is not None:
-                    sig_open, ids_open = np.append(last[0], sig_open), np.append(last[1], ids_open)
-                first, lead, x, y = _stars(sig_open, ids_open)
-                if len(first):
-                    last = (first[-1], lead[-1])
+                    rows = [np.append([x], r) for x, r in zip(last, rows, strict=True)]
+                if len(rows[0]):
+                    x, y, _ = _stars(*rows)
+                    same = rows[0] == rows[0][-1]
+                    searched = same & rows[2]
+                    last = (rows[0][-1], rows[1][searched].min(), True) if searched.any() else None
+                else:
+                    x = y = np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([x, ids[known]])), pa.array(np.concatenate([y, b[known].astype(np.int64)]))], names=["a", "b"]
                 )
 
-        rows = self._read(docs).mapInArrow(local, "sig long, a long, b long")
-        return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(across, "a long, b long").distinct()
+        rows = self._read(docs).mapInArrow(local, "sig long, indexed boolean, a long, b long")
+        # rows that search come before those that are indexed only
+        ordered = rows.repartition("sig").sortWithinPartitions("sig", "indexed")
+        return ordered.mapInArrow(across, "a long, b long").distinct()
 
     def _sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
         width = self.width
