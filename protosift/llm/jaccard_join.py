@@ -122,20 +122,21 @@ def _signatures(sets: list[np.ndarray], ids: np.ndarray, threshold: Fraction) ->
     return sig.view(np.int64), ids[of], used
 
 
-def _stars(sig: np.ndarray, ids: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (a, b) of rows (sig, id, used): of each signature that a set searches
-    by, all ids to the lowest such id, its lead. And which rows are still to be
-    met by others: the lead, or all rows where there is none."""
-    order = np.lexsort((ids, ~used, sig))
-    sig, ids, used = sig[order], ids[order], used[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    group = np.cumsum(first) - 1
-    lead, searched = ids[first][group], used[first][group]
-    met = searched & (ids != lead)
-    open_rows = np.zeros(len(order), bool)
-    open_rows[order] = first | ~searched
-    pairs = np.unique(np.stack([ids[met], lead[met]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], open_rows
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens in two to four times as many cells, a power of two."""
+    words = 1
+    while words * 32 < len(tokens):
+        words *= 2
+    cell = mix(tokens ^ _U(0x5BD1E995)) % _U(words * 64)
+    out = np.zeros(words, _U)
+    np.bitwise_xor.at(out, (cell >> _U(6)).astype(np.int64), _U(1) << (cell & _U(63)))
+    return out.tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of the fewest cells that one of them has."""
+    least = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, _U).reshape(-1, least), axis=0) for x in sketches])
 
 
 def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -165,7 +166,7 @@ class JaccardJoin:
         return docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).cast("string").alias("text"))
 
     def sizes(self, docs: DataFrame) -> DataFrame:
-        """(id, n, print): set size and a 128-bit digest that stands for the set."""
+        """(id, n, print, sketch): set size, a 128-bit digest that stands for the set, parities."""
         width = self.width
 
         def run(batches):
@@ -174,59 +175,79 @@ class JaccardJoin:
             for ids, sets in _batches(batches, width):
                 prints = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary())],
-                    names=["id", "n", "print"],
+                    [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(map(_sketch, sets), pa.binary())],
+                    names=["id", "n", "print", "sketch"],
                 )
 
-        return self._read(docs).mapInArrow(run, "id long, n long, print binary")
+        return self._read(docs).mapInArrow(run, "id long, n long, print binary, sketch binary")
 
-    def meetings(self, docs: DataFrame) -> DataFrame:
-        """(a, b): links that join any two documents one of which searches by a
-        signature that both have, among them all pairs of sets that are alike.
+    def buckets(self, docs: DataFrame) -> DataFrame:
+        """(sig, id) of signatures that several documents have, and that at least
+        one of them searches by. Any two sets that are alike share one.
 
-        The documents of a batch that share a signature are linked at once to the
-        first of them that searches by it, and only that one goes on to the
-        shuffle, so that a signature of very many documents arrives as a few rows.
-        There, rows of a signature stream past, those that search first, and
-        are linked to the first one. By what nobody searches, such as a segment that
-        happens to be empty, nobody is linked.
+        Rows of a signature stream past, those that search first, so one of
+        very many documents needs no memory. By what nobody searches, such as a
+        segment that happens to be empty, nobody is met.
         """
         width, threshold = self.width, self.threshold
-        names = ["sig", "indexed", "a", "b"]
 
         def local(batches):
             for ids, sets in _batches(batches, width):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
                     sig, own, used = _signatures([sets[i] for i in full], ids[full], threshold)
-                    a, b, still = _stars(sig, own, used)
-                    none = pa.nulls(int(still.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[still]), pa.array(~used[still]), pa.array(own[still]), none], names=names)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(~used), pa.array(own)], names=["sig", "indexed", "id"])
 
         def across(batches):
-            last = None  # signature and lead that the next batch may go on with
+            last, waiting = None, None  # a signature that is searched by, and its row if there was but one
             for batch in batches:
-                known = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-                sig, indexed, ids, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-                rows = [sig[~known], ids[~known], ~indexed.astype(bool)[~known]]
-                if last is not None:
-                    rows = [np.append([x], r) for x, r in zip(last, rows, strict=True)]
-                if len(rows[0]):
-                    x, y, _ = _stars(*rows)
-                    same = rows[0] == rows[0][-1]
-                    searched = same & rows[2]
-                    last = (rows[0][-1], rows[1][searched].min(), True) if searched.any() else None
-                else:
-                    x = y = np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x, ids[known]])), pa.array(np.concatenate([y, b[known].astype(np.int64)]))], names=["a", "b"]
-                )
+                sig, indexed, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                if not len(sig):
+                    continue
+                first = np.concatenate([[True], sig[1:] != sig[:-1]])
+                group = np.cumsum(first) - 1
+                searched, size = ~indexed.astype(bool)[first], np.bincount(group)
+                if sig[0] == last:
+                    searched[0] = True
+                keep = searched[group] & ((size[group] > 1) | (sig == last))
+                out_sig, out_ids = sig[keep], ids[keep]
+                if sig[0] == last and waiting is not None:
+                    out_sig, out_ids = np.append(out_sig, last), np.append(out_ids, waiting)
+                alone = size[-1] == 1 and sig[-1] != last
+                last, waiting = (sig[-1], ids[-1] if alone else None) if searched[-1] else (None, None)
+                yield pa.RecordBatch.from_arrays([pa.array(out_sig), pa.array(out_ids)], names=["sig", "id"])
+
+        rows = self._read(docs).mapInArrow(local, "sig long, indexed boolean, id long")
+        return rows.repartition("sig").sortWithinPartitions("sig", "indexed").mapInArrow(across, "sig long, id long")
+
+    def _near(self, tiles: DataFrame) -> DataFrame:
+        """Links (a, b) that span those rows of a tile whose sketches allow them to be alike."""
+        t = self.threshold
+        spread, total = t.denominator - t.numerator, t.denominator + t.numerator
+
+        def run(batches):
+            for rows in groups(batches, ("sig", "i", "j")):
+                if rows.num_rows < 2:
+                    continue
+                ids, n, part = (rows.column(c).to_numpy() for c in ("id", "n", "part"))
+                same = rows.column("i")[0] == rows.column("j")[0]
+                sketch, root = _folded(rows.column("sketch").to_pylist()), np.arange(len(n))
+                a, b = [], []
+                for x in range(1, len(n)):
+                    near = np.flatnonzero(((part[:x] != part[x]) | same) & (root[:x] != root[x]))
+                    near = near[np.minimum(n[near], n[x]) * t.denominator >= np.maximum(n[near], n[x]) * t.numerator]
+                    apart = np.bitwise_count(sketch[near] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+                    for y in near[apart * total <= (n[near] + n[x]) * spread]:
+                        if root[y] != root[x]:
+                            a.append(ids[x])
+                            b.append(ids[y])
+                            low, high = sorted((root[x], root[y]))
+                            root[root == high] = low
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        rows = self._read(docs).mapInArrow(local, "sig long, indexed boolean, a long, b long")
-        # rows that search come before those that are indexed only
-        ordered = rows.repartition("sig").sortWithinPartitions("sig", "indexed")
-        return ordered.mapInArrow(across, "a long, b long").distinct()
+        keys = ["sig", "i", "j"]
+        return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
     def _sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
         width = self.width
@@ -298,7 +319,8 @@ class JaccardJoin:
         the smallest id that links reach, itself included.
 
         Equal sets are one class with one representative. Documents that share a
-        signature belong to a cluster of candidates. Clusters are cut into parts of bounded size and verified two
+        signature, and whose sketches allow them to be alike, belong to a cluster of
+        candidates. Clusters are cut into parts of bounded size and verified two
         parts at a time, so no pairs are ever shuffled.
         """
         scratch = Scratch(docs.sparkSession, "jaccard")
@@ -307,11 +329,20 @@ class JaccardJoin:
         members = scratch.keep(
             sizes.join(firsts, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members"
         )
-        scratch.drop(sizes)
-        met = self.meetings(docs)
-        of_a, of_b = (members.select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
-        met = met.join(of_a, "a").join(of_b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        clusters = scratch.keep(components(met, scratch).withColumnRenamed("component_id", "cluster"), "clusters")
+        shared = scratch.keep(
+            self.buckets(docs).join(members, "id").select("sig", F.col("rep").alias("id"), "n").distinct(), "buckets"
+        )
+        cuts = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        cuts = cuts.select("sig", F.ceil(F.col("c") / PART_ROWS).cast("int").alias("parts"))
+        near = (
+            shared.join(cuts, "sig")
+            .join(sizes.select("id", "sketch"), "id")
+            .withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "sketch")
+        )
+        clusters = scratch.keep(components(self._near(near), scratch).withColumnRenamed("component_id", "cluster"), "clusters")
+        scratch.drop(shared, sizes)
         parts = (
             clusters.join(members.select("id", "n"), "id")
             .groupBy("cluster")
