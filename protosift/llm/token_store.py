@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -164,9 +165,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores of an executor have tasks of their own
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 class WordEncoder:
@@ -175,7 +174,8 @@ class WordEncoder:
 
     Such a tokenizer's ids of a text are those of its words in turn, so a word is
     encoded once and remembered. Only ASCII white space divides words here; the
-    tokenizer sees any other as part of a word and handles it itself.
+    tokenizer sees any other as part of a word and handles it itself. Texts that
+    may hold an added token, such as ``<|endoftext|>``, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -185,12 +185,20 @@ class WordEncoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if suffix:
             self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.added = sorted({_white(x.content).lower() for x in self.tokenizer.get_added_tokens_decoder().values()})
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, each text's followed by ``end_id``, and where texts end."""
-        split = [_spaced(t).split(" ") for t in texts]
+        split, whole = [], []
+        for number, text in enumerate(texts):
+            low = _white(text).lower()
+            if any(x in low for x in self.added):
+                whole.append(number)
+                split.append([])
+            else:
+                split.append(_spaced(text, low).split(" "))
         if len(self.memory) > MEMORY_WORDS:  # what is still in use comes back from the older half
             self.older, self.memory = self.memory, {}
         memory, older, ended = self.memory, self.older, []
@@ -212,6 +220,9 @@ class WordEncoder:
             memory[word] = memory[stem] + memory[end]
         last = array("I", [end_id]).tobytes()
         raw = [b"".join(map(memory.__getitem__, words)) + last for words in split]
+        for number in whole:
+            found = self.tokenizer.encode_batch_fast([texts[number]], add_special_tokens=False)[0]
+            raw[number] = array("I", found.ids).tobytes() + last
         return np.frombuffer(b"".join(raw), np.uint32), np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)
 
 
@@ -231,16 +242,27 @@ class WordEncoder:
                 self.memory[word] = array("I", found.ids).tobytes()
 
 
-def _spaced(text: str) -> str:
-    """The text in lower case, as the tokenizer has it, with ASCII white space as spaces.
-
-    Capital sigma and dotted I, whose lower case depends on the library, are left
-    to the tokenizer with their whole text.
-    """
+def _white(text: str) -> str:
+    """The text with ASCII white space as spaces."""
     for space in "\t\n\v\f\r":
         if space in text:
             text = text.replace(space, " ")
-    return text if "Σ" in text or "İ" in text else text.lower()
+    return text
+
+
+def _spaced(text: str, low: str) -> str:
+    """The text with ASCII white space as spaces, in lower case (``low``) if that is
+    what the tokenizer makes of it.
+
+    Capital sigma and dotted I, whose lower case depends on the library, are left
+    to the tokenizer with their whole text. So are texts that NFC changes before
+    or after lower-casing: the tokenizer composes first, and some letters with
+    marks are composed only in lower case.
+    """
+    if text.isascii():
+        return low
+    as_it_is = "Σ" in text or "İ" in text or not all(unicodedata.is_normalized("NFC", t) for t in (text, low))
+    return _white(text) if as_it_is else low
 
 
 def _write(path: str, raw: bytes) -> None:

@@ -19,7 +19,7 @@ from protosift.llm.chat_template import (
 )
 from protosift.llm.piece_transducer import PieceCoder, PieceModel, Transducer
 from protosift.llm.queries import vocabulary
-from protosift.llm.token_store import TokenFile, TokenStore, encode
+from protosift.llm.token_store import TokenFile, TokenStore, WordEncoder, encode
 
 # Chat templates
 
@@ -139,6 +139,18 @@ def test_documents_come_back_in_order(spark):
     assert TokenStore(path, 2).round_trip(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["abc <|endoftext|> def", "abc<|startoftext|>Def\n<|endoftext|>", "<|ENDOFTEXT|> a", "<|endoftext|>.", "a <|endoftext |> b"]
+    + [f"Über x{mark}ura. {mark} é" for mark in ("J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "\u03aa\u0301", "E\u0301", "\u212b", "e\u0327\u0301")],
+)
+def test_ids_are_those_of_the_library(text):
+    encoder = WordEncoder(vocabulary("word_bpe_49k.json"))
+    wanted = encoder.tokenizer.__class__.from_file(vocabulary("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids
+    ids, ends = encoder.encode(["Plain words", text, "plain"], 2)
+    assert ids[ends[0] : ends[1]].tolist() == [*wanted, 2]
+
+
 # SentencePiece
 
 PIECES = ["a", "e", "th", "in", " ", "  ", "    ", "\n", "\t", "é", "ñ", "日本", "😀", "▁", ".", "S", "The", "ing", "12", "<s>", "\r", "==", "--"]
