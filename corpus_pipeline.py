@@ -6,8 +6,8 @@ read again as the next one's ``docs``. All but the last return the columns of
 
 1. Language: documents without a letter, or without text, go.
 2. Near duplicates: of the documents that shingles of five words link at a Jaccard
-   of 0.8 or more, the one of the smallest id stays. Documents without words
-   link with nothing.
+   of 0.8 or more, the one of the smallest id stays (ids may be null, which come
+   last, or repeat). Documents without words link with nothing.
 3. Decontamination: documents with a window like a benchmark item (0.8 or more) go.
 4. Secrets: spans of secrets become ``[SECRET]``, and ``n_chars`` follows the text.
 5. SentencePiece: documents become ids.
@@ -41,9 +41,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    classes = JaccardJoin().classes(docs)
-    gone = classes.where("id <> component_id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = Scratch(spark, "rows").keep(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    gone = JaccardJoin().row_classes(rows, "_row").where("not first").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

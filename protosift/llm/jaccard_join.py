@@ -153,7 +153,7 @@ class JaccardJoin:
     a token is a run of ``width`` words, or the whole sequence of a shorter
     text. Null and wordless texts have the empty set and no links. Rows whose
     ids agree count as one document each time they occur; ids are unique and
-    not null. Columns other than ``id_col`` and ``text_col`` are not read. An
+    not null, but for ``row_classes``. Columns other than ``id_col`` and ``text_col`` are not read. An
     empty table gives empty results.
     """
 
@@ -361,3 +361,21 @@ class JaccardJoin:
         return members.join(joined, "rep", "left").select(
             "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id")
         )
+
+    def row_classes(self, rows: DataFrame, row_col: str) -> DataFrame:
+        """(row_col, id, n_shingles, component_id, first) of every row of a stored
+        table whose ``row_col`` is unique and not null, while ids may be null or
+        repeat. ``component_id`` is the smallest id of a component (null if all
+        are), and ``first`` marks its row of the smallest id and key, nulls last."""
+        own = JaccardJoin(self.threshold, self.width, row_col, self.text_col).classes(rows)
+        ids = rows.select(F.col(row_col).alias("id"), F.col(self.id_col).cast("long").alias("own_id"))
+        own = own.join(ids, "id")
+        least = F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "id")).alias("least")
+        firsts = own.groupBy("component_id").agg(least)
+        return own.join(firsts, "component_id").select(
+            F.col("id").alias(row_col),
+            F.col("own_id").alias("id"),
+            "n_shingles",
+            F.col("least.own_id").alias("component_id"),
+            (F.col("id") == F.col("least.id")).alias("first"),
+        )

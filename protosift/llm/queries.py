@@ -17,6 +17,7 @@ from protosift.llm.pii import KINDS as PII_KINDS
 from protosift.llm.pii import Pseudonymiser
 from protosift.llm.piece_transducer import PieceCoder
 from protosift.llm.quality import QualityClassifier
+from protosift.llm.scratch import Scratch
 from protosift.llm.secret_scan import SecretScan
 from protosift.llm.token_store import TokenStore
 from protosift.llm.training import learnable
@@ -41,8 +42,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by three-word shingles with a Jaccard of 0.9 or more."""
-    found = JaccardJoin(Fraction(9, 10), width=3).classes(_table(spark, sf_dir, "documents"))
-    return found.withColumnRenamed("id", "doc_id")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    rows = Scratch(spark, "rows").keep(docs, "keyed")
+    found = JaccardJoin(Fraction(9, 10), width=3).row_classes(rows, "_row")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,15 @@ def test_units_cover_all_differences(t):
         band = bands.of([n])[0]
         least = -(-t.numerator * n // t.denominator)
         assert bands.of([least])[0] >= band - 1
+
+
+def test_repeated_and_null_ids_leave_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    copy = " ".join(f"word{k}" for k in range(40))
+    other = " ".join(f"term{k}" for k in range(40))
+    rows = [(7, copy), (7, copy), (None, copy), (9, copy + " more"), (7, other), (3, None), (3, None), (None, "alone in the world"), (None, other), (2, "a b"), (2, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted(corpus_pipeline.first_of_near_copies(spark, docs, "").collect(), key=str)
+    wanted = [(7, copy), (7, other), (3, None), (3, None), (None, "alone in the world"), (2, "a b")]
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, wanted))
