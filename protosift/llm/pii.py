@@ -28,16 +28,18 @@ KINDS = ("email", "iban", "ip", "date", "ssn", "card", "phone")
 #: First and last day that a date is permuted within.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
-# The formats that are looked for.
+# The formats that are looked for. None begins within a word, and
+# numbers not behind a digit with a separator of theirs (or a decimal point); other
+# signs may stand right before.
 FOUND = re.compile(
-    r"""(?<![A-Za-z0-9_.+-])(?:
-    (?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24})(?![A-Za-z0-9@])
+    r"""(?<![A-Za-z0-9])(?:
+    (?P<email>[A-Za-z0-9_+-][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24})(?![A-Za-z0-9@])
   | (?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])
-  | (?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9]|\.[0-9])
-  | (?P<date>[0-9]{4}(?P<d1>[-/.])[0-9]{1,2}(?P=d1)[0-9]{1,2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})(?![0-9]|[-/.][0-9])
-  | (?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|-[0-9])
-  | (?P<card>[0-9](?:[\x20-]?[0-9]){12,18})(?![0-9]|-[0-9])
-  | (?P<phone>(?:\+?1[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{1,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])?[0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){0,2}|\+[0-9]{8,15})(?![0-9]|-[0-9])
+  | (?<![0-9][.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9]|\.[0-9])
+  | (?<![0-9][.-])(?P<date>[0-9]{4}(?P<d1>[-/.])[0-9]{1,2}(?P=d1)[0-9]{1,2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})(?![0-9]|[-/.][0-9])
+  | (?<![0-9][-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|-[0-9])
+  | (?<![0-9][.-])(?P<card>[0-9](?:[\x20-]?[0-9]){12,18})(?![0-9]|-[0-9])
+  | (?<![0-9][.+-])(?P<phone>(?:\+?1[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{1,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])?[0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){0,2}|\+[0-9]{8,15})(?![0-9]|-[0-9])
     )""",
     re.VERBOSE,
 )

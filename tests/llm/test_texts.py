@@ -202,6 +202,22 @@ def test_pseudonyms_keep_the_format_and_come_back(value):
         assert luhn(re.sub("[^0-9]", "", new)) == 0
 
 
+@pytest.mark.parametrize(
+    ("before", "value"),
+    [("No.", "4111 1111 1111 1111"), ("Tel.", "555-234-5678"), ("SSN-", "123-45-6789"), ("id_", "4111111111111111"), ("", "_ann@x.org"), ("born.", "1984-03-07"), ("host_", "21.178.43.154"), ("acct_", "GB82WEST12345698765432"), ("..", "ann@x.org"), ("a+", "4111111111111111")],
+)
+def test_values_right_behind_signs(before, value):
+    names, back = Pseudonyms(b"k" * 16), Pseudonyms(b"k" * 16, back=True)
+    moved, spans = replace_all(f"x {before}{value}, y", names)
+    assert [(a, b) for _, a, b in spans] == [(2 + len(before), 2 + len(before) + len(value))]
+    assert value not in moved and replace_all(moved, back)[0] == f"x {before}{value}, y"
+
+
+@pytest.mark.parametrize("text", ["0.4111111111111111", "1.2.3.4.5", "9-123-45-6789-1", "a4111111111111111"])
+def test_parts_of_other_numbers_stay(text):
+    assert replace_all(f"x {text} y", Pseudonyms(b"k" * 16)) == (f"x {text} y", [])
+
+
 def test_values_next_to_other_numbers():
     names = Pseudonyms(b"k" * 16)
     card, phone = "4405935324758010", "+1 (836) 555-9331"
