@@ -15,6 +15,7 @@ deviation of 6; the radius lies three of them above.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,8 +33,14 @@ ITEM_CHARS = 4 << 20
 _U = np.uint64
 
 
+#: Characters beyond ASCII that are neither letters nor digits.
+_OTHER = re.compile(r"[^\x00-\x7f\w]+")
+
+
 def normal(text: str | None) -> bytes:
-    return (text or "").lower().encode()
+    """UTF-8 of the text in lower case, where only letters and digits lie beyond ASCII."""
+    low = (text or "").lower()
+    return (low if low.isascii() else _OTHER.sub(" ", low)).encode()
 
 
 def _bits(shingles: np.ndarray) -> np.ndarray:
@@ -160,7 +167,8 @@ def leaks_of(texts: list[bytes], index: ItemIndex, threshold: float) -> list[tup
 class Decontaminator:
     """Finds windows of documents that are like an item of a benchmark.
 
-    Words are runs of letters and digits, lower-cased. Shingles take ``width``
+    Words are runs of letters and digits, lower-cased; a text without spaces is
+    cut by its punctuation alone. Shingles take ``width``
     words; an item of fewer words is one shingle and looks for windows of as
     many. A document shorter than an item is a window as a whole. Null and
     wordless texts and items match nothing. Ids of documents may repeat and

@@ -170,6 +170,21 @@ def test_quality(spark):
     assert {r.score for r in classifier.score(odd, blank).collect()} == {0.5}
 
 
+def test_leaks_by_other_punctuation(spark):
+    rng = random.Random(8)
+    items = [(1, words(rng, 12)), (2, "\u6f22\u5b57\u306e\u8a66\u9a13\u554f\u984c"), (3, words(rng, 14))]
+    docs = [
+        (1, "x " + items[0][1].replace(" ", "\u00a0") + " y"),
+        (2, f"\u524d\u6587\u3002{items[1][1]}\u3002\u5f8c\u6587\u3002"),
+        (3, "\u201c" + items[2][1].replace(" ", "\u2014") + "\u201d\u2026"),
+        (4, "caf\u00e9\u2019s \u0661\u0662 e\u0301"),
+    ]
+    found = Decontaminator().leaks(spark.createDataFrame(docs, TEXTS), spark.createDataFrame(items, "item_id long, text string"))
+    wanted = brute_leaks(docs, items, 0.8)
+    assert {(r.id, r.item_id): (round(r.similarity, 9), r.begin) for r in found.collect()} == wanted
+    assert set(wanted) == {(1, 1), (2, 2), (3, 3)}
+
+
 # Pseudonyms
 
 
