@@ -62,7 +62,7 @@ def _masks() -> np.ndarray:
 class ItemIndex:
     """Benchmark items by shingle and by blocks of their fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
+    def __init__(self, items: list[tuple[int | None, str]], width: int):
         self.width = width
         words = words_of([normal(t) for _, t in items], WORDS_ONLY)
         sizes = np.diff(words.first)
@@ -172,7 +172,8 @@ class Decontaminator:
     words; an item of fewer words is one shingle and looks for windows of as
     many. A document shorter than an item is a window as a whole. Null and
     wordless texts and items match nothing. Ids of documents may repeat and
-    every row has its results; null ids stay null. Other columns are not
+    every row has its results; null ids stay null. So do those of items, and items
+    whose ids are null or repeat are looked for each by itself. Other columns are not
     read. An empty table on either side gives an empty result.
     """
 
@@ -188,16 +189,16 @@ class Decontaminator:
         return found
 
     @staticmethod
-    def _item_groups(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    def _item_groups(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int | None, str]]]:
         """The items in groups of about ``ITEM_CHARS``; each takes a pass over the documents."""
         items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
         total = items.agg(F.sum(F.length("text"))).first()[0] or 0
         passes = 1 + total // ITEM_CHARS
         for k in range(passes):
             some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-            yield sorted((r.item_id, r.text or "") for r in some.collect() if r.item_id is not None)
+            yield sorted(((r.item_id, r.text or "") for r in some.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
-    def _leaks(self, docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    def _leaks(self, docs: DataFrame, items: list[tuple[int | None, str]]) -> DataFrame:
         known, width, threshold = docs.sparkSession.sparkContext.broadcast(items), self.width, self.threshold
 
         def run(batches):

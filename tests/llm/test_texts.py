@@ -185,6 +185,16 @@ def test_leaks_by_other_punctuation(spark):
     assert set(wanted) == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_items_with_null_or_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 12) for _ in range(3))
+    bench = spark.createDataFrame([(None, a), (None, b), (4, c), (4, a), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, b), (3, c), (4, "none")], TEXTS)
+    found = Decontaminator().leaks(docs, bench).collect()
+    assert sorted(((r.id, r.item_id, r.similarity) for r in found), key=str) == [(1, 4, 1.0), (1, None, 1.0), (2, None, 1.0), (3, 4, 1.0)]
+    assert {r.doc_id: r.leaks for r in Decontaminator().flag(docs, bench).collect()} == {1: 2, 2: 1, 3: 1, 4: 0}
+
+
 # Pseudonyms
 
 
