@@ -41,6 +41,8 @@ SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 2000
 #: Log-likelihood ratio per character that makes a run a secret.
 RATIO = 0.5
+#: The same for runs without digits.
+LETTER_RATIO = 1.0
 
 Span = tuple[int, int, int]
 
@@ -95,9 +97,9 @@ class MarkovModels:
         return float(self.ratios[c[:-2], c[1:-1], c[2:]].mean()) if len(c) > 2 else 0.0
 
 
-def _mixed(run: str) -> bool:
-    """A run that holds digits and letters, as random strings of its length do."""
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+def _judged(run: str) -> bool:
+    """A run with a letter. Long runs of digits alone are hexadecimal already."""
+    return any(c.isalpha() for c in run)
 
 
 class SecretScan:
@@ -109,8 +111,8 @@ class SecretScan:
     the patterns alone find spans.
     """
 
-    def __init__(self, id_col="doc_id", text_col="text", ratio=RATIO, sample_rows=SAMPLE_ROWS, sample_chars=SAMPLE_CHARS):
-        self.id_col, self.text_col, self.threshold = id_col, text_col, ratio
+    def __init__(self, id_col="doc_id", text_col="text", ratio=RATIO, letter_ratio=LETTER_RATIO, sample_rows=SAMPLE_ROWS, sample_chars=SAMPLE_CHARS):
+        self.id_col, self.text_col, self.threshold, self.letter_threshold = id_col, text_col, ratio, letter_ratio
         self.sample_rows, self.sample_chars = sample_rows, sample_chars
 
     def fit(self, docs: DataFrame) -> MarkovModels:
@@ -133,7 +135,7 @@ class SecretScan:
                         at = max(at, end)
                     ordinary += WORD.findall(text[at:chars])
                 # Runs that the models are to judge cannot be samples.
-                ordinary = [w for w in ordinary if len(w) < LEAST_RUN or not _mixed(w)]
+                ordinary = [w for w in ordinary if len(w) < LEAST_RUN or not _judged(w)]
                 both = random + ordinary
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(both, pa.string()), pa.array([True] * len(random) + [False] * len(ordinary))], names=["value", "random"]
@@ -145,14 +147,23 @@ class SecretScan:
         return MarkovModels.fit(*(found.loc[found["random"] == k, "value"].tolist() for k in (True, False)))
 
     def spans_of(self, text: str, models: MarkovModels) -> list[Span]:
-        """Base spans and, where no base span lies, those of random-looking runs."""
+        """Base spans and, where no base span lies, those of random-looking runs
+        and parts of runs. Without digits they need a ratio of ``letter_ratio``."""
         spans = base_spans(text)
         more = []
         for m in RUN.finditer(text):
-            if any(s < m.end() and m.start() < e for s, _, e in spans):
-                continue
-            if _mixed(m.group()) and models.ratio(m.group()) > self.threshold:
-                more.append((m.start(), 3, m.end()))
+            begin, parts = m.start(), []
+            for s, _, e in spans:
+                if s < m.end() and begin < e:
+                    parts.append((begin, s))
+                    begin = e
+            for begin, end in [*parts, (begin, m.end())]:
+                run = text[begin:end]
+                if len(run) < LEAST_RUN or not _judged(run):
+                    continue
+                least = self.threshold if any(map(str.isdigit, run)) else self.letter_threshold
+                if models.ratio(run) > least:
+                    more.append((begin, 3, end))
         return sorted(spans + more)
 
     def scan(self, docs: DataFrame, models: MarkovModels) -> DataFrame:
