@@ -620,7 +620,7 @@ sizes AS (
 report AS (
   SELECT threshold, sum(rmse) / 10 AS rmse, count(*) AS n_folds, any_value(size) AS size
   FROM thresholds JOIN fold_errors USING (step) JOIN sizes USING (step) GROUP BY step, threshold),
-best AS (SELECT * FROM report ORDER BY rmse, threshold DESC LIMIT 1)"""
+best AS (SELECT * FROM report ORDER BY round(rmse, 9), threshold DESC LIMIT 1)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,249 +1,260 @@
 """Quality by ordered weighted averages over the rows in conflict with a row.
 
-Two rows are in conflict when they are more alike than their outcomes are.
-Every conflict of a row counts in its average, so this job, unlike the other
-pairwise ones, has to look at all pairs of distinct rows; it does so inside
-tasks, and only one average per row and block leaves them.
+Two rows are in conflict when they are more alike than their outcomes are, that
+is, when their distance is below the difference of their outcomes. Files and
+groups of rows that are too far off for their outcomes are never compared.
+
+A task owns some of the probing rows. It reads the held rows file by file from a
+shared table, keeps the conflicts of a few probing rows at a time, and ranks them
+when it has seen all files. So one row leaves the task for each probing row, and
+neither pairs nor conflicts are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import block_of
 from protosift.functions.harmonic import harmonic
-from protosift.operators.owa import owa_of_few
 from protosift.operators.stats import scale
-from protosift.plans.blocks import Held
 from protosift.plans.lineage import cut_lineage, reusable
+from protosift.plans.outcomes import BLOCK, OUTCOME, SLACK, Arranged
 from protosift.plans.profiles import COPIES, RID, Profiles, hand_back, profiles_of
-from protosift.plans.tiles import BLOCK, pair_all, run_tasks
+from protosift.plans.shared import Reader, SharedTable, share
+from protosift.plans.tiles import MAX_PARTITIONS
 from protosift.spec import RowSpec
 
-OUTCOME = "_outcome"
-
 
 @dataclass(frozen=True)
 class ConflictSettings:
-    """Sizes that change how the work is cut, never its result."""
+    """Sizes that change how the work is cut, never its result.
+
+    ``held_rows`` is the size of a file of the shared table, ``kept_rows`` how
+    many rows a task keeps in memory from file to file, ``pairs`` how many pairs
+    of rows, at most, are open at a time: their conflicts are in memory until
+    they are ranked. ``probing_rows`` is the size of a task.
+    """
 
-    held_rows: int | None = None
+    held_rows: int = 65_536
+    kept_rows: int = 1 << 22
+    pairs: int = 1 << 22
     probing_rows: int = 4096
     least_rows: int = 64
 
-    def held(self, spec: RowSpec) -> int:
-        """Held rows of a task: about 256 MB, four million rows at most."""
-        return self.held_rows or int(np.clip((1 << 25) // (spec.size + 3), 65_536, 1 << 22))
-
-
-def _degrees(view, part, rows, batch, jaccard):
-    """Conflict degrees of a slice of rows and which pairs are in conflict."""
-    degree = view.similarities(part, jaccard)
-    ya, yb = batch[OUTCOME].to_numpy("float64")[part], rows[OUTCOME].to_numpy("float64")
-    alike = ya[:, None] - yb[None, :]
-    np.subtract(1.0, np.abs(alike, out=alike), out=alike)
-    conflict = degree > alike
-    np.subtract(1.0, degree, out=degree)
-    degree += alike
-    return degree, conflict
-
-
-def _sorted_conflicts(spec: RowSpec, jaccard: str, rows: pd.DataFrame, batch: pd.DataFrame):
-    """Of each slice of the batch: the rows' ids, the conflict degrees of each row
-    in rising order and how many rows each degree stands for. A pair without
-    conflict comes last, as infinity with a count of 0."""
-    held = Held(spec, rows)
-    copies = rows[COPIES].to_numpy("int64")
-    view, ids = held.seen_from(batch), batch[RID].to_numpy()
-    for part in view.slices():
-        degree, conflict = _degrees(view, part, rows, batch, jaccard)
-        degree[~conflict] = np.inf
-        if (copies == 1).all():
-            degree.sort(axis=1)
-            times = np.isfinite(degree).astype("int64")
-        else:
-            order = degree.argsort(axis=1)
-            degree = np.take_along_axis(degree, order, axis=1)
-            times = np.where(np.isfinite(degree), copies[order], 0)
-        yield ids[part], degree, times
-
-
-def _averages(degree: np.ndarray, times: np.ndarray) -> dict[str, np.ndarray]:
-    """Ordered weighted average, count and range of each row's degrees."""
-    after = np.cumsum(times, axis=1)
-    count = after[:, -1]
-    weight = np.where(times == 1, 1.0 / np.maximum(after, 1), harmonic(after) - harmonic(after - times))
-    top = np.where(times > 0, degree, 0.0) * weight
-    found = count > 0
-    last = np.maximum((times > 0).sum(axis=1) - 1, 0)
-    return {
-        "owa": np.where(found, top.sum(axis=1), np.nan) / np.where(found, harmonic(count), 1.0),
-        "n_values": count,
-        "least": np.where(found, degree[:, 0], np.nan),
-        "greatest": np.where(found, degree[np.arange(len(degree)), last], np.nan),
-    }
-
-
-def _average_kernel(spec: RowSpec, jaccard: str):
-    """Kernel: the ordered weighted average of each row's conflicts in a block."""
-
-    def kernel(rows: pd.DataFrame):
-        block = rows[BLOCK].iloc[0]
-
-        def reduce(batch):
-            for ids, degree, times in _sorted_conflicts(spec, jaccard, rows, batch):
-                yield pd.DataFrame({RID: ids, BLOCK: block, **_averages(degree, times)})
-
-        return reduce
-
-    return kernel
-
-
-def _summary_kernel(spec: RowSpec, jaccard: str):
-    """Kernel: how many conflicts a row has with a part of a block, and their range."""
-
-    def kernel(rows: pd.DataFrame):
-        held = Held(spec, rows)
-        copies = rows[COPIES].to_numpy("int64")
-        block = rows[BLOCK].iloc[0]
-
-        def reduce(batch):
-            view, ids = held.seen_from(batch), batch[RID].to_numpy()
-            for part in view.slices():
-                degree, conflict = _degrees(view, part, rows, batch, jaccard)
-                count = conflict @ copies
-                least = np.where(conflict, degree, np.inf).min(axis=1)
-                greatest = np.where(conflict, degree, -np.inf).max(axis=1)
-                yield pd.DataFrame(
-                    {
-                        RID: ids[part],
-                        BLOCK: block,
-                        "n_values": count,
-                        "least": np.where(count > 0, least, np.nan),
-                        "greatest": np.where(count > 0, greatest, np.nan),
-                    }
-                )
-
-        return reduce
-
-    return kernel
-
-
-def _run_kernel(spec: RowSpec, jaccard: str):
-    """Kernel for parts of a block: a row's degrees as one sorted run of bytes."""
-
-    def kernel(rows: pd.DataFrame):
-        block = rows[BLOCK].iloc[0]
-
-        def reduce(batch):
-            for ids, degree, times in _sorted_conflicts(spec, jaccard, rows, batch):
-                sizes = (times > 0).sum(axis=1)
-                runs = [(d[:n].tobytes(), t[:n].tobytes()) for d, t, n in zip(degree, times, sizes)]
-                yield pd.DataFrame(
-                    {RID: ids, BLOCK: block, "_degrees": [r[0] for r in runs], "_times": [r[1] for r in runs]}
-                )
-
-        return reduce
-
-    return kernel
-
-
-def _merge_runs(runs: pd.DataFrame) -> pd.DataFrame:
-    """The average over the sorted runs that the parts of a block found for a row."""
-    degree = np.concatenate([np.frombuffer(x, "float64") for x in runs["_degrees"]])
-    times = np.concatenate([np.frombuffer(x, "int64") for x in runs["_times"]])
-    order = degree.argsort(kind="stable")  # merges sorted runs
-    empty = {"owa": [np.nan], "n_values": [0], "least": [np.nan], "greatest": [np.nan]}
-    found = _averages(degree[order][None, :], times[order][None, :]) if len(degree) else empty
-    return pd.DataFrame({RID: [runs[RID].iat[0]], BLOCK: [runs[BLOCK].iat[0]], **found})
+
+@dataclass(frozen=True)
+class Conflicts:
+    """Conflicts of some rows, ordered by row and block, as segments: the rows and
+    blocks, where each segment begins, and the degrees and copies in them."""
+
+    row: np.ndarray
+    block: np.ndarray
+    starts: np.ndarray
+    degree: np.ndarray
+    times: np.ndarray | None
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.starts, append=len(self.degree))
+
+
+def _segments(found: list[tuple], single: bool) -> Conflicts:
+    """Conflicts of several files (row, block, degree, copies) as segments."""
+    empty = np.empty(0, "int64")
+    if not found:
+        return Conflicts(empty, empty, empty, np.empty(0), None if single else empty)
+    row, block, degree, times = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*found))
+    # Files come in the order of blocks, so a stable sort by row is enough.
+    if (np.diff(row) < 0).any():
+        order = row.argsort(kind="stable")
+        row, block, degree, times = row[order], block[order], degree[order], times[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
+    starts = np.flatnonzero(new)
+    return Conflicts(row[starts], block[starts], starts, degree, None if single else times)
+
+
+def _sorted(found: Conflicts) -> tuple[np.ndarray, np.ndarray | None]:
+    """Degrees of each segment in rising order, with their copies."""
+    degree, times = found.degree, found.times
+    sizes = found.sizes
+    if len(sizes) and len(degree) < 32 * len(sizes):
+        order = np.lexsort((degree, np.repeat(np.arange(len(sizes)), sizes)))
+        return degree[order], None if times is None else times[order]
+    for start, size in zip(found.starts.tolist(), sizes.tolist()):
+        part = degree[start : start + size]
+        if times is None:
+            part.sort()
+            continue
+        order = part.argsort()
+        degree[start : start + size] = part[order]
+        times[start : start + size] = times[start : start + size][order]
+    return degree, times
+
+
+def averages(found: Conflicts) -> np.ndarray:
+    """Ordered weighted average of each segment."""
+    if not len(found.starts):
+        return np.empty(0)
+    starts, sizes = found.starts, found.sizes
+    degree, times = _sorted(found)
+    if times is None:
+        rank = np.arange(1.0, len(degree) + 1)
+        rank -= np.repeat(starts, sizes)
+        return np.add.reduceat(degree / rank, starts) / harmonic(sizes)
+    after = np.cumsum(times)
+    after -= np.repeat(after[starts] - times[starts], sizes)
+    weight = 1.0 / after
+    many = np.flatnonzero(times > 1)
+    weight[many] = harmonic(after[many]) - harmonic(after[many] - times[many])
+    return np.add.reduceat(degree * weight, starts) / harmonic(np.add.reduceat(times, starts))
 
 
 @dataclass(frozen=True)
 class _Job:
+    """What the tasks of one run need; ``files`` are the shared table's."""
+
+    spec: RowSpec
+    jaccard: str
+    settings: ConflictSettings
+    files: pd.DataFrame
+    single: bool
+
+    def matters(self, batch: pd.DataFrame) -> np.ndarray:
+        """Which files may hold conflicts of each row of a batch."""
+        files, spec = self.files, self.spec
+        y = batch[OUTCOME].to_numpy("float64")[:, None]
+        apart = np.maximum(y - files["_lo_outcome"].to_numpy()[None, :], files["_hi_outcome"].to_numpy()[None, :] - y)
+        if not spec.distance and not spec.similarity:
+            far = np.zeros(apart.shape)
+            for c in spec.numeric:
+                x = batch[c].to_numpy("float64")[:, None]
+                low, high = (files[f"_{e}_{c}"].to_numpy("float64")[None, :] for e in ("lo", "hi"))
+                far += np.maximum(np.maximum(low - x, x - high), 0.0)
+            for c in spec.string + (spec.bitset if self.jaccard == "equal" else ()):
+                low, high = (files[f"_{e}_{c}"].to_numpy() for e in ("lo", "hi"))
+                x = batch[c].to_numpy()[:, None]
+                far += (low == high)[None, :] & (x != low[None, :])
+            apart -= far / spec.size
+        return apart > -SLACK
+
+    def found_in(self, reader: Reader, batch: pd.DataFrame) -> Conflicts:
+        outcome = batch[OUTCOME].to_numpy("float64")
+        needed = self.matters(batch)
+        found = []
+        for i in np.flatnonzero(needed.any(axis=0)):
+            rows = np.flatnonzero(needed[:, i])
+            held = reader[i]
+            view = held.held.seen_from(batch.iloc[rows])
+            for row, at, degree in held.conflicts(view, outcome[rows]):
+                found.append((rows[row], held.blocks[at], degree, None if self.single else held.copies[at]))
+        if self.single:
+            found = [(*x[:3], x[0]) for x in found]
+        return _segments(found, self.single)
+
+    def run(self, reduce: Callable[[pd.DataFrame, Conflicts], pd.DataFrame]):
+        """A function over batches of probing rows: their conflicts, reduced."""
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = self.files["rows"].tolist()
+            reader = Reader(
+                self.files["uri"].tolist(), rows, self.settings.kept_rows,
+                lambda part: Arranged(self.spec, self.jaccard, part),
+            )
+            step = max(1, self.settings.pairs // max(1, sum(rows)))
+            for batch in batches:
+                parts = [batch.iloc[i : i + step] for i in range(0, len(batch), step)]
+                if parts:
+                    yield pd.concat([reduce(part, self.found_in(reader, part)) for part in parts])
+
+        return work
+
+
+@dataclass(frozen=True)
+class _Prepared:
     rows: DataFrame
     spec: RowSpec
     profiles: Profiles
-    partial: DataFrame
+    table: SharedTable
+    probing: DataFrame
     blocks: list[int]
+    job: _Job
+
+    def reduced(self, reduce, schema: str) -> DataFrame:
+        """One row per profile, kept in the shared folder; the table is dropped."""
+        try:
+            return cut_lineage(self.probing.mapInPandas(self.job.run(reduce), schema))
+        finally:
+            self.table.drop()
 
 
-def _partial_averages(
-    df: DataFrame, spec: RowSpec, blocks: int, jaccard: str, settings: ConflictSettings, summary: bool = False
-) -> _Job:
-    """Average of each row profile within each block of compared rows, or with
-    ``summary`` only the count and range of its conflicts.
+def _prepare(
+    df: DataFrame, spec: RowSpec, blocks: int, jaccard: str, settings: ConflictSettings
+) -> _Prepared:
+    """The probing rows and the shared table of held rows.
 
-    A task holds one block, or a part of one that is larger than the settings
-    allow. Parts leave one row per probing row each: mergeable counts for a
-    summary, and for averages, which depend on the rank of every conflict, one
-    sorted run. So the rows that are shuffled never exceed rows times parts; the
-    bytes of the runs still grow with the conflicts of a row.
+    A row never conflicts with its copies (similarity 1, equal outcome), so
+    leaving out the row itself needs no test and copies can be counted.
     """
     if blocks < 1:
         raise ValueError("blocks has to be at least 1")
+    if jaccard not in ("equal", "ratio"):
+        raise ValueError(f"unknown jaccard mode {jaccard!r}")
     scaled = scale(reusable(spec.conform(df)), spec, "minmax").withColumnRenamed(spec.label, OUTCOME)
     keys = (*spec.attributes, OUTCOME)
     profiles = profiles_of(scaled, keys, spec.id)
-    columns = [RID, *keys, COPIES, BLOCK]
-
-    # A row never conflicts with its copies (similarity 1, equal outcome), so
-    # leaving out the row itself needs no test and copies can be counted.
     if blocks == 1:
-        held = profiles.df.withColumn(BLOCK, F.lit(0).cast("long")).select(*columns)
+        held, n_held = profiles.df.withColumn(BLOCK, F.lit(0).cast("long")), profiles.rows
     else:
-        held = cut_lineage(
-            scaled.groupBy(*keys, block_of(F.col(spec.id), blocks).alias(BLOCK)).agg(
-                F.min(spec.id).alias(RID), F.count(F.lit(1)).alias(COPIES)
-            )
-        ).select(*columns)
-    # One row per block of the caller.
-    sizes = {r[0]: r[1] for r in held.groupBy(BLOCK).count().collect()}
-    limit = settings.held(spec)
-    parts = {b: -(-n // limit) for b, n in sorted(sizes.items())}
-    probing = profiles.df.withColumn(BLOCK, F.lit(0).cast("long")).select(*columns)
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    edges = "least double, greatest double"
-    averages = f"{RID} long, {BLOCK} long, owa double, n_values long, {edges}"
-
-    def found_in(chosen: dict[int, int], kernel, schema: str) -> DataFrame:
-        chunks = max(
-            -(-profiles.rows // settings.probing_rows),
-            min(2 * parallelism // len(chosen) + 1, -(-profiles.rows // settings.least_rows)),
+        held = scaled.groupBy(*keys, block_of(F.col(spec.id), blocks).alias(BLOCK)).agg(
+            F.min(spec.id).alias(RID), F.count(F.lit(1)).alias(COPIES)
         )
-        routed, tasks = pair_all(held.join(F.broadcast(_as_rows(df, chosen)), BLOCK, "left_semi"), probing, chosen, chunks)
-        return run_tasks(routed, tasks, kernel(spec, jaccard), schema)
-
-    if not parts:
-        return _Job(scaled, spec, profiles, df.sparkSession.createDataFrame([], averages), [])
-    if summary:
-        partial = (
-            found_in(parts, _summary_kernel, f"{RID} long, {BLOCK} long, n_values long, {edges}")
-            .groupBy(RID)
-            .agg(
-                F.sum("n_values").alias("n_values"),
-                F.min(F.nanvl("least", F.lit(None).cast("double"))).alias("least"),
-                F.max(F.nanvl("greatest", F.lit(None).cast("double"))).alias("greatest"),
-            )
-        )
-        return _Job(scaled, spec, profiles, partial, list(parts))
-    partial = None
-    whole, split = ({b: n for b, n in parts.items() if (n == 1) == one} for one in (True, False))
-    if whole:
-        partial = found_in(whole, _average_kernel, averages)
-    if split:
-        runs = found_in(split, _run_kernel, f"{RID} long, {BLOCK} long, _degrees binary, _times binary")
-        merged = runs.groupBy(RID, BLOCK).applyInPandas(_merge_runs, averages)
-        partial = merged if partial is None else partial.unionByName(merged)
-    return _Job(scaled, spec, profiles, partial, list(parts))
+        n_held = min(profiles.source_rows, profiles.rows * blocks)
+    # Alike rows side by side: strings and sets, then quarters of each number.
+    order = [
+        *map(F.col, (BLOCK, *spec.string, *spec.bitset)),
+        *[F.floor(F.col(c) * 4) for c in spec.numeric[:8]],
+        F.col(OUTCOME),
+    ]
+    edges = [
+        e(c).alias(f"_{n}_{'outcome' if c == OUTCOME else c}")
+        for c in (*keys, BLOCK)
+        for n, e in (("lo", F.min), ("hi", F.max))
+    ]
+    counts = [F.count(F.lit(1)).alias("rows"), F.max(COPIES).alias("_most"), F.collect_set(BLOCK).alias("_blocks")]
+    columns = [*keys, COPIES, BLOCK]
+    table = share(held.select(*columns), order, -(-n_held // settings.held_rows), [*edges, *counts])
+    files = table.files
+    # One value per block of the caller.
+    present = sorted({int(b) for found in files["_blocks"] for b in found})
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(
+        -(-profiles.rows // settings.probing_rows),
+        min(4 * parallelism, -(-profiles.rows // settings.least_rows)),
+        1,
+    )
+    probing, tasks = profiles.df.select(RID, *keys), min(tasks, MAX_PARTITIONS)
+    # With several files a task's rows should need the same ones.
+    if len(files) > 1:
+        probing = probing.withColumn(BLOCK, F.lit(0)).repartitionByRange(tasks, *order).drop(BLOCK)
+    else:
+        probing = probing.repartition(tasks, RID)
+    single = bool((files["_most"] == 1).all()) if len(files) else True
+    job = _Job(spec, jaccard, settings, files.drop(columns="_blocks"), single)
+    return _Prepared(scaled, spec, profiles, table, probing, present, job)
 
 
-def _as_rows(df: DataFrame, blocks) -> DataFrame:
-    return df.sparkSession.createDataFrame([(b,) for b in blocks], f"{BLOCK} long")
+def _by_block(part: pd.DataFrame, found: Conflicts, blocks: np.ndarray, empty: float) -> np.ndarray:
+    """Averages of each row (down) in each block (across)."""
+    values = np.full((len(part), len(blocks)), empty)
+    values[found.row, np.searchsorted(blocks, found.block)] = averages(found)
+    return values
 
 
 def quality_powa(
@@ -262,32 +273,17 @@ def quality_powa(
     block without conflicts counts as ``empty_value``: 0 by default, which
     pulls the row down; 1 treats it as perfect.
     """
-    job = _partial_averages(df, spec, blocks, jaccard, settings)
-    filled = F.coalesce(F.nanvl("owa", F.lit(None).cast("double")), F.lit(float(empty_value)))
-    if len(job.blocks) <= 1:
-        best = job.partial.select(RID, filled.alias("_quality"))
-        rows = hand_back(job.rows, spec.id, best, job.profiles, "_quality")
-        quality = F.coalesce("_quality", F.lit(float(empty_value)))
-        return rows.select(F.col(spec.id).alias("id"), quality.alias("quality"))
-    top, weight = owa_of_few(RID, "_value")
-    best = (
-        _every_block(job, filled.alias("_value"), float(empty_value))
-        .select(RID, top.alias("_top"), weight.alias("_weight"))
-        .groupBy(RID)
-        .agg((F.sum("_top") / F.sum("_weight")).alias("_quality"))
-    )
-    rows = hand_back(job.rows, spec.id, best, job.profiles, "_quality")
-    return rows.select(F.col(spec.id).alias("id"), F.col("_quality").alias("quality"))
+    ready = _prepare(df, spec, blocks, jaccard, settings)
+    present, empty = np.array(ready.blocks, "int64"), float(empty_value)
 
+    def reduce(part: pd.DataFrame, found: Conflicts) -> pd.DataFrame:
+        each = np.sort(_by_block(part, found, present, empty), axis=1)
+        weight = 1.0 / np.arange(1, len(present) + 1)
+        return pd.DataFrame({RID: part[RID].to_numpy(), "_quality": (each * weight).sum(axis=1) / weight.sum()})
 
-def _every_block(job: _Job, value, empty: float | None) -> DataFrame:
-    """One row per profile and block."""
-    blocks = F.split(F.lit(",".join(map(str, job.blocks))), ",").cast("array<long>")
-    return (
-        job.profiles.df.select(RID, F.explode(blocks).alias(BLOCK))
-        .join(job.partial.select(RID, BLOCK, value), [RID, BLOCK], "left")
-        .fillna(empty, ["_value"])
-    )
+    best = ready.reduced(reduce, f"{RID} long, _quality double")
+    rows = hand_back(ready.rows, spec.id, best, ready.profiles, "_quality")
+    return rows.select(F.col(spec.id).alias("id"), F.col("_quality").alias("quality"))
 
 
 def owa_blocks(
@@ -300,15 +296,18 @@ def owa_blocks(
     settings: ConflictSettings = ConflictSettings(),
 ) -> DataFrame:
     """``id, block, owa``: the averages within blocks before they are combined."""
-    job = _partial_averages(df, spec, blocks, jaccard, settings)
-    filled = F.coalesce(F.nanvl("owa", F.lit(None).cast("double")), F.lit(float(empty_value)))
-    each = (
-        _every_block(job, filled.alias("_value"), float(empty_value))
-        .groupBy(RID)
-        .agg(F.collect_list(F.struct(F.col(BLOCK).alias("block"), F.col("_value").alias("owa"))).alias("_each"))
-    )
-    rows = hand_back(job.rows, spec.id, each, job.profiles, "_each")
-    return rows.select(F.col(spec.id).alias("id"), F.inline("_each"))
+    ready = _prepare(df, spec, blocks, jaccard, settings)
+    present, empty = np.array(ready.blocks, "int64"), float(empty_value)
+
+    def reduce(part: pd.DataFrame, found: Conflicts) -> pd.DataFrame:
+        each = list(_by_block(part, found, present, empty))
+        return pd.DataFrame({RID: part[RID].to_numpy(), "_each": each})
+
+    each = ready.reduced(reduce, f"{RID} long, _each array<double>")
+    rows = hand_back(ready.rows, spec.id, each, ready.profiles, "_each")
+    names = F.split(F.lit(",".join(map(str, ready.blocks))), ",").cast("array<long>")
+    pairs = F.arrays_zip(names.alias("block"), F.col("_each").alias("owa"))
+    return rows.select(F.col(spec.id).alias("id"), F.inline(pairs).alias("block", "owa"))
 
 
 def conflict_summary(
@@ -320,14 +319,28 @@ def conflict_summary(
 ) -> DataFrame:
     """``id, conflicts, least, greatest``: how many rows conflict with a row,
     and the range of their conflict degrees (null without conflicts)."""
-    job = _partial_averages(df, spec, 1, jaccard, settings, summary=True)
-    names = ("n_values", "least", "greatest")
-    found = job.partial.select(RID, *[F.col(c).alias(f"_{c}") for c in names])
-    rows = hand_back(job.rows, spec.id, found, job.profiles, *[f"_{c}" for c in names])
-    none = F.lit(None).cast("double")
+    ready = _prepare(df, spec, 1, jaccard, settings)
+
+    def reduce(part: pd.DataFrame, found: Conflicts) -> pd.DataFrame:
+        count = np.zeros(len(part), "int64")
+        least, greatest = np.full(len(part), np.nan), np.full(len(part), np.nan)
+        if len(found.row):
+            starts, times = found.starts, found.times
+            count[found.row] = found.sizes if times is None else np.add.reduceat(times, starts)
+            least[found.row] = np.minimum.reduceat(found.degree, starts)
+            greatest[found.row] = np.maximum.reduceat(found.degree, starts)
+        names = {"_conflicts": count, "_least": least, "_greatest": greatest}
+        return pd.DataFrame({RID: part[RID].to_numpy(), **names})
+
+    found = ready.reduced(reduce, f"{RID} long, _conflicts long, _least double, _greatest double")
+    rows = hand_back(ready.rows, spec.id, found, ready.profiles, "_conflicts", "_least", "_greatest")
+
+    def known(c: str) -> Column:
+        return F.nanvl(c, F.lit(None).cast("double"))
+
     return rows.select(
         F.col(spec.id).alias("id"),
-        F.coalesce("_n_values", F.lit(0)).cast("long").alias("conflicts"),
-        F.nanvl("_least", none).alias("least"),
-        F.nanvl("_greatest", none).alias("greatest"),
+        F.col("_conflicts").alias("conflicts"),
+        known("_least").alias("least"),
+        known("_greatest").alias("greatest"),
     )

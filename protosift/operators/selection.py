@@ -14,6 +14,8 @@ from protosift.plans.profiles import RID, hand_back
 from protosift.plans.tiles import TileSettings
 from protosift.spec import RowSpec
 
+ERROR_DECIMALS = 9
+
 
 def join_quality(df: DataFrame, quality: DataFrame, spec: RowSpec) -> DataFrame:
     """Rows with their quality; rows without one are dropped."""
@@ -94,8 +96,13 @@ def threshold_sweep(
 
 
 def best_threshold(report: DataFrame) -> DataFrame:
-    """The report line with the least error; of equals the highest threshold."""
-    return report.orderBy(F.col("rmse").asc_nulls_last(), F.col("threshold").desc()).limit(1)
+    """The report line with the least error; of equals the highest threshold.
+
+    Errors are compared to nine decimals: equal sets of prototypes can differ in
+    the last bits, as doubles are added in any order.
+    """
+    error = F.round("rmse", ERROR_DECIMALS).asc_nulls_last()
+    return report.orderBy(error, F.col("threshold").desc()).limit(1)
 
 
 def choose_prototypes(

@@ -78,7 +78,7 @@ class Viewer:
             np.subtract(x[rows, None], y[None, :], out=term)
             total += np.abs(term, out=term)
         if held.bits:
-            total += _set_distance(self.bits, held.bits, rows, jaccard)
+            total += set_distance([x[rows, None] for x in self.bits], [y[None, :] for y in held.bits], jaccard)
         for x, y in zip(self.codes, held.codes):
             total += np.not_equal(x[rows, None], y[None, :], out=differ)
         return total
@@ -97,14 +97,14 @@ def _raw(spec: RowSpec, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     return {c: pdf[c].to_numpy() for c in spec.attributes} if spec.distance or spec.similarity else {}
 
 
-def _set_distance(mine, held, rows, jaccard):
+def set_distance(mine: list[np.ndarray], held: list[np.ndarray], jaccard: str):
+    """Distance of the set-valued attributes; the arrays are matched as numpy does."""
     if jaccard == "equal":
-        return sum((x[rows, None] != y[None, :]).astype("float64") for x, y in zip(mine, held))
+        return sum((x != y).astype("float64") for x, y in zip(mine, held))
     if jaccard != "ratio":
         raise ValueError(f"unknown jaccard mode {jaccard!r}")
     alike = 0.0
     for x, y in zip(mine, held):
-        x, y = x[rows, None], y[None, :]
         union = np.bitwise_count(x | y)
         alike = alike + np.where(union == 0, 1.0, np.bitwise_count(x & y) / np.maximum(union, 1))
     return len(held) - alike

@@ -15,7 +15,6 @@ bounded: at most ``MOST_CELLS`` pivots and cell summaries.
 
 from __future__ import annotations
 
-import itertools
 import math
 import sys
 from collections.abc import Callable, Iterator
@@ -35,7 +34,7 @@ from protosift.spec import RowSpec
 # Tasks carry this package with them; executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules["protosift"])
 
-TASK, PROBING, BLOCK, CELL = "_task", "_probing", "_block", "_cell"
+TASK, PROBING, CELL = "_task", "_probing", "_cell"
 # Cells grow with the root of the rows; the driver holds a row for each.
 LEAST_CELLS, MOST_CELLS = 1024, 32_768
 MAX_PROBES = 16_384
@@ -334,41 +333,23 @@ def _in_parallel(df: DataFrame, parallelism: int) -> DataFrame:
     return df.repartition(2 * parallelism, RID)
 
 
-def pair_all(
-    held: DataFrame, probing: DataFrame, parts: int | dict[int, int], chunks: int
-) -> tuple[DataFrame, int]:
-    """Send each part of the held rows to every chunk of the probing rows.
-
-    Held rows are split into ``parts`` by a hash of their id; a dictionary
-    gives the number of parts for each value of their block column.
-    """
+def pair_all(held: DataFrame, probing: DataFrame, parts: int, chunks: int) -> tuple[DataFrame, int]:
+    """Send each of ``parts`` shares of the held rows, by a hash of their id, to every
+    chunk of the probing rows."""
 
     def number(n: int):
         return F.lit(n).cast("long")
 
-    # Task = chunk * total + part.
-    if isinstance(parts, int):
-        total = parts
-        part = F.pmod(F.xxhash64(RID), number(parts))
-    else:
-        total = sum(parts.values())
-        first = dict(zip(parts, itertools.accumulate(parts.values(), initial=0)))
-        # One row per block, as many as the caller asked for.
-        tiles = [(b, first[b], n) for b, n in parts.items()]
-        tiles = held.sparkSession.createDataFrame(tiles, f"{BLOCK} long, _start long, _count long")
-        columns = held.columns
-        held = held.join(F.broadcast(tiles), BLOCK).select(
-            *columns, (F.col("_start") + F.pmod(F.xxhash64(RID), "_count")).alias("_part")
-        )
-        part = F.col("_part")
-    chunk = F.pmod(F.xxhash64(RID), number(chunks)) * number(total)
-    to_chunks = F.sequence(part, part + number((chunks - 1) * total), number(total))
-    to_parts = F.sequence(chunk, chunk + number(total - 1), number(1))
+    # Task = chunk * parts + part.
+    part = F.pmod(F.xxhash64(RID), number(parts))
+    chunk = F.pmod(F.xxhash64(RID), number(chunks)) * number(parts)
+    to_chunks = F.sequence(part, part + number((chunks - 1) * parts), number(parts))
+    to_parts = F.sequence(chunk, chunk + number(parts - 1), number(1))
     return (
         held.withColumns({TASK: F.explode(to_chunks), PROBING: F.lit(0)}).select(*probing.columns, TASK, PROBING).unionByName(
             probing.withColumns({TASK: F.explode(to_parts), PROBING: F.lit(1)})
         ),
-        chunks * total,
+        chunks * parts,
     )
 
 

@@ -16,7 +16,8 @@ from protosift.functions.fuzzy import identity_class
 from protosift.operators import conflicts
 from protosift.operators.conflicts import ConflictSettings
 from protosift.plans import profiles, tiles
-from protosift.plans.profiles import RID
+from protosift.plans.outcomes import BLOCK, OUTCOME, Arranged
+from protosift.plans.profiles import COPIES, RID
 from protosift.plans.tiles import TileSettings, _sample
 
 sys.path.insert(0, dirname(__file__))
@@ -96,8 +97,12 @@ def test_class_approximations_enclose_membership(data):
 
 @pytest.mark.parametrize(
     "settings",
-    [ConflictSettings(), ConflictSettings(held_rows=17, probing_rows=50)],
-    ids=["whole blocks", "split blocks"],
+    [
+        ConflictSettings(),
+        ConflictSettings(held_rows=17, probing_rows=50),
+        ConflictSettings(held_rows=30, kept_rows=40, pairs=100),
+    ],
+    ids=["one file", "several files", "files read again"],
 )
 @pytest.mark.parametrize("blocks,empty", [(1, 0.0), (3, 0.0), (3, 1.0)])
 def test_powa(data, settings, blocks, empty):
@@ -269,21 +274,68 @@ def test_k_above_the_window_limit(spark):
     assert found == list(enumerate(order[:1500], 1))
 
 
-def test_conflict_jobs_shuffle_a_row_per_part(data, monkeypatch):
+def arranged_parts():
+    """Rows like those of the provided parts, scaled, with their outcomes."""
+    r = np.random.default_rng(4)
+    n = 6000
+    return pd.DataFrame({
+        RID: np.arange(n), "size": r.integers(0, 50, n) / 49.0, "brand": r.integers(0, 25, n).astype(str),
+        "type": r.integers(0, 6, n).astype(str), OUTCOME: r.permutation(n) / (n - 1.0), COPIES: 1, BLOCK: 0,
+    })
+
+
+def test_conflict_search_compares_a_part_of_the_pairs():
+    rows = arranged_parts()
+    spec = ps.RowSpec("id", ("size",), ("brand", "type"), label="y")
+    held = Arranged(spec, "equal", rows)
+    probing = rows.sample(300, random_state=1)
+    view, y = held.held.seen_from(probing), probing[OUTCOME].to_numpy()
+    compared = held.candidates(view, y, slice(0, 300))[1].sum()
+    found = [np.concatenate(x) for x in zip(*held.conflicts(view, y))]
+    far = np.abs(probing["size"].to_numpy()[:, None] - rows["size"].to_numpy()[None, :])
+    for c in ("brand", "type"):
+        far = far + (probing[c].to_numpy()[:, None] != rows[c].to_numpy()[None, :])
+    wanted = (3.0 - far) / 3.0 > 1.0 - np.abs(y[:, None] - rows[OUTCOME].to_numpy()[None, :])
+    assert len(found[0]) == wanted.sum() and len(found[0]) < compared < 0.3 * wanted.size
+    assert (np.bincount(found[0], minlength=300) == wanted.sum(axis=1)).all()
+    assert (np.diff(found[0]) >= 0).all(), "in the order of rows"
+
+
+def test_conflict_jobs_shuffle_rows_only(data, monkeypatch):
+    """Neither held rows nor conflicts are sent to the tasks, however small the files."""
     pdf, df = data
-    sent = []
+    plans, made = [], conflicts._Prepared.reduced
+
+    def seen(self, reduce, schema):
+        plans.append((self.probing.count(), len(self.table.files), self.probing._jdf.queryExecution().toString()))
+        return made(self, reduce, schema)
+
+    monkeypatch.setattr(conflicts._Prepared, "reduced", seen)
+    settings = ConflictSettings(held_rows=17, probing_rows=50, kept_rows=20, pairs=500)
+    found = ps.conflict_summary(df, SPEC, settings=settings)
+    whole = ps.conflict_summary(df, SPEC)
+    assert sorted(found.collect()) == sorted(whole.collect())
+    ps.quality_powa(df, SPEC, blocks=3, settings=settings).count()
+    assert all(n <= len(pdf) and "Join" not in plan for n, _, plan in plans) and plans[0][1] > 5
 
-    def counted(routed, tasks, kernel, schema):
-        out = tiles.run_tasks(routed, tasks, kernel, schema)
-        sent.append(out.count())
-        return out
-
-    monkeypatch.setattr(conflicts, "run_tasks", counted)
-    settings = ConflictSettings(held_rows=17, probing_rows=50)
-    parts = -(-len(pdf) // 17)
-    ps.conflict_summary(df, SPEC, settings=settings).count()
-    ps.quality_powa(df, SPEC, settings=settings).count()
-    assert all(n <= len(pdf) * parts for n in sent) and sent
+
+def test_files_without_conflicts_are_not_read(spark, monkeypatch):
+    """Rows far off in a string and near in outcome need no other file than theirs."""
+    n = 400
+    pdf = pd.DataFrame({"key": np.arange(n), "s": [f"s{i * 4 // n}" for i in range(n)], "y": [float(i % 5) for i in range(n)]})
+    pdf.loc[n - 1, "y"] = 100.0
+    spec = ps.RowSpec("key", (), ("s",), label="y")
+    needed, made = [], conflicts._Prepared.reduced
+
+    def seen(self, reduce, schema):
+        needed.append(self.job.matters(self.probing.toPandas()).mean())
+        return made(self, reduce, schema)
+
+    monkeypatch.setattr(conflicts._Prepared, "reduced", seen)
+    settings = ConflictSettings(held_rows=5)
+    found = ps.quality_powa(spark.createDataFrame(pdf), spec, settings=settings)
+    same(values(found, "quality"), pdf["key"], brute.powa(pdf, spec, 1))
+    assert needed[0] < 0.7
 
 
 def test_many_blocks(data):
