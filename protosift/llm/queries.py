@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from protosift.llm.chat_template import ChatFormatter
 from protosift.llm.decontaminate import Decontaminator
 from protosift.llm.embedding_dedup import EmbeddingDedup
+from protosift.llm.exact_dedup import ExactDedup
+from protosift.llm.hard_negatives import HardNegatives
 from protosift.llm.jaccard_join import JaccardJoin
 from protosift.llm.language_id import LanguageId
 from protosift.llm.pii import KINDS as PII_KINDS
@@ -19,6 +21,7 @@ from protosift.llm.piece_transducer import PieceCoder
 from protosift.llm.quality import QualityClassifier
 from protosift.llm.scratch import Scratch
 from protosift.llm.secret_scan import SecretScan
+from protosift.llm.token_alignment import TokenAligner
 from protosift.llm.token_store import TokenStore
 from protosift.llm.training import learnable
 
@@ -137,6 +140,43 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learnable("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of other labels that score a little below an anchor's best positives."""
+    rows = _table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        "embedding",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+    )
+    found = HardNegatives(scale=256, positives=5, negatives=10, least=(30, 100), most=(90, 100)).mine(
+        rows, F.col("vec_id") % 100 == 0, id="vec_id"
+    )
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers overlap in every document."""
+    aligner = TokenAligner(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    found = aligner.summary(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256"),
+    )
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of every group of documents with equal texts."""
+    found = ExactDedup().groups(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -149,6 +189,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_store": op8_token_store,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
@@ -204,9 +247,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id"""
 
 
+NEGATIVE_SQL = """WITH vectors AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS alike,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.id % 100 = 0 AND a.id <> b.id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike
+  AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10"""
+
+
+EXACT_SQL = """SELECT doc_id, max(doc_id) OVER alike AS keep_id, count(*) OVER alike AS group_size,
+       doc_id = max(doc_id) OVER alike AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW alike AS (PARTITION BY coalesce(text, ''))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_dedup": EMBEDDING_SQL,
         "op2_jaccard_join": JACCARD_SQL,
         "op5_chat_format": CHAT_SQL,
+        "op11_hard_negatives": NEGATIVE_SQL,
+        "op13_exact_dedup": EXACT_SQL,
     }
