@@ -156,7 +156,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers overlap in every document."""
     aligner = TokenAligner(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
-    found = aligner.summary(_table(spark, sf_dir, "documents"))
+    documents = _table(spark, sf_dir, "documents")
+    found = aligner.summary(documents, groups=lambda written: F.sha2(written.cast("binary"), 256))
     return found.select(
         F.col("id").alias("doc_id"),
         "n_a",
@@ -165,7 +166,7 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_links",
         "n_best",
         "count_sum",
-        F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256"),
+        F.when(F.col("n_a") > 0, F.col("groups")).otherwise("").alias("groups_sha256"),
     )
 
 

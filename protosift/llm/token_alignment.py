@@ -19,26 +19,27 @@ joined with their counts.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet
-import regex
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protosift.llm.scratch import Scratch, once_in_worker
 
 # Bytes of text that are aligned at a time, and entries of a task's table of counts.
-BATCH_BYTES = 1 << 20
-PAIRS_KEPT = 1 << 21
+BATCH_BYTES = 1 << 19
+BATCH_PAIRS = 1 << 19
+PAIRS_KEPT = 1 << 20
 # At most this many pairs are frequent: 24 bytes each in every worker.
 MOST_FREQUENT = 1 << 20
-REMEMBERED = 1 << 18
-ID_BITS = 32
+# Bits of an id in a number that stands for a pair of ids, or for a text and a pair.
+ID_BITS = 21
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,8 @@ class Rows:
         return np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
 
     def transposed(self) -> Rows:
+        if not (np.diff(self.column) < 0).any():
+            return Rows.of(self.column, self.row, self.value, self.width, len(self.begin) - 1)
         order = self.column.argsort(kind="stable")
         return Rows.of(self.column[order], self.row[order], self.value[order], self.width, len(self.begin) - 1)
 
@@ -141,60 +144,50 @@ def align(a: list[np.ndarray], b: list[np.ndarray], bytes_a: np.ndarray, bytes_b
 class ByteLevel:
     """Ids of a byte-level tokenizer file, with special tokens' strings as plain text.
 
-    Words are remembered: where a text has only characters on whose classes all
-    libraries agree, its words are split here and only new words are handed to the
-    library. Other texts are handed to it whole.
+    Where the file's merges come in the order of their ids, texts whose characters
+    belong to the same classes for all libraries are encoded by ranks, which is faster;
+    other texts are handed to the file's own library.
     """
 
     # Fixed value: the pattern by which byte-level tokenizers of this kind split words.
-    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    UNUSUAL = regex.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        splits = said["pre_tokenizer"] == {
-            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
-        }
-        self.split = splits and said["normalizer"] is None
-        self.words: dict[str, list[int]] = {}
+        self.path, self._library, self.by_rank = path, None, None
+        vocabulary, added = said["model"]["vocab"], {t["content"]: t["id"] for t in said["added_tokens"]}
         decoded = {c: bytes([b]) for b, c in _byte_names().items()}
-        self.tokens = [b""] * (1 + max(said["model"]["vocab"].values()))
-        for token, id in said["model"]["vocab"].items():
-            self.tokens[id] = b"".join(decoded.get(c, c.encode()) for c in token)
-        for token in said["added_tokens"]:
-            self.tokens += [b""] * (token["id"] + 1 - len(self.tokens))
-            self.tokens[token["id"]] = token["content"].encode()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, whole = [], []
-        for i, text in enumerate(texts):
-            if not self.split or self.UNUSUAL.search(text):
-                out.append(None)
-                whole.append(i)
-            else:
-                out.append(self._by_words(self.WORDS.findall(text)))
-        found = self.library.encode_batch([texts[i] for i in whole], add_special_tokens=False) if whole else []
-        for i, encoding in zip(whole, found):
-            out[i] = np.array(encoding.ids, "int64")
-        return out
+        self.tokens = [b""] * (1 + max([*vocabulary.values(), *added.values()]))
+        for token, id in vocabulary.items():
+            self.tokens[id] = token.encode() if token in added else b"".join(map(decoded.__getitem__, token))
+        for token, id in added.items():
+            self.tokens[id] = token.encode()
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        merges = ("".join(m.split(" ") if isinstance(m, str) else m) for m in said["model"]["merges"])
+        if said["pre_tokenizer"] == plain and said["normalizer"] is None and all(
+            vocabulary.get(merged) == 256 + i for i, merged in enumerate(merges)
+        ):
+            from tiktoken import Encoding
+
+            ranks = {self.tokens[id]: id for token, id in vocabulary.items() if token not in added}
+            self.by_rank = Encoding("by rank", pat_str=self.WORDS, mergeable_ranks=ranks, special_tokens={})
 
-    def _by_words(self, words: list[str]) -> np.ndarray:
-        known = self.words
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, (x.ids for x in self.library.encode_batch(new, add_special_tokens=False))))
-        ids: list[int] = []
-        for word in words:
-            ids += known[word]
-        return np.array(ids, "int64")
+    @property
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.encode_special_tokens = True
+        return self._library
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        whole = [i for i, text in enumerate(texts) if not self.by_rank or self.UNUSUAL.search(text)]
+        found = self.library.encode_batch([texts[i] for i in whole], add_special_tokens=False) if whole else []
+        ids = {i: encoding.ids for i, encoding in zip(whole, found)}
+        return [ids[i] if i in ids else self.by_rank.encode_ordinary(text) for i, text in enumerate(texts)]
 
 
 def _byte_names() -> dict[int, str]:
@@ -218,8 +211,24 @@ class Pieces:
             for i, p in enumerate(pieces)
         ]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, "int64") for x in self.library.encode(texts, num_threads=1)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.library.encode(texts, num_threads=1)
+
+
+class Tokens:
+    """The bytes of all tokens of a tokenizer, one after the other."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.array([len(t) for t in tokens], "int64")
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens), "uint8")
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of tokens in a row."""
+        sizes = self.sizes[ids]
+        at = np.repeat(self.begin[ids] - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return self.bytes[at]
 
 
 class TokenAligner:
@@ -236,20 +245,26 @@ class TokenAligner:
         self.paths, self.most_frequent = (byte_level, pieces), most_frequent
 
     def _coders(self):
-        return once_in_worker(("token-alignment", self.paths), lambda: (ByteLevel(self.paths[0]), Pieces(self.paths[1])))
+        def made():
+            sides = ByteLevel(self.paths[0]), Pieces(self.paths[1])
+            if max(len(x.tokens) for x in sides) >= 1 << ID_BITS:
+                raise ValueError(f"ids of {ID_BITS} bits at most")
+            return [(x, Tokens(x.tokens)) for x in sides]
+
+        return once_in_worker(("token-alignment", self.paths), made)
 
     def _aligned(self, texts: list[str]) -> tuple[list[int], Aligned]:
         """Which of the texts have tokens, and these texts."""
-        first, second = self._coders()
         whole = [" " + text for text in texts]
-        a, b = first.encode(whole), second.encode(texts)
-        kept = []
-        for i, text in enumerate(whole):
-            want = text.encode()
-            if all(b"".join(map(side.tokens.__getitem__, ids[i].tolist())) == want for side, ids in ((first, a), (second, b))):
-                kept.append(i)
-        sizes = (np.array([len(t) for t in side.tokens], "int64") for side in (first, second))
-        return kept, align([a[i] for i in kept], [b[i] for i in kept], *sizes)
+        want = [np.frombuffer(text.encode(), "uint8") for text in whole]
+        sides = []
+        for (coder, tokens), given in zip(self._coders(), (whole, texts)):
+            sides.append((tokens, [np.array(ids, "int64") for ids in coder.encode(given)]))
+        kept = [
+            i for i, x in enumerate(want) if all(np.array_equal(tokens.joined(ids[i]), x) for tokens, ids in sides)
+        ]
+        (left, a), (right, b) = sides
+        return kept, align([a[i] for i in kept], [b[i] for i in kept], left.sizes, right.sizes)
 
     def alignments(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         """Per row ``id, n_a, n_b, n_groups, n_shared, groups`` and ``links``: the pairs of
@@ -285,12 +300,21 @@ class TokenAligner:
             F.expr(f"shiftright(pair, {ID_BITS})").alias("a"), "b", "pair", "count", (F.col("count") == most).alias("best")
         )
 
-    def summary(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    def summary(
+        self,
+        docs: DataFrame,
+        id: str = "doc_id",
+        text: str = "text",
+        *,
+        groups: Callable[[Column], Column] = lambda written: written,
+    ) -> DataFrame:
         """Per row ``id, n_a, n_b, n_groups, n_shared, groups``, and of its overlaps:
         ``n_links``, how many; ``n_best``, those of a pair that is the most frequent of its
-        ``b``; ``count_sum``, the counts of their pairs added up."""
+        ``b``; ``count_sum``, the counts of their pairs added up. ``groups`` makes of the
+        written groups what is to be kept of them, such as a digest."""
         scratch = Scratch(docs.sparkSession, "token-alignment")
-        kept = scratch.keep(self.alignments(docs, id, text).withColumn("_row", F.monotonically_increasing_id()), "links")
+        found = self.alignments(docs, id, text).withColumn("groups", groups(F.col("groups")))
+        kept = scratch.keep(found.withColumn("_row", F.monotonically_increasing_id()), "links")
         counts = scratch.keep(self.counts(kept), "counts")
         # A pair with at least this share of all overlaps: at most ``most_frequent`` have it.
         total = counts.agg(F.sum("count")).first()[0] or 0
@@ -323,7 +347,7 @@ class TokenAligner:
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs, counts, best = once_in_worker(("frequent pairs", tuple(files)), lambda: _read(files))
-            for batch in batches:
+            for batch in _parts(batches):
                 sizes = np.diff(batch.column("a").offsets.to_numpy())
                 row = np.repeat(np.arange(len(batch)), sizes)
                 pair, n = _pairs(batch)
@@ -377,36 +401,56 @@ def _described(ids: pa.Array, texts: list[str], aligned) -> pa.RecordBatch:
         out[where] = values
         return out
 
-    text_of = np.repeat(np.arange(len(kept)), np.diff(found.first_a))
-    row, n = found.links.row, found.links.value
-    text = text_of[row]
-    pair = (found.a[row] << ID_BITS) | found.b[found.links.column]
-    order = np.lexsort((pair, text))
-    text, pair = text[order], pair[order]
-    new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(pair, prepend=-1) != 0))
-    times = np.diff(np.append(new, len(pair)))
+    row = found.links.row
+    text = np.repeat(np.arange(len(kept)), np.diff(found.first_a))[row]
+    # One number for a text and a pair of ids; a batch has far fewer texts than 2^21.
+    key = (text << 2 * ID_BITS) | (found.a[row] << ID_BITS) | found.b[found.links.column]
+    key.sort()
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    times, key = np.diff(np.append(new, len(key))), key[new]
     starts = np.zeros(height + 1, "int32")
-    np.cumsum(spread(np.bincount(text[new], minlength=len(kept))), out=starts[1:])
+    np.cumsum(spread(np.bincount(key >> 2 * ID_BITS, minlength=len(kept))), out=starts[1:])
+    mask = (1 << ID_BITS) - 1
 
     def lists(values: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(starts), pa.array(values.astype("int32")))
 
-    written = [""] * height
-    begin_a, begin_b = found.groups_a.transposed().begin.tolist(), found.groups_b.transposed().begin.tolist()
-    say_a, say_b = [str(x) for x in found.a.tolist()], [str(x) for x in found.b.tolist()]
-    for k, i in enumerate(where.tolist()):
-        groups = range(found.first_group[k], found.first_group[k + 1])
-        written[i] = ";".join(
-            ",".join(say_a[begin_a[g] : begin_a[g + 1]]) + "|" + ",".join(say_b[begin_b[g] : begin_b[g + 1]]) for g in groups
-        )
+    written = np.full(height, "", object)
+    written[where] = _written(found)
     numbers = [np.diff(found.first_a), np.diff(found.first_b), np.diff(found.first_group), found.shared()]
     return pa.RecordBatch.from_arrays(
         [ids, *(pa.array(spread(x)) for x in numbers), pa.array(written, pa.string()),
-         lists(pair[new] >> ID_BITS), lists(pair[new] & ((1 << ID_BITS) - 1)), lists(times)],
+         lists(key >> ID_BITS & mask), lists(key & mask), lists(times)],
         ["id", "n_a", "n_b", "n_groups", "n_shared", "groups", "a", "b", "n"],
     )
 
 
+def _written(found: Aligned) -> list[str]:
+    """Groups of each text as ``a1,a2|b1;a3|b2,b3``: ids, each with what follows it."""
+    group_a, group_b = found.groups_a.column, found.groups_b.column
+    last_a, last_b = (np.diff(g, append=-1) != 0 for g in (group_a, group_b))
+    order = np.concatenate([2 * group_a, 2 * group_b + 1]).argsort(kind="stable")
+    ids = np.concatenate([found.a, found.b])[order]
+    follows = np.concatenate([last_a * 1, last_b * 2])[order]
+    # Different tokens are written once.
+    seen, inverse = np.unique(ids * 3 + follows, return_inverse=True)
+    texts = [str(x // 3) + ",|;"[x % 3] for x in seen.tolist()]
+    bounds = (found.first_a + found.first_b).tolist()
+    inverse = inverse.tolist()
+    return ["".join(map(texts.__getitem__, inverse[i:j]))[:-1] for i, j in zip(bounds, bounds[1:])]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their rows hold about ``BATCH_PAIRS`` pairs; a row stays whole."""
+    for batch in batches:
+        ends = batch.column("a").offsets.to_numpy()[1:]
+        start, before = 0, int(batch.column("a").offsets[0].as_py())
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(ends, before + BATCH_PAIRS, side="right")))
+            yield batch.slice(start, stop - start)
+            start, before = stop, int(ends[stop - 1])
+
+
 def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of ids of a batch as one number each, and how often each occurs."""
     a, b, n = (batch.column(c).flatten().to_numpy().astype("int64") for c in ("a", "b", "n"))
@@ -416,7 +460,7 @@ def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Counts of a task's pairs, handed on whenever too many are held."""
     pairs, counts = np.empty(0, "int64"), np.empty(0, "int64")
-    for batch in batches:
+    for batch in _parts(batches):
         pair, n = _pairs(batch)
         pairs, inverse = np.unique(np.append(pairs, pair), return_inverse=True)
         counts = np.bincount(inverse, weights=np.append(counts, n)).astype("int64")

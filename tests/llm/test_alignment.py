@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from protosift.llm import token_alignment
 from protosift.llm.queries import op12_token_alignment, vocabulary
 from protosift.llm.token_alignment import ByteLevel, Pieces, Rows, TokenAligner, _byte_names
 
@@ -155,10 +154,7 @@ def test_words_are_those_of_the_library():
     texts = [" " + "".join(random.choices(parts, k=random.randint(1, 30))) for _ in range(2000)]
     assert not any(coder.UNUSUAL.search(t) for t in texts)
     want = [x.ids for x in coder.library.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in coder.encode(texts)] == want
-    token_alignment.REMEMBERED, kept = 40, token_alignment.REMEMBERED
-    try:
-        assert [x.tolist() for x in coder.encode(texts)] == want
-    finally:
-        token_alignment.REMEMBERED = kept
+    assert coder.by_rank and coder.encode(texts) == want
+    coder.by_rank = None
+    assert coder.encode(texts) == want
     assert len(Pieces(vocabulary("piece_bpe_32k.model")).tokens) == 32000
