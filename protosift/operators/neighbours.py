@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import fold_of
 from protosift.operators.stats import Bounds, scale
+from protosift.plans.approximate import LEAST_NUMBERS, Approximation, nearest_pairs
 from protosift.plans.blocks import Held
 from protosift.plans.lineage import cut_lineage, reusable
 from protosift.plans.profiles import RID, Profiles, hand_back, profiles_of
@@ -22,6 +23,8 @@ FOLD, STEP, LABEL = "_fold", "_step", "_label"
 NO_FOLD = -2_000_000_000
 # Largest rank that a window limits before the shuffle, and shares of a key beyond.
 RANKED, SALTS = 1000, 64
+# Held rows of a task from which on cells of many numbers are worth making.
+LEAST_APPROXIMATED = 4096
 
 # Neighbour rows of a profile -> one Column: the weight of a neighbour, from its
 # distance and the least and greatest distance among the k.
@@ -58,6 +61,20 @@ def _nearest_in_tile(spec: RowSpec, k: int, steps: int, folded: bool, jaccard: s
         ids, labels = rows[RID].to_numpy(), rows[LABEL].to_numpy("float64")
         folds = rows[FOLD].to_numpy()
         ends = np.searchsorted(rows[STEP].to_numpy(), np.arange(steps + 1))
+        spans = list(zip(ends.tolist(), ends[1:].tolist()))
+        many = len(spec.numeric) >= LEAST_NUMBERS and not spec.distance and len(rows) >= LEAST_APPROXIMATED
+        cells = Approximation(held) if many else None
+
+        def reduce_many(batch):
+            view = held.seen_from(batch)
+            bounds = batch[LABEL].to_numpy("float64")
+            both = (batch[FOLD].to_numpy(), folds) if folded else None
+            found = []
+            for step, row, at, away, _ in nearest_pairs(cells, view, k, bounds, spans, both, jaccard):
+                row, at, away = _first(row, at, away, k)
+                found.append((batch[RID].to_numpy()[row], np.full(len(row), step), ids[at], away, labels[at]))
+            names = (RID, STEP, "neighbour_id", "distance", "neighbour_label")
+            yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found)))))
 
         def reduce(batch):
             view = held.seen_from(batch)
@@ -78,7 +95,7 @@ def _nearest_in_tile(spec: RowSpec, k: int, steps: int, folded: bool, jaccard: s
             names = (RID, STEP, "neighbour_id", "distance", "neighbour_label")
             yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found)))))
 
-        return reduce
+        return reduce_many if cells else reduce
 
     return kernel
 
@@ -101,7 +118,11 @@ def _least_of_rows(far, size: int, k: int, bounds: np.ndarray, folds):
     if folds:
         other = folds[0][row] != folds[1][column]
         row, column = row[other], column[other]
-    away = far[row, column] / size
+    return _first(row, column, far[row, column] / size, k)
+
+
+def _first(row: np.ndarray, column: np.ndarray, away: np.ndarray, k: int):
+    """The k nearest pairs of each row, lower columns first among equals."""
     order = np.lexsort((column, away, row))
     row, column, away = row[order], column[order], away[order]
     keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k

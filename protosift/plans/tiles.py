@@ -26,6 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from protosift.plans.approximate import LEAST_NUMBERS
 from protosift.plans.blocks import Held
 from protosift.plans.lineage import cut_lineage
 from protosift.plans.profiles import RID
@@ -65,8 +66,10 @@ class TileSettings:
         return self.max_cells or int(np.clip(math.isqrt(held), LEAST_CELLS, MOST_CELLS))
 
     def rows(self, spec: RowSpec) -> int:
-        """Rows of a tile: about 16 MB of attributes, 65,536 rows at most."""
-        return self.tile_rows or int(np.clip((1 << 21) // (spec.size + 2), 4096, 65_536))
+        """Rows of a tile: about 16 MB of attributes, 65,536 rows at most. Rows of many
+        numbers, of which a search reads a few bits each, take 64 MB."""
+        numbers = 1 << 23 if len(spec.numeric) >= LEAST_NUMBERS else 1 << 21
+        return self.tile_rows or int(np.clip(numbers // (spec.size + 2), 4096, 65_536))
 
 
 @dataclass

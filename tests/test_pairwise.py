@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 import protosift as ps
 from protosift.functions.fuzzy import identity_class
-from protosift.operators import conflicts
+from protosift.operators import conflicts, neighbours
 from protosift.operators.conflicts import ConflictSettings
 from protosift.plans import profiles, tiles
+from protosift.plans.approximate import Approximation, nearest_pairs
+from protosift.plans.blocks import Held
 from protosift.plans.outcomes import BLOCK, OUTCOME, Arranged
 from protosift.plans.profiles import COPIES, RID
 from protosift.plans.tiles import TileSettings, _sample
@@ -163,6 +165,53 @@ def test_hot_profiles_are_spread(data, monkeypatch):
     assert "_salt" in found._jdf.queryExecution().toString()
 
 
+def wide_table(seed, n, numbers=20):
+    r = np.random.default_rng(seed)
+    centres = r.normal(0, 1, (6, numbers))
+    x = centres[r.integers(0, 6, n)] + r.normal(0, 0.3, (n, numbers))
+    x[: n // 4] = x[0]  # copies tie
+    x[:, 3] = 7.0
+    pdf = pd.DataFrame(np.round(x, 3), columns=[f"e{i}" for i in range(numbers)])
+    return pdf.assign(key=r.permutation(n), s=r.choice(["a", "b"], n), bits=r.choice([1, 3], n), y=r.random(n))
+
+
+@pytest.mark.parametrize("folds", [None, 10])
+@pytest.mark.parametrize("tile_rows", [None, 90])
+def test_nearest_by_cells_of_many_numbers(spark, monkeypatch, folds, tile_rows):
+    monkeypatch.setattr(neighbours, "LEAST_APPROXIMATED", 1)
+    spec = ps.RowSpec("key", tuple(f"e{i}" for i in range(20)), ("s",), ("bits",), "y")
+    protos, tests = wide_table(1, 300), wide_table(2, 70)
+    job = ps.knn_topk(
+        spark.createDataFrame(tests), spark.createDataFrame(protos), spec, 4, folds=folds, jaccard="ratio",
+        settings=TileSettings(tile_rows=tile_rows),
+    )
+    found = {}
+    for r in job.collect():
+        found.setdefault(r["id"], []).append((r["rank"], r["neighbour_id"]))
+    wanted = brute.nearest(tests, protos, spec, 4, folds, "ratio")
+    assert {i: [x[1] for x in sorted(v)] for i, v in found.items()} == {i: [x[0] for x in v] for i, v in wanted.items()}
+
+
+def test_sweep_by_cells_of_many_numbers(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_APPROXIMATED", 1)
+    spec = ps.RowSpec("key", tuple(f"e{i}" for i in range(20)), ("s",), ("bits",), "y")
+    pdf = wide_table(3, 150)
+    quality = pd.DataFrame({"id": pdf["key"], "quality": np.round(np.random.default_rng(5).random(150), 2)})
+    rated = pdf.merge(quality, left_on="key", right_on="id").drop(columns="id")
+    for line in ps.threshold_sweep(spark.createDataFrame(pdf), spark.createDataFrame(quality), spec, 3).collect():
+        kept = rated[rated["quality"] >= line["threshold"]]
+        assert line["rmse"] == pytest.approx(brute.rmse(pdf, kept, spec, 3))
+
+
+def test_few_exact_distances_of_many_numbers():
+    pdf = wide_table(4, 6000, 64)
+    spec = ps.RowSpec("key", tuple(f"e{i}" for i in range(64)), label="y")
+    held = Held(spec, pdf)
+    view = held.seen_from(pdf.iloc[3000:3100])
+    pairs = nearest_pairs(Approximation(held), view, 5, np.full(100, np.inf), [(0, 6000)], None, "equal")
+    assert sum(x[4] for x in pairs) < 0.15 * 100 * 6000, "the six groups hold a sixth each"
+
+
 def test_cells_are_skipped(spark, monkeypatch):
     """Far-apart groups of rows are not compared with each other."""
     r = np.random.default_rng(7)
