@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -21,7 +22,8 @@ import protosift as ps  # noqa: E402
 from protosift.functions import distance as dist  # noqa: E402
 from protosift.functions.fuzzy import fold_of, identity_class, three_classes  # noqa: E402
 from protosift.operators.stats import Bounds  # noqa: E402
-from protosift.plans.lineage import reusable  # noqa: E402
+from protosift.plans.lineage import reusable, shared_folder  # noqa: E402
+from protosift.sources import sinks, text  # noqa: E402
 from protosift.sources.text import parse_bitset, parse_rows, to_line  # noqa: E402
 
 try:
@@ -36,6 +38,8 @@ except ImportError:
 PART = ps.RowSpec("id", ("size",), ("brand", "type"), (), "label")
 CUST = ps.RowSpec("id", ("n_orders", "top_order"), ("segment",), ("priorities",), "label")
 TRADE = ps.RowSpec("id", ("volume", "top"), ("nation",), (), "label")
+# Attributes of a customer in the order of a text line of types n2,s1,b1.
+CUST_FILE = ("n_orders", "top_order", "segment", "priorities")
 VECTOR = ps.RowSpec("id", tuple(f"e{i}" for i in range(1, 65)), (), (), "label")
 
 
@@ -345,6 +349,57 @@ def _select_prototypes(spark, sf_dir):
     return ps.select_prototypes(rows, quality, CUST, middle)
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for files, where all executors reach it."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _customer_lines(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Customers through a text file: written as lines, read by their attribute types."""
+    path = _folder(spark)
+    sinks.write_rows(rows.withColumn("priorities", F.bin("priorities")), path, ["id", *CUST_FILE, "label"])
+    return text.read_rows(spark, path, "n2,s1,b1", spec=CUST)
+
+
+def _file_rows(spark, sf_dir):
+    return _customer_lines(spark, cust_rows(spark, sf_dir))
+
+
+def _file_quality(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_quality(_quality_hml(spark, sf_dir), path)
+    return text.read_quality(spark, path)
+
+
+def _file_approximations(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_approximations(_approx_negative_outcomes(spark, sf_dir), path)
+    return text.read_approximations(spark, path)
+
+
+def _file_predictions(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_predictions(_knn_predict("reference")(spark, sf_dir), path)
+    return text.read_predictions(spark, path)
+
+
+def _file_report(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_report(_threshold_sweep(spark, sf_dir), path)
+    return text.read_report(spark, path)
+
+
+def _chained_run(spark, sf_dir):
+    """Rows from a file, their quality to and from a file, the sweep, and the rows
+    that are kept as a file again."""
+    rows = _customer_lines(spark, cust_rows(spark, sf_dir))
+    CUST.require_unique_ids(rows)
+    path = _folder(spark)
+    sinks.write_quality(rounded(ps.quality_hml(rows, CUST), "quality"), path)
+    kept, _, _ = ps.choose_prototypes(rows, CUST, 5, text.read_quality(spark, path))
+    return _customer_lines(spark, kept)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Row quality of the smallest ``part`` table."""
     return ps.quality_hml(part_rows(spark, "/root/testdata/sf0.001"), PART)
@@ -404,6 +459,12 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "select_prototypes": _select_prototypes,
         "threshold_sweep": _threshold_sweep,
         "best_threshold": _best_threshold,
+        "file_rows": _file_rows,
+        "file_quality": _file_quality,
+        "file_approximations": _file_approximations,
+        "file_predictions": _file_predictions,
+        "file_report": _file_report,
+        "chained_run": _chained_run,
     }
 
 
@@ -646,7 +707,8 @@ FROM {name} a JOIN {name} b ON b.id = a.id + 1"""
     numeric = CUST.only_numeric()
     sets = ps.RowSpec("id", (), (), ("priorities",), "label")
     report = "round(threshold, 6) AS threshold, round(rmse, 6) AS rmse, n_folds, size"
-    return {
+    customer = "id, n_orders, top_order, segment, priorities, label"
+    said = {
         "parse_rows": f"""WITH {PART_SQL}
 SELECT id, size AS n1, brand AS s1, type AS s2, label FROM part_rows""",
         "parse_bitset": f"""WITH {CUST_SQL}
@@ -759,3 +821,15 @@ WHERE quality >= (SELECT (min(quality) + max(quality)) / 2 FROM quality)""",
         "threshold_sweep": f"WITH {sql_sweep()} SELECT {report} FROM report",
         "best_threshold": f"WITH {sql_sweep()} SELECT {report} FROM best",
     }
+    # What files give back is what was written to them.
+    return said | {
+        "file_rows": f"WITH {CUST_SQL} SELECT {customer} FROM cust_rows",
+        "file_quality": said["quality_hml"],
+        "file_approximations": said["approx_negative_outcomes"],
+        "file_predictions": said["knn_predict"],
+        "file_report": f"""WITH {sql_sweep()}
+SELECT round(threshold, 6) AS quality, round(rmse, 6) AS rmse, size FROM report""",
+        "chained_run": f"""WITH {sql_sweep()}
+SELECT {customer} FROM cust_rows SEMI JOIN (
+  SELECT q.id FROM quality q JOIN best b ON q.quality >= b.threshold) USING (id)""",
+    }

@@ -22,8 +22,9 @@ def write_approximations(approximations: DataFrame, path: str) -> None:
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Lines ``(id,actual,predicted)``."""
-    pair = F.concat(F.lit("("), to_line("id", "actual", "predicted"), F.lit(")"))
+    """Lines ``(id,actual,predicted)``; a missing number is empty."""
+    numbers = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "actual", "predicted")]
+    pair = F.concat(F.lit("("), F.concat_ws(",", *numbers), F.lit(")"))
     predictions.select(pair.alias("value")).write.text(path)
 
 

@@ -81,6 +81,25 @@ def read_quality(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="id long, quality double")
 
 
+def read_approximations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, schema="id long, upper double, lower double")
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Lines ``(id,actual,predicted)``; a row without an outcome has an empty one."""
+    tokens = F.split(F.regexp_extract("value", r"^\((.*)\)$", 1), ",")
+    return spark.read.text(path).select(
+        F.get(tokens, F.lit(0)).cast("long").alias("id"),
+        F.get(tokens, F.lit(1)).try_cast("double").alias("actual"),
+        F.get(tokens, F.lit(2)).try_cast("double").alias("predicted"),
+    )
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """Lines ``quality,rmse,size`` under a header."""
+    return spark.read.csv(path, schema="quality double, rmse double, size long", header=True)
+
+
 def to_line(*columns: str) -> Column:
     """The text form of a row from its columns, in order."""
     return F.concat_ws(",", *[F.col(c).cast("string") for c in columns])
