@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import DEFAULT_CUTS, Memberships, three_classes
-from protosift.operators.stats import Bounds, scale
+from protosift.operators.stats import reusable_with_bounds, scale
 from protosift.plans.blocks import Held
-from protosift.plans.lineage import reusable
 from protosift.plans.profiles import RID, hand_back, profiles_of
 from protosift.plans.tiles import Reach, TileSettings, compare
 from protosift.spec import RowSpec
@@ -101,10 +100,10 @@ def class_approximations(
     minimum t-norm, at least 0. The row itself takes part in both.
     """
     memberships = memberships or three_classes()
-    rows = reusable(spec.conform(df))
+    whole = spec
     if numeric_only:
         spec = spec.only_numeric()
-    bounds = Bounds.of(rows, [*spec.numeric, spec.label])
+    rows, bounds = reusable_with_bounds(whole.conform(df), [*spec.numeric, spec.label])
     low, high = (F.lit(b[spec.label]).cast("double") for b in (bounds.low, bounds.high))
     classes = memberships(F.col(spec.label), low, high)
     # max min(s, c) = 1 - min max(1 - s, 1 - c): one search serves both.

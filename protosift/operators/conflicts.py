@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import block_of
 from protosift.functions.harmonic import harmonic
-from protosift.operators.stats import scale
-from protosift.plans.lineage import cut_lineage, reusable
+from protosift.operators.stats import reusable_with_bounds, scale
+from protosift.plans.lineage import cut_lineage
 from protosift.plans.outcomes import BLOCK, OUTCOME, SLACK, Arranged
 from protosift.plans.profiles import COPIES, RID, Profiles, hand_back, profiles_of
 from protosift.plans.shared import Reader, SharedTable, share
@@ -206,7 +206,8 @@ def _prepare(
         raise ValueError("blocks has to be at least 1")
     if jaccard not in ("equal", "ratio"):
         raise ValueError(f"unknown jaccard mode {jaccard!r}")
-    scaled = scale(reusable(spec.conform(df)), spec, "minmax").withColumnRenamed(spec.label, OUTCOME)
+    rows, bounds = reusable_with_bounds(spec.conform(df), [*spec.numeric, spec.label])
+    scaled = scale(rows, spec, "minmax", bounds).withColumnRenamed(spec.label, OUTCOME)
     keys = (*spec.attributes, OUTCOME)
     profiles = profiles_of(scaled, keys, spec.id)
     if blocks == 1:

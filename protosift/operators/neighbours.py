@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protosift.functions.fuzzy import fold_of
-from protosift.operators.stats import Bounds, scale
+from protosift.operators.stats import reusable_with_bounds, scale
 from protosift.plans.approximate import LEAST_NUMBERS, Approximation, nearest_pairs
 from protosift.plans.blocks import Held
-from protosift.plans.lineage import cut_lineage, reusable
+from protosift.plans.lineage import cut_and_observe, reusable
 from protosift.plans.profiles import RID, Profiles, hand_back, profiles_of
 from protosift.plans.tiles import Reach, TileSettings, compare
 from protosift.spec import RowSpec
@@ -196,12 +196,13 @@ def search(
     profiles = profiles_of(tests, (*spec.attributes, FOLD), spec.id)
 
     # Of many copies only the k lowest ids can be neighbours.
-    held = cut_lineage(
+    held, seen = cut_and_observe(
         lowest(prototypes, [*spec.attributes, FOLD, STEP], [spec.id], k)
         .select(
             F.col(spec.id).alias(RID), *spec.attributes, FOLD,
             F.col(STEP).cast("int").alias(STEP), F.col(spec.label).alias(LABEL),
-        )
+        ),
+        rows=F.count(F.lit(1)),
     )
     probing = profiles.df.select(
         RID, *spec.attributes, FOLD, F.lit(0).alias(STEP), F.lit(float("inf")).alias(LABEL)
@@ -212,7 +213,7 @@ def search(
         probing,
         profiles.rows,
         held,
-        held.count(),
+        seen["rows"],
         _nearest_in_tile(spec, k, steps, folds is not None, jaccard),
         f"{RID} long, {STEP} int, neighbour_id long, distance double, neighbour_label double",
         _reach(k, steps),
@@ -256,14 +257,13 @@ def predictions_by(found: DataFrame, predictor: Predictor) -> DataFrame:
 
 def _prepared(tests: DataFrame, prototypes: DataFrame, spec: RowSpec, scaling: str | None):
     """Conformed tables; ranges, when asked for, are those of the prototypes."""
+    if scaling not in (None, "range"):
+        raise ValueError("neighbours are scaled by 'range' or not at all")
     same = tests is prototypes
-    tests = reusable(spec.conform(tests, labelled=same))
-    prototypes = tests if same else reusable(spec.conform(prototypes))
+    prototypes, bounds = reusable_with_bounds(spec.conform(prototypes), spec.numeric if scaling else ())
+    tests = prototypes if same else reusable(spec.conform(tests, labelled=False))
     if scaling is None:
         return tests, prototypes
-    if scaling != "range":
-        raise ValueError("neighbours are scaled by 'range' or not at all")
-    bounds = Bounds.of(prototypes, spec.numeric)
     return scale(tests, spec, "range", bounds), scale(prototypes, spec, "range", bounds)
 
 

@@ -9,7 +9,7 @@ from protosift.functions.fuzzy import fold_of
 from protosift.operators.approximation import quality_hml
 from protosift.operators.conflicts import quality_powa
 from protosift.operators.neighbours import STEP, Weighting, predictions_of, search
-from protosift.plans.lineage import cut_lineage, reusable
+from protosift.plans.lineage import cut_and_observe, cut_lineage, reusable
 from protosift.plans.profiles import RID, hand_back
 from protosift.plans.tiles import TileSettings
 from protosift.spec import RowSpec
@@ -50,10 +50,12 @@ def threshold_sweep(
     prototype is compared once and counts from the first threshold it reaches.
     """
     tests = reusable(spec.conform(df))
-    rated = cut_lineage(
-        join_quality(tests, quality.select("id", F.col("quality").alias("_quality")), spec)
+    rated, seen = cut_and_observe(
+        join_quality(tests, quality.select("id", F.col("quality").alias("_quality")), spec),
+        low=F.min("_quality"),
+        high=F.max("_quality"),
     )
-    low, high = rated.agg(F.min("_quality"), F.max("_quality")).first()
+    low, high = seen["low"], seen["high"]
     if low is None:
         raise ValueError("no row has a quality")
     step = (high - low) / steps

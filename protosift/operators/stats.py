@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from protosift.plans.lineage import cut_and_observe, reusable, shuffles
 from protosift.spec import RowSpec
 
 
@@ -34,8 +36,29 @@ class Bounds:
         columns = list(columns)
         if not columns:
             return Bounds({}, {})
-        row = df.selectExpr(*[f"CAST({f}(`{c}`) AS double)" for c in columns for f in ("min", "max")]).first()
-        return Bounds(dict(zip(columns, row[0::2])), dict(zip(columns, row[1::2])))
+        return Bounds._from(columns, df.agg(*[c.alias(n) for n, c in _edges(columns).items()]).first().asDict())
+
+    @staticmethod
+    def _from(columns: list[str], edges: dict) -> Bounds:
+        low, high = ([edges[f"{e}_{i}"] for i in range(len(columns))] for e in ("low", "high"))
+        return Bounds(dict(zip(columns, low)), dict(zip(columns, high)))
+
+
+def _edges(columns: list[str]) -> dict[str, Column]:
+    return {
+        f"{name}_{i}": edge(F.col(c).cast("double"))
+        for i, c in enumerate(columns)
+        for name, edge in (("low", F.min), ("high", F.max))
+    }
+
+
+def reusable_with_bounds(df: DataFrame, columns) -> tuple[DataFrame, Bounds]:
+    """``df`` for several passes and the bounds of its columns, seen while it is kept."""
+    columns = list(columns)
+    if not columns or not shuffles(df):
+        return reusable(df), Bounds.of(df, columns)
+    kept, seen = cut_and_observe(df, **_edges(columns))
+    return kept, Bounds._from(columns, seen)
 
 
 def scale(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,11 +26,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_observe(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``cut_lineage``, with aggregates of all rows that are seen on the way.
+
+    They cost no pass of their own. A task that is run again may add to sums and
+    counts once more, so these only serve to cut the work; least and greatest
+    values are exact.
+    """
+    seen = Observation()
+    kept = cut_lineage(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
+    return kept, seen.get
+
+
+def shuffles(df: DataFrame) -> bool:
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def reusable(df: DataFrame) -> DataFrame:
     """``df`` for several passes: a plan that shuffles is computed only once.
 
     A plain scan is left alone, as reading its few columns again is cheaper
     than writing them.
     """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return cut_lineage(df) if "Exchange" in plan else df
+    return cut_lineage(df) if shuffles(df) else df

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from protosift.plans.lineage import cut_lineage
+from protosift.plans.lineage import cut_and_observe
 
 RID = "_rid"
 COPIES = "_copies"
@@ -41,15 +41,15 @@ def profiles_of(df: DataFrame, keys, id: str, *aggregates: Column) -> Profiles:
     The aggregate combines on the map side, so a key with very many copies
     sends one row per map task.
     """
-    grouped = cut_lineage(
+    grouped, seen = cut_and_observe(
         df.groupBy(*keys).agg(
             F.min(id).alias(RID), F.count(F.lit(1)).alias(COPIES), *aggregates
-        )
+        ),
+        rows=F.count(F.lit(1)),
+        source=F.coalesce(F.sum(COPIES), F.lit(0)),
+        most=F.coalesce(F.max(COPIES), F.lit(0)),
     )
-    rows, source, most = grouped.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(COPIES), F.lit(0)), F.coalesce(F.max(COPIES), F.lit(0))
-    ).first()
-    return Profiles(grouped, tuple(keys), rows, source, most)
+    return Profiles(grouped, tuple(keys), seen["rows"], seen["source"], seen["most"])
 
 
 def hand_back(rows: DataFrame, id: str, results: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
