@@ -1,11 +1,11 @@
 """Secrets in text: fixed patterns, and random-looking strings by Markov models.
 
 Two character models of second order are trained from labelled samples: random
-strings, which are the values the patterns find, and ordinary identifiers, which
-are the other words. A run of token characters is a secret too if its
+strings, which are the values the patterns find and made ones, and ordinary
+identifiers, which are the other words and identifiers made of words. A run of token characters is a secret too if its
 log-likelihood ratio per character, random against ordinary, exceeds a
-threshold, and it is long and mixed enough to tell. Spans so found are added to
-those of the patterns.
+threshold that is fitted on samples held back, and it is long enough to tell. Spans
+so found are added to those of the patterns.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protosift.llm.training import bounded_sample
-
 # Patterns of the base kinds and the least lengths.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -34,15 +32,44 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_RUN = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
-#: Words that are samples of ordinary identifiers.
+#: Words that are samples of ordinary text.
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
-#: Documents that give samples, as a rule at most, and characters of each.
+#: Documents that give samples, as a rule at most, characters of each (a part of the
+#: text that a hash picks), and characters of a sample.
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 2000
-#: Log-likelihood ratio per character that makes a run a secret.
-RATIO = 0.5
-#: The same for runs without digits.
-LETTER_RATIO = 1.0
+VALUE_CHARS = 256
+#: Labelled strings that are made, of each kind of label.
+MADE = 6000
+#: Share of ordinary identifiers that may be marked, on samples the models have not seen.
+FALSE_SHARE = 0.002
+
+# Common words of identifiers, as samples for their labels.
+IDENTIFIER_WORDS = """
+access account action active add address admin agent alert all amount api app apply archive args array asset async attempt
+audio auth author auto available backup base batch begin bin block body bool boot branch buffer build bundle button byte
+cache call callback cancel card case category cell center change channel char check child class clean client clone close
+cluster code color column command comment commit common compare compile complete component config connect connection
+console constant content context control convert copy core cost count cpu create credit current custom data database date
+day debug default define delete deploy detail device dialog digest dir disable display document domain download driver
+edge edit element email enable encode end engine entry enum environment error event example exception execute exist exit
+expire export extension factory fail feature fetch field file filter find first flag flow folder font format found frame
+function gateway generic get global graph group guest handler hash header health height help history home host hour html
+http icon image import include index info init input insert install integer interface internal invalid item iterator java
+job join json kernel key kind label last layer layout level library limit line link list listener load local lock log
+login main manager map mask master match max memory menu merge message meta method metric min mode model module monitor
+month mount move name namenode network new next node not number object offset open operator option order output owner
+package page param parent parse part password path pattern payload payment permission phone pipeline platform player
+point policy pool port post prefix previous price print private process product profile project property protocol proxy
+public pull push query queue random range rate read ready record redirect reference region register release remote remove
+render repeat replace report request reset resource response result retry return role root route row rule run sample
+save schedule schema screen script search second section security select send server service session set setting shared
+shell show sign simple size sleep socket sort source split stack stage start state static status step stop storage store
+stream string style submit success summary support switch sync system table tag target task team template temp test text
+thread time timeout title token tool total trace track transaction transfer tree trigger type undo unique unit update
+upload url user utils valid value vector verify version video view virtual wait warning watch web width window wrapper
+write xml year zone
+""".split()
 
 Span = tuple[int, int, int]
 
@@ -66,9 +93,11 @@ def _codes(run: str) -> np.ndarray:
 
 @dataclass
 class MarkovModels:
-    """Log-likelihood ratio of every character after two others."""
+    """Log-likelihood ratio of every character after two others, and the mean ratio
+    from which on a run is random."""
 
     ratios: np.ndarray
+    threshold: float = 0.0
 
     @staticmethod
     def fit(random: list[str], ordinary: list[str]) -> MarkovModels:
@@ -102,53 +131,126 @@ def _judged(run: str) -> bool:
     return any(c.isalpha() for c in run)
 
 
+def _styled(words: list[str], draw: np.random.Generator) -> str:
+    """Words as an identifier of one of many styles."""
+
+    def number(n: int) -> str:
+        return "".join(draw.choice(list("0123456789"), n))
+
+    style = int(draw.integers(14))
+    if style < 2:
+        return "_".join(words)
+    if style == 2:
+        return "_".join(words).upper()
+    if style == 3:
+        return "-".join(words)
+    if style == 4:
+        return "".join([words[0], *(w.capitalize() for w in words[1:])])
+    if style == 5:
+        return "".join(w.capitalize() for w in words)
+    if style == 6:
+        return "/".join(words)
+    if style == 7:
+        return f"{'_'.join(words)}_{number(int(draw.integers(1, 5)))}"
+    if style == 8:
+        return "".join([words[0], *(w.capitalize() for w in words[1:])]) + number(int(draw.integers(1, 4)))
+    if style == 9:
+        return f"{'-'.join(words)}-{draw.integers(10)}-{draw.integers(30)}-{draw.integers(30)}"
+    if style == 10:
+        return f"{words[0]}-{draw.integers(1950, 2050)}-{draw.integers(1, 13):02d}-{draw.integers(1, 29):02d}-{words[-1]}"
+    if style == 11:
+        digits = "".join(draw.choice(list("0123456789abcdef"), 32))
+        whole = "-".join((digits[:8], digits[8:12], digits[12:16], digits[16:20], digits[20:]))
+        return whole.upper() if draw.integers(3) == 0 else whole
+    if style == 12:
+        return f"{number(3)}-{number(1)}-{number(3)}-{number(5)}-{number(1)}"
+    return f"{'/'.join(words)}/{words[0]}{number(int(draw.integers(1, 4)))}"
+
+
+def identifiers(words: list[str], count: int, seed: int) -> list[str]:
+    """Ordinary identifiers: in two of three cases of common words, else of given ones."""
+    draw, out = np.random.default_rng(seed), []
+    plain = [w.lower() for w in words if w.isalpha()] or IDENTIFIER_WORDS
+    while len(out) < count:
+        source = IDENTIFIER_WORDS if draw.integers(3) else plain
+        out.append(_styled([str(w) for w in draw.choice(source, int(draw.integers(2, 6)))], draw))
+    return out
+
+
+def random_strings(count: int, seed: int) -> list[str]:
+    """Strings of random characters, of the alphabets that keys are written in."""
+    draw = np.random.default_rng(seed)
+    letters, digits = ALPHABET[:52], ALPHABET[52:62]
+    kinds = [list(x) for x in (letters + digits, letters + digits + "+/", letters + digits + "_-", letters[26:] + digits, letters[:26] + digits)]
+    return ["".join(draw.choice(kinds[i % len(kinds)], int(draw.integers(LEAST_RUN, 49)))) for i in range(count)]
+
+
 class SecretScan:
     """Finds spans of secrets in whole texts.
 
     Null texts count as empty and have no spans. Spans are code points of the
     text, ends exclusive. Ids may be null or repeat; every row has its result.
-    Other columns are not read. Without samples the ratio is 0 throughout and
-    the patterns alone find spans.
+    Other columns are not read. An empty table gives an empty result; its models
+    know the made samples only.
+
+    Models are trained on labelled strings: random are the values of the patterns in
+    a sample of texts and strings of random characters; ordinary are words of the
+    sample and identifiers made of words in many styles, among them paths, versions,
+    dates and hexadecimal ids in groups. Half of the made strings are held back, and
+    the threshold is set on them: ``false_share`` of the ordinary ones are marked at most.
     """
 
-    def __init__(self, id_col="doc_id", text_col="text", ratio=RATIO, letter_ratio=LETTER_RATIO, sample_rows=SAMPLE_ROWS, sample_chars=SAMPLE_CHARS):
-        self.id_col, self.text_col, self.threshold, self.letter_threshold = id_col, text_col, ratio, letter_ratio
+    def __init__(self, id_col="doc_id", text_col="text", false_share=FALSE_SHARE, sample_rows=SAMPLE_ROWS, sample_chars=SAMPLE_CHARS):
+        self.id_col, self.text_col, self.false_share = id_col, text_col, false_share
         self.sample_rows, self.sample_chars = sample_rows, sample_chars
 
     def fit(self, docs: DataFrame) -> MarkovModels:
-        """From at most about ``sample_rows`` documents with a pattern's match
-        (random strings) and as many without (ordinary words)."""
-        marked = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-        rows = docs.select(F.col(self.text_col).cast("string").alias("text")).withColumn("marked", marked)
-        sample = bounded_sample(rows, "marked", "text", self.sample_rows)
-        chars = self.sample_chars
+        """From about ``sample_rows`` documents, picked by a hash of their texts."""
+        rows = docs.select(F.coalesce(F.col(self.text_col).cast("string"), F.lit("")).alias("text"))
+        place = F.shiftrightunsigned(F.xxhash64(F.lit(1), "text"), 11) / F.lit(float(2**53))
+        sample = rows.where(place < F.lit(self.sample_rows / max(1, rows.count()))).where("text <> ''").distinct()
+        size = F.lit(self.sample_chars)
+        # A part of each text, beginning anywhere in it.
+        start = F.pmod(F.xxhash64(F.lit(2), "text"), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int")
+        parts = sample.select(F.substring("text", start + 1, size).alias("text"))
 
         def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 random, ordinary = [], []
                 for text in batch.column(0).to_pylist():
-                    spans, at = base_spans(text), 0
-                    for start, kind, end in spans:
-                        value = ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]
-                        random.append(value.replace(".", "-"))
-                        ordinary += WORD.findall(text[max(at, min(start, chars)) : min(start, chars)])
+                    at = 0
+                    for begin, kind, end in base_spans(text):
+                        value = ASSIGN.match(text, begin).group(2) if kind == 0 else text[begin:end]
+                        random.append(value.replace(".", "-")[:VALUE_CHARS])
+                        ordinary += WORD.findall(text[at:begin])
                         at = max(at, end)
-                    ordinary += WORD.findall(text[at:chars])
-                # Runs that the models are to judge cannot be samples.
-                ordinary = [w for w in ordinary if len(w) < LEAST_RUN or not _judged(w)]
+                    ordinary += WORD.findall(text[at:])
+                # Runs that the models are to judge have no label.
+                ordinary = [w for w in ordinary if len(w) < LEAST_RUN]
                 both = random + ordinary
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(both, pa.string()), pa.array([True] * len(random) + [False] * len(ordinary))], names=["value", "random"]
                 )
 
-        values = sample.select("text").mapInArrow(strings, "value string, random boolean").groupBy("value", "random").count()
-        # A value counts once. Ordinary words follow the bound of the sampled text.
-        found = values.orderBy("random", "value").select("value", "random").toPandas()
-        return MarkovModels.fit(*(found.loc[found["random"] == k, "value"].tolist() for k in (True, False)))
+        # A value counts once; all together follow the bound of the sampled texts.
+        found = parts.mapInArrow(strings, "value string, random boolean").distinct().orderBy("random", "value").toPandas()
+        found_random, words = (found.loc[found["random"] == k, "value"].tolist() for k in (True, False))
+        made_random, made = random_strings(MADE, 1), identifiers(words, MADE, 2)
+        models = MarkovModels.fit(found_random + made_random[::2], words + made[::2])
+        models.threshold = self._threshold(models, made_random[1::2], made[1::2])
+        return models
+
+    def _threshold(self, models: MarkovModels, random: list[str], ordinary: list[str]) -> float:
+        """Half way between where ``false_share`` of ordinary runs and where ten times
+        that share of random ones lie beyond, if the two are apart; else the former."""
+        runs = [m.group() for x in ordinary for m in RUN.finditer(x) if _judged(m.group())]
+        low = float(np.quantile([models.ratio(x) for x in runs], 1 - self.false_share))
+        high = float(np.quantile([models.ratio(x) for x in random if _judged(x)], 10 * self.false_share))
+        return (low + max(low, high)) / 2
 
     def spans_of(self, text: str, models: MarkovModels) -> list[Span]:
         """Base spans and, where no base span lies, those of random-looking runs
-        and parts of runs. Without digits they need a ratio of ``letter_ratio``."""
+        and parts of runs."""
         spans = base_spans(text)
         more = []
         for m in RUN.finditer(text):
@@ -161,8 +263,7 @@ class SecretScan:
                 run = text[begin:end]
                 if len(run) < LEAST_RUN or not _judged(run):
                     continue
-                least = self.threshold if any(map(str.isdigit, run)) else self.letter_threshold
-                if models.ratio(run) > least:
+                if models.ratio(run) > models.threshold:
                     more.append((begin, 3, end))
         return sorted(spans + more)
 

@@ -10,7 +10,7 @@ from protosift.llm.decontaminate import Decontaminator
 from protosift.llm.language_id import LanguageId, families_of
 from protosift.llm.pii import Feistel, Pseudonymiser, Pseudonyms, luhn, replace_all
 from protosift.llm.quality import QualityClassifier
-from protosift.llm.secret_scan import ASSIGN, MarkovModels, SecretScan, base_spans
+from protosift.llm.secret_scan import ASSIGN, MarkovModels, SecretScan, base_spans, identifiers, random_strings
 
 TEXTS = "doc_id long, text string"
 HEXES = "0123456789abcdef"
@@ -82,6 +82,32 @@ def test_markov_models_without_samples():
     assert MarkovModels.fit([], []).ratio("abcDEF0123456789") == pytest.approx(0, abs=1e-9)
 
 
+def test_identifiers_are_ordinary_and_random_strings_are_not(spark):
+    """Fitted on provided documents; other identifiers than those the models learn from."""
+    scan = SecretScan()
+    models = scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    ordinary = [
+        "org_apache_hadoop_hdfs_server_namenode", "MAX_CONNECTION_RETRY_COUNT", "arch/x86/kernel/cpu/mtrr/generic",
+        "test_integration_pipeline_2024_report", "getUserAccountById2", "550e8400-e29b-41d4-a716-446655440000", "978-3-16-148410-0",
+    ]
+    assert not [x for x in ordinary if scan.spans_of(f"see {x} there", models)]
+    other = "apple river stone cloud green yellow winter doctor pencil garden market bridge planet silver forest kitchen".split()
+    made = [x for x in identifiers(other, 4000, 77) if len(x) >= 16][:1000]
+    assert sum(bool(scan.spans_of(x, models)) for x in made) <= 10
+    found = [any(s[1] == 3 or s[1] == 2 for s in scan.spans_of(x, models)) for x in random_strings(1000, 78)]
+    assert np.mean(found) >= 0.95
+
+
+def test_secrets_of_long_texts_and_null_ids(spark):
+    key = random_strings(1, 5)[0]
+    rows = [(None, "word " * 300_000 + f"token={key} end"), (None, "x" * 2_000_000), (1, None), (1, "")]
+    docs = spark.createDataFrame(rows, TEXTS)
+    scan = SecretScan()
+    found = scan.scan(docs, scan.fit(docs)).collect()
+    assert sorted(len(r.spans) for r in found) == [0, 0, 0, 1] or sorted(len(r.spans) for r in found) == [0, 0, 1, 1]
+    assert any((s.kind, s.start) == ("assign", 1_500_000) for r in found for s in r.spans)
+
+
 # Benchmark decontamination
 
 
