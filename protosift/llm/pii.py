@@ -6,14 +6,16 @@ that range, and written back in the shape it had: same separators, lengths and
 character classes, valid check digits. The permutation depends on the key and the
 format, not on the document, so equal values stay equal everywhere, also
 if they are separated differently; with the key it can be undone (a date up to
-its zero padding). Dates as 3/4/2024 are read with the day first; a date that only
-makes sense with the month first is permuted among such dates.
+its zero padding). Dates as 3/4/2024 are read with the day first. Days up to the twelfth
+and those beyond, which alone can stand behind the month, are permuted apart.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from calendar import monthrange
 from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
@@ -107,6 +109,34 @@ def iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
+def _months() -> list[int]:
+    """Days beyond the twelfth before each month from the first day's on."""
+    out = [0]
+    for year in range(date.fromordinal(FIRST_DAY).year, date.fromordinal(LAST_DAY).year + 1):
+        for month in range(1, 13):
+            out.append(out[-1] + monthrange(year, month)[1] - 12)
+    return out
+
+
+_LATE = _months()
+
+
+def _place(day: date) -> tuple[int, int, str]:
+    """Number of a day among those up to, or among those beyond, the twelfth of their
+    months; how many such days there are; and which of the two."""
+    month = (day.year - date.fromordinal(FIRST_DAY).year) * 12 + day.month - 1
+    if day.day > 12:
+        return _LATE[month] + day.day - 13, _LATE[-1], "late date"
+    return month * 12 + day.day - 1, 12 * (len(_LATE) - 1), "early date"
+
+
+def _day(number: int, late: bool) -> date:
+    """The day of a number that ``_place`` gives."""
+    month = bisect_right(_LATE, number) - 1 if late else number // 12
+    day = number - _LATE[month] + 13 if late else number % 12 + 1
+    return date(date.fromordinal(FIRST_DAY).year + month // 12, month % 12 + 1, day)
+
+
 class Pseudonyms:
     """Pseudonyms of single findings, by kind. ``None`` if a finding is not valid."""
 
@@ -137,7 +167,13 @@ class Pseudonyms:
         labels, _, top = host.rpartition(".")
         if ".." in local or local.endswith("."):
             return None
-        return f"{self.classes(local, 'local')}@{self.classes(labels, 'host')}.{top}"
+        # Upper and lower case are the same address.
+        return f"{self._uncased(local, 'local')}@{self._uncased(labels, 'host')}.{top}"
+
+    def _uncased(self, text: str, tweak: str) -> str:
+        """Permuted in lower case; capitals stay where they are."""
+        moved = self.classes(text.lower(), tweak)
+        return "".join(new.upper() if old.isupper() else new for old, new in zip(text, moved, strict=True))
 
     def iban(self, text: str) -> str | None:
         plain = text.replace(" ", "")
@@ -164,14 +200,10 @@ class Pseudonyms:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        # within the days that are written alike: the same order and padding
+        # Days that can stand behind a month stay such days, whichever way a date is
+        # written, so that all its spellings move to the same day.
         padded = any(len(x) == 2 and x[0] == "0" for x in parts)
-        while True:
-            day = FIRST_DAY + self.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date")
-            moved = date.fromordinal(day)
-            # a date that could only be month first has to stay one, so others are passed over
-            if order[0] != "month" or moved.day > 12:
-                break
+        moved = _day(self.permute(*_place(date.fromordinal(day))), date.fromordinal(day).day > 12)
         plain = not padded and any(len(x) == 1 for x in parts)
         written = {"year": f"{moved.year:04d}", "month": f"{moved.month:0{1 if plain else 2}d}", "day": f"{moved.day:0{1 if plain else 2}d}"}
         return mark.join(written[k] for k in order)
@@ -264,6 +296,10 @@ def _valid_other(text: str, m: re.Match, kind: str, names: Pseudonyms) -> tuple[
 class Pseudonymiser:
     """Replaces personal values in whole texts by pseudonyms of the same format.
 
+    Values that are written differently stay linked: dates in either order, and
+    addresses in capitals or not. A permutation may leave a value as it is, as
+    any other value is as likely; a text is then the same there.
+
     A null text stays null and an empty one empty. Other columns stay as they
     are, rows may repeat, and an empty table stays empty. Columns ``out_col`` and
     ``spans_col`` replace columns of these names.

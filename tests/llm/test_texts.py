@@ -2,6 +2,7 @@
 
 import random
 import re
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -304,3 +305,40 @@ def test_equal_values_stay_linked(spark):
     assert len(numbers) == 1 and numbers != {"6685551911"}
     assert out[3] is None and out[4] == "" and out[5] == rows[-1][1]
     assert Pseudonymiser(b"0" * 16).apply(docs.limit(0)).collect() == []
+
+
+def test_spellings_of_a_value_stay_linked():
+    names, back = Pseudonyms(b"k" * 16), Pseudonyms(b"k" * 16, back=True)
+    seen, day = set(), date(1980, 1, 1)
+    for _ in range(3000):
+        iso = names.of("date", f"{day:%Y-%m-%d}")
+        moved = date.fromisoformat(iso)
+        seen.add(moved)
+        assert names.of("date", f"{day:%d/%m/%Y}") == f"{moved:%d/%m/%Y}" and (moved.day > 12) == (day.day > 12)
+        if day.day > 12:
+            assert names.of("date", f"{day:%m/%d/%Y}") == f"{moved:%m/%d/%Y}"
+        assert back.of("date", iso) == f"{day:%Y-%m-%d}"
+        day += timedelta(1)
+    assert len(seen) == 3000
+    for one in ("Ann.Lee@Mail.Example.org", "ann.lee@mail.example.org", "ANN.LEE@MAIL.EXAMPLE.org"):
+        moved = names.of("email", one)
+        assert moved.lower() == names.of("email", one.lower()) and back.of("email", moved) == one
+        assert [c.isupper() for c in moved] == [c.isupper() for c in one]
+
+
+def plain_pseudonyms(text, names):
+    """Values of two kinds found and replaced by a simpler search."""
+    out = re.sub(r"(?<![0-9A-Za-z.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", lambda m: names.of("date", m.group()) or m.group(), text)
+    return re.sub(r"[a-z]+@[a-z]+\.org", lambda m: names.of("email", m.group()), out)
+
+
+def test_texts_equal_plain_replacement(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):
+        parts = [rng.choice([words(rng, 3), f"{rng.randint(1900, 2099)}-{rng.randint(1, 13):02d}-{rng.randint(1, 31):02d}", f"{words(rng, 1)}@{words(rng, 1)}.org"]) for _ in range(12)]
+        rows.append((i, " and ".join(parts)))
+    rows.append((None, "word " * 200_000 + "1984-03-27"))
+    found = Pseudonymiser(b"k" * 16).apply(spark.createDataFrame(rows, TEXTS)).collect()
+    names = Pseudonyms(b"k" * 16)
+    assert {r["doc_id"]: r["pseudonymous"] for r in found} == {i: plain_pseudonyms(t, names) for i, t in rows}
