@@ -80,12 +80,15 @@ def _split_size(lengths: np.ndarray, split: tuple[int, ...]) -> int:
     return size
 
 
-def encode(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
-    """The file of token ids below 2**32, of documents that end at ``ends``."""
+def encode(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, unnamed: np.ndarray | None = None) -> bytes:
+    """The file of token ids below 2**32, of documents that end at ``ends``;
+    ``unnamed`` tells which documents have no id of their own."""
     rest = ids.astype(np.uint32)
     lengths = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=33)
     split = min(SPLITS, key=lambda s: _split_size(lengths, s))
     sections: list[tuple[str, np.ndarray]] = [("docs", doc_ids.astype("<i8")), ("ends", ends.astype("<i8"))]
+    if unnamed is not None and unnamed.any():
+        sections.append(("unnamed", np.packbits(unnamed, bitorder="little")))
     widths = []
     for k, width in enumerate(split):
         widths.append(width)
@@ -125,6 +128,8 @@ class TokenFile:
             found[name] = np.frombuffer(raw, np.dtype(kind), length // np.dtype(kind).itemsize, at)
             at += length + -length % 8
         self.size, self.docs, self.ends = header["ids"], found["docs"], found["ends"]
+        n = len(self.docs)
+        self.unnamed = np.unpackbits(found["unnamed"], count=n, bitorder="little").astype(bool) if "unnamed" in found else np.zeros(n, bool)
         self.levels = [
             Level(w, found[f"chunk{k}"], found.get(f"going{k}"), found.get(f"ranks{k}")) for k, w in enumerate(header["widths"])
         ]
@@ -278,9 +283,9 @@ def _write(path: str, raw: bytes) -> None:
 class TokenStore:
     """Encodes documents to token files in the order of their ids, and reads them.
 
-    Null texts count as empty; every document ends with ``end_id``. Ids are not
-    null; rows with the same id stay next to each other, in the order of
-    their texts. Other columns are not read. An empty table gives no files.
+    Null texts count as empty; every document ends with ``end_id``. Null ids come
+    first and stay null; rows with the same id stay next to each other, in the order
+    of their texts. Other columns are not read. An empty table gives no files.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int, id_col="doc_id", text_col="text"):
@@ -299,11 +304,13 @@ class TokenStore:
             part, number = TaskContext.get().partitionId(), 0
             encoder = once_in_worker(("words", path), lambda: WordEncoder(path))
             for batch in batches:
-                ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+                # Never as floating numbers, which null ids would make of all others.
+                unnamed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+                ids, texts = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
                 for begin, end in chunks([len(t) for t in texts], FILE_CHARS):
                     tokens, ends = encoder.encode(texts[begin:end], end_id)
                     name = f"{folder}/{part:06d}-{number:06d}.dac"
-                    _write(name, encode(tokens, ids[begin:end], ends))
+                    _write(name, encode(tokens, ids[begin:end], ends, unnamed[begin:end]))
                     yield pa.RecordBatch.from_pydict(
                         {"file": [part << 32 | number], "path": [name], "n_tokens": [len(tokens)], "n_documents": [end - begin]}
                     )
@@ -332,7 +339,7 @@ class TokenStore:
                     n = len(starts)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(found.docs),
+                            pa.array(found.docs.astype(np.int64), mask=found.unnamed),
                             pa.array(np.full(n, number)),
                             pa.array(starts + base),
                             pa.array(found.ends - starts),

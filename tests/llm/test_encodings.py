@@ -250,3 +250,13 @@ def test_pipeline_stages(spark, tmp_path):
     coder = PieceCoder(vocabulary("piece_bpe_32k.model"))
     back = coder.decode(coded).where(F.col("doc_id") == 0).first().decoded
     assert back == rows[0][1]
+
+
+def test_null_ids_leave_other_ids_alone(spark):
+    """2**53 + 1 is no floating number."""
+    rows = [(None, "one"), (2**53 + 1, "two"), (5, "three"), (None, None), (-3, "four")]
+    store = TokenStore(vocabulary("word_bpe_49k.json"), end_id=2)
+    found = store.round_trip(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["id"] is not None, r["id"] or 0) for r in found) == [(False, 0), (False, 0), (True, -3), (True, 5), (True, 2**53 + 1)]
+    ends = {r["start"] + r["n_tokens"] for r in found}
+    assert {r["start"] for r in found} - {0} <= ends and max(ends) == sum(r["n_tokens"] for r in found)
