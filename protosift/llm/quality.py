@@ -1,16 +1,15 @@
 """Quality by compression: which of two dictionaries shortens a text more.
 
-Zstandard dictionaries are built from text labelled good and from text labelled
-bad. A text that is like one of them compresses better with its dictionary; the
-difference of the two sizes, divided by the size without a dictionary, is the
-score's main input. A logistic curve, fitted on labelled rows that the
-dictionaries have not seen, turns it into a probability; it also sees how far
-the text repeats itself, which is the ratio of its size without a dictionary.
+Zstandard dictionaries are made of text labelled good and of text labelled bad: parts
+of many learning rows, one after the other. A text that is like one of them
+compresses better with its dictionary. The difference of the two sizes, divided by
+the size of the text, is all that the score sees; a rising curve of it, fitted on
+labelled rows that the dictionaries have not seen, turns it into a probability.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +17,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from protosift.llm.scratch import once_in_worker
 from protosift.llm.training import bounded_sample, learnable
 
 #: Bytes of a dictionary, and learning rows of a label at most, as a rule.
-DICTIONARY_BYTES = 112_640
+DICTIONARY_BYTES = 400_000
 SAMPLE_ROWS = 3000
-#: Characters of a learning row that a dictionary takes.
-SAMPLE_CHARS = 4000
-LEVEL = 3
-#: Bytes compressed at a time; measures of pieces are averaged by their bytes,
-#: so that a long text cannot become its own dictionary.
+#: Least characters that a learning row gives to a dictionary.
+LEAST_PART = 200
+LEVEL = 6
+#: Bytes compressed at a time, so that a long text cannot become its own dictionary.
 PIECE_BYTES = 2048
 
 
@@ -35,118 +34,116 @@ PIECE_BYTES = 2048
 class QualityModel:
     good: bytes
     bad: bytes
-    weights: np.ndarray
-    centre: np.ndarray
-    spread: np.ndarray
+    #: Differences and the share of good rows there; straight lines between them.
+    places: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    shares: np.ndarray = field(default_factory=lambda: np.full(1, 0.5))
 
     def measurer(self) -> Measurer:
-        return Measurer(self.good, self.bad)
+        return once_in_worker((self.good, self.bad), lambda: Measurer(self.good, self.bad))
 
-    def scores(self, measures: np.ndarray) -> np.ndarray:
-        z = np.clip((measures - self.centre) / self.spread, -8, 8)
-        return 1 / (1 + np.exp(-(np.hstack([z, np.ones((len(z), 1))]) @ self.weights)))
+    def scores(self, differences: np.ndarray) -> np.ndarray:
+        """Probabilities; beyond the curve's ends they go on towards 0 and 1."""
+        inside = np.interp(differences, self.places, self.shares)
+        if len(self.places) < 2:
+            return inside
+        reach = max(float(np.ptp(self.places)), 1e-9)
+        below = np.exp(-np.maximum(self.places[0] - differences, 0) / reach)
+        above = np.exp(-np.maximum(differences - self.places[-1], 0) / reach)
+        return 1 - (1 - inside * below) * above
 
 
 class Measurer:
-    """Compressed sizes of texts by two dictionaries and without one."""
+    """Sizes of texts compressed with two dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
         flags = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, **flags)
-        self.own = [
-            zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **flags
-            )
-            if d
-            else self.plain
+        raw = zstandard.DICT_TYPE_RAWCONTENT
+        self.good, self.bad = (
+            zstandard.ZstdCompressor(level=LEVEL, **flags, **({"dict_data": zstandard.ZstdCompressionDict(d, dict_type=raw)} if d else {}))
             for d in (good, bad)
-        ]
-
-    def measure(self, text: bytes) -> list[float]:
-        """Normalised difference (bad less good), ratio without a dictionary for
-        pieces and the whole, best ratio with one, and how much is not letters."""
-        if not text:
-            return [0.0, 1.0, 1.0, 1.0, 0.0]
-        plain = good = bad = 0
+        )
+
+    def difference(self, text: bytes) -> float:
+        """Bytes that the good dictionary saves beyond the bad one, per byte of text."""
+        saved = 0
         for at in range(0, len(text), PIECE_BYTES):
             piece = text[at : at + PIECE_BYTES]
-            plain += len(self.plain.compress(piece))
-            good += len(self.own[0].compress(piece))
-            bad += len(self.own[1].compress(piece))
-        whole = len(self.plain.compress(text))
-        return [(bad - good) / plain, plain / len(text), whole / len(text), min(good, bad) / len(text), (good - bad) / len(text)]
-
-
-def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary of up to ``size`` bytes; pieces of texts if they are too few to train one."""
-    pieces = [t[i : i + PIECE_BYTES] for t in texts for i in range(0, len(t), PIECE_BYTES)]
-    try:
-        return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b"\n".join(pieces)[-size:]
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights, the last one a bias, by Newton steps; classes keep their shares."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return w
+            saved += len(self.bad.compress(piece)) - len(self.good.compress(piece))
+        return saved / max(1, len(text))
+
+
+def rising_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the rising curve nearest to ``y`` by weighted squares.
+
+    Neighbours whose means fall are pooled until none do. A point is the mean of a
+    pool; pools at the ends are kept off 0 and 1 by half a row.
+    """
+    pools: list[list[float]] = []
+    for at, value, w in zip(*(v[x.argsort(kind="stable")].tolist() for v in (x, y, weight))):
+        pools.append([w, w * at, w * value])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][0] >= pools[-1][2] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    whole, places, sums = np.array(pools).T
+    half = float(weight.mean()) / 2
+    return places / whole, (sums + half) / (whole + 2 * half)
 
 
 class QualityClassifier:
     """Scores texts from dictionaries of labelled ones.
 
-    Null texts count as empty. Empty texts have a score like any other. Ids may be
-    null or repeat; every row has its result, and columns other than the id and
-    the text are not read. With no label of one kind all scores are 0.5.
+    Null texts count as empty. Empty texts, which no dictionary shortens, have the
+    score of a difference of 0. Ids may be null or repeat; every row has its result,
+    and columns other than the id and the text are not read. With no label of one
+    kind all scores are 0.5. A dictionary takes a part of each of its rows, which
+    begins anywhere in the text.
     """
 
-    def __init__(self, id_col="doc_id", text_col="text", sample_rows=SAMPLE_ROWS, sample_chars=SAMPLE_CHARS):
+    def __init__(self, id_col="doc_id", text_col="text", sample_rows=SAMPLE_ROWS, dictionary_bytes=DICTIONARY_BYTES):
         self.id_col, self.text_col = id_col, text_col
-        self.sample_rows, self.sample_chars = sample_rows, sample_chars
+        self.sample_rows, self.dictionary_bytes = sample_rows, dictionary_bytes
 
     def fit(self, docs: DataFrame, labels: DataFrame, label_col: str) -> QualityModel:
         """From at most about ``sample_rows`` labelled rows of each kind: half for
-        the dictionaries, half for the curve, which takes whole texts."""
-        kept = labels.where(learnable(self.id_col) & F.col(label_col).isNotNull()).select(
+        the dictionaries, half for the curve, which takes whole texts and weighs
+        rows so that labels have their shares of all labelled rows."""
+        kept = labels.where(learnable(self.id_col) & F.col(label_col).isin(0, 1)).select(
             F.col(self.id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")
         )
         rows = docs.select(F.col(self.id_col).alias("_id"), F.coalesce(F.col(self.text_col).cast("string"), F.lit("")).alias("_text"))
+        # Two labels at most.
+        shares = {r["_label"]: r["count"] for r in kept.groupBy("_label").count().collect()}
         picked = bounded_sample(kept, "_label", "_id", self.sample_rows)  # so small that it can be broadcast
         sample = rows.join(F.broadcast(picked), "_id").dropDuplicates(["_label", "_text"])
         half = F.pmod(F.xxhash64(F.lit(2), "_text"), F.lit(2)) == 0
-        chars = self.sample_chars
-        found = (
-            sample.where(half).select("_label", F.left("_text", F.lit(chars)).alias("_text")).orderBy("_label", "_text").collect()
+        # Rows share a dictionary evenly: the fewer there are, the longer their parts.
+        good_part, bad_part = (
+            max(LEAST_PART, 2 * self.dictionary_bytes // max(1, min(shares.get(k, 0), self.sample_rows))) for k in (1, 0)
+        )
+        part = F.when(F.col("_label") == 1, good_part).otherwise(bad_part)
+        start = F.pmod(F.xxhash64(F.lit(3), "_text"), F.greatest(F.lit(1), F.length("_text") - part + 1)).cast("int")
+        parts = sample.where(half).select("_label", F.substring("_text", start + 1, part).alias("_text"))
+        found = parts.orderBy("_label", F.xxhash64("_text"), "_text").collect()
+        good, bad = (
+            b"\n".join(r["_text"].encode() for r in found if r["_label"] == k)[: self.dictionary_bytes] for k in (1, 0)
         )
-        good, bad = (build_dictionary([r._text.encode() for r in found if r._label == k]) for k in (1, 0))
-        unfitted = QualityModel(good, bad, np.zeros(6), np.zeros(5), np.ones(5))
-        rest = self._measures(sample.where(~half).select("_label", "_text"), unfitted, "_label").collect()
-        y = np.array([r[0] for r in rest], float)
+        model = QualityModel(good, bad)
+        rest = self._differences(sample.where(~half).select("_label", "_text"), model, "_label").collect()
+        y, x = np.array([r[0] for r in rest], float), np.array([r[1] for r in rest])
         if not 0 < y.sum() < len(y):
-            return unfitted
-        x = np.array([r[1] for r in rest])
-        centre, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-        z = np.clip((x - centre) / spread, -8, 8)
-        return QualityModel(good, bad, fit_logistic(z, y), centre, spread)
+            return model
+        weight = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
+        model.places, model.shares = rising_curve(x, y, weight)
+        return model
 
-    def _measures(self, rows: DataFrame, model: QualityModel, key: str) -> DataFrame:
+    def _differences(self, rows: DataFrame, model: QualityModel, key: str) -> DataFrame:
         def run(batches):
             measurer = model.measurer()
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                found = [measurer.measure((t or "").encode()) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["key", "m"])
+                found = [measurer.difference((t or "").encode()) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["key", "difference"])
 
-        return rows.select(F.col(key).cast("long"), "_text").mapInArrow(run, "key long, m array<double>")
+        return rows.select(F.col(key).cast("long"), "_text").mapInArrow(run, "key long, difference double")
 
     def score(self, docs: DataFrame, model: QualityModel) -> DataFrame:
         """(id, score) of every document, from its whole text."""
@@ -154,7 +151,7 @@ class QualityClassifier:
         def run(batches):
             measurer = model.measurer()
             for batch in batches:
-                found = np.array([measurer.measure((t or "").encode()) for t in batch.column(1).to_pylist()]).reshape(-1, 5)
+                found = np.array([measurer.difference((t or "").encode()) for t in batch.column(1).to_pylist()], float)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(found))], names=["id", "score"])
 
         rows = docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).cast("string").alias("text"))

@@ -2,11 +2,14 @@
 
 import random
 import re
+import zlib
 from datetime import date, timedelta
 
 import numpy as np
 import pytest
+import zstandard
 
+from protosift.llm import queries
 from protosift.llm.decontaminate import Decontaminator
 from protosift.llm.language_id import LanguageId, families_of
 from protosift.llm.pii import Feistel, Pseudonymiser, Pseudonyms, luhn, replace_all
@@ -213,6 +216,56 @@ def test_quality(spark):
     assert {r.score for r in classifier.score(odd, blank).collect()} == {0.5}
 
 
+def area(scores, labels):
+    """Share of pairs of a good and a bad text that scores put in order."""
+    good, bad = (np.array([s for s, y in zip(scores, labels) if y == k]) for k in (1, 0))
+    return ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean()
+
+
+def test_quality_query_on_rows_held_out(spark):
+    """Ranks and probabilities of the query, and its scores from the difference alone."""
+    folder = "/root/testdata/sf0.1"
+    found = queries.op9_quality_classifier(spark, folder)
+    assert found.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    rows = found.join(labels, "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    scores, y = np.array([r["score"] for r in held]), np.array([r["quality"] for r in held])
+    assert area(scores, y) >= 0.97
+    for low, high in ((0, 0.5), (0.5, 0.9), (0.9, 1.01)):
+        some = (scores >= low) & (scores < high)
+        assert abs(scores[some].mean() - y[some].mean()) < 0.12, (low, scores[some].mean(), y[some].mean())
+    model = QualityClassifier().fit(docs, labels, "quality")
+    good, bad = (zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad))
+    given = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 60").collect()}
+    plain = {}
+    for i, text in given.items():
+        raw = (text or "").encode()
+        saved = sum(len(bad.compress(raw[k : k + 2048])) - len(good.compress(raw[k : k + 2048])) for k in range(0, len(raw), 2048))
+        at = saved / max(1, len(raw))
+        if model.places[0] <= at <= model.places[-1]:
+            plain[i] = np.interp(at, model.places, model.shares)
+    asked = {r["doc_id"]: r["score"] for r in found.where("doc_id < 60").collect()}
+    assert {i: asked[i] for i in plain} == pytest.approx(plain) and len(plain) > 30
+    beyond = model.scores(np.array([-9.0, model.places[0], model.places[-1], 9.0]))
+    assert 0 <= beyond[0] < beyond[1] < beyond[2] < beyond[3] <= 1
+
+
+def test_language_query_columns(spark):
+    found = queries.op10_language_id(spark, "/root/testdata/sf0.01")
+    assert found.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    docs = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = found.collect()
+    assert len(rows) == len(docs) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    for r in rows:
+        assert (r["lang_pred"] == "und") == (not any(map(str.isalpha, docs[r["doc_id"]]["text"] or "")))
+    held = [r for r in rows if r["held_out"] and docs[r["doc_id"]]["lang"]]
+    assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held]) > 0.95
+
+
 def test_leaks_by_other_punctuation(spark):
     rng = random.Random(8)
     items = [(1, words(rng, 12)), (2, "\u6f22\u5b57\u306e\u8a66\u9a13\u554f\u984c"), (3, words(rng, 14))]
