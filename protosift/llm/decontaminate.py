@@ -16,6 +16,7 @@ deviation of 6; the radius lies three of them above.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from protosift.llm.scratch import Scratch, once_in_worker
 from protosift.llm.words import WORDS_ONLY, chunks, grams, mix, shingles_of, words_of
 
 BITS, BLOCKS, RADIUS = 256, 16, 56
 _BLOCK_BITS = BITS // BLOCKS
-#: Characters of items that a task searches for at once; more take several passes.
+#: Characters of items, and bytes of their index, that a task searches for at once;
+#: more take several passes. An item has 697 values of two bytes, with its number
+#: of four, in each block.
 ITEM_CHARS = 4 << 20
+INDEX_BYTES = 256 << 20
 _U = np.uint64
 
 
@@ -59,6 +64,10 @@ def _masks() -> np.ndarray:
     return np.array([sum(1 << i for i in on) for k in range(share + 1) for on in combinations(range(_BLOCK_BITS), k)], np.uint16)
 
 
+def _items_at_once() -> int:
+    return max(1, INDEX_BYTES // (BLOCKS * len(_masks()) * 6))
+
+
 class ItemIndex:
     """Benchmark items by shingle and by blocks of their fingerprints."""
 
@@ -164,6 +173,15 @@ def leaks_of(texts: list[bytes], index: ItemIndex, threshold: float) -> list[tup
     return [(t, index.ids[item], *found) for (t, item), found in sorted(best.items())]
 
 
+def _index_in_worker(name: str, items, width: int) -> ItemIndex:
+    """The index of a group of items, made once in a worker and kept until the next group's."""
+    kept = once_in_worker("benchmark items", dict)
+    if name not in kept:
+        kept.clear()
+        kept[name] = ItemIndex(items.value, width)
+    return kept[name]
+
+
 class Decontaminator:
     """Finds windows of documents that are like an item of a benchmark.
 
@@ -190,19 +208,25 @@ class Decontaminator:
 
     @staticmethod
     def _item_groups(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int | None, str]]]:
-        """The items in groups of about ``ITEM_CHARS``; each takes a pass over the documents."""
+        """The items in groups of about ``ITEM_CHARS`` and ``INDEX_BYTES``; each takes a
+        pass over the documents."""
         items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-        total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-        passes = 1 + total // ITEM_CHARS
+        total, count = items.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
+        passes = max(1 + (total or 0) // ITEM_CHARS, -(-count // _items_at_once()), 1)
+        # Equal items are dealt out too, by a number of their own that is kept.
+        numbered = items.withColumn("_number", F.monotonically_increasing_id())
+        if passes > 1:
+            numbered = Scratch(items.sparkSession, "benchmark").keep(numbered, "items")
         for k in range(passes):
-            some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+            some = numbered.where(F.pmod(F.xxhash64("item_id", "text", "_number"), F.lit(passes)) == k).drop("_number")
             yield sorted(((r.item_id, r.text or "") for r in some.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
     def _leaks(self, docs: DataFrame, items: list[tuple[int | None, str]]) -> DataFrame:
         known, width, threshold = docs.sparkSession.sparkContext.broadcast(items), self.width, self.threshold
+        name = uuid.uuid4().hex
 
         def run(batches):
-            index = ItemIndex(known.value, width)
+            index = _index_in_worker(name, known, width)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for begin, end in chunks([len(t or "") for t in texts]):
@@ -225,8 +249,8 @@ class Decontaminator:
         for rows in self._item_groups(items, item_id, item_text):
             known = docs.sparkSession.sparkContext.broadcast(rows)
 
-            def run(batches, known=known):
-                index = ItemIndex(known.value, width)
+            def run(batches, known=known, name=uuid.uuid4().hex):
+                index = _index_in_worker(name, known, width)
                 for batch in batches:
                     texts = batch.column(at).to_pylist()
                     counts = batch.column(out_col).to_numpy().copy()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from protosift.llm import queries
+from protosift.llm import decontaminate, queries
 from protosift.llm.decontaminate import Decontaminator
 from protosift.llm.language_id import LanguageId, families_of
 from protosift.llm.pii import Feistel, Pseudonymiser, Pseudonyms, luhn, replace_all
@@ -395,3 +395,17 @@ def test_texts_equal_plain_replacement(spark):
     found = Pseudonymiser(b"k" * 16).apply(spark.createDataFrame(rows, TEXTS)).collect()
     names = Pseudonyms(b"k" * 16)
     assert {r["doc_id"]: r["pseudonymous"] for r in found} == {i: plain_pseudonyms(t, names) for i, t in rows}
+
+
+def test_many_items_take_passes(spark, monkeypatch):
+    """The index is bounded by its bytes; equal items are dealt out as well."""
+    rng = random.Random(12)
+    items = [(i, words(rng, 12)) for i in range(40)] + [(100 + i, "one two three four five six seven") for i in range(30)]
+    docs = [(i, f"{words(rng, 30)} {items[i][1]} {words(rng, 30)}") for i in range(40)] + [(99, "so one two three four five six seven")]
+    docs, items = spark.createDataFrame(docs, TEXTS), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, Decontaminator().leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 10 * 16 * 697 * 6)
+    assert sum(1 for _ in Decontaminator._item_groups(items, "item_id", "text")) == 7
+    assert max(len(x) for x in Decontaminator._item_groups(items, "item_id", "text")) < 25
+    assert sorted(map(tuple, Decontaminator().leaks(docs, items).collect())) == whole and len(whole) == 70
+    assert {r["doc_id"]: r["leaks"] for r in Decontaminator().flag(docs, items).collect()} == {i: 1 for i in range(40)} | {99: 30}
