@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -131,13 +132,13 @@ def _judged(run: str) -> bool:
     return any(c.isalpha() for c in run)
 
 
-def _styled(words: list[str], draw: np.random.Generator) -> str:
+def _styled(words: list[str], draw: Random) -> str:
     """Words as an identifier of one of many styles."""
 
     def number(n: int) -> str:
-        return "".join(draw.choice(list("0123456789"), n))
+        return "".join(draw.choices("0123456789", k=n))
 
-    style = int(draw.integers(14))
+    style = draw.randrange(14)
     if style < 2:
         return "_".join(words)
     if style == 2:
@@ -151,38 +152,38 @@ def _styled(words: list[str], draw: np.random.Generator) -> str:
     if style == 6:
         return "/".join(words)
     if style == 7:
-        return f"{'_'.join(words)}_{number(int(draw.integers(1, 5)))}"
+        return f"{'_'.join(words)}_{number(draw.randint(1, 4))}"
     if style == 8:
-        return "".join([words[0], *(w.capitalize() for w in words[1:])]) + number(int(draw.integers(1, 4)))
+        return "".join([words[0], *(w.capitalize() for w in words[1:])]) + number(draw.randint(1, 3))
     if style == 9:
-        return f"{'-'.join(words)}-{draw.integers(10)}-{draw.integers(30)}-{draw.integers(30)}"
+        return f"{'-'.join(words)}-{draw.randrange(10)}-{draw.randrange(30)}-{draw.randrange(30)}"
     if style == 10:
-        return f"{words[0]}-{draw.integers(1950, 2050)}-{draw.integers(1, 13):02d}-{draw.integers(1, 29):02d}-{words[-1]}"
+        return f"{words[0]}-{draw.randint(1950, 2049)}-{draw.randint(1, 12):02d}-{draw.randint(1, 28):02d}-{words[-1]}"
     if style == 11:
-        digits = "".join(draw.choice(list("0123456789abcdef"), 32))
+        digits = "".join(draw.choices("0123456789abcdef", k=32))
         whole = "-".join((digits[:8], digits[8:12], digits[12:16], digits[16:20], digits[20:]))
-        return whole.upper() if draw.integers(3) == 0 else whole
+        return whole.upper() if draw.randrange(3) == 0 else whole
     if style == 12:
         return f"{number(3)}-{number(1)}-{number(3)}-{number(5)}-{number(1)}"
-    return f"{'/'.join(words)}/{words[0]}{number(int(draw.integers(1, 4)))}"
+    return f"{'/'.join(words)}/{words[0]}{number(draw.randint(1, 3))}"
 
 
 def identifiers(words: list[str], count: int, seed: int) -> list[str]:
     """Ordinary identifiers: in two of three cases of common words, else of given ones."""
-    draw, out = np.random.default_rng(seed), []
+    draw, out = Random(seed), []
     plain = [w.lower() for w in words if w.isalpha()] or IDENTIFIER_WORDS
     while len(out) < count:
-        source = IDENTIFIER_WORDS if draw.integers(3) else plain
-        out.append(_styled([str(w) for w in draw.choice(source, int(draw.integers(2, 6)))], draw))
+        source = IDENTIFIER_WORDS if draw.randrange(3) else plain
+        out.append(_styled(draw.choices(source, k=draw.randint(2, 5)), draw))
     return out
 
 
 def random_strings(count: int, seed: int) -> list[str]:
     """Strings of random characters, of the alphabets that keys are written in."""
-    draw = np.random.default_rng(seed)
+    draw = Random(seed)
     letters, digits = ALPHABET[:52], ALPHABET[52:62]
-    kinds = [list(x) for x in (letters + digits, letters + digits + "+/", letters + digits + "_-", letters[26:] + digits, letters[:26] + digits)]
-    return ["".join(draw.choice(kinds[i % len(kinds)], int(draw.integers(LEAST_RUN, 49)))) for i in range(count)]
+    kinds = [letters + digits, letters + digits + "+/", letters + digits + "_-", letters[26:] + digits, letters[:26] + digits]
+    return ["".join(draw.choices(kinds[i % len(kinds)], k=draw.randint(LEAST_RUN, 48))) for i in range(count)]
 
 
 class SecretScan:
