@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protosift.llm.scratch import Scratch
+from protosift.llm.scratch import Scratch, forget_in_worker
 from protosift.llm.words import WORDS_ONLY, chunks, grams, mix, shingles_of, words_of
 
 BITS, BLOCKS, RADIUS = 256, 16, 56
@@ -215,6 +215,7 @@ class Decontaminator:
         known, width, threshold = docs.sparkSession.sparkContext.broadcast(items), self.width, self.threshold
 
         def run(batches):
+            forget_in_worker()
             index = ItemIndex(known.value, width)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -239,6 +240,7 @@ class Decontaminator:
             known = docs.sparkSession.sparkContext.broadcast(rows)
 
             def run(batches, known=known):
+                forget_in_worker()
                 index = ItemIndex(known.value, width)
                 for batch in batches:
                     texts = batch.column(at).to_pylist()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protosift.llm.components import components
-from protosift.llm.scratch import Scratch, groups
+from protosift.llm.scratch import Scratch, forget_in_worker, groups
 from protosift.llm.words import ascii_lower, chunks, mix, shingles_of, spaced, words_of
 
 #: Tokens that a segment should have at least, on average.
@@ -170,6 +170,7 @@ class JaccardJoin:
         width = self.width
 
         def run(batches):
+            forget_in_worker()
             from hashlib import blake2b
 
             for ids, sets in _batches(batches, width):
@@ -226,6 +227,7 @@ class JaccardJoin:
         spread, total = t.denominator - t.numerator, t.denominator + t.numerator
 
         def run(batches):
+            forget_in_worker()
             for rows in groups(batches, ("sig", "i", "j")):
                 if rows.num_rows < 2:
                     continue
@@ -253,6 +255,7 @@ class JaccardJoin:
         width = self.width
 
         def run(batches):
+            forget_in_worker()
             for keys, sets in _batches(batches, width):
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64)
@@ -306,6 +309,7 @@ class JaccardJoin:
             return a, b
 
         def run(batches):
+            forget_in_worker()
             for rows in groups(batches, ("cluster", "i", "j")):
                 a, b = links_of(rows)
                 if a:

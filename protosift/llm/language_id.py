@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from protosift.llm.scratch import forget_in_worker
 from protosift.llm.training import bounded_sample, learnable
 from protosift.llm.words import chunks
 
@@ -182,6 +183,7 @@ class LanguageId:
         """(id, lang_pred, score) of every document, from its whole text."""
 
         def run(batches):
+            forget_in_worker()
             for batch in batches:
                 names, scores = self._predicted(batch.column(1).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays(
@@ -198,6 +200,7 @@ class LanguageId:
         schema = StructType([*docs.schema.fields, StructField(out_col, StringType())])
 
         def run(batches):
+            forget_in_worker()
             for batch in batches:
                 names, _ = self._predicted(batch.column(at).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, out_col])

@@ -78,3 +78,10 @@ def once_in_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def forget_in_worker() -> None:
+    """Let go of what earlier tasks of other operators kept in this worker."""
+    kept = vars(sys.modules["__main__"]).get("_kept_in_worker")
+    if kept:
+        kept.clear()
