@@ -81,7 +81,9 @@ def once_in_worker(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def forget_in_worker() -> None:
-    """Let go of what earlier tasks of other operators kept in this worker."""
+    """Let go of what earlier tasks of other operators kept in this worker, and of
+    memory that Arrow holds ready."""
     kept = vars(sys.modules["__main__"]).get("_kept_in_worker")
     if kept:
         kept.clear()
+    pa.default_memory_pool().release_unused()
