@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from protosift.llm.embedding_dedup import EmbeddingDedup, _united, passes_measured, passes_needed
+from protosift.llm.embedding_dedup import EmbeddingDedup, _united, block_links, passes_measured, passes_needed
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -75,12 +75,28 @@ def cone(n, pairs, seed):
 
 def test_pairs_of_a_narrow_cone_are_found(spark):
     rows = [(k, v, 0) for k, v in enumerate(cone(2500, 300, 1).tolist())]
-    wanted = {i: r for i, r in brute_matrix(rows, 0.93).items()}
+    wanted = brute_matrix(rows, 0.93)
     table = spark.createDataFrame(rows, SCHEMA)
-    for tool in (EmbeddingDedup(0.93), EmbeddingDedup(0.93, part_rows=300)):
-        assert {r.id: (r.n_links, r.component_id) for r in tool.classify(table).collect()} == wanted
-    found = EmbeddingDedup(0.93, part_rows=16).classify(table).collect()  # by measured passes
-    assert np.mean([wanted[r.id] == (r.n_links, r.component_id) for r in found]) >= 0.985
+    for part_rows, least in ((1 << 14, 0.995), (700, 0.985), (40, 0.985)):  # a block; shipments; more blocks
+        found = EmbeddingDedup(0.93, part_rows=part_rows).classify(table).collect()
+        assert np.mean([wanted[r.id] == (r.n_links, r.component_id) for r in found]) >= least
+
+
+def test_passes_end_when_planted_vectors_have_met():
+    x = cone(6000, 1000, 2).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    root, widths = block_links(x, 64, 0.93, 0.99)
+    assert 1 < len(widths) < 64 and 2 * sum(widths) < len(x)  # fewer pairs than all
+    wanted = np.array([r for _, r in brute_matrix([(k, v, 0) for k, v in enumerate(x)], 0.93).values()])
+    assert np.mean(root == wanted) >= 0.999
+    assert block_links(x[:60], 64, 0.93, 0.99)[1] == [64]  # a window holds the whole group
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (None, [1.0, 0.02], 0), (None, None, 0), (None, [-1.0, 0.0], 0)]
+    found = EmbeddingDedup().classify(spark.createDataFrame(rows, SCHEMA)).collect()
+    wanted = [(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 0, None, True), (None, 0, None, True)]
+    assert sorted(map(str, ((r.id, r.n_links, r.component_id, r.kept) for r in found))) == sorted(map(str, wanted))
 
 
 def brute_matrix(rows, t):
