@@ -28,6 +28,9 @@ DIMENSIONS = 2048
 #: Learning rows per language at most, as a rule, and characters of each.
 SAMPLE_ROWS = 600
 SAMPLE_CHARS = 4000
+#: Texts of so many characters whose margins are all below this are in no learned language.
+UNCLAIMED_MARGIN = -0.2
+UNCLAIMED_CHARS = 250
 UNKNOWN = "und"
 
 _LETTERS = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
@@ -124,6 +127,10 @@ class LanguageModel:
                 duels[a, b] = linear_svm(x[both], np.where(y[both] == a, 1.0, -1.0))
         return LanguageModel(languages, family, np.stack(rest), duels)
 
+    def unclaimed(self, x: np.ndarray) -> np.ndarray:
+        """Rows of features that every family's machine turns down clearly."""
+        return (x @ self.family_weights[:, :-1].T + self.family_weights[:, -1]).max(axis=1) < UNCLAIMED_MARGIN
+
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language number and score of every row of features."""
         x = np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -166,17 +173,23 @@ class LanguageId:
             F.col(self.lang_col).cast("string").alias("label"), F.col(self.text_col).cast("string").alias("text")
         )
         sample = bounded_sample(rows, "label", "text", self.sample_rows)
-        found = sample.select("label", F.left("text", F.lit(self.sample_chars)).alias("text")).orderBy("label", "text").collect()
+        part = F.lit(self.sample_chars)
+        start = F.pmod(F.xxhash64(F.lit(3), "text"), F.greatest(F.lit(1), F.length("text") - part + 1)).cast("int")
+        found = sample.select("label", F.substring("text", start + 1, part).alias("text")).orderBy("label", "text").collect()
         return LanguageModel.fit([r.text.lower().encode() for r in found], [r.label for r in found])
 
-    def _predicted(self, texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    def _predicted(self, texts: list[str | None], model: LanguageModel, reject=False) -> tuple[np.ndarray, np.ndarray]:
         names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
         for begin, end in chunks([len(t or "") for t in texts]):
             known = [t is not None and any(map(str.isalpha, t)) and bool(model.languages) for t in texts[begin:end]]
             at = begin + np.flatnonzero(known)
             if len(at):
-                best, score = model.predict(features([texts[i].lower().encode() for i in at]))
+                x = features([texts[i].lower().encode() for i in at])
+                best, score = model.predict(x)
                 names[at], scores[at] = np.array(model.languages, object)[best], score
+                if reject:
+                    none = at[model.unclaimed(x) & (np.array([len(texts[i]) for i in at]) >= UNCLAIMED_CHARS)]
+                    names[none], scores[none] = UNKNOWN, 0.0
         return names, scores
 
     def predict(self, docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -193,8 +206,13 @@ class LanguageId:
         rows = docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).cast("string").alias("text"))
         return rows.mapInArrow(run, "id long, lang_pred string, score double")
 
-    def label(self, docs: DataFrame, model: LanguageModel, out_col: str = "lang_pred") -> DataFrame:
-        """The table with a column of predicted languages, which replaces one of its name."""
+    def label(self, docs: DataFrame, model: LanguageModel, out_col: str = "lang_pred", reject=False) -> DataFrame:
+        """The table with a column of predicted languages, which replaces one of its name.
+
+        With ``reject``, texts of ``UNCLAIMED_CHARS`` or more that no family claims
+        are ``und`` as well. (Of two families one or the other claims every text, so
+        that takes three.)
+        """
         docs = docs.drop(out_col)
         at = docs.columns.index(self.text_col)
         schema = StructType([*docs.schema.fields, StructField(out_col, StringType())])
@@ -202,7 +220,7 @@ class LanguageId:
         def run(batches):
             forget_in_worker()
             for batch in batches:
-                names, _ = self._predicted(batch.column(at).to_pylist(), model)
+                names, _ = self._predicted(batch.column(at).to_pylist(), model, reject)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, out_col])
 
         return docs.mapInArrow(run, schema)

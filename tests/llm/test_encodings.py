@@ -252,6 +252,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert back == rows[0][1]
 
 
+def test_pipeline_keeps_columns_of_clashing_names(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    text = "a few plain words of some length that nobody wrote before"
+    rows = [(1, text, "aa", 7, 8, 9), (2, text, "aa", 5, 5, 5), (None, "words " * 60, "aa", 1, 2, 3), (4, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _predicted int, _leaks int, _row int")
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame([(1, "nothing of this kind is there at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    now = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        now = stage(spark, now, folder)
+        assert now.columns == docs.columns
+    assert sorted(map(tuple, now.collect()), key=str) == sorted((rows[0], rows[2]), key=str)
+    docs.limit(0).write.parquet(f"{folder}/documents.parquet")
+    assert pipeline.run(spark, folder).collect() == []
+
+
 def test_null_ids_leave_other_ids_alone(spark):
     """2**53 + 1 is no floating number."""
     rows = [(None, "one"), (2**53 + 1, "two"), (5, "three"), (None, None), (-3, "four")]

@@ -193,6 +193,20 @@ def test_languages_and_families(spark):
     assert {r.lang_pred for r in finder.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_texts_that_no_family_claims(spark):
+    rng = random.Random(7)
+    parts = {"ka": ("ba", "bo", "bi"), "la": ("zyq", "xzz", "qyx"), "ma": ("nem", "min", "nim"), "na": ("tur", "rut", "utt")}
+    rows = [(i, words(rng, 30, parts[lang]), lang) for i, lang in enumerate(list(parts) * 60)]
+    finder = LanguageId()
+    model = finder.fit(spark.createDataFrame(rows, TEXTS + ", lang string"))
+    assert len(set(model.family.tolist())) == 4
+    noise = "".join(rng.choices("jhgfdsPQRST0123456789+/", k=400))
+    more = spark.createDataFrame([(0, rows[0][1]), (1, noise), (2, noise[:40]), (3, " ".join([rows[2][1]] * 9)), (4, None)], TEXTS)
+    kept = finder.label(more, model, reject=True).where("lang_pred <> 'und'").collect()
+    assert [r.doc_id for r in sorted(kept)] == [0, 2, 3]
+    assert finder.label(more, model).where("lang_pred <> 'und'").count() == 4
+
+
 def test_families_of_one_language():
     assert families_of(np.ones((1, 4))).tolist() == [0]
 
