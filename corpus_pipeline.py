@@ -2,9 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a table, which is written and
 read again as the next one's ``docs``. All but the last return the columns of
-``documents``.
+``documents``, whatever their names. An empty table gives an empty result.
 
-1. Language: documents without a letter, or without text, go.
+1. Language: documents without a letter, or without text, go, and so do those of
+   250 characters or more that the machine of no learned language family claims.
 2. Near duplicates: of the documents that shingles of five words link at a Jaccard
    of 0.8 or more, the one of the smallest id stays (ids may be null, which come
    last, or repeat). Documents without words link with nothing.
@@ -32,24 +33,34 @@ from protosift.llm.scratch import Scratch  # noqa: E402
 from protosift.llm.secret_scan import SecretScan  # noqa: E402
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language; ``lang`` stays as it was given."""
-    finder = LanguageId()
-    predicted = finder.label(docs, finder.fit(docs), "_predicted")
-    return predicted.where(F.col("_predicted") != UNKNOWN).drop("_predicted")
+    finder, name = LanguageId(), _unused(docs, "_predicted")
+    predicted = finder.label(docs, finder.fit(docs), name, reject=True)
+    return predicted.where(F.col(name) != UNKNOWN).drop(name)
 
 
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    rows = Scratch(spark, "rows").keep(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    gone = JaccardJoin().row_classes(rows, "_row").where("not first").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    key = _unused(docs, "_row")
+    rows = Scratch(spark, "rows").keep(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    gone = JaccardJoin().row_classes(rows, key).where("not first").select(key)
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    leaks = Decontaminator().flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_leaks")
-    return leaks.where(F.col("_leaks") == 0).drop("_leaks")
+    name = _unused(docs, "_leaks")
+    leaks = Decontaminator().flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name)
+    return leaks.where(F.col(name) == 0).drop(name)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,6 +95,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and reread."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if number:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
