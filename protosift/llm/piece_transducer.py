@@ -35,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from protosift.llm.scratch import once_in_worker
+from protosift.llm.scratch import forget_in_worker, once_in_worker
 from protosift.llm.words import chunks, mix
 
 SPACE = "▁"
@@ -407,6 +407,7 @@ class PieceCoder:
         path = self.path
 
         def get() -> Transducer:
+            forget_in_worker(("pieces", path))
             return once_in_worker(("pieces", path), lambda: Transducer(model.value))
 
         return get

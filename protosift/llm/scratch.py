@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Hashable, Iterator, Sequence
@@ -80,10 +82,15 @@ def once_in_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
-def forget_in_worker() -> None:
-    """Let go of what earlier tasks of other operators kept in this worker, and of
-    memory that Arrow holds ready."""
-    kept = vars(sys.modules["__main__"]).get("_kept_in_worker")
-    if kept:
-        kept.clear()
+def forget_in_worker(*keep: Hashable) -> None:
+    """Let go of what earlier tasks kept in this worker, but for the keys named, and
+    of memory that Arrow and the C library hold ready."""
+    kept = vars(sys.modules["__main__"]).get("_kept_in_worker", {})
+    for key in set(kept) - set(keep):
+        del kept[key]
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim:
+            trim(0)
