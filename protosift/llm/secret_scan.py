@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from protosift.llm.scratch import forget_in_worker
+
 # Patterns of the base kinds and the least lengths.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -272,6 +274,7 @@ class SecretScan:
         """(id, spans) of every document; spans are structs (kind, start, end)."""
 
         def run(batches):
+            forget_in_worker()
             for batch in batches:
                 found = [
                     [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in self.spans_of(t, models)] if t else []
@@ -289,6 +292,7 @@ class SecretScan:
         names, at = docs.columns, docs.columns.index(self.text_col)
 
         def run(batches):
+            forget_in_worker()
             for batch in batches:
                 texts = []
                 for text in batch.column(at).to_pylist():
