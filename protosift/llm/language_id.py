@@ -29,7 +29,7 @@ DIMENSIONS = 2048
 SAMPLE_ROWS = 600
 SAMPLE_CHARS = 4000
 #: Texts of so many characters whose margins are all below this are in no learned language.
-UNCLAIMED_MARGIN = -0.2
+UNCLAIMED_MARGIN = -0.1
 UNCLAIMED_CHARS = 250
 UNKNOWN = "und"
 
