@@ -4,8 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a table, which is written an
 read again as the next one's ``docs``. All but the last return the columns of
 ``documents``, whatever their names. An empty table gives an empty result.
 
-1. Language: documents without a letter, or without text, go, and so do those of
-   250 characters or more that the machine of no learned language family claims.
+1. Language: documents without a letter, or without text, go.
 2. Near duplicates: of the documents that shingles of five words link at a Jaccard
    of 0.8 or more, the one of the smallest id stays (ids may be null, which come
    last, or repeat). Documents without words link with nothing.
@@ -44,7 +43,7 @@ def _unused(docs: DataFrame, name: str) -> str:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language; ``lang`` stays as it was given."""
     finder, name = LanguageId(), _unused(docs, "_predicted")
-    predicted = finder.label(docs, finder.fit(docs), name, reject=True)
+    predicted = finder.label(docs, finder.fit(docs), name)
     return predicted.where(F.col(name) != UNKNOWN).drop(name)
 
 
