@@ -24,7 +24,7 @@ from protosift.functions.fuzzy import block_of
 from protosift.functions.harmonic import harmonic
 from protosift.operators.stats import reusable_with_bounds, scale
 from protosift.plans.lineage import cut_lineage
-from protosift.plans.outcomes import BLOCK, OUTCOME, SLACK, Arranged
+from protosift.plans.outcomes import BLOCK, EQUAL_ROWS, OUTCOME, SLACK, Arranged
 from protosift.plans.profiles import COPIES, RID, Profiles, hand_back, profiles_of
 from protosift.plans.shared import Reader, SharedTable, share
 from protosift.plans.tiles import MAX_PARTITIONS
@@ -125,6 +125,7 @@ class _Job:
     settings: ConflictSettings
     files: pd.DataFrame
     single: bool
+    equal: bool = False
 
     def matters(self, batch: pd.DataFrame) -> np.ndarray:
         """Which files may hold conflicts of each row of a batch."""
@@ -158,16 +159,44 @@ class _Job:
             found = [(*x[:3], x[0]) for x in found]
         return _segments(found, self.single)
 
+    def counted_in(self, reader: Reader, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of conflicts of each row, their least and their greatest degree."""
+        outcome = batch[OUTCOME].to_numpy("float64")
+        needed = self.matters(batch)
+        count = np.zeros(len(batch), "int64")
+        least, greatest = np.full(len(batch), np.inf), np.full(len(batch), -np.inf)
+        for i in np.flatnonzero(needed.any(axis=0)):
+            rows = np.flatnonzero(needed[:, i])
+            held = reader[i]
+            n, low, high = held.summary(held.held.seen_from(batch.iloc[rows]), outcome[rows])
+            count[rows] += n
+            least[rows], greatest[rows] = np.minimum(least[rows], low), np.maximum(greatest[rows], high)
+        none = count == 0
+        return count, np.where(none, np.nan, least), np.where(none, np.nan, greatest)
+
+    def _reader(self) -> Reader:
+        return Reader(
+            self.files["uri"].tolist(), self.files["rows"].tolist(), self.settings.kept_rows,
+            lambda part: Arranged(self.spec, self.jaccard, part, self.equal),
+        )
+
+    def run_counted(self, reduce: Callable[..., pd.DataFrame]):
+        """As ``run``, with the number and range of conflicts in place of them all."""
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader = self._reader()
+            for batch in batches:
+                if len(batch):
+                    yield reduce(batch, *self.counted_in(reader, batch))
+
+        return work
+
     def run(self, reduce: Callable[[pd.DataFrame, Conflicts], pd.DataFrame]):
         """A function over batches of probing rows: their conflicts, reduced."""
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = self.files["rows"].tolist()
-            reader = Reader(
-                self.files["uri"].tolist(), rows, self.settings.kept_rows,
-                lambda part: Arranged(self.spec, self.jaccard, part),
-            )
-            step = max(1, self.settings.pairs // max(1, sum(rows)))
+            reader = self._reader()
+            step = max(1, self.settings.pairs // max(1, self.files["rows"].sum()))
             for batch in batches:
                 parts = [batch.iloc[i : i + step] for i in range(0, len(batch), step)]
                 if parts:
@@ -186,21 +215,22 @@ class _Prepared:
     blocks: list[int]
     job: _Job
 
-    def reduced(self, reduce, schema: str) -> DataFrame:
+    def reduced(self, work, schema: str) -> DataFrame:
         """One row per profile, kept in the shared folder; the table is dropped."""
         try:
-            return cut_lineage(self.probing.mapInPandas(self.job.run(reduce), schema))
+            return cut_lineage(self.probing.mapInPandas(work, schema))
         finally:
             self.table.drop()
 
 
 def _prepare(
-    df: DataFrame, spec: RowSpec, blocks: int, jaccard: str, settings: ConflictSettings
+    df: DataFrame, spec: RowSpec, blocks: int, jaccard: str, settings: ConflictSettings, counted: bool = False
 ) -> _Prepared:
     """The probing rows and the shared table of held rows.
 
     A row never conflicts with its copies (similarity 1, equal outcome), so
-    leaving out the row itself needs no test and copies can be counted.
+    leaving out the row itself needs no test and copies can be counted. Where conflicts
+    are only ``counted`` and many rows share all attributes, these lie together.
     """
     if blocks < 1:
         raise ValueError("blocks has to be at least 1")
@@ -223,6 +253,12 @@ def _prepare(
         *[F.floor(F.col(c) * 4) for c in spec.numeric[:8]],
         F.col(OUTCOME),
     ]
+    equal = False
+    if counted and not spec.distance and not spec.similarity:
+        kinds = profiles.df.agg(F.approx_count_distinct(F.struct(*spec.attributes))).first()[0]
+        equal = kinds * EQUAL_ROWS <= profiles.rows
+    if equal:
+        order = [*map(F.col, (BLOCK, *spec.string, *spec.bitset, *spec.numeric, OUTCOME))]
     edges = [
         e(c).alias(f"_{n}_{'outcome' if c == OUTCOME else c}")
         for c in (*keys, BLOCK)
@@ -247,7 +283,7 @@ def _prepare(
     else:
         probing = probing.repartition(tasks, RID)
     single = bool((files["_most"] == 1).all()) if len(files) else True
-    job = _Job(spec, jaccard, settings, files.drop(columns="_blocks"), single)
+    job = _Job(spec, jaccard, settings, files.drop(columns="_blocks"), single, equal)
     return _Prepared(scaled, spec, profiles, table, probing, present, job)
 
 
@@ -282,7 +318,7 @@ def quality_powa(
         weight = 1.0 / np.arange(1, len(present) + 1)
         return pd.DataFrame({RID: part[RID].to_numpy(), "_quality": (each * weight).sum(axis=1) / weight.sum()})
 
-    best = ready.reduced(reduce, f"{RID} long, _quality double")
+    best = ready.reduced(ready.job.run(reduce), f"{RID} long, _quality double")
     rows = hand_back(ready.rows, spec.id, best, ready.profiles, "_quality")
     return rows.select(F.col(spec.id).alias("id"), F.col("_quality").alias("quality"))
 
@@ -304,7 +340,7 @@ def owa_blocks(
         each = list(_by_block(part, found, present, empty))
         return pd.DataFrame({RID: part[RID].to_numpy(), "_each": each})
 
-    each = ready.reduced(reduce, f"{RID} long, _each array<double>")
+    each = ready.reduced(ready.job.run(reduce), f"{RID} long, _each array<double>")
     rows = hand_back(ready.rows, spec.id, each, ready.profiles, "_each")
     names = F.split(F.lit(",".join(map(str, ready.blocks))), ",").cast("array<long>")
     pairs = F.arrays_zip(names.alias("block"), F.col("_each").alias("owa"))
@@ -320,7 +356,11 @@ def conflict_summary(
 ) -> DataFrame:
     """``id, conflicts, least, greatest``: how many rows conflict with a row,
     and the range of their conflict degrees (null without conflicts)."""
-    ready = _prepare(df, spec, 1, jaccard, settings)
+    ready = _prepare(df, spec, 1, jaccard, settings, counted=True)
+
+    def named(part: pd.DataFrame, count, least, greatest) -> pd.DataFrame:
+        names = {"_conflicts": count, "_least": least, "_greatest": greatest}
+        return pd.DataFrame({RID: part[RID].to_numpy(), **names})
 
     def reduce(part: pd.DataFrame, found: Conflicts) -> pd.DataFrame:
         count = np.zeros(len(part), "int64")
@@ -330,10 +370,10 @@ def conflict_summary(
             count[found.row] = found.sizes if times is None else np.add.reduceat(times, starts)
             least[found.row] = np.minimum.reduceat(found.degree, starts)
             greatest[found.row] = np.maximum.reduceat(found.degree, starts)
-        names = {"_conflicts": count, "_least": least, "_greatest": greatest}
-        return pd.DataFrame({RID: part[RID].to_numpy(), **names})
+        return named(part, count, least, greatest)
 
-    found = ready.reduced(reduce, f"{RID} long, _conflicts long, _least double, _greatest double")
+    job = ready.job
+    found = ready.reduced(job.run_counted(named) if job.equal else job.run(reduce), f"{RID} long, _conflicts long, _least double, _greatest double")
     rows = hand_back(ready.rows, spec.id, found, ready.profiles, "_conflicts", "_least", "_greatest")
 
     def known(c: str) -> Column:

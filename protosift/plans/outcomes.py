@@ -5,6 +5,10 @@ outcomes. Held rows are put in groups of alike rows, whose least distance to a
 probing row is known, and within a group in the order of their outcomes. Only
 rows at both ends of a group, farther off in outcome than the group is in
 distance, can conflict with the probing row; they alone are compared.
+
+Where many rows share all attributes, groups of equal rows have one distance to a
+probing row. Their conflicts are counted by where they begin; only outcomes that are
+too near to that for a search are compared.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ PAIRS = 1 << 16
 DENSE = 0.6
 # Least distances are lowered by this before they exclude anything.
 SLACK = 1e-8
+# Rows that share their attributes, on average, from which on they are a group.
+EQUAL_ROWS = 8
 
 
 def _ranges(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,10 +39,13 @@ def _ranges(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Arranged:
     """The rows of one file, block by block and group by group."""
 
-    def __init__(self, spec: RowSpec, jaccard: str, rows: pd.DataFrame):
+    def __init__(self, spec: RowSpec, jaccard: str, rows: pd.DataFrame, equal: bool = False):
         self.spec, self.jaccard, self.size = spec, jaccard, len(rows)
         bounded = spec.distance is None and spec.similarity is None
-        group, named = _groups(spec, jaccard, rows) if bounded else (pd.factorize(rows[BLOCK], sort=True)[0], [])
+        if equal:
+            group, named = rows.groupby([BLOCK, *spec.attributes], sort=True, dropna=False).ngroup().to_numpy(), []
+        else:
+            group, named = _groups(spec, jaccard, rows) if bounded else (pd.factorize(rows[BLOCK], sort=True)[0], [])
         rows = rows.iloc[np.lexsort((rows[OUTCOME], group))].reset_index(drop=True)
         group = np.sort(group)
         self.held = Held(spec, rows)
@@ -100,6 +109,65 @@ class Arranged:
                     yield self._chosen(view, outcome, piece, begin[first:last], length[first:last], of_row[first:last])
                 first = last
 
+    def summary(self, view, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many rows conflict with each row of a batch, and the least and greatest
+        degree (infinite without conflicts). Groups have to be of equal rows."""
+        count = np.zeros(view.size, "int64")
+        least, greatest = np.full(view.size, np.inf), np.full(view.size, -np.inf)
+        until = np.concatenate([[0], np.cumsum(self.copies)])
+        firsts, lasts = self.outcomes[self.starts], self.outcomes[self.stops - 1]
+        step = max(1, PAIRS // max(1, len(self.starts)))
+        for start in range(0, view.size, step):
+            rows = slice(start, min(view.size, start + step))
+            sim, y = self._similar(view, rows), outcome[rows, None]
+            # 2 * SLACK from where conflicts begin, rounding decides nothing.
+            gap = 1.0 - sim
+            row, group = np.nonzero((firsts[None, :] < y - gap + SLACK) | (lasts[None, :] > y + gap - SLACK))
+            sim, gap, y = sim[row, group], gap[row, group], outcome[rows][row]
+            lane, begin, end = self.lane[group], self.starts[group], self.stops[group]
+            low = np.searchsorted(self.ladder, lane + (y - gap - SLACK), side="left")
+            high = np.searchsorted(self.ladder, lane + (y + gap + SLACK), side="right")
+            count[rows] += np.bincount(
+                row, (until[low] - until[begin]) + (until[end] - until[high]), rows.stop - rows.start
+            ).astype("int64")
+            for some, near, far in (
+                (np.flatnonzero(low > begin), low - 1, begin), (np.flatnonzero(high < end), high, end - 1)
+            ):
+                for at, extreme, best in ((far, np.minimum, least), (near, np.maximum, greatest)):
+                    alike = 1.0 - np.abs(y[some] - self.outcomes[at[some]])
+                    extreme.at(best, row[some] + start, (1.0 - sim[some]) + alike)
+            # Between the two searches lie, as a rule, only copies of the row itself.
+            open_low = np.flatnonzero((low < end) & (self.outcomes[np.minimum(low, end - 1)] <= y - gap + SLACK))
+            open_high = np.flatnonzero((high > begin) & (self.outcomes[np.maximum(high - 1, begin)] >= y + gap - SLACK))
+            among = np.union1d(open_low, open_high)
+            if not len(among):
+                continue
+            # One run from the first to the last of them, that leaves out what is counted.
+            stop = np.searchsorted(self.ladder, (lane + (y - gap + SLACK))[among], side="right")
+            from_ = np.searchsorted(self.ladder, (lane + (y + gap - SLACK))[among], side="left")
+            a, b = low[among], high[among]
+            stop = np.clip(stop, a, np.maximum(a, b))
+            from_ = np.clip(from_, stop, np.maximum(stop, b))
+            runs, spans = np.stack([a, from_], axis=1), np.stack([stop - a, np.maximum(b - from_, 0)], axis=1)
+            of_row = np.bincount(row[among], spans.sum(axis=1), rows.stop - rows.start).astype("int64")
+            found, at, degree = self._chosen(view, outcome, rows, runs, spans, of_row)
+            np.add.at(count, found, self.copies[at])
+            np.minimum.at(least, found, degree)
+            np.maximum.at(greatest, found, degree)
+        return count, least, greatest
+
+    def _similar(self, view, rows: slice) -> np.ndarray:
+        """Similarity of each row of a slice to the rows of each group, all equal."""
+        held, at, size = self.held, self.starts, float(self.spec.size)
+        far = np.zeros((rows.stop - rows.start, len(at)))
+        for x, y in zip(view.numbers, held.numbers):
+            far += np.abs(x[rows, None] - y[None, at])
+        if held.bits:
+            far += set_distance([x[rows, None] for x in view.bits], [y[None, at] for y in held.bits], self.jaccard)
+        for x, y in zip(view.codes, held.codes):
+            far += x[rows, None] != y[None, at]
+        return (size - far) / size
+
     def _chosen(self, view, outcome, rows: slice, begin, length, of_row):
         """Conflicts among the candidates."""
         begin, length = begin.ravel(), length.ravel()

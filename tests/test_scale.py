@@ -2,11 +2,14 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 import protosift as ps
-from protosift.operators import neighbours
+from protosift.operators import conflicts, neighbours
+from protosift.operators.conflicts import ConflictSettings
 from protosift.operators.neighbours import FOLD, LABEL, STEP
-from protosift.plans.profiles import RID
+from protosift.plans.outcomes import BLOCK, OUTCOME, Arranged
+from protosift.plans.profiles import COPIES, RID
 from protosift.plans.tiles import TileSettings
 
 POINT = ps.RowSpec("id", ("x",), (), (), "label")
@@ -77,3 +80,55 @@ def test_steps_are_merged_by_one_shuffle(spark):
             for rank, id in enumerate(some["neighbour_id"], 1):
                 want[rid, step, rank] = (id, some["distance"].min(), some["distance"].max())
     assert got == want
+
+
+def _equal_rows(n: int, seed: int) -> pd.DataFrame:
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({
+        "a": rng.integers(0, 5, n) / 4, "s": rng.choice(list("xyz"), n), "b": rng.integers(0, 3, n),
+        OUTCOME: rng.integers(0, 41, n) / 40, BLOCK: 0, COPIES: rng.integers(1, 4, n),
+    })
+
+
+MIXED = ps.RowSpec("id", ("a",), ("s",), ("b",), "label")
+
+
+@pytest.mark.parametrize("jaccard", ["equal", "ratio"])
+def test_conflicts_with_groups_of_equal_rows_are_counted_by_search(monkeypatch, jaccard):
+    rows = _equal_rows(3000, 3)
+    probes = rows.sample(200, random_state=1, ignore_index=True)
+    probes.loc[:20, "a"] += 0.01
+    outcome = probes[OUTCOME].to_numpy()
+    pairs = Arranged(MIXED, jaccard, rows)
+    count, least, greatest = np.zeros(200, "int64"), np.full(200, np.inf), np.full(200, -np.inf)
+    for row, at, degree in pairs.conflicts(pairs.held.seen_from(probes), outcome):
+        np.add.at(count, row, pairs.copies[at])
+        np.minimum.at(least, row, degree)
+        np.maximum.at(greatest, row, degree)
+
+    equal, compared = Arranged(MIXED, jaccard, rows, True), []
+    chosen = Arranged._chosen
+    monkeypatch.setattr(Arranged, "_chosen", lambda self, *a: compared.append(a[-1].sum()) or chosen(self, *a))
+    found = equal.summary(equal.held.seen_from(probes), outcome)
+    for got, want in zip(found, (count, least, greatest)):
+        assert np.array_equal(got, want)
+    assert sum(compared) < count.sum() / 10
+
+
+def test_conflict_summary_is_the_same_with_and_without_equal_groups(spark, monkeypatch):
+    rows = _equal_rows(700, 8).rename(columns={OUTCOME: "label"}).drop(columns=[BLOCK, COPIES])
+    rows["id"] = np.arange(len(rows))
+    table = spark.createDataFrame(rows)
+    small = ConflictSettings(held_rows=100, probing_rows=50, least_rows=16)
+    used = []
+    summary = conflicts._Job.run_counted
+    monkeypatch.setattr(conflicts._Job, "run_counted", lambda self, f: used.append(self.equal) or summary(self, f))
+
+    def result():
+        found = ps.conflict_summary(table, MIXED, settings=small).orderBy("id").collect()
+        return [(r["id"], r["conflicts"], r["least"], r["greatest"]) for r in found]
+
+    counted = result()
+    assert used == [True]
+    monkeypatch.setattr(conflicts, "EQUAL_ROWS", 1000)
+    assert result() == counted and used == [True]
