@@ -139,6 +139,14 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, _U).reshape(-1, least), axis=0) for x in sketches])
 
 
+def one_of_alike(shared: DataFrame) -> DataFrame:
+    """(sig, c) of signatures that several documents have, and of how many; of those
+    that the same documents have, the smallest, as the others lead to the same pairs."""
+    members = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    found = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), *members).where("c > 1")
+    return found.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "c")
+
+
 def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
@@ -188,7 +196,9 @@ class JaccardJoin:
 
         Rows of a signature stream past, those that search first, so one of
         very many documents needs no memory. By what nobody searches, such as a
-        segment that happens to be empty, nobody is met.
+        segment that happens to be empty, nobody is met. A signature is shuffled as
+        47 bits and one that tells whether it is indexed only: documents that meet by
+        chance are told apart when they are verified.
         """
         width, threshold = self.width, self.threshold
 
@@ -197,14 +207,16 @@ class JaccardJoin:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
                     sig, own, used = _signatures([sets[i] for i in full], ids[full], threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(~used), pa.array(own)], names=["sig", "indexed", "id"])
+                    key = ((sig.view(_U) >> _U(17)) << _U(1)) | (~used).astype(_U)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own)], names=["key", "id"])
 
         def across(batches):
             last, waiting = None, None  # a signature that is searched by, and its row if there was but one
             for batch in batches:
-                sig, indexed, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-                if not len(sig):
+                keys, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+                if not len(keys):
                     continue
+                sig, indexed = keys >> 1, keys & 1
                 first = np.concatenate([[True], sig[1:] != sig[:-1]])
                 group = np.cumsum(first) - 1
                 searched, size = ~indexed.astype(bool)[first], np.bincount(group)
@@ -218,8 +230,8 @@ class JaccardJoin:
                 last, waiting = (sig[-1], ids[-1] if alone else None) if searched[-1] else (None, None)
                 yield pa.RecordBatch.from_arrays([pa.array(out_sig), pa.array(out_ids)], names=["sig", "id"])
 
-        rows = self._read(docs).mapInArrow(local, "sig long, indexed boolean, id long")
-        return rows.repartition("sig").sortWithinPartitions("sig", "indexed").mapInArrow(across, "sig long, id long")
+        rows = self._read(docs).mapInArrow(local, "key long, id long")
+        return rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(across, "sig long, id long")
 
     def _near(self, tiles: DataFrame) -> DataFrame:
         """Links (a, b) that span those rows of a tile whose sketches allow them to be alike."""
@@ -336,8 +348,7 @@ class JaccardJoin:
         shared = scratch.keep(
             self.buckets(docs).join(members, "id").select("sig", F.col("rep").alias("id"), "n").distinct(), "buckets"
         )
-        cuts = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        cuts = cuts.select("sig", F.ceil(F.col("c") / PART_ROWS).cast("int").alias("parts"))
+        cuts = one_of_alike(shared).select("sig", F.ceil(F.col("c") / PART_ROWS).cast("int").alias("parts"))
         near = (
             shared.join(cuts, "sig")
             .join(sizes.select("id", "sketch"), "id")

@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import pytest
 
+from protosift.llm import jaccard_join
 from protosift.llm.jaccard_join import Bands, JaccardJoin
 
 SCHEMA = "doc_id long, text string"
@@ -106,3 +107,17 @@ def test_repeated_and_null_ids_leave_one_row_of_a_group(spark):
     left = sorted(corpus_pipeline.first_of_near_copies(spark, docs, "").collect(), key=str)
     wanted = [(7, copy), (7, other), (3, None), (3, None), (None, "alone in the world"), (2, "a b")]
     assert sorted(map(str, map(tuple, left))) == sorted(map(str, wanted))
+
+
+def test_signatures_of_the_same_documents_are_followed_once(spark):
+    rows = [(s, i) for s in (5, 6, 7) for i in (1, 2)] + [(8, 1), (8, 3), (9, 4), (10, 1), (10, 2), (10, 3)]
+    shared = spark.createDataFrame(rows, "sig long, id long")
+    assert sorted(map(tuple, jaccard_join.one_of_alike(shared).collect())) == [(5, 2), (8, 2), (10, 3)]
+
+
+def test_shuffled_signatures_are_two_numbers_a_row(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 3, 60))) for i in range(12)], "doc_id long, text string")
+    found = JaccardJoin().buckets(docs)
+    assert "indexed" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert {r["id"] for r in rows} == set(range(12)) and all(0 <= r["sig"] < 1 << 47 for r in rows)
