@@ -203,6 +203,7 @@ class JaccardJoin:
         width, threshold = self.width, self.threshold
 
         def local(batches):
+            forget_in_worker()
             for ids, sets in _batches(batches, width):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
@@ -211,6 +212,7 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own)], names=["key", "id"])
 
         def across(batches):
+            forget_in_worker()
             last, waiting = None, None  # a signature that is searched by, and its row if there was but one
             for batch in batches:
                 keys, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
