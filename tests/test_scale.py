@@ -3,11 +3,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import protosift as ps
 from protosift.operators import conflicts, neighbours
 from protosift.operators.conflicts import ConflictSettings
 from protosift.operators.neighbours import FOLD, LABEL, STEP
+from protosift.plans import tiles
 from protosift.plans.outcomes import BLOCK, OUTCOME, Arranged
 from protosift.plans.profiles import COPIES, RID
 from protosift.plans.tiles import TileSettings
@@ -132,3 +134,43 @@ def test_conflict_summary_is_the_same_with_and_without_equal_groups(spark, monke
     assert used == [True]
     monkeypatch.setattr(conflicts, "EQUAL_ROWS", 1000)
     assert result() == counted and used == [True]
+
+
+@pytest.mark.parametrize("job", ["upper", "nearest"])
+def test_rows_go_to_few_cells_once_their_own_cell_is_searched(spark, monkeypatch, job):
+    rng = np.random.default_rng(11)
+    rows = pd.DataFrame({
+        "id": np.arange(1500), "x": rng.random(1500), "y": rng.random(1500), "s": rng.choice(list("pqrs"), 1500),
+        "b": rng.integers(0, 3, 1500), "label": rng.random(1500),
+    })
+    spec = ps.RowSpec("id", ("x", "y"), ("s",), ("b",), "label")
+    table = spark.createDataFrame(rows)
+    small = TileSettings(tile_rows=200, cell_rows=40, least_rows=1000)
+    send, sent = tiles._send_probing, []
+
+    def counted(*args):
+        found = send(*args).localCheckpoint()
+        sent[-1] += found.count()
+        return found
+
+    monkeypatch.setattr(tiles, "_send_probing", counted)
+
+    def result():
+        sent.append(0)
+        if job == "upper":
+            found = ps.class_approximations(table, spec, which=("upper",), settings=small)
+        else:
+            found = ps.knn_topk(table, table, spec, 3, folds=10, scaling="range", settings=small)
+        return sorted(map(tuple, found.select(*[F.round(c, 9) for c in found.columns]).collect()))
+
+    closer = result()
+    monkeypatch.setattr(tiles, "REFINED", float("inf"))
+    assert result() == closer
+    assert 0 < sent[0] < sent[1] * 0.7, sent
+
+
+def test_bounds_of_each_step_come_from_what_was_found_up_to_it(spark):
+    found = [(1, 0, 0.5), (1, 1, 0.25), (1, 2, 0.125), (2, 1, 0.75), (3, 2, 0.5), (3, 2, 0.625)]
+    table = spark.createDataFrame(found, f"{RID} long, {STEP} int, distance double")
+    got = {r[RID]: tuple(r)[1:] for r in neighbours._reach(2, 3).tighten(table).collect()}
+    assert got == {1: (None, 0.5, 0.25), 2: (None, None, None), 3: (None, None, 0.625)}
