@@ -9,7 +9,8 @@ import protosift as ps
 from protosift.operators import conflicts, neighbours
 from protosift.operators.conflicts import ConflictSettings
 from protosift.operators.neighbours import FOLD, LABEL, STEP
-from protosift.plans import tiles
+from protosift.plans import approximate, tiles
+from protosift.plans.blocks import Held
 from protosift.plans.outcomes import BLOCK, OUTCOME, Arranged
 from protosift.plans.profiles import COPIES, RID
 from protosift.plans.tiles import TileSettings
@@ -174,3 +175,24 @@ def test_bounds_of_each_step_come_from_what_was_found_up_to_it(spark):
     table = spark.createDataFrame(found, f"{RID} long, {STEP} int, distance double")
     got = {r[RID]: tuple(r)[1:] for r in neighbours._reach(2, 3).tighten(table).collect()}
     assert got == {1: (None, 0.5, 0.25), 2: (None, None, None), 3: (None, None, 0.625)}
+
+
+@pytest.mark.parametrize("outcomes", [1, 9])
+def test_approximations_of_many_numbers_compute_few_distances(monkeypatch, outcomes):
+    rng = np.random.default_rng(4)
+    spec = ps.RowSpec("id", tuple(f"e{i}" for i in range(20)), (), (), "label")
+    held = pd.DataFrame(rng.random((900, 20)), columns=spec.numeric)
+    held.loc[850:, :] = held.loc[:49, :].to_numpy()
+    degree = rng.integers(0, 10, 900) * outcomes / 9.0
+    probes = held.iloc[rng.permutation(900)[:70]]
+    best = rng.integers(0, 10, 70) * outcomes / 9.0
+    view, far = Held(spec, held).seen_from(probes), np.empty((70, 900))
+    for part in view.slices():
+        far[part] = 1.0 - view.similarities(part, "equal")
+    counted, exact = [], approximate.exact
+    monkeypatch.setattr(approximate, "SEEN", 100)
+    monkeypatch.setattr(approximate, "exact", lambda *a: counted.append(len(a[3])) or exact(*a))
+    ordered = approximate.Ordered(approximate.Approximation(view.held), degree)
+    got = ordered.least_of_greatest(view, best, "equal")
+    assert np.array_equal(got, np.minimum(best, np.maximum(far, degree[None, :]).min(axis=1)))
+    assert sum(counted) < far.size / 4
