@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protosift.llm.scratch import Scratch, forget_in_worker
+from protosift.llm.scratch import Scratch, forget_in_worker, small_batches
 from protosift.llm.words import WORDS_ONLY, chunks, grams, mix, shingles_of, words_of
 
 BITS, BLOCKS, RADIUS = 256, 16, 56
@@ -212,6 +212,7 @@ class Decontaminator:
             yield sorted(((r.item_id, r.text or "") for r in some.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
     def _leaks(self, docs: DataFrame, items: list[tuple[int | None, str]]) -> DataFrame:
+        small_batches(docs.sparkSession)
         known, width, threshold = docs.sparkSession.sparkContext.broadcast(items), self.width, self.threshold
 
         def run(batches):
@@ -234,6 +235,7 @@ class Decontaminator:
     def flag(self, docs: DataFrame, items: DataFrame, out_col: str = "leaks", item_id="item_id", item_text="text") -> DataFrame:
         """The table with a column that counts the items found in each document;
         it replaces one of that name."""
+        small_batches(docs.sparkSession)
         docs = docs.drop(out_col).withColumn(out_col, F.lit(0).cast("long"))
         at, width, threshold = docs.columns.index(self.text_col), self.width, self.threshold
         for rows in self._item_groups(items, item_id, item_text):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protosift.llm.components import components
-from protosift.llm.scratch import Scratch, forget_in_worker, groups
+from protosift.llm.scratch import Scratch, forget_in_worker, groups, small_batches
 from protosift.llm.words import ascii_lower, chunks, mix, shingles_of, spaced, words_of
 
 #: Tokens that a segment should have at least, on average.
@@ -171,6 +171,7 @@ class JaccardJoin:
         self.threshold, self.width, self.id_col, self.text_col = Fraction(threshold), width, id_col, text_col
 
     def _read(self, docs: DataFrame) -> DataFrame:
+        small_batches(docs.sparkSession)
         return docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).cast("string").alias("text"))
 
     def sizes(self, docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from protosift.llm.scratch import forget_in_worker
+from protosift.llm.scratch import forget_in_worker, small_batches
 from protosift.llm.training import bounded_sample, learnable
 from protosift.llm.words import chunks
 
@@ -203,6 +203,7 @@ class LanguageId:
                     [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"]
                 )
 
+        small_batches(docs.sparkSession)
         rows = docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).cast("string").alias("text"))
         return rows.mapInArrow(run, "id long, lang_pred string, score double")
 
@@ -213,6 +214,7 @@ class LanguageId:
         are ``und`` as well. (Of two families one or the other claims every text, so
         that takes three.)
         """
+        small_batches(docs.sparkSession)
         docs = docs.drop(out_col)
         at = docs.columns.index(self.text_col)
         schema = StructType([*docs.schema.fields, StructField(out_col, StringType())])

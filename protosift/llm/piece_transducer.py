@@ -35,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from protosift.llm.scratch import forget_in_worker, once_in_worker
+from protosift.llm.scratch import forget_in_worker, once_in_worker, small_batches
 from protosift.llm.words import chunks, mix
 
 SPACE = "▁"
@@ -403,6 +403,7 @@ class PieceCoder:
         self.path, self.text_col = model_path, text_col
 
     def _compiled(self, docs: DataFrame):
+        small_batches(docs.sparkSession)
         model = docs.sparkSession.sparkContext.broadcast(PieceModel.of(self.path))
         path = self.path
 

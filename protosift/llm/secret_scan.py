@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protosift.llm.scratch import forget_in_worker
+from protosift.llm.scratch import forget_in_worker, small_batches
 
 # Patterns of the base kinds and the least lengths.
 ASSIGN = re.compile(
@@ -283,12 +283,14 @@ class SecretScan:
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["id", "spans"])
 
+        small_batches(docs.sparkSession)
         rows = docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).cast("string").alias("text"))
         return rows.mapInArrow(run, "id long, spans array<struct<kind:string,start:long,end:long>>")
 
     def redact(self, docs: DataFrame, models: MarkovModels, mask: str = "[SECRET]") -> DataFrame:
         """The documents with every span replaced by ``mask``; overlapping spans
         are one. All other columns stay; a null text stays null."""
+        small_batches(docs.sparkSession)
         names, at = docs.columns, docs.columns.index(self.text_col)
 
         def run(batches):

@@ -3,10 +3,12 @@
 import random
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 
 from protosift.llm import jaccard_join
 from protosift.llm.jaccard_join import Bands, JaccardJoin
+from protosift.llm.scratch import BATCH_BYTES, BATCH_LIMIT
 
 SCHEMA = "doc_id long, text string"
 
@@ -121,3 +123,23 @@ def test_shuffled_signatures_are_two_numbers_a_row(spark):
     assert "indexed" not in found._jdf.queryExecution().executedPlan().toString()
     rows = found.collect()
     assert {r["id"] for r in rows} == set(range(12)) and all(0 <= r["sig"] < 1 << 47 for r in rows)
+
+
+def test_long_texts_come_in_small_batches(spark):
+    """Batches are bounded by bytes, unless the session has a limit of its own."""
+    spark.conf.unset(BATCH_LIMIT)
+    docs = spark.range(0, 1200, 1, 1).selectExpr("id AS doc_id", "repeat('ab cd ef ', 1000) || id AS text")
+
+    def measured(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    def largest():
+        return docs.mapInArrow(measured, "bytes long").agg({"bytes": "max"}).first()[0]
+
+    assert JaccardJoin().sizes(docs).count() == 1200
+    assert largest() < 2 * BATCH_BYTES
+    spark.conf.set(BATCH_LIMIT, str(1 << 30))
+    JaccardJoin().sizes(docs).count()
+    assert largest() > 2 * BATCH_BYTES
+    spark.conf.unset(BATCH_LIMIT)
