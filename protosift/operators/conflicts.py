@@ -7,7 +7,9 @@ groups of rows that are too far off for their outcomes are never compared.
 A task owns some of the probing rows. It reads the held rows file by file from a
 shared table, keeps the conflicts of a few probing rows at a time, and ranks them
 when it has seen all files. So one row leaves the task for each probing row, and
-neither pairs nor conflicts are shuffled.
+neither pairs nor conflicts are shuffled. Where many rows share all attributes, and
+the held rows are few enough for a task to keep, probing rows that share theirs see
+the held rows in levels of one distance, whose conflicts lie at both ends.
 """
 
 from __future__ import annotations
@@ -24,13 +26,17 @@ from protosift.functions.fuzzy import block_of
 from protosift.functions.harmonic import harmonic
 from protosift.operators.stats import reusable_with_bounds, scale
 from protosift.plans.lineage import cut_lineage
-from protosift.plans.outcomes import BLOCK, EQUAL_ROWS, OUTCOME, SLACK, Arranged
+from protosift.plans.outcomes import BLOCK, EQUAL_ROWS, OUTCOME, SLACK, Arranged, Level, Levels
 from protosift.plans.profiles import COPIES, RID, Profiles, hand_back, profiles_of
-from protosift.plans.shared import Reader, SharedTable, share
+from protosift.plans.shared import Reader, SharedTable, read_file, share
 from protosift.plans.tiles import MAX_PARTITIONS
 from protosift.spec import RowSpec
 
 
+# Copies of a row in conflict that are ranked one by one, on average at most.
+MOST_EXPANDED = 4
+
+
 @dataclass(frozen=True)
 class ConflictSettings:
     """Sizes that change how the work is cut, never its result.
@@ -126,6 +132,7 @@ class _Job:
     files: pd.DataFrame
     single: bool
     equal: bool = False
+    levels: bool = False
 
     def matters(self, batch: pd.DataFrame) -> np.ndarray:
         """Which files may hold conflicts of each row of a batch."""
@@ -191,8 +198,48 @@ class _Job:
 
         return work
 
+    def run_levels(self, reduce: Callable[[pd.DataFrame, Conflicts], pd.DataFrame]):
+        """As ``run``, for the rows of each profile in turn."""
+
+        def of_profile(level: Level, part: pd.DataFrame) -> Conflicts:
+            count, degree, times = level.conflicts(part[OUTCOME].to_numpy("float64"))
+            if not len(degree):
+                return _segments([], self.single)
+            first = np.flatnonzero(np.diff(level.block, prepend=-1))  # blocks are not negative
+            sizes = np.add.reduceat(count, first, axis=1).ravel()
+            row, block = np.divmod(np.flatnonzero(sizes), len(first))
+            sizes = sizes[sizes > 0]
+            # Few copies are ranked one by one, many together.
+            if times is not None and times.sum() <= MOST_EXPANDED * len(times):
+                sizes = np.add.reduceat(times, np.cumsum(sizes) - sizes)
+                degree, times = np.repeat(degree, times), None
+            return Conflicts(row, level.block[first[block]], np.cumsum(sizes) - sizes, degree, times)
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for batch in batches:
+                if not len(batch):
+                    continue
+                if held is None:
+                    held = Levels(self.spec, pd.concat([read_file(x) for x in self.files["uri"]], ignore_index=True))
+                kinds = batch.groupby([*self.spec.attributes], sort=False, dropna=False).ngroup().to_numpy()
+                first = np.unique(kinds, return_index=True)[1]
+                view, found = held.groups.seen_from(batch.iloc[first]), []
+                for k in range(len(first)):
+                    level = held.seen_with(view.similarities(slice(k, k + 1), self.jaccard)[0])
+                    rows = batch.iloc[np.flatnonzero(kinds == k)]
+                    step = max(1, self.settings.pairs // max(1, len(level.outcomes)))
+                    for i in range(0, len(rows), step):
+                        part = rows.iloc[i : i + step]
+                        found.append(reduce(part, of_profile(level, part)))
+                yield pd.concat(found)
+
+        return work
+
     def run(self, reduce: Callable[[pd.DataFrame, Conflicts], pd.DataFrame]):
         """A function over batches of probing rows: their conflicts, reduced."""
+        if self.levels:
+            return self.run_levels(reduce)
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             reader = self._reader()
@@ -254,7 +301,7 @@ def _prepare(
         F.col(OUTCOME),
     ]
     equal = False
-    if counted and not spec.distance and not spec.similarity:
+    if (counted or n_held <= settings.kept_rows) and spec.attributes and not spec.distance and not spec.similarity:
         kinds = profiles.df.agg(F.approx_count_distinct(F.struct(*spec.attributes))).first()[0]
         equal = kinds * EQUAL_ROWS <= profiles.rows
     if equal:
@@ -283,7 +330,7 @@ def _prepare(
     else:
         probing = probing.repartition(tasks, RID)
     single = bool((files["_most"] == 1).all()) if len(files) else True
-    job = _Job(spec, jaccard, settings, files.drop(columns="_blocks"), single, equal)
+    job = _Job(spec, jaccard, settings, files.drop(columns="_blocks"), single, equal and counted, equal and not counted)
     return _Prepared(scaled, spec, profiles, table, probing, present, job)
 
 

@@ -211,6 +211,81 @@ class Arranged:
             yield row + start, at, (1.0 - sim.ravel()[found]) + alike.ravel()[found]
 
 
+class Levels:
+    """Held rows of few attribute profiles, all files of them.
+
+    Probing rows that share all attributes have the same distance to a profile. For
+    them held rows are put in levels of one block and similarity, each in the order of
+    outcomes, so that only rows at both ends of a level are compared.
+    """
+
+    def __init__(self, spec: RowSpec, rows: pd.DataFrame):
+        rows = rows.iloc[np.argsort(rows[OUTCOME].to_numpy("float64"), kind="stable")]
+        group = rows.groupby([BLOCK, *spec.attributes], sort=True, dropna=False).ngroup().to_numpy()
+        first = np.unique(group, return_index=True)[1]
+        self.groups = Held(spec, rows.iloc[first].reset_index(drop=True))
+        self.block_of_group = rows[BLOCK].to_numpy("int64")[first]
+        self.group = group.astype("int32")
+        self.outcomes, self.copies = rows[OUTCOME].to_numpy("float64"), rows["_copies"].to_numpy("int64")
+        self.single = bool((self.copies == 1).all())
+        self.span = self.outcomes[-1] - self.outcomes[0]
+
+    def seen_with(self, sim: np.ndarray) -> Level:
+        """Levels for probing rows that have these similarities to the groups."""
+        live = np.flatnonzero(1.0 - sim < self.span + SLACK)
+        values, value = np.unique(sim[live], return_inverse=True)
+        blocks, block = np.unique(self.block_of_group[live], return_inverse=True)
+        found, level = np.unique(block * max(1, len(values)) + value, return_inverse=True)
+        of_group = np.full(self.groups.size, -1, "int32")
+        of_group[live] = level
+        of_row = of_group[self.group]
+        at = np.flatnonzero(of_row >= 0)
+        # Rows are in the order of outcomes, and two bytes are sorted by their digits.
+        of_row = of_row[at].astype("uint16" if len(found) <= 1 << 16 else "int32")
+        at = at[np.argsort(of_row, kind="stable")]
+        stops = np.cumsum(np.bincount(of_row, minlength=len(found)))
+        block, value = np.divmod(found, max(1, len(values)))
+        return Level(values[value], blocks[block], stops, self.outcomes[at], None if self.single else self.copies[at])
+
+
+class Level:
+    """Levels as some probing rows see them: similarity, block and end of each, and the
+    outcomes and copies of the rows in them."""
+
+    def __init__(self, sim, block, stops, outcomes, copies):
+        self.sim, self.block, self.stops, self.outcomes, self.copies = sim, block, stops, outcomes, copies
+        self.starts = np.append(0, stops)[: len(stops)]
+        self.lane = 4.0 * np.arange(len(stops))
+        self.ladder = outcomes + np.repeat(self.lane, stops - self.starts)
+
+    def conflicts(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """How many rows of each level conflict with each outcome; degree and copies of
+        every conflict, in the order of outcomes given and of levels."""
+        y, gap = outcome[:, None], (1.0 - self.sim)[None, :]
+        low = np.searchsorted(self.ladder, self.lane + (y - gap + SLACK), side="left")
+        high = np.searchsorted(self.ladder, self.lane + (y + gap - SLACK), side="right")
+        low = np.clip(low, self.starts, self.stops)
+        high = np.clip(high, low, self.stops)
+        begin = np.stack([np.broadcast_to(self.starts, low.shape), high], axis=2).ravel()
+        length = np.stack([low - self.starts, self.stops - high], axis=2)
+        count, length = length.sum(axis=2), length.ravel()
+        at = np.arange(length.sum())
+        at += np.repeat(begin - (np.cumsum(length) - length), length)
+        alike = np.repeat(outcome, count.sum(axis=1))
+        alike -= self.outcomes[at]
+        np.abs(alike, out=alike)
+        np.subtract(1.0, alike, out=alike)
+        sim = np.repeat(np.tile(self.sim, len(outcome)), count.ravel())
+        none = np.flatnonzero(sim <= alike)
+        if len(none):  # rows within the slack
+            level = np.searchsorted(np.cumsum(count), none, side="right")
+            count -= np.bincount(level, minlength=count.size).reshape(count.shape)
+            sim, alike, at = (np.delete(x, none) for x in (sim, alike, at))
+        np.subtract(1.0, sim, out=sim)
+        sim += alike
+        return count, sim, None if self.copies is None else self.copies[at]
+
+
 def _groups(spec: RowSpec, jaccard: str, rows: pd.DataFrame) -> tuple[np.ndarray, list[tuple[str, int]]]:
     """A group for each row, blocks in rising order, and the attributes in which
     the rows of each group are alike."""

@@ -18,7 +18,7 @@ from protosift.operators.conflicts import ConflictSettings
 from protosift.plans import profiles, tiles
 from protosift.plans.approximate import Approximation, nearest_pairs
 from protosift.plans.blocks import Held
-from protosift.plans.outcomes import BLOCK, OUTCOME, Arranged
+from protosift.plans.outcomes import BLOCK, OUTCOME, Arranged, Levels
 from protosift.plans.profiles import COPIES, RID
 from protosift.plans.tiles import TileSettings, _sample
 
@@ -350,6 +350,47 @@ def test_conflict_search_compares_a_part_of_the_pairs():
     assert (np.diff(found[0]) >= 0).all(), "in the order of rows"
 
 
+@pytest.mark.parametrize("pairs", [1 << 22, 500])
+@pytest.mark.parametrize("blocks", [1, 4])
+@pytest.mark.parametrize("expanded", [0, 4])
+def test_powa_of_few_profiles(spark, monkeypatch, pairs, blocks, expanded):
+    """Rows that share all attributes are ranked by levels, with copies or without."""
+    r = np.random.default_rng(5)
+    n = 400
+    pdf = pd.DataFrame({
+        "key": r.permutation(np.arange(-100, n - 100)), "x": r.integers(0, 4, n) / 10.0, "z": 1.0,
+        "s": r.choice(["red", "green", ""], n), "bits": 3, "y": np.round(r.normal(0, 100, n), -1),
+    })
+    jobs, made = [], conflicts._Prepared.reduced
+
+    def seen(self, work, schema):
+        jobs.append(self.job)
+        return made(self, work, schema)
+
+    monkeypatch.setattr(conflicts._Prepared, "reduced", seen)
+    monkeypatch.setattr(conflicts, "MOST_EXPANDED", expanded)
+    settings = ConflictSettings(held_rows=50, probing_rows=64, pairs=pairs)
+    found = ps.quality_powa(spark.createDataFrame(pdf), SPEC, blocks=blocks, settings=settings)
+    same(values(found, "quality"), pdf["key"], brute.powa(pdf, SPEC, blocks))
+    each = ps.owa_blocks(spark.createDataFrame(pdf), SPEC, blocks=blocks, settings=settings)
+    assert each.count() == n * blocks and all(job.levels for job in jobs)
+
+
+def test_levels_compare_little_but_conflicts():
+    rows = arranged_parts()
+    spec = ps.RowSpec("id", ("size",), ("brand", "type"), label="y")
+    held, probing = Levels(spec, rows), rows.sample(40, random_state=1)
+    sims = held.groups.seen_from(probing)
+    for k, y in enumerate(probing[OUTCOME]):
+        sim = sims.similarities(slice(k, k + 1), "equal")[0]
+        level = held.seen_with(sim)
+        degree = (1.0 - sim[held.group]) + (1.0 - np.abs(y - held.outcomes))
+        wanted = degree[sim[held.group] > 1.0 - np.abs(y - held.outcomes)]
+        count, found, copies = level.conflicts(np.array([y]))
+        assert copies is None and count.sum() == len(found)
+        assert (np.sort(found) == np.sort(wanted)).all()
+
+
 def test_conflict_jobs_shuffle_rows_only(data, monkeypatch):
     """Neither held rows nor conflicts are sent to the tasks, however small the files."""
     pdf, df = data
