@@ -75,15 +75,24 @@ def _segments(found: list[tuple], single: bool) -> Conflicts:
     empty = np.empty(0, "int64")
     if not found:
         return Conflicts(empty, empty, empty, np.empty(0), None if single else empty)
-    row, block, degree, times = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*found))
-    # Files come in the order of blocks, so a stable sort by row is enough.
+    # Runs of one row and block in each file. Files come in the order of blocks, so a
+    # stable order of runs by row is enough, and the conflicts in them move as wholes.
+    cuts = [np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)) for row, block, *_ in found]
+    of = np.repeat(np.arange(len(found)), [len(x) for x in cuts])
+    row, block = (np.concatenate([x[i][cut] for x, cut in zip(found, cuts)]) for i in (0, 1))
+    start = np.concatenate(cuts)
+    stop = np.concatenate([np.append(cut, len(x[0]))[1:] for x, cut in zip(found, cuts)])
     if (np.diff(row) < 0).any():
         order = row.argsort(kind="stable")
-        row, block, degree, times = row[order], block[order], degree[order], times[order]
+        row, block, of, start, stop = row[order], block[order], of[order], start[order], stop[order]
+        spans = list(zip(of.tolist(), start.tolist(), stop.tolist()))
+        degree, times = (np.concatenate([found[k][i][a:b] for k, a, b in spans]) if i == 2 or not single else None for i in (2, 3))
+    else:
+        degree, times = (np.concatenate([x[i] for x in found]) if i == 2 or not single else None for i in (2, 3))
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
-    starts = np.flatnonzero(new)
-    return Conflicts(row[starts], block[starts], starts, degree, None if single else times)
+    starts = (np.cumsum(stop - start) - (stop - start))[new]
+    return Conflicts(row[new], block[new], starts, degree, times)
 
 
 def _sorted(found: Conflicts) -> tuple[np.ndarray, np.ndarray | None]:
@@ -161,9 +170,8 @@ class _Job:
             held = reader[i]
             view = held.held.seen_from(batch.iloc[rows])
             for row, at, degree in held.conflicts(view, outcome[rows]):
-                found.append((rows[row], held.blocks[at], degree, None if self.single else held.copies[at]))
-        if self.single:
-            found = [(*x[:3], x[0]) for x in found]
+                block = np.full(len(at), held.blocks[0]) if held.one_block else held.blocks[at]
+                found.append((rows[row], block, degree, None if self.single else held.copies[at]))
         return _segments(found, self.single)
 
     def counted_in(self, reader: Reader, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -53,6 +53,7 @@ class Arranged:
         self.blocks = rows[BLOCK].to_numpy("int64")
         self.copies = rows["_copies"].to_numpy("int64")
         self.single = bool((self.copies == 1).all())
+        self.one_block = self.size > 0 and self.blocks[0] == self.blocks[-1]
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         self.starts, self.stops = starts, np.append(starts[1:], self.size)
         numbers = self.held.numbers if bounded else []
@@ -206,9 +207,9 @@ class Arranged:
             sim = view.similarities(part, self.jaccard)
             alike = outcome[part, None] - self.outcomes[None, :]
             np.subtract(1.0, np.abs(alike, out=alike), out=alike)
-            found = np.flatnonzero(sim > alike)
-            row, at = np.divmod(found, self.size)
-            yield row + start, at, (1.0 - sim.ravel()[found]) + alike.ravel()[found]
+            for i in range(part.stop - part.start):
+                at = np.flatnonzero(sim[i] > alike[i])
+                yield np.full(len(at), start + i), at, (1.0 - sim[i][at]) + alike[i][at]
 
 
 class Levels:
