@@ -25,7 +25,7 @@ LEAST_GROUP, GROUP = 32, 256
 # Pairs that are compared at a time, so that the arrays stay in a core's cache.
 PAIRS = 1 << 16
 # From this share of candidates on, whole matrices are faster than chosen pairs.
-DENSE = 0.6
+DENSE = 0.3
 # Least distances are lowered by this before they exclude anything.
 SLACK = 1e-8
 # Rows that share their attributes, on average, from which on they are a group.
