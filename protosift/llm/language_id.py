@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from protosift.llm.scratch import forget_in_worker, small_batches
 from protosift.llm.training import bounded_sample, learnable
-from protosift.llm.words import chunks
+from protosift.llm.words import chunks, rechunked
 
 #: Size of the hashed vectors; n-grams of one to three bytes of lower-cased letters.
 DIMENSIONS = 2048
@@ -192,12 +192,20 @@ class LanguageId:
                     names[none], scores[none] = UNKNOWN, 0.0
         return names, scores
 
+    @staticmethod
+    def _batch_rows(docs: DataFrame) -> int:
+        """Rows of a batch; a score depends a little on the texts that are scored with it."""
+        most = int(docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return most if most > 0 else 1 << 62
+
     def predict(self, docs: DataFrame, model: LanguageModel) -> DataFrame:
         """(id, lang_pred, score) of every document, from its whole text."""
 
+        most = self._batch_rows(docs)
+
         def run(batches):
             forget_in_worker()
-            for batch in batches:
+            for batch in rechunked(batches, 1, most):
                 names, scores = self._predicted(batch.column(1).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"]
@@ -218,10 +226,11 @@ class LanguageId:
         docs = docs.drop(out_col)
         at = docs.columns.index(self.text_col)
         schema = StructType([*docs.schema.fields, StructField(out_col, StringType())])
+        most = self._batch_rows(docs)
 
         def run(batches):
             forget_in_worker()
-            for batch in batches:
+            for batch in rechunked(batches, at, most):
                 names, _ = self._predicted(batch.column(at).to_pylist(), model, reject)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, out_col])
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
@@ -75,6 +76,31 @@ def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         yield begin, len(sizes)
 
 
+def rechunked(batches: Iterator[pa.RecordBatch], at: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut anew, as ``chunks`` cuts ``rows`` rows at a time by the characters of
+    column ``at``: for what depends on the texts beside a text, however small batches are."""
+    held: list[pa.RecordBatch] = []
+    total = seen = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        begin = 0
+        for i, size in enumerate([len(t or "") for t in batch.column(at).to_pylist()]):
+            if (begin < i or held) and (total + size > CHUNK_BYTES or seen == rows):
+                if begin < i:
+                    held.append(batch.slice(begin, i - begin))
+                yield joined()
+                held, begin, total = [], i, 0
+            seen = seen % rows + 1
+            total += size
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
+    if held:
+        yield joined()
+
+
 def words_of(texts: list[bytes], letters: np.ndarray) -> Words:
     """Words of the texts; ``start`` and ``end`` are bytes within the text."""
     joined = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)

@@ -8,7 +8,9 @@ import pytest
 
 from protosift.llm import jaccard_join
 from protosift.llm.jaccard_join import Bands, JaccardJoin
+from protosift.llm.language_id import LanguageId
 from protosift.llm.scratch import BATCH_BYTES, BATCH_LIMIT
+from protosift.llm.words import chunks, rechunked
 
 SCHEMA = "doc_id long, text string"
 
@@ -143,3 +145,29 @@ def test_long_texts_come_in_small_batches(spark):
     JaccardJoin().sizes(docs).count()
     assert largest() > 2 * BATCH_BYTES
     spark.conf.unset(BATCH_LIMIT)
+
+
+def test_language_scores_do_not_depend_on_the_size_of_batches(spark):
+    words = ["der hund und die katze", "the dog and the cat", "le chien et le chat"]
+    rows = [(i, " ".join(words[(i + k) % 3 if k % 9 == 8 else i % 3] for k in range(40 + i % 7)), "deenfr"[i % 3 * 2 :][:2]) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    finder = LanguageId()
+    model, found = finder.fit(docs), []
+    for limit in (1 << 30, 1 << 16):
+        spark.conf.set(BATCH_LIMIT, str(limit))
+        found.append(sorted(finder.predict(docs, model).collect()))
+    spark.conf.unset(BATCH_LIMIT)
+    assert found[0] == found[1]
+
+
+def test_rechunked_batches_are_those_of_whole_ones():
+    texts = [None if i % 11 == 0 else "x" * (i * 7919 % 90_000) for i in range(400)]
+    whole = pa.record_batch([pa.array(range(400)), pa.array(texts, pa.string())], names=["id", "text"])
+    wanted = []
+    for begin in range(0, 400, 150):
+        sizes = [len(t or "") for t in texts[begin : begin + 150]]
+        wanted += [list(range(begin + a, begin + b)) for a, b in chunks(sizes)]
+    for step in (1, 7, 150, 400):
+        parts = (whole.slice(i, step) for i in range(0, 400, step))
+        assert [b.column(0).to_pylist() for b in rechunked(parts, 1, 150)] == wanted
+    assert list(rechunked(iter([]), 1, 150)) == list(rechunked(iter([whole.slice(0, 0)]), 1, 150)) == []
