@@ -9,8 +9,8 @@ import protosift as ps
 from protosift.operators import conflicts, neighbours
 from protosift.operators.conflicts import ConflictSettings
 from protosift.operators.neighbours import FOLD, LABEL, STEP
-from protosift.plans import approximate, tiles
-from protosift.plans.blocks import Held
+from protosift.plans import approximate, groups, tiles
+from protosift.plans.blocks import Held, Viewer
 from protosift.plans.outcomes import BLOCK, OUTCOME, Arranged
 from protosift.plans.profiles import COPIES, RID
 from protosift.plans.tiles import TileSettings
@@ -170,6 +170,94 @@ def test_rows_go_to_few_cells_once_their_own_cell_is_searched(spark, monkeypatch
     assert 0 < sent[0] < sent[1] * 0.7, sent
 
 
+def _mixed_points(n: int, seed: int) -> pd.DataFrame:
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({
+        RID: np.arange(n), "x": rng.integers(0, 400, n) / 400, "s": rng.choice(list("pqrs"), n), "b": rng.integers(0, 3, n),
+        FOLD: np.arange(n) % 10, STEP: rng.integers(0, 3, n), LABEL: rng.random(n),
+    })
+
+
+@pytest.mark.parametrize("jaccard", ["equal", "ratio"])
+def test_rows_are_compared_with_few_pivots_and_probes(monkeypatch, jaccard):
+    spec, k, steps = ps.RowSpec("id", ("x",), ("s",), ("b",), "label"), 2, 3
+    sample, batch = _mixed_points(1600, 1), _mixed_points(500, 2)
+    batch.loc[0, ["s", "b"]] = "unseen", 7
+    view = Held(spec, sample).seen_from(batch)
+    far = np.concatenate([view.distances(part, jaccard) / spec.size for part in view.slices()])
+    seen, distances = [], Viewer.distances
+
+    def counted(self, *args):
+        found = distances(self, *args)
+        seen.append(found.size)
+        return found
+
+    monkeypatch.setattr(Viewer, "distances", counted)
+    grouped = groups.Groups(spec, jaccard, sample)
+    del seen[:]
+    at, away = grouped.nearest(grouped.seen_from(batch))
+    assert np.array_equal(at, far.argmin(axis=1)) and np.array_equal(away, far.min(axis=1))
+    assert sum(seen) < far.size / 4
+
+    # Cells of whole ranges: the same as by all least distances, or fewer.
+    reach, known = neighbours._reach(k, steps), np.full((500, steps), 0.002)
+    around = groups.Around(np.full(1600, 0.001), [sample["x"] - 0.004], [sample["x"] + 0.004], np.full(1600, -1))
+    around.low, around.high = ([x.to_numpy() for x in edge] for edge in (around.low, around.high))
+    cells = groups.Groups(spec, jaccard, sample, around, np.arange(1600) % 7 > 0)
+    first = pd.DataFrame({"_first_step": np.zeros(1600)})
+    del seen[:]
+    row, cell = cells.needed(cells.seen_from(batch), reach.relevant, known, cells.columns(first))
+    assert sum(seen) < far.size / 4
+    sent = set(zip(row.tolist(), cell.tolist()))
+    assert len(sent) == len(row) and not (cell % 7 == 0).any()
+    useful = (far <= 0.002) & (np.arange(1600) % 7 > 0)[None, :]
+    assert set(zip(*map(np.ndarray.tolist, np.nonzero(useful)))) <= sent
+    assert (far[row, cell] - 0.001 <= 0.002 + 1e-6).all()
+
+
+@pytest.mark.parametrize("steps", [1, 3])
+def test_bounds_are_those_of_all_probes(spark, monkeypatch, steps):
+    spec, k = ps.RowSpec("id", ("x",), ("s",), ("b",), "label"), 3
+    rows = _mixed_points(3000, 4).assign(**{STEP: lambda t: t[STEP] % steps})
+    kept, layouts = tiles.cut_lineage, []
+    monkeypatch.setattr(tiles, "cut_lineage", lambda df: layouts.append(kept(df)) or layouts[-1])
+    monkeypatch.setattr(tiles, "REFINED", float("inf"))
+    sampled = []
+    sample = tiles._sample
+    monkeypatch.setattr(tiles, "_sample", lambda *a: sampled.append(sample(*a)) or sampled[-1])
+    table = spark.createDataFrame(rows)
+    tiles.plan_layout(
+        spec, "equal", table, 3000, table, 3000, neighbours._reach(k, steps), TileSettings(tile_rows=100, cell_rows=20),
+        neighbours._nearest_in_tile(spec, k, steps, True, "equal"), "",
+    )
+    probes, bounded = sampled[0], layouts[1].toPandas().sort_values(RID, ignore_index=True)
+    view = Held(spec, probes).seen_from(bounded)
+    far = np.concatenate([view.distances(part, "equal").copy() / spec.size for part in view.slices()])
+    far[bounded[FOLD].to_numpy()[:, None] == probes[FOLD].to_numpy()[None, :]] = np.inf
+    for step in range(steps):
+        seen = np.sort(far[:, probes[STEP].to_numpy() <= step], axis=1)[:, k - 1]
+        assert np.array_equal(bounded[f"_bound_{step}"].to_numpy(), seen)
+
+
+def test_small_tasks_share_a_partition(spark):
+    rows = pd.DataFrame({RID: np.arange(2000), tiles.TASK: np.arange(2000) % 500, tiles.PROBING: np.arange(2000) // 1000})
+    routed = spark.createDataFrame(rows.astype("int64"))
+
+    def kernel(held):
+        return lambda batch: iter([pd.DataFrame({RID: batch[RID], "n": held[RID].sum()})])
+
+    def result(cost):
+        found = tiles.run_tasks(routed, 500, kernel, f"{RID} long, n long", cost)
+        return found.rdd.getNumPartitions(), sorted(map(tuple, found.collect()))
+
+    parallelism = spark.sparkContext.defaultParallelism
+    few, shared = result(1e6)
+    many, apart = result(float("inf"))
+    assert (few, many) == (min(500, tiles.CORE_PARTITIONS * parallelism), 500) and few < 500
+    assert shared == apart and len(shared) == 1000
+    assert dict(shared)[1003] == 3 + 503
+
+
 def test_bounds_of_each_step_come_from_what_was_found_up_to_it(spark):
     found = [(1, 0, 0.5), (1, 1, 0.25), (1, 2, 0.125), (2, 1, 0.75), (3, 2, 0.5), (3, 2, 0.625)]
     table = spark.createDataFrame(found, f"{RID} long, {STEP} int, distance double")
