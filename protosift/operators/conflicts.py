@@ -9,13 +9,15 @@ shared table, keeps the conflicts of a few probing rows at a time, and ranks the
 when it has seen all files. So one row leaves the task for each probing row, and
 neither pairs nor conflicts are shuffled. Where many rows share all attributes, and
 the held rows are few enough for a task to keep, probing rows that share theirs see
-the held rows in levels of one distance, whose conflicts lie at both ends.
+the held rows in levels of one distance, whose conflicts lie at both ends. Where many
+rows share all attributes but one number, and a result is used to some decimals only,
+conflicts are ranked as finely as these need (``plans.ranks``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ from protosift.operators.stats import reusable_with_bounds, scale
 from protosift.plans.lineage import cut_lineage
 from protosift.plans.outcomes import BLOCK, EQUAL_ROWS, OUTCOME, SLACK, Arranged, Level, Levels
 from protosift.plans.profiles import COPIES, RID, Profiles, hand_back, profiles_of
+from protosift.plans.ranks import Ordered
 from protosift.plans.shared import Reader, SharedTable, read_file, share
 from protosift.plans.tiles import MAX_PARTITIONS
 from protosift.spec import RowSpec
@@ -35,6 +38,8 @@ from protosift.spec import RowSpec
 
 # Copies of a row in conflict that are ranked one by one, on average at most.
 MOST_EXPANDED = 4
+# Beyond these, rounding errors of the averages themselves count.
+MOST_DECIMALS = 9
 
 
 @dataclass(frozen=True)
@@ -44,7 +49,9 @@ class ConflictSettings:
     ``held_rows`` is the size of a file of the shared table, ``kept_rows`` how
     many rows a task keeps in memory from file to file, ``pairs`` how many pairs
     of rows, at most, are open at a time: their conflicts are in memory until
-    they are ranked. ``probing_rows`` is the size of a task.
+    they are ranked. ``probing_rows`` is the size of a task. Tasks that rank only as
+    finely as decimals need keep ``ranked_rows`` at most, and have up to
+    ``ranked_probing_rows`` rows each, as they begin by reading the whole table.
     """
 
     held_rows: int = 65_536
@@ -52,6 +59,8 @@ class ConflictSettings:
     pairs: int = 1 << 22
     probing_rows: int = 4096
     least_rows: int = 64
+    ranked_rows: int = 1 << 23
+    ranked_probing_rows: int = 65_536
 
 
 @dataclass(frozen=True)
@@ -142,6 +151,8 @@ class _Job:
     single: bool
     equal: bool = False
     levels: bool = False
+    ranked: bool = False
+    free: str | None = None
 
     def matters(self, batch: pd.DataFrame) -> np.ndarray:
         """Which files may hold conflicts of each row of a batch."""
@@ -244,6 +255,23 @@ class _Job:
 
         return work
 
+    def run_ranked(self, decimals: int, combine, named: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]):
+        """As ``run``, for results of so many decimals; rows of each profile lie together."""
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = [batch for batch in batches if len(batch)]
+            if not rows:
+                return
+            rows = pd.concat(rows, ignore_index=True)
+            held = Ordered(self.spec, self.jaccard, self.free, map(read_file, self.files["uri"]))
+            kinds = rows.groupby(held.rest, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(kinds, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(kinds[order])) + 1):
+                part = rows.iloc[at]
+                yield named(part, held.averages(part, decimals, combine))
+
+        return work
+
     def run(self, reduce: Callable[[pd.DataFrame, Conflicts], pd.DataFrame]):
         """A function over batches of probing rows: their conflicts, reduced."""
         if self.levels:
@@ -278,8 +306,21 @@ class _Prepared:
             self.table.drop()
 
 
+def _few_kinds(profiles: Profiles, spec: RowSpec) -> tuple[bool, str | None]:
+    """Whether many rows share all attributes, or all but one number, and which."""
+    spared = [None, *(c for c in spec.numeric if spec.size > 1)]
+    kinds = profiles.df.agg(*[
+        F.approx_count_distinct(F.struct(*[x for x in spec.attributes if x != c])) for c in spared
+    ]).first()
+    if kinds[0] * EQUAL_ROWS <= profiles.rows:
+        return True, None
+    least = min(range(len(spared)), key=lambda i: kinds[i])
+    return kinds[least] * EQUAL_ROWS <= profiles.rows, spared[least]
+
+
 def _prepare(
-    df: DataFrame, spec: RowSpec, blocks: int, jaccard: str, settings: ConflictSettings, counted: bool = False
+    df: DataFrame, spec: RowSpec, blocks: int, jaccard: str, settings: ConflictSettings, counted: bool = False,
+    decimals: int | None = None,
 ) -> _Prepared:
     """The probing rows and the shared table of held rows.
 
@@ -289,6 +330,8 @@ def _prepare(
     """
     if blocks < 1:
         raise ValueError("blocks has to be at least 1")
+    if decimals is not None and not 0 <= decimals <= MOST_DECIMALS:
+        raise ValueError(f"decimals has to be 0 to {MOST_DECIMALS}")
     if jaccard not in ("equal", "ratio"):
         raise ValueError(f"unknown jaccard mode {jaccard!r}")
     rows, bounds = reusable_with_bounds(spec.conform(df), [*spec.numeric, spec.label])
@@ -308,8 +351,11 @@ def _prepare(
         *[F.floor(F.col(c) * 4) for c in spec.numeric[:8]],
         F.col(OUTCOME),
     ]
-    equal = False
-    if (counted or n_held <= settings.kept_rows) and spec.attributes and not spec.distance and not spec.similarity:
+    equal, few, free = False, False, None
+    own = bool(spec.distance or spec.similarity)
+    if decimals is not None and n_held > settings.held_rows and not own:
+        few, free = _few_kinds(profiles, spec)
+    if not few and (counted or n_held <= settings.kept_rows) and spec.attributes and not own:
         kinds = profiles.df.agg(F.approx_count_distinct(F.struct(*spec.attributes))).first()[0]
         equal = kinds * EQUAL_ROWS <= profiles.rows
     if equal:
@@ -323,6 +369,7 @@ def _prepare(
     columns = [*keys, COPIES, BLOCK]
     table = share(held.select(*columns), order, -(-n_held // settings.held_rows), [*edges, *counts])
     files = table.files
+    ranked = few and files["rows"].sum() <= settings.ranked_rows
     # One value per block of the caller.
     present = sorted({int(b) for found in files["_blocks"] for b in found})
     parallelism = df.sparkSession.sparkContext.defaultParallelism
@@ -332,13 +379,23 @@ def _prepare(
         1,
     )
     probing, tasks = profiles.df.select(RID, *keys), min(tasks, MAX_PARTITIONS)
+    if ranked:
+        tasks = max(
+            -(-profiles.rows // settings.ranked_probing_rows),
+            min(8 * parallelism, -(-profiles.rows // settings.least_rows)),
+            1,
+        )
+        alike = [c for c in spec.attributes if c != free]
+        alike += [free or OUTCOME]
+        probing = probing.repartitionByRange(min(tasks, MAX_PARTITIONS), *alike)
     # With several files a task's rows should need the same ones.
-    if len(files) > 1:
+    elif len(files) > 1:
         probing = probing.withColumn(BLOCK, F.lit(0)).repartitionByRange(tasks, *order).drop(BLOCK)
     else:
         probing = probing.repartition(tasks, RID)
     single = bool((files["_most"] == 1).all()) if len(files) else True
     job = _Job(spec, jaccard, settings, files.drop(columns="_blocks"), single, equal and counted, equal and not counted)
+    job = replace(job, ranked=True, free=free) if ranked else job
     return _Prepared(scaled, spec, profiles, table, probing, present, job)
 
 
@@ -356,6 +413,7 @@ def quality_powa(
     blocks: int = 1,
     empty_value: float = 0.0,
     jaccard: str = "equal",
+    decimals: int | None = None,
     settings: ConflictSettings = ConflictSettings(),
 ) -> DataFrame:
     """``id`` and ``quality``: average over blocks of the averages within them.
@@ -363,17 +421,28 @@ def quality_powa(
     Attributes and outcome are min-max scaled. Compared rows are divided into
     ``blocks`` by id; ``blocks=1`` is the exact average over all conflicts. A
     block without conflicts counts as ``empty_value``: 0 by default, which
-    pulls the row down; 1 treats it as perfect.
+    pulls the row down; 1 treats it as perfect. With ``decimals`` the result is only
+    used rounded to so many, which then is that of the exact average: larger tables
+    are ranked as finely as that needs.
     """
-    ready = _prepare(df, spec, blocks, jaccard, settings)
+    ready = _prepare(df, spec, blocks, jaccard, settings, decimals=decimals)
     present, empty = np.array(ready.blocks, "int64"), float(empty_value)
+    weight = 1.0 / np.arange(1, len(present) + 1)
+
+    def named(part: pd.DataFrame, quality: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({RID: part[RID].to_numpy(), "_quality": quality})
 
     def reduce(part: pd.DataFrame, found: Conflicts) -> pd.DataFrame:
         each = np.sort(_by_block(part, found, present, empty), axis=1)
-        weight = 1.0 / np.arange(1, len(present) + 1)
-        return pd.DataFrame({RID: part[RID].to_numpy(), "_quality": (each * weight).sum(axis=1) / weight.sum()})
+        return named(part, (each * weight).sum(axis=1) / weight.sum())
 
-    best = ready.reduced(ready.job.run(reduce), f"{RID} long, _quality double")
+    def combine(values: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = np.sort(np.where(np.isnan(values), empty, values))
+        return np.array([(each * weight).sum() / weight.sum()]), np.array([errors.max()])
+
+    job = ready.job
+    work = job.run_ranked(decimals, combine, lambda part, x: named(part, x[:, 0])) if job.ranked else job.run(reduce)
+    best = ready.reduced(work, f"{RID} long, _quality double")
     rows = hand_back(ready.rows, spec.id, best, ready.profiles, "_quality")
     return rows.select(F.col(spec.id).alias("id"), F.col("_quality").alias("quality"))
 
@@ -385,17 +454,26 @@ def owa_blocks(
     blocks: int,
     empty_value: float = 0.0,
     jaccard: str = "equal",
+    decimals: int | None = None,
     settings: ConflictSettings = ConflictSettings(),
 ) -> DataFrame:
-    """``id, block, owa``: the averages within blocks before they are combined."""
-    ready = _prepare(df, spec, blocks, jaccard, settings)
+    """``id, block, owa``: the averages within blocks before they are combined.
+    ``decimals`` are those of ``quality_powa``."""
+    ready = _prepare(df, spec, blocks, jaccard, settings, decimals=decimals)
     present, empty = np.array(ready.blocks, "int64"), float(empty_value)
 
+    def named(part: pd.DataFrame, each: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({RID: part[RID].to_numpy(), "_each": list(each)})
+
     def reduce(part: pd.DataFrame, found: Conflicts) -> pd.DataFrame:
-        each = list(_by_block(part, found, present, empty))
-        return pd.DataFrame({RID: part[RID].to_numpy(), "_each": each})
+        return named(part, _by_block(part, found, present, empty))
+
+    def combine(values: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(np.isnan(values), empty, values), errors
 
-    each = ready.reduced(ready.job.run(reduce), f"{RID} long, _each array<double>")
+    job = ready.job
+    work = job.run_ranked(decimals, combine, named) if job.ranked else job.run(reduce)
+    each = ready.reduced(work, f"{RID} long, _each array<double>")
     rows = hand_back(ready.rows, spec.id, each, ready.profiles, "_each")
     names = F.split(F.lit(",".join(map(str, ready.blocks))), ",").cast("array<long>")
     pairs = F.arrays_zip(names.alias("block"), F.col("_each").alias("owa"))
