@@ -39,6 +39,8 @@ GUARD = 1e-11
 SHARE = 8e-3
 # The least conflicts are always ranked one by one, at least about so many.
 LEAST = 1500.0
+# So many rows are ranked one by one in the time that a bound takes by itself.
+RANKED = 32_000
 # Thresholds that show how ranks are spread.
 COARSE = (np.arange(129) / 128) ** 2
 # Time to order a held row for a range of probing rows, by that to compare it with one.
@@ -100,18 +102,15 @@ class Seen:
         parts = [(run, shift, end) for run, shift, end in zip(self.runs, self.shifts, ends) if end]
         if not parts:
             return 0.0, 0
+        # A stable sort merges runs that are sorted already, which pays for two.
         far = np.concatenate([run.keys[:end] + shift for run, shift, end in parts])
         if all(run.times is None for run, _, _ in parts):
-            far.sort()
+            far.sort(kind="stable" if len(parts) < 3 else None)
             return float(far @ _weights(len(far))), len(far)
         times = np.concatenate([np.ones(end, "int64") if run.times is None else run.times[:end] for run, _, end in parts])
-        order = far.argsort()
-        times = times[order]
-        after = np.cumsum(times)
-        weight = 1.0 / after
-        many = np.flatnonzero(times > 1)
-        weight[many] = harmonic(after[many]) - harmonic(after[many] - times[many])
-        return float(far[order] @ weight), int(after[-1])
+        order = far.argsort(kind="stable" if len(parts) < 3 else None)
+        after = np.cumsum(times[order])
+        return float(far[order] @ np.diff(_harmonic(after), prepend=0.0)), int(after[-1])
 
     def exact(self) -> float:
         found, n = self.ranked(self.ends)
@@ -120,8 +119,10 @@ class Seen:
     def within(self, share: float) -> tuple[float, float] | None:
         """The average and a bound of its error; ``None`` where ranking all takes less."""
         n, first = self.size, max(LEAST, 1.0 / max(share, 1e-9))
-        bins = int(np.log(max(1.0, n / first)) / max(share, 1e-9)) + 1 if n else 0
-        if self.rows < 2.0 * len(self.runs) * (bins + first):
+        if n <= first:
+            return None
+        bins = int(np.log(n / first) / share) + 1
+        if self.rows < RANKED + 4.0 * len(self.runs) * bins:
             return None
         least = min(run.keys[0] + shift for run, shift, end in zip(self.runs, self.shifts, self.ends) if end)
         coarse = least * (1.0 - COARSE)
@@ -143,7 +144,7 @@ class Seen:
             squares += run.squares[at] + shift * (2.0 * sums + shift * before)
             total += sums + shift * before
         found, begun = self.ranked(low)
-        if begun < LEAST / 2:
+        if begun < 64 or begun == n:
             return None
         between = np.diff(count)
         some = np.flatnonzero(between)
@@ -192,8 +193,17 @@ def _weights(n: int) -> np.ndarray:
     return _inverse[:n]
 
 
+_FIRST = np.append(0.0, np.cumsum(1.0 / np.arange(1.0, 64)))
+
+
+def _harmonic(n: np.ndarray) -> np.ndarray:
+    """Harmonic numbers of rising counts."""
+    few = int(np.searchsorted(n, 64))
+    return np.concatenate([_FIRST[n[:few].astype("int64")], _long_harmonic(n[few:]) + np.euler_gamma])
+
+
 def _long_harmonic(n: np.ndarray) -> np.ndarray:
-    """Harmonic numbers, less a constant, of counts of half of ``LEAST`` and more."""
+    """Harmonic numbers, less a constant, of counts of 64 and more."""
     inverse = 1.0 / n
     square = inverse * inverse
     return np.log(n) + inverse * 0.5 - square * (1 / 12 - square * (1 / 120 - square / 252))
@@ -218,24 +228,28 @@ class Ordered:
             first = np.unique(kind, return_index=True)[1]
             kinds.append(rows.iloc[first][self.rest])
             columns.append((
-                (kind + count).astype("int32"), rows[free].to_numpy("float64") if free else np.zeros(len(rows)),
-                rows[OUTCOME].to_numpy("float64"), rows[COPIES].to_numpy("int64"), rows[BLOCK].to_numpy("int64"),
+                (kind + count).astype("int32"), rows[OUTCOME].to_numpy("float64"), rows[COPIES].to_numpy("int64"),
+                rows[BLOCK].to_numpy("int64"), rows[free].to_numpy("float64") if free else np.empty(0),
             ))
             count += len(first)
         kinds = pd.concat(kinds, ignore_index=True)
         same = kinds.groupby(self.rest, sort=False, dropna=False).ngroup().to_numpy()
         kinds = kinds.iloc[np.unique(same, return_index=True)[1]].reset_index(drop=True)
-        kind, number, outcome, times, block = (np.concatenate(x) for x in zip(*columns))
-        del columns
-        if times.sum() <= MOST_EXPANDED * len(times):
-            kind, number, outcome, block = (np.repeat(x, times) for x in (kind, number, outcome, block))
-            times = np.ones(len(kind), "int64")
-        order = np.lexsort((number, block))
-        self.kind = same.astype("int32")[kind[order]]
-        self.number, self.outcome, self.times = number[order], outcome[order], times[order]
-        self.single = bool((times == 1).all())
+        # One column at a time, as a task may hold millions of rows.
+        columns = [list(x) for x in zip(*columns)]
+        kind, outcome, times, block, number = (np.concatenate(columns.pop(0)) for _ in range(5))
+        kind = same.astype("int32")[kind]
+        self.single = bool(times.sum() <= MOST_EXPANDED * len(times))
+        if self.single and times.max() > 1:
+            kind, outcome, block, number = (np.repeat(x, times) if len(x) else x for x in (kind, outcome, block, number))
+        order = np.lexsort((number, block)) if free else np.argsort(block, kind="stable")
         self.blocks, first = np.unique(block[order], return_index=True)
         self.spans = [slice(a, b) for a, b in zip(first, np.append(first[1:], len(order)))]
+        del block
+        self.kind, self.outcome = kind[order], outcome[order]
+        del kind, outcome
+        self.times = None if self.single else times[order]
+        self.number = number[order] if free else None
         numeric = tuple(c for c in spec.numeric if c != free)
         self.kinds = Held(replace(spec, numeric=numeric), kinds)
         # Outcomes as codes, where a level of few of them is a table of counts.

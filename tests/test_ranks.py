@@ -42,7 +42,8 @@ def conflicts_of(rows: pd.DataFrame, probe) -> np.ndarray:
 @pytest.mark.parametrize("whole", [False, True])
 @pytest.mark.parametrize("copies", [1, 3])
 def test_rounded_averages_are_those_of_all_conflicts(monkeypatch, whole, copies):
-    monkeypatch.setattr(ranks, "LEAST", 30.0)
+    monkeypatch.setattr(ranks, "LEAST", 100.0)
+    monkeypatch.setattr(ranks, "RANKED", 0)
     exact, ranked = [], ranks.Seen.exact
     monkeypatch.setattr(ranks.Seen, "exact", lambda self: exact.append(self.rows) or ranked(self))
     rows = made(12_000, 7, whole).rename(columns={"y": OUTCOME}).drop(columns="key").drop_duplicates()
@@ -97,7 +98,7 @@ def test_bounds_of_a_run_of_ranks(kind):
 @pytest.mark.parametrize("whole,blocks", [(False, 3), (True, 1)])
 def test_jobs_with_decimals_give_the_rounded_results(spark, monkeypatch, whole, blocks):
     """Keys may be repeated or lie below 0, outcomes and numbers may be missing."""
-    pdf = made(1300, 11, True) if whole else made(700, 11, copies=2)
+    pdf = made(1300, 11, True) if whole else made(350, 11, copies=2)
     jobs, reduced = [], conflicts._Prepared.reduced
 
     def seen(self, work, schema):
